@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package; a cluster has it installed or gets it by --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def columns(df: DataFrame, **names: str | Column) -> DataFrame:
     """Only the wanted columns, under the operator's own names, so that other columns cannot clash."""
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in names.items()))
@@ -52,6 +58,7 @@ def map_rows(df: DataFrame, one_batch: Callable, schema: str | StructType) -> Da
 
     struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
+    reachable(df.sparkSession)
     names = [f.name for f in struct]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, ogg, secrets, warc
+from . import chat, decontamination, jaccard, langid, licenses, mixing, ogg, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents"))[0])
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digest(_table(spark, sf_dir, "documents"))
 
@@ -29,13 +33,28 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.resolve_revisits(warc.capture_log(_table(spark, sf_dir, "pages"))))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_ogg, op4_licenses, op5_mixing, op7_warc, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_secrets, op2_decontamination, op3_ogg, op4_licenses, op5_mixing, op6_langid, op7_warc, op8_jaccard, op9_toxicity, op10_chat)
+}
 ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
