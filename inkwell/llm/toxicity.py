@@ -203,8 +203,8 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     known = columns(labels, doc_id=id_col, toxic=label_col).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(learn).distinct()
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     spot = F.crc32(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")))
-    parts = [known.where(F.col("toxic") == y).orderBy(spot, "doc_id").limit(sample) for y in (0, 1)]
-    ids = parts[0].unionByName(parts[1])
+    clean, bad_ids = (known.where(F.col("toxic") == y).orderBy(spot, "doc_id").limit(sample) for y in (0, 1))
+    ids = clean.unionByName(bad_ids)
     rows = columns(df, doc_id=id_col, text=text_col).where("text is not null").join(F.broadcast(ids), "doc_id").orderBy(spot, "doc_id", "text").limit(2 * sample).collect()
     texts = [_WORD.findall(r["text"].encode()) for r in rows]
     toxic = np.array([int(r["toxic"]) for r in rows], dtype=int)
