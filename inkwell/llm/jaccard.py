@@ -292,13 +292,15 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     coarse = materialize(coarse.select("node", F.col("component").alias("family")), "families")
     sizes = coarse.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     sizes = materialize(sizes, "tiles")
-    carriers = sets.join(coarse, "node").groupBy("node", "family").agg(F.min("key").alias("key"))
+    # One row a node before the join: exact copies have met by partial sums.
+    carriers = sets.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(coarse, "node")
     tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
     carriers = materialize(carriers.join(sizes, "family").withColumn("tile", tile), "carriers")
     texts = docs.select("key", "text")
 
     def members(of: DataFrame) -> DataFrame:
-        return texts.join(of, "key")
+        # Dealt by key at every size: only families travel on, but which these are is known too late to be read first.
+        return texts.join(of.hint("merge"), "key")
 
     spread = F.when((F.col("tile") == 0) & (F.col("tiles") > 1), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
     own = members(carriers).select("family", F.explode(spread).alias("tile"), F.lit(0).alias("part"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "text")
