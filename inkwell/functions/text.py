@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 TRIMMED = "".join(map(chr, range(0x21)))
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000]))
 W = r"\p{javaWhitespace}"
-#: A word boundary between ASCII word characters and others, whatever the Java version makes of \b.
-B = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+#: Word boundaries before and behind an ASCII word character, whatever the Java version makes of \b.
+BEGIN, END = r"(?<!\w)", r"(?!\w)"
 SENTENCE = r"[^.!?]+[.!?]?"
 
 
@@ -62,6 +64,9 @@ def fold(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return c
 
 
-def any_of(words: list[str]) -> str:
-    """A pattern that finds any of the literal words in any case."""
-    return "(?i)(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")"
+def has_any(lower: Column, words: Iterable[str]) -> Column:
+    """Whether a lower-case text holds any of the words: a plain search, far cheaper than patterns, to go before them."""
+    found = F.lit(False)
+    for w in dict.fromkeys(words):
+        found = found | F.contains(lower, F.lit(w))
+    return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -58,7 +59,11 @@ def reduce_text(text: str, most: int, fold_case: bool) -> tuple[str, list[str]]:
         out.extend(tokens)
         sentence.clear()
 
-    for token in _SPACE.split(text.strip(TRIMMED)):
+    tokens = _SPACE.split(text.strip(TRIMMED))
+    keys = [key(t) for t in tokens]
+    if not any(any(map(eq, keys, keys[n:])) for n in range(1, most + 1)):
+        return text, []  # no word comes again near enough
+    for token in tokens:
         sentence.append(token)
         if _ends_sentence(token):
             flush()

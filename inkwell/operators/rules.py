@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import protect
-from ..functions.text import SENTENCE, B, W, any_of, collapse, edges, extract_all, fold, jstrip, jtrim, sentences, word_count
+from ..functions.text import BEGIN, END, SENTENCE, W, collapse, edges, extract_all, fold, has_any, jstrip, jtrim, sentences, word_count
 from . import vocabulary as v
 
 STRINGS = "array<string>"
@@ -101,14 +101,13 @@ def filler_removal(stage: Stage, text: Column, params: Params) -> Result:
             logs.append(F.when(found, F.array(F.lit(f"[{tier}] filler removed: {word}"))))
             now = stage.put(F.when(found, jstrip(F.regexp_replace(F.regexp_replace(now, alone, ""), " {2,}", " "))).otherwise(now))
     closings = _with_tier(v.CLOSINGS, tier)
-    if any_closing := "|".join(closings):
-        has = stage.put(now.rlike(f"(?i){B}(?:{any_closing})"))
-        chain = now
-        for phrase in closings:
-            chain = jstrip(F.regexp_replace(chain, f"(?i){B}{phrase}", ""))
-            hit = F.regexp_extract(now, f"(?i){B}{phrase}", 0)
-            logs.append(F.when(has & (hit != ""), F.array(F.concat(F.lit(f"[{tier}] closing removed: "), jstrip(hit)))))
-        now = stage.put(F.when(has, chain).otherwise(now))
+    has = stage.put(has_any(F.lower(now), v.CLOSING_WORDS))
+    chain = now
+    for phrase in closings:
+        chain = jstrip(F.regexp_replace(chain, f"(?i){BEGIN}{phrase}", ""))
+        hit = F.regexp_extract(now, f"(?i){BEGIN}{phrase}", 0)
+        logs.append(F.when(has & (hit != ""), F.array(F.concat(F.lit(f"[{tier}] closing removed: "), jstrip(hit)))))
+    now = stage.put(F.when(has, chain).otherwise(now))
     now = stage.put(jstrip(F.regexp_replace(now, r"[ \t]{2,}", " ")))
     first = F.upper(F.substring(now, 1, 1))
     out = F.when(F.length(first) == 1, F.concat(first, F.substring(now, F.lit(2), F.length(now)))).otherwise(now)
@@ -165,7 +164,7 @@ def task_analyzer(stage: Stage, text: Column, params: Params) -> Result:
 
 def _replaced(stage: Stage, text: Column, pairs: list[tuple[str, str]], none: str) -> Result:
     """fold() outside protected pieces, only where any of the phrases stands."""
-    segs = stage.put(F.when(text.rlike(any_of([a for a, _ in pairs])), protect.segments(text)))
+    segs = stage.put(F.when(has_any(F.lower(text), [a for a, _ in pairs]), protect.segments(text)))
     outs = stage.put(protect.transformed(segs, lambda t: fold(t, pairs)))
     out = F.coalesce(protect.joined(segs, outs), text)
 
@@ -238,16 +237,17 @@ def duplicate_sentences(stage: Stage, text: Column, params: Params) -> Result:
     return protect.joined(segs, outs), F.when(total > 0, told).otherwise(F.array(F.lit("no duplicate sentence")))
 
 
-def _deduplicated(stage: Stage, text: Column, kinds: dict[str, str], what: str) -> Result:
+def _deduplicated(stage: Stage, text: Column, kinds: dict[str, str], words: list[str], what: str) -> Result:
     """The first sentence of each kind stays, later ones go; a sentence is of the first kind whose pattern it shows.
 
     Sentences are numbered over all plain pieces. Texts that show no kind at all aren't taken apart.
     """
-    shows = reduce(lambda a, b: a | b, (text.rlike(p) for p in kinds.values()))
+    holds = stage.put(has_any(F.lower(text), words))
+    shows = holds & reduce(lambda a, b: a | b, (text.rlike(p) for p in kinds.values()))
     segs = stage.put(F.when(shows, protect.segments(text)))
 
     def kind(s: Column) -> Column:
-        return F.coalesce(*(F.when(s.rlike(p), F.lit(k)) for k, p in kinds.items()))
+        return F.when(has_any(F.lower(s), words), F.coalesce(*(F.when(s.rlike(p), F.lit(k)) for k, p in kinds.items())))
 
     parts = stage.put(F.transform(segs, lambda s: F.when(s["p"], F.array().cast(STRINGS)).otherwise(sentences(s["t"]))))
     types = stage.put(F.transform(parts, lambda ss: F.transform(ss, kind)))
@@ -269,17 +269,18 @@ def _deduplicated(stage: Stage, text: Column, kinds: dict[str, str], what: str)
 
 def output_formats(stage: Stage, text: Column, params: Params) -> Result:
     """Repeated demands for the same output format go."""
-    return _deduplicated(stage, text, v.OUTPUT_FORMATS, "output format")
+    return _deduplicated(stage, text, v.OUTPUT_FORMATS, v.FORMAT_WORDS, "output format")
 
 
 def constraints(stage: Stage, text: Column, params: Params) -> Result:
     """Repeated constraints on the answer go."""
-    return _deduplicated(stage, text, v.CONSTRAINTS, "constraint")
+    return _deduplicated(stage, text, v.CONSTRAINTS, v.CONSTRAINT_WORDS, "constraint")
 
 
 def conflict_columns(stage: Stage, text: Column) -> tuple[Column, Column]:
     """(map from kind of instruction to the first plain sentence that shows it, conflicting pairs as 'A x B')."""
-    shows = reduce(lambda a, b: a | b, (text.rlike(p) for p in v.INSTRUCTIONS.values()))
+    holds = stage.put(has_any(F.lower(text), v.INSTRUCTION_WORDS))
+    shows = holds & reduce(lambda a, b: a | b, (text.rlike(p) for p in v.INSTRUCTIONS.values()))
     found = stage.put(F.when(shows, F.flatten(F.transform(protect.plain(protect.segments(text)), sentences))))
     showing = lambda p: F.filter(found, lambda s: s.rlike(p))
     firsts = {k: stage.put(F.get(showing(p), F.lit(0))) for k, p in v.INSTRUCTIONS.items()}
@@ -313,14 +314,14 @@ def punctuation(stage: Stage, text: Column, params: Params) -> Result:
 
 
 _NUMBER_WORDS = "|".join(sorted([*v.ONES, *v.TENS, *v.SCALES], key=lambda w: -len(w)))
-_NUMBER = rf"{B}(?:{_NUMBER_WORDS})(?:(?:\s+(?:and\s+)?|,\s*)(?:{_NUMBER_WORDS}))*{B}"
-_PERCENT = rf"{_NUMBER}\s+percent(?:age)?{B}"
+_NUMBER = rf"{BEGIN}(?:{_NUMBER_WORDS})(?:(?:\s+(?:and\s+)?|,\s*)(?:{_NUMBER_WORDS}))*{END}"
+_PERCENT = rf"{_NUMBER}\s+percent(?:age)?{END}"
 
 
 def number_value(phrase: Column) -> Column:
     """The number that a phrase of number words says; null where it exceeds a long (the words then stay)."""
     values = F.create_map(*(F.lit(x) for w, n in [*v.ONES.items(), *v.TENS.items()] for x in (w, n)))
-    words = F.split(jtrim(collapse(F.regexp_replace(F.regexp_replace(F.lower(phrase), rf"{B}and{B}", " "), ",+", " "))), " ")
+    words = F.split(jtrim(collapse(F.regexp_replace(F.regexp_replace(F.lower(phrase), rf"{BEGIN}and{END}", " "), ",+", " "))), " ")
     zero = F.struct(F.lit(0).cast("long").alias("result"), F.lit(0).cast("long").alias("current"))
     pair = lambda r, c: F.struct(r.alias("result"), c.alias("current"))
 
@@ -347,7 +348,7 @@ def _numbered(t: Column, pattern: str, percent: bool) -> Column:
 
 def numbers(stage: Stage, text: Column, params: Params) -> Result:
     """Number words to digits, "N percent" to N%."""
-    segs = stage.put(F.when(text.rlike(f"(?i)(?:{_NUMBER_WORDS})"), protect.segments(text)))
+    segs = stage.put(F.when(has_any(F.lower(text), [*v.ONES, *v.TENS, *v.SCALES]), protect.segments(text)))
     one = stage.put(protect.transformed(segs, lambda t: _numbered(t, _PERCENT, True)))
     two = stage.put(F.transform(one, lambda t, i: F.when(F.get(segs, i)["p"], t).otherwise(_numbered(t, _NUMBER, False))))
     told = F.flatten(

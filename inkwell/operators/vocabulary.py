@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import B
+from ..functions.text import BEGIN, END
 
 
 def tier(level: int) -> str:
@@ -103,7 +103,7 @@ SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000}
 
 def _phrases(*phrases: str) -> str:
     """A pattern for any of the phrases, words apart by any white space, between word boundaries."""
-    return "(?i)(?:" + "|".join(B + p.replace(" ", r"\s+") + B for p in phrases) + ")"
+    return "(?i)(?:" + "|".join(BEGIN + p.replace(" ", r"\s+") + END for p in phrases) + ")"
 
 
 # Kinds of output formats, in order of precedence.
@@ -111,7 +111,7 @@ OUTPUT_FORMATS = {
     "BULLET_LIST": _phrases("(?:please )?use bullet points", "answer (?:in|with) bullet points", "give me bullet points", "format as bullet points", "answer as a list", "give me a list"),
     "NUMBERED_LIST": _phrases("(?:please )?use a numbered list", "answer in a numbered list", "format as a numbered list", "number each point", "organize with numbers"),
     "TABLE": _phrases("(?:please )?use a table", "answer in a table", "format as a table", "put it in a table", "markdown table"),
-    "JSON": _phrases(rf"return{B}[^.!?]*{B}as json", rf"output{B}[^.!?]*{B}as json", "respond in json", "use json format", "valid json"),
+    "JSON": _phrases(rf"return{END}[^.!?]*{BEGIN}as json", rf"output{END}[^.!?]*{BEGIN}as json", "respond in json", "use json format", "valid json"),
     "MARKDOWN": _phrases("use markdown", "format in markdown", "respond with markdown", "markdown format"),
     "CODE_BLOCK": _phrases("use a code block", "put code in a code block", "wrap code in triple backticks", "format code as a code block"),
 }
@@ -133,3 +133,9 @@ INSTRUCTIONS = {
     "MARKDOWN": _phrases("use markdown", "format in markdown", "respond with markdown", "markdown format", "output in markdown", "return markdown"),
 }
 CONFLICTS = [("CONCISE", "DETAILED"), ("ONE_SENTENCE", "STEP_BY_STEP"), ("JSON", "MARKDOWN")]
+
+# Words of which a text must hold one for any pattern of the table to match.
+CLOSING_WORDS = ["hope", "thank", "know", "free", "hesitate", "any", "forward", "regards"]
+FORMAT_WORDS = ["bullet", "list", "number", "table", "json", "markdown", "code", "backticks"]
+CONSTRAINT_WORDS = ["concise", "short", "brief", "detail", "thorough", "step", "process", "simpl", "easy", "beginner", "example"]
+INSTRUCTION_WORDS = ["concise", "short", "brief", "detail", "thorough", "sentence", "step", "process", "json", "markdown"]

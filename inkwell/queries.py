@@ -89,7 +89,7 @@ def _sentences(x: str) -> str:
 
 
 def _re2(pattern: str) -> str:
-    return _sql(pattern.replace("(?i)", "").replace(text.B, r"\b"))
+    return _sql(pattern.replace("(?i)", "").replace(text.BEGIN, r"\b").replace(text.END, r"\b"))
 
 
 def _folded(x: str, pairs: list[tuple[str, str]]) -> str:
@@ -360,6 +360,14 @@ ORACLES: dict[str, str] = {
     "rule_length": _with("") + rf" SELECT doc_id, CASE WHEN {_words('t')} > 60 THEN array_to_string(regexp_split_to_array({_jtrim('t')}, '\s+')[1:60], ' ') || '...' ELSE t END AS out FROM prompts",
     "rule_format_control": _with("") + f" SELECT doc_id, {_folded('t', v.FORMATS)} AS out FROM prompts",
     "savings_by_source": _with(_FLAG) + ", g AS (SELECT source, lang, count(*) AS n, CAST(sum(original) AS BIGINT) AS original, CAST(sum(final) AS BIGINT) AS final FROM n GROUP BY source, lang)" + f" SELECT source, lang, n, original, final, {_rate} AS rate FROM g",
+    "savings_by_rule": _with(_FLAG)
+    + """, s AS (SELECT 'Punctuation Normalizer' AS rule_name, count(*) AS done, sum(CAST(t <> u AS BIGINT)) AS changed, sum(greatest(0, original - after_punct)) AS saved FROM n
+  UNION ALL SELECT 'Sentence Budget', count(*), sum(CAST(u <> w AS BIGINT)), sum(greatest(0, after_punct - after_sent)) FROM n
+  UNION ALL SELECT 'Length Control', count(*), sum(CAST(w <> final_prompt AS BIGINT)), sum(greatest(0, after_sent - final)) FROM n),
+a AS (SELECT r.position, r.rule_name, CAST(coalesce(done, 0) AS BIGINT) AS done, CAST(coalesce(changed, 0) AS BIGINT) AS changed, CAST(coalesce(saved, 0) AS BIGINT) AS saved FROM (VALUES """
+    + _values([(k, r.name) for k, r in enumerate(RULES)])
+    + """) AS r(position, rule_name) LEFT JOIN s USING (rule_name))
+SELECT position, rule_name, done, changed, saved, CASE WHEN max(saved) OVER () > 0 THEN CAST(saved AS DOUBLE) / max(saved) OVER () ELSE 0.0::DOUBLE END AS bar FROM a""",
     "conflict_join": _hits + " " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", count(*) AS documents FROM h WHERE {a.lower()} AND {b.lower()} HAVING count(*) > 0" for a, b in v.CONFLICTS),
     "blank_rejects": r"SELECT CASE WHEN doc_id % 7 = 0 OR regexp_replace(coalesce(text, ''), '\s+', '', 'g') = '' THEN 'rejected' ELSE 'accepted' END AS verdict, count(*) AS n FROM documents GROUP BY 1",
     "quality_scores": rf"""WITH b AS (SELECT doc_id, doc_id % 7 % 10 + 1 AS rb, doc_id % 11 % 10 + 1 AS ra, doc_id % 5 % 10 + 1 AS db, doc_id % 13 % 10 + 1 AS da, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 3 % 10 + 1 ELSE 5 END AS cb, doc_id % 17 % 10 + 1 AS ca, n_chars % 400 AS tb, n_chars % 300 AS ta FROM documents),
