@@ -35,9 +35,7 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     turns = columns(df, conv=conv_col, turn=turn_col, speaker=F.coalesce(F.col(f"`{role_col}`"), F.lit(NOBODY)), text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     turns = turns.withColumn("key", F.coalesce(F.col("conv").cast("string"), F.lit("null")))
     seats = turns.where(~F.col("speaker").isin(*narrators)).select(F.col("key"), F.col("speaker").alias("perspective")).distinct()
-    seats = seats.groupBy("key").agg(F.sort_array(F.collect_list("perspective")).alias("seats"))
-    every = turns.join(seats, "key").select("conv", "turn", "speaker", "text", F.explode("seats").alias("perspective"))
-    return render(every, narrators)
+    return render(turns.join(seats, "key"), narrators)
 
 
 def render(every: DataFrame, narrators: tuple[str, ...]) -> DataFrame:
