@@ -22,7 +22,7 @@ SEED = 4
 ALWAYS_RARE = 20
 COMMON = 8
 #: Words of test items that are held at once; larger benchmarks are searched in blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: A leak: this share of the best possible score, or this many equal words of which at most a fifth are edited.
 LEAST_SCORE = 0.5
 LEAST_WORDS = 13

@@ -328,3 +328,26 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = materialize(least, "least")
     named = rooted.join(least, "root", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: DuckDB: shingles as text, all pairs that share one, and reachability by recursion.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS ss FROM w
+), u AS (
+  SELECT doc_id, len(ss) AS n, unnest(ss) AS shingle FROM s
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM pairs WHERE 100 * c >= 90 * (n + m - c)
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM s UNION SELECT l.y, r.c FROM reach r JOIN links l ON l.x = r.doc_id
+), least AS (
+  SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component_id FROM s JOIN least ON s.doc_id = least.doc_id
+"""

@@ -57,4 +57,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_secrets, op2_decontamination, op3_ogg, op4_licenses, op5_mixing, op6_langid, op7_warc, op8_jaccard, op9_toxicity, op10_chat)
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_secrets": secrets.ORACLE, "op8_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_chat": chat.ORACLE}

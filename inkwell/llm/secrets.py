@@ -150,3 +150,33 @@ def digest(found: DataFrame) -> DataFrame:
         shown(F.col("findings")).alias("spans"),
         "blob",
     )
+
+
+def _oracle() -> str:
+    """DuckDB: matches and the gaps between them give the positions. Patterns are spelled for both cases where case doesn't count."""
+
+    def both_cases(pattern: str) -> str:
+        return re.sub(r"\[[^]]*\]|\\x..|[A-Za-z]", lambda m: f"[{m[0].upper()}{m[0].lower()}]" if len(m[0]) == 1 else m[0], pattern)
+
+    parts = []
+    for k, (kind, (pattern, group, least, flags)) in enumerate(RULES.items()):
+        p = (both_cases(pattern) if flags & re.IGNORECASE else pattern).replace("'", "''")
+        # Short hex runs are many; as runs are maximal, only those of the least length are looked for.
+        p = "[0-9a-f]{24,}" if kind == "hex" else p
+        size = f"length(regexp_extract(m, '{p}', {group}))" if group else "length(m)"
+        start = "coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)"
+        parts.append(
+            f"SELECT doc_id, blob, row, {k} AS k, '{kind}' AS kind, unnest(list_filter(list_transform(ms, lambda m, i: {{'s': {start}, 'n': length(m), 'ok': {size} >= {least}}}), lambda x: x.ok)) AS x "
+            f"FROM (SELECT *, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gs FROM d)"
+        )
+    show = "string_agg(kind || ':' || CAST(x.s AS BIGINT) || ':' || CAST(x.s + x.n AS BIGINT), ',' ORDER BY x.s, k)"
+    n = lambda kind: f"count(*) FILTER (WHERE kind = '{kind}')"
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS blob, row_number() OVER () AS row FROM documents), f AS ("
+        + " UNION ALL ".join(parts)
+        + f"), g AS (SELECT row, {n('assign')} AS n_assign, {n('access')} AS n_access, {n('hex')} AS n_hex, {show} FILTER (WHERE k < 3) AS base, {show} AS spans FROM f GROUP BY row) "
+        + "SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, blob FROM d LEFT JOIN g USING (row)"
+    )
+
+
+ORACLE = _oracle()
