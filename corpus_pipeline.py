@@ -39,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct(), "kept")
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
     apart = F.when(blank, F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return keyed.withColumn("_apart", apart).join(kept, "_key", "left_semi").dropDuplicates(["_key", "_apart"]).select(docs.columns)
+    return keyed.withColumn("_apart", apart).join(kept.hint("merge"), "_key", "left_semi").dropDuplicates(["_key", "_apart"]).select(docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,7 +199,6 @@ def _candidates(df: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
     into one value for each bucket of the hash space. So a signature that very many share costs one entry a batch.
     """
     buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = "a long, b long, bucket int, entries binary"
 
     def batch(rows: dict) -> dict:
         hashes, classes = WordHashes(), Classes(level)
@@ -208,41 +207,45 @@ def _candidates(df: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
             items = shingles(text, width, hashes)
             if items.size and (node := fingerprint(items)) not in nodes:
                 nodes[node] = classes.signatures(items)
-        out = {"a": [], "b": [], "bucket": [], "entries": []}
+        out = {"bucket": [], "entries": [], "edges": []}
         if not nodes:
             return out
         sig = np.concatenate(list(nodes.values()))
         own = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), [len(s) for s in nodes.values()])
-        edges, sig, low = _stars(sig, own)
-        out["a"], out["b"] = [*edges[0].tolist()], [*edges[1].tolist()]
-        out["bucket"], out["entries"] = [None] * len(out["a"]), [None] * len(out["a"])
+        (a, b), sig, low = _stars(sig, own)
         where = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with sig
         ends = np.searchsorted(where, np.arange(buckets + 1))
         for k in np.flatnonzero(ends[1:] > ends[:-1]):
             part = slice(ends[k], ends[k + 1])
             out["bucket"].append(int(k))
             out["entries"].append(sig[part].tobytes() + low[part].tobytes())
-        gap = len(out["bucket"]) - len(out["a"])
-        out["a"], out["b"] = out["a"] + [None] * gap, out["b"] + [None] * gap
+            out["edges"].append(b"")
+        if a.size:  # edges found here travel along, to any bucket
+            out["bucket"].append(int(a[0] % buckets))
+            out["entries"].append(b"")
+            out["edges"].append(a.tobytes() + b.tobytes())
         return out
 
     def meet(table):
         import pyarrow as pa
 
-        raws = table.column("entries").to_pylist()
-        sig = np.concatenate([np.frombuffer(r, np.uint64, len(r) // 16) for r in raws])
-        own = np.concatenate([np.frombuffer(r, np.int64, len(r) // 16, len(r) // 2) for r in raws])
-        (a, b), _, _ = _stars(sig, own)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        def halves(column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+            raws = [r for r in table.column(column).to_pylist() if r]
+            left = [np.frombuffer(r, kind, len(r) // 16) for r in raws]
+            right = [np.frombuffer(r, np.int64, len(r) // 16, len(r) // 2) for r in raws]
+            return np.concatenate([*left, np.empty(0, kind)]), np.concatenate([*right, np.empty(0, np.int64)])
 
-    found = map_rows(df, batch, schema)
-    packed = materialize(found, "signatures")
-    met = packed.where("bucket is not null").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    return packed.where("bucket is null").select("a", "b").unionByName(met)
+        (a, b), _, _ = _stars(*halves("entries", np.uint64))
+        c, d = halves("edges", np.int64)
+        return pa.table({"a": pa.array(np.r_[a, c], pa.int64()), "b": pa.array(np.r_[b, d], pa.int64())})
+
+    return map_rows(df, batch, "bucket int, entries binary, edges binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def _stars(sig: np.ndarray, own: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
     """Distinct edges from each signature's nodes to its least node; the signatures in order, and those least nodes."""
+    if not sig.size:
+        return (own, own), sig, own
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
