@@ -71,6 +71,28 @@ def _rule(rule_id: str, **params: object) -> Callable[[SparkSession, str], DataF
     return query
 
 
+#: Number phrases and what they become.
+NUMBERS = (
+    ("two hundred and fifty three steps", "253 steps"),
+    ("Twenty percent of it", "20% of it"),
+    ("one, two", "3"),
+    ("one million thousand", "1001000"),
+    ("fifty percentage points", "50% points"),
+    ("forty two, or someone", "42, or someone"),
+    ("three million four hundred thousand and seven", "3400007"),
+    ("HUNDRED zero", "100"),
+    ("no number", "no number"),
+)
+
+
+def number_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number rule on every whole text with a phrase behind it."""
+    phrase = F.get(F.array(*(F.lit(a) for a, _ in NUMBERS)), (F.col("doc_id") % len(NUMBERS)).cast("int"))
+    stage = Stage(prompts(spark, sf_dir).select("doc_id", F.concat(F.regexp_replace("t", r"(?i)(?<![a-z])one(?![a-z])", "1"), F.lit(" | "), phrase).alias("t")))
+    out, _ = BY_ID["numberNormalizer"].apply(stage, F.col("t"), Params())
+    return stage.df.select("doc_id", out.alias("out"))
+
+
 # DuckDB counterparts of the text functions, as macros on expressions.
 def _jtrim(x: str) -> str:
     return rf"regexp_replace({x}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
@@ -274,7 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_duplicate_sentences_last": _rule("duplicateSentenceRemover", keepFirst=False, caseInsensitive=False),
     "rule_duplicate_phrases": _rule("duplicatePhraseReducer"),
     "rule_punctuation": _rule("punctuationNormalizer"),
-    "rule_numbers": _rule("numberNormalizer"),
+    "rule_numbers": number_phrases,
     "rule_output_formats": _rule("outputFormatDeduplicator"),
     "rule_constraints": _rule("constraintDeduplicator"),
     "rule_conflicts": conflicts,
@@ -347,6 +369,8 @@ ORACLES: dict[str, str] = {
     "rule_duplicate_sentences": _duplicates_sql(True, True),
     "rule_duplicate_sentences_last": _duplicates_sql(False, False),
     "rule_punctuation": _with(_FLAG) + " SELECT doc_id, u AS out FROM p",
+    "rule_numbers": _with("")
+    + f" SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z])one([^A-Za-z]|$)', '\\1' || '1' || '\\2', 'gi') || ' | ' || list_extract([{', '.join(_sql(b) for _, b in NUMBERS)}], CAST(doc_id % {len(NUMBERS)} AS INTEGER) + 1) AS out FROM prompts",
     "rule_output_formats": _dedup_sql(v.OUTPUT_FORMATS),
     "rule_constraints": _dedup_sql(v.CONSTRAINTS),
     "rule_conflicts": _hits
