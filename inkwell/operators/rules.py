@@ -169,7 +169,11 @@ def _replaced(stage: Stage, text: Column, pairs: list[tuple[str, str]], none: st
     out = F.coalesce(protect.joined(segs, outs), text)
 
     def of_piece(t: Column) -> Column:
-        return F.filter(F.array(*(F.when(fold(t, pairs[:k]).rlike(rf"(?i)\Q{a}\E"), F.lit(f"'{a}' -> '{b}'")) for k, (a, b) in enumerate(pairs))), lambda x: x.isNotNull())
+        told = []
+        for a, b in pairs:  # each phrase is looked for in what the ones before it left
+            told.append(F.when(t.rlike(rf"(?i)\Q{a}\E"), F.lit(f"'{a}' -> '{b}'")))
+            t = fold(t, [(a, b)])
+        return F.filter(F.array(*told), lambda x: x.isNotNull())
 
     found = F.flatten(F.transform(protect.plain(segs), of_piece))
     return out, F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(F.array(F.lit(none)))

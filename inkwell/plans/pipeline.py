@@ -38,11 +38,11 @@ def _config(given: RuleConfig | Mapping[str, object] | bool | None) -> RuleConfi
     return RuleConfig(bool(given))
 
 
-def optimize(df: DataFrame, rules: Mapping[str, RuleConfig | Mapping[str, object] | bool] | None = None, text_col: str = "text", counter: Counter = words, order: tuple[str, ...] | None = None) -> DataFrame:
+def optimize(df: DataFrame, rules: Mapping[str, RuleConfig | Mapping[str, object] | bool] | None = None, text_col: str = "text", counter: Counter = words, order: tuple[str, ...] | None = None, record: bool = True) -> DataFrame:
     """df with final_prompt, steps and token_stats.
 
     rules: by rule id; a rule that is missing or not enabled is skipped, so None skips all. order: other rules in
-    another order than the registry's. Null texts count as empty. steps has a struct for each rule, in order: rule_name,
+    another order than the registry's. record: False leaves out steps, for a smaller plan. Null texts count as empty. steps has a struct for each rule, in order: rule_name,
     rule_level, input_text, output_text, tokens_before, tokens_after, tokens_saved (may be negative), changes, status
     ("done" or "skipped"; expressions are total, so "error" cannot occur). token_stats: original, final,
     compression_rate in percent, by_rule (savings by rule name, not below 0).
@@ -61,7 +61,8 @@ def optimize(df: DataFrame, rules: Mapping[str, RuleConfig | Mapping[str, object
         config = _config((rules or {}).get(rule.id))
         if config.enabled:
             out, changes = rule.apply(stage, text, Params(dict(config.params)))
-            out, changes = stage.put(out), stage.put(changes)
+            out = stage.put(out)
+            changes = stage.put(changes) if record else changes
             same = rule.id in ("taskAnalyzer", "instructionConflictDetector")
             after = tokens if same else stage.put(F.when(out == text, tokens).otherwise(counter(out)) if counter is words else counter(out))
             status = "done"
@@ -77,7 +78,8 @@ def optimize(df: DataFrame, rules: Mapping[str, RuleConfig | Mapping[str, object
         savings += [F.lit(rule.name), F.greatest(F.lit(0), saved)]
         text, tokens = out, after
     stats = F.struct(first_tokens.alias("original"), tokens.alias("final"), compression_rate(first_tokens, tokens).alias("compression_rate"), F.create_map(*savings).alias("by_rule"))
-    return stage.df.select(*(F.col(f"`{n}`") for n in names), text.alias("final_prompt"), F.array(*steps).alias("steps"), stats.alias("token_stats"))
+    recorded = [F.array(*steps).alias("steps")] if record else []
+    return stage.df.select(*(F.col(f"`{n}`") for n in names), text.alias("final_prompt"), *recorded, stats.alias("token_stats"))
 
 
 def reject_blank(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

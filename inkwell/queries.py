@@ -199,12 +199,12 @@ FLAGSHIP = {"punctuationNormalizer": RuleConfig(), "sentenceBudget": RuleConfig(
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Punctuation, sentence budget and word budget over all documents, with statistics."""
-    done = optimize(prompts(spark, sf_dir), FLAGSHIP, "t")
+    done = optimize(prompts(spark, sf_dir), FLAGSHIP, "t", record=False)
     return done.select("doc_id", "final_prompt", F.col("token_stats.original").cast("long").alias("original"), F.col("token_stats.final").cast("long").alias("final"), F.col("token_stats.compression_rate").alias("rate"))
 
 
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.by_group(optimize(prompts(spark, sf_dir), FLAGSHIP, "t"), "source", "lang")
+    return analytics.by_group(optimize(prompts(spark, sf_dir), FLAGSHIP, "t", record=False), "source", "lang")
 
 
 def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversations_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules on what users say."""
     said = _table(spark, sf_dir, "conversations").where("role = 'user'")
-    done = optimize(said, ALL_ON | {"sentenceBudget": RuleConfig(True, {"maxSentences": 8}), "lengthControl": RuleConfig(True, {"maxWords": 200})})
+    done = optimize(said, ALL_ON | {"sentenceBudget": RuleConfig(True, {"maxSentences": 8}), "lengthControl": RuleConfig(True, {"maxWords": 200})}, record=False)
     return done.select("conv_id", "turn", "final_prompt", F.col("token_stats.original").alias("original"), F.col("token_stats.final").alias("final"))
 
 
