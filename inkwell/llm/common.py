@@ -51,8 +51,8 @@ def columns(df: DataFrame, **names: str | Column) -> DataFrame:
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in names.items()))
 
 
-def map_rows(df: DataFrame, one_batch: Callable, schema: str | StructType) -> DataFrame:
-    """Arrow batches through one_batch(dict of lists) -> dict of lists, in schema's order."""
+def map_rows(df: DataFrame, one_batch: Callable, schema: str | StructType, rows: int = 1000) -> DataFrame:
+    """Arrow batches through one_batch(dict of lists) -> dict of lists, in schema's order; so many rows at a time."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -63,8 +63,8 @@ def map_rows(df: DataFrame, one_batch: Callable, schema: str | StructType) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = one_batch(batch.to_pydict())
+            for at in range(0, batch.num_rows, rows):
+                out = one_batch(batch.slice(at, rows).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
 
     return df.mapInArrow(run, struct)

@@ -239,7 +239,7 @@ def _candidates(df: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
         c, d = halves("edges", np.int64)
         return pa.table({"a": pa.array(np.r_[a, c], pa.int64()), "b": pa.array(np.r_[b, d], pa.int64())})
 
-    return map_rows(df, batch, "bucket int, entries binary, edges binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return map_rows(df, batch, "bucket int, entries binary, edges binary", 10_000).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def _stars(sig: np.ndarray, own: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:

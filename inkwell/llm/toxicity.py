@@ -76,7 +76,7 @@ class Field:
     def marginals(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Each word's probability of label 1, for each text."""
         emissions = [np.fromiter(map(self.emission, words), float, len(words)) for words in texts]
-        return [p for p, _ in run_chains(emissions, self.steps)]
+        return [p for p, _ in run_chains(emissions, self.steps, joint=False)]
 
     def score(self, p: np.ndarray) -> float:
         """Of a document, from its marginals."""
@@ -92,8 +92,8 @@ def aggregate(p: np.ndarray) -> np.ndarray:
     return np.array([np.log(0.1 + sure), np.log(0.002 + sure / (p.size + 20)) + 6, 1.0])
 
 
-def run_chains(emissions: list[np.ndarray], steps: np.ndarray, cells: int = 400_000) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Marginals of label 1, and the expected counts of steps (2 x 2), for each chain.
+def run_chains(emissions: list[np.ndarray], steps: np.ndarray, cells: int = 400_000, joint: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Marginals of label 1, and the expected counts of steps (2 x 2; zeros unless joint), for each chain.
 
     Chains of like length run side by side, a word at a time, forward and backward, as odds of label 1 to 0: two
     numbers a word, so long texts cost memory in proportion.
@@ -126,12 +126,13 @@ def run_chains(emissions: list[np.ndarray], steps: np.ndarray, cells: int = 400_
             now = b[j] = np.where(inside[j + 1], now, 1.0)
         odds = f * b
         p = odds / (1 + odds)
-        # Of the step from j - 1 to j: forward odds before, the step, emission and backward odds after.
-        here = e[1:] * b[1:]
-        joint = np.stack([np.full_like(here, t[0, 0]), t[0, 1] * here, t[1, 0] * f[:-1], t[1, 1] * f[:-1] * here])
-        joint *= inside[1:] / joint.sum(axis=0)
+        counts = np.zeros((4, n))
+        if joint:  # of the step from j - 1 to j: forward odds before, the step, emission and backward odds after
+            here = e[1:] * b[1:]
+            each = np.stack([np.full_like(here, t[0, 0]), t[0, 1] * here, t[1, 0] * f[:-1], t[1, 1] * f[:-1] * here])
+            counts = (each * (inside[1:] / each.sum(axis=0))).sum(axis=1)
         for k, i in enumerate(some):
-            out[i] = (p[: lengths[k], k].copy(), joint[:, :, k].sum(axis=1).reshape(2, 2))
+            out[i] = (p[: lengths[k], k].copy(), counts[:, k].reshape(2, 2))
     return out
 
 
