@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Separators of the contracts' "words" [^\x20\x09-\x0D]+, as a Java and RE2 class.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that drops a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -33,11 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Unlike a cached frame, the reread table has real size statistics, so that joins on it are planned by size.
+    Unlike a cached frame, the reread table has real size statistics, so that joins on it are planned by size. The
+    shuffle files behind the table go once it is written: nothing reads them again, and they would add up.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

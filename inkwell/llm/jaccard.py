@@ -299,14 +299,10 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carriers = sets.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(coarse, "node")
     tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
     carriers = materialize(carriers.join(sizes, "family").withColumn("tile", tile), "carriers")
-    texts = docs.select("key", "text")
-
-    def members(of: DataFrame) -> DataFrame:
-        # Dealt by key at every size: only families travel on, but which these are is known too late to be read first.
-        return texts.join(of.hint("merge"), "key")
-
+    # Dealt by key at every size: only families travel on, but which these are is known too late to be read first.
+    members = materialize(docs.select("key", "text").join(carriers.hint("merge"), "key"), "members")
     spread = F.when((F.col("tile") == 0) & (F.col("tiles") > 1), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
-    own = members(carriers).select("family", F.explode(spread).alias("tile"), F.lit(0).alias("part"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "text")
+    own = members.select("family", F.explode(spread).alias("tile"), F.lit(0).alias("part"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "text")
     links = materialize(_linked_edges(own, width, level), "links")
     groups = materialize(connected(links), "groups")
     wide = carriers.where("tiles > 1")
@@ -319,9 +315,10 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not outside.isEmpty():
             parts = materialize(outside.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "parts")
             part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
-            asking = outside.join(parts, "family").select("key", "family", "node", "label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(True).alias("asks"))
-            asked = labelled.join(parts, "family").select("key", "family", "node", "label", "tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
-            rest = members(materialize(asking.unionByName(asked), "blocks")).drop("key")
+            asking = outside.join(parts, "family").select("family", "node", "label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(True).alias("asks"))
+            asked = labelled.join(parts, "family").select("family", "node", "label", "tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+            blocks = asking.unionByName(asked)
+            rest = blocks.join(members.where("tiles > 1").select("node", "text").hint("merge"), "node")
             links = links.unionByName(materialize(_linked_edges(rest, width, level), "links"))
             groups = materialize(connected(links), "groups")
     lone = F.xxhash64(F.lit("empty"), F.col("key"))
