@@ -208,7 +208,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def accept(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of df whose text has a letter and a language more likely than not (score at least `least`); all columns as they are."""
+    """The rows of df whose text has a letter and a language more likely than not (score at least `least`); all columns as they are.
+
+    A model that learned no language rejects only texts without a letter.
+    """
     names, struct = df.columns, df.schema
     reachable(df.sparkSession)
     at = names.index(text_col)
@@ -220,7 +223,7 @@ def accept(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
             mask = []
             for text in batch.column(at).to_pylist():
                 lang, score = model.predict(text)
-                mask.append(lang != UNKNOWN and score >= least)
+                mask.append((lang != UNKNOWN and score >= least) or (not model.langs and ngrams(text) is not None))
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return df.mapInArrow(keep, struct)
