@@ -23,6 +23,8 @@ LEVEL = (90, 100)
 #: Texts of a family that meet in one task; larger families are cut into tiles of this size.
 TILE = 128
 DIMENSIONS = 64
+#: Texts on either side of a block in which only counts are compared.
+POINTS = 2048
 FANOUT = 8
 #: Bounds of the size classes grow by this ratio.
 _RATIO = 1.4
@@ -277,6 +279,51 @@ def _linked_edges(members: DataFrame, width: int, level: tuple[int, int]) -> Dat
     return members.groupBy("family", "tile", "part").applyInArrow(work, "a long, b long")
 
 
+def _possible(members: DataFrame, labelled: DataFrame, outside: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
+    """node, asks: the outsiders (asks) that the bound allows to link with a text of another component, and those texts.
+
+    Only counts travel, 256 bytes a text, so blocks may be POINTS wide; documents that share a passage, and so a
+    signature, but little else end here and their texts are not copied.
+    """
+
+    def point(rows: dict) -> dict:
+        hashes = WordHashes()
+        sets = [shingles(t, width, hashes) for t in rows["text"]]
+        right = [bool(s.size) and fingerprint(s) == n for s, n in zip(sets, rows["node"], strict=True)]
+        keep = [(n, s) for n, s, ok in zip(rows["node"], sets, right, strict=True) if ok]
+        return {"node": [n for n, _ in keep], "size": [s.size for _, s in keep], "counts": [counts(s).astype(np.uint32).tobytes() for _, s in keep]}
+
+    points = map_rows(members.where("tiles > 1").select("node", "text"), point, "node long, size long, counts binary").dropDuplicates(["node"])
+    points = materialize(points, "points")
+    many = lambda df, name: df.groupBy("family").agg(F.ceil(F.count("*") / POINTS).cast("int").alias(name))
+    wide = materialize(many(labelled, "columns").join(many(outside, "rows"), "family"), "grid")
+    spot = lambda seed, of: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asking = outside.join(wide, "family").select("family", "node", "label", spot(3, "rows").alias("row"), every("columns").alias("column"), F.lit(True).alias("asks"))
+    asked = labelled.join(wide, "family").select("family", "node", "label", every("rows").alias("row"), spot(4, "columns").alias("column"), F.lit(False).alias("asks"))
+
+    def bound(table):
+        import pyarrow as pa
+
+        rows = [dict(zip(("node", "label", "asks", "size", "counts"), r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in ("node", "label", "asks", "size", "counts")), strict=True)]
+        held, seek = [r for r in rows if not r["asks"]], [r for r in rows if r["asks"]]
+        found: set[tuple[int, bool]] = set()
+        if held and seek:
+            vectors = np.frombuffer(b"".join(r["counts"] for r in held), np.uint32).reshape(-1, DIMENSIONS).astype(np.int64)
+            labels = np.array([r["label"] for r in held])
+            tree = CountTree(vectors, np.array([r["size"] for r in held]))
+            for r in seek:
+                near = tree.search(np.frombuffer(r["counts"], np.uint32).astype(np.int64), r["size"], level)
+                near = near[labels[near] != r["label"]]
+                if near.size:
+                    found.add((r["node"], True))
+                    found.update((held[k]["node"], False) for k in near)
+        return pa.table({"node": pa.array([n for n, _ in found], pa.int64()), "asks": pa.array([a for _, a in found], pa.bool_())})
+
+    grid = asking.unionByName(asked).join(points, "node")
+    return grid.groupBy("family", "row", "column").applyInArrow(bound, "node long, asks boolean").distinct()
+
+
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, level: tuple[int, int] = LEVEL) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest id that it reaches by links, itself included.
 
@@ -285,7 +332,8 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated rows cost a hash each. Null ids are passed over by the minimum unless a group has no other.
 
     Families of more than TILE distinct texts are cut into tiles by hash. Each tile is joined with itself and with the
-    family's first; what then stands outside the family's largest component is compared, in blocks, with every tile.
+    family's first. What then stands outside the family's largest component is held against the whole family in blocks
+    of counts; texts that the bound allows to link are compared tile by tile.
     Work on a family whose members link with one another is so proportional to its size.
     """
     reachable(df.sparkSession)
@@ -313,10 +361,14 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         largest = materialize(largest, "largest")
         outside = materialize(labelled.join(largest, "family").where("label <> main").drop("main"), "outside")
         if not outside.isEmpty():
-            parts = materialize(outside.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "parts")
-            part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
-            asking = outside.join(parts, "family").select("family", "node", "label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), part.alias("part"), F.lit(True).alias("asks"))
-            asked = labelled.join(parts, "family").select("family", "node", "label", "tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+            possible = materialize(_possible(members, labelled, outside, width, level), "possible")
+            outside = materialize(outside.join(possible.where("asks").select("node"), "node"), "outside")
+            labelled = materialize(labelled.join(possible.where("not asks").select("node"), "node"), "labelled")
+            many = lambda df, name: df.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+            parts = materialize(many(outside, "parts").join(many(labelled, "columns"), "family"), "parts")
+            part, column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("columns")).cast("int")
+            asking = outside.join(parts, "family").select("family", "node", "label", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("tile"), part.alias("part"), F.lit(True).alias("asks"))
+            asked = labelled.join(parts, "family").select("family", "node", "label", column.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
             blocks = asking.unionByName(asked)
             rest = blocks.join(members.where("tiles > 1").select("node", "text").hint("merge"), "node")
             links = links.unionByName(materialize(_linked_edges(rest, width, level), "links"))
