@@ -146,18 +146,18 @@ def case_normalizer(stage: Stage, text: Column, params: Params) -> Result:
     return out, F.coalesce(log, F.array(F.lit("input is not in upper case")))
 
 
-def task_columns(text: Column) -> tuple[Column, Column, Column]:
+def task_columns(text: Column, lower: Column) -> tuple[Column, Column, Column]:
     """Type of task, the part of the text that shows it (null: none), and complexity by number of words."""
-    lower = F.lower(text)
-    words = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(w).alias("word")) for t, ws in v.TASKS.items() for w in ws))
-    hit = F.get(F.filter(words, lambda x: F.contains(lower, x["word"])), F.lit(0))
+    shows = [(kind, word, F.contains(lower, F.lit(word))) for kind, ws in v.TASKS.items() for word in ws]
+    kind = F.coalesce(*(F.when(found, F.lit(k)) for k, _, found in shows), F.lit(v.GENERAL))
+    word = F.coalesce(*(F.when(found, F.lit(w)) for _, w, found in shows))
     n = word_count(text)
-    return F.coalesce(hit["type"], F.lit(v.GENERAL)), hit["word"], F.when(n < 15, "LOW").when(n <= 40, "MEDIUM").otherwise("HIGH")
+    return kind, word, F.when(n < 15, "LOW").when(n <= 40, "MEDIUM").otherwise("HIGH")
 
 
 def task_analyzer(stage: Stage, text: Column, params: Params) -> Result:
     """The text stays; the log tells its task and complexity."""
-    kind, word, complexity = task_columns(text)
+    kind, word, complexity = task_columns(text, stage.put(F.lower(text)))
     shown = F.coalesce(F.concat(F.lit(" by '"), word, F.lit("'")), F.lit(" by default"))
     return text, F.array(F.concat(F.lit("task type: "), kind, shown), F.concat(F.lit("complexity: "), complexity, F.lit(", words: "), word_count(text).cast("string")), F.lit("classification only"))
 

@@ -174,8 +174,8 @@ def protected_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, word, complexity = task_columns(F.col("t"))
-    return prompts(spark, sf_dir).select("doc_id", kind.alias("task"), word.alias("word"), complexity.alias("complexity"))
+    kind, word, complexity = task_columns(F.col("t"), F.col("low"))
+    return prompts(spark, sf_dir).withColumn("low", F.lower("t")).select("doc_id", kind.alias("task"), word.alias("word"), complexity.alias("complexity"))
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
