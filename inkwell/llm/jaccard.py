@@ -280,10 +280,11 @@ def _linked_edges(members: DataFrame, width: int, level: tuple[int, int]) -> Dat
 
 
 def _possible(members: DataFrame, labelled: DataFrame, outside: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
-    """node, asks: the outsiders (asks) that the bound allows to link with a text of another component, and those texts.
+    """node, close: finer families, connected by pairs of an outsider and a text of another component that the bound allows.
 
-    Only counts travel, 256 bytes a text, so blocks may be POINTS wide; documents that share a passage, and so a
-    signature, but little else end here and their texts are not copied.
+    Only counts travel, 256 bytes a text, so blocks may be POINTS wide; a block names only pairs that connect what it
+    has not connected yet. Documents that share a passage, and so a signature, but little else end here: their texts
+    are not copied, and families that met by such documents part again.
     """
 
     def point(rows: dict) -> dict:
@@ -307,21 +308,31 @@ def _possible(members: DataFrame, labelled: DataFrame, outside: DataFrame, width
 
         rows = [dict(zip(("node", "label", "asks", "size", "counts"), r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in ("node", "label", "asks", "size", "counts")), strict=True)]
         held, seek = [r for r in rows if not r["asks"]], [r for r in rows if r["asks"]]
-        found: set[tuple[int, bool]] = set()
+        parent = {r["node"]: r["node"] for r in rows}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        edges = []
         if held and seek:
             vectors = np.frombuffer(b"".join(r["counts"] for r in held), np.uint32).reshape(-1, DIMENSIONS).astype(np.int64)
             labels = np.array([r["label"] for r in held])
             tree = CountTree(vectors, np.array([r["size"] for r in held]))
             for r in seek:
                 near = tree.search(np.frombuffer(r["counts"], np.uint32).astype(np.int64), r["size"], level)
-                near = near[labels[near] != r["label"]]
-                if near.size:
-                    found.add((r["node"], True))
-                    found.update((held[k]["node"], False) for k in near)
-        return pa.table({"node": pa.array([n for n, _ in found], pa.int64()), "asks": pa.array([a for _, a in found], pa.bool_())})
+                for k in near[labels[near] != r["label"]]:
+                    x, y = root(r["node"]), root(held[k]["node"])
+                    if x != y:
+                        parent[x] = y
+                        edges.append((r["node"], held[k]["node"]))
+        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
 
     grid = asking.unionByName(asked).join(points, "node")
-    return grid.groupBy("family", "row", "column").applyInArrow(bound, "node long, asks boolean").distinct()
+    edges = grid.groupBy("family", "row", "column").applyInArrow(bound, "a long, b long")
+    return connected(edges).withColumnRenamed("component", "close")
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, level: tuple[int, int] = LEVEL) -> DataFrame:
@@ -333,7 +344,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Families of more than TILE distinct texts are cut into tiles by hash. Each tile is joined with itself and with the
     family's first. What then stands outside the family's largest component is held against the whole family in blocks
-    of counts; texts that the bound allows to link are compared tile by tile.
+    of counts; texts that the bound allows to link form finer families, which are compared tile by tile.
     Work on a family whose members link with one another is so proportional to its size.
     """
     reachable(df.sparkSession)
@@ -361,9 +372,9 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         largest = materialize(largest, "largest")
         outside = materialize(labelled.join(largest, "family").where("label <> main").drop("main"), "outside")
         if not outside.isEmpty():
-            possible = materialize(_possible(members, labelled, outside, width, level), "possible")
-            outside = materialize(outside.join(possible.where("asks").select("node"), "node"), "outside")
-            labelled = materialize(labelled.join(possible.where("not asks").select("node"), "node"), "labelled")
+            close = materialize(_possible(members, labelled, outside, width, level), "close")
+            finer = lambda df: df.drop("family").join(close, "node").withColumnRenamed("close", "family")
+            outside, labelled = materialize(finer(outside), "outside"), materialize(finer(labelled), "labelled")
             many = lambda df, name: df.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
             parts = materialize(many(outside, "parts").join(many(labelled, "columns"), "family"), "parts")
             part, column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("columns")).cast("int")
