@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare word n-grams seed candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word n-grams seed candidate passages, Smith-Waterman alignment scores them.
 
-A test item's n-grams are looked up in every document; where some stand, the words around make a window. An n-gram that
-is far more frequent in the corpus than its item's others is a common phrase and no seed. Windows with a seed are
-aligned with the item word by word, so that copies with words changed, left out or put in still score high.
+A test item's n-grams are looked up in every document; where some stand, the words around make a window. Windows that
+share enough words with the item for a leak are aligned with it word by word, so that copies with words changed, left
+out or put in still score high. How often an n-gram or a passage stands in the corpus decides nothing.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from .common import columns, map_rows, materialize
 
 #: Words of a seed.
 SEED = 4
-#: An n-gram in more documents than this, and in more than COMMON times the median of its item's, is no seed.
-ALWAYS_RARE = 20
-COMMON = 8
+#: Alignments of windows that are remembered at once in a task: copies of a window cost one alignment.
+REMEMBERED = 20_000
 #: Words of test items that are held at once; larger benchmarks are searched in blocks.
 BLOCK_WORDS = 500_000
 #: A leak: this share of the best possible score, or this many equal words of which at most a fifth are edited.
@@ -73,9 +72,9 @@ class Index:
             grams[size] = (*np.unique(codes[order], return_index=True), where[order])
         return cls(vocabulary, items, grams)
 
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """By item place: (place in the document, offset in the item, code) of each gram found."""
-        out: dict[int, list[tuple[int, int, int]]] = {}
+    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By item place: (place in the document, offset in the item) of each gram found."""
+        out: dict[int, list[tuple[int, int]]] = {}
         known = ids >= 0
         for size, (codes, first, where) in self.grams.items():
             if len(ids) < size:
@@ -88,24 +87,30 @@ class Index:
             for k in np.flatnonzero(codes[at] == h):
                 i = at[k]
                 for place, offset in where[first[i] : first[i + 1] if i + 1 < len(first) else len(where)]:
-                    out.setdefault(int(place), []).append((int(run[k]), int(offset), int(h[k].view(np.int64))))
+                    out.setdefault(int(place), []).append((int(run[k]), int(offset)))
         return out
 
 
-def windows(hits: list[tuple[int, int, int]], item_words: int, doc_words: int) -> list[tuple[int, int, list[int]]]:
-    """(start, end, codes) of the stretches of the document where the item may lie; overlapping ones are one."""
+def windows(hits: list[tuple[int, int]], item_words: int, doc_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of the document where the item may lie; overlapping ones are one."""
     slack = max(4, item_words // 4)
-    spans = sorted((max(0, p - o - slack), min(doc_words, p - o + item_words + slack), c) for p, o, c in hits)
-    out: list[tuple[int, int, list[int]]] = []
-    for start, end, code in spans:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted({(max(0, p - o - slack), min(doc_words, p - o + item_words + slack)) for p, o in hits}):
         # An item's length of chained windows at most, so that repeated copies don't make one endless stretch.
         if out and start < out[-1][1] and end - out[-1][0] <= 3 * (item_words + 2 * slack):
-            out[-1] = (out[-1][0], max(end, out[-1][1]), [*out[-1][2], code])
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
-            out.append((start, end, [code]))
+            out.append((start, end))
     return out
 
 
+def shared_words(item: np.ndarray, window: np.ndarray) -> int:
+    """Words that both hold, each as often as both do: no alignment has more equal ones."""
+    own, counts = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(own, window), own.size - 1)
+    return int(np.minimum(counts, np.bincount(at[own[at] == window], minlength=own.size)).sum())
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int]:
     """Best local alignment: score, equal words, edited places, start and end in the window.
 
@@ -143,7 +148,6 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int, str]
         yield [(r["item_id"], r["text"]) for r in benchmark.where(part == k).collect()]
 
 
-HITS = "doc_key long, doc_id long, place int, start int, end int, codes array<long>, words array<int>"
 LEAKS = "doc_key long, doc_id long, item_id long, score double, equal_words int, edited int, start_word int, end_word int"
 
 
@@ -152,9 +156,9 @@ def find_leaks(
 ) -> DataFrame:
     """A row for each leak: doc_key, doc_id, item_id, score (0 to 1), equal_words, edited, start_word, end_word (of the best place).
 
-    Each block of the benchmark is searched in all documents in place: texts are not shuffled, only windows are kept,
-    and documents that hold a common passage stay where they are, so no key gathers them. Document frequencies of the
-    block's n-grams come from the windows of all documents. doc_key tells rows with equal ids and other texts apart.
+    Each block of the benchmark is searched in all documents in place, and windows are aligned there: neither texts nor
+    windows are shuffled, and documents that hold a common passage stay where they are, so no key gathers them. Whether
+    a document leaks depends on it and the item alone. doc_key tells rows with equal ids and other texts apart.
     Null or wordless texts and items match nothing; equal items are each found; repeated rows are each a leak, but
     rows equal in id and text have one doc_key.
     """
@@ -172,58 +176,48 @@ def key_of(id_col: str, text_col: str):
 
 
 def _leaks_of(docs: DataFrame, index: Index, least: float, least_words: int) -> DataFrame:
+    remembered: dict[tuple[int, bytes], tuple[int, int, int, int, int]] = {}
+
+    def aligned(place: int, window: np.ndarray) -> tuple[int, int, int, int, int] | None:
+        """The alignment with the item, None where too few words are shared for a leak."""
+        item = index.items[place][1]
+        # A score of least takes that share of the item's words, and the other way to a leak least_words of them.
+        shared = shared_words(item, window)
+        if shared / item.size < least and shared < least_words:
+            return None
+        key = (place, window.tobytes())
+        if key not in remembered:
+            if len(remembered) >= REMEMBERED:
+                remembered.clear()
+            remembered[key] = align(item, window)
+        return remembered[key]
+
     def search(rows: dict) -> dict:
-        out: dict[str, list] = {c.split()[0]: [] for c in HITS.split(", ")}
+        out: dict[str, list] = {c.split()[0]: [] for c in LEAKS.split(", ")}
         get = index.vocabulary.get
         for key, doc_id, text in zip(rows["doc_key"], rows["doc_id"], rows["text"], strict=True):
-            ids = np.array([get(w, -1) for w in words(text)], np.int64)
+            ids = np.array([get(w, -1) for w in words(text)], np.int32)
             if not ids.size:
                 continue
             for place, hits in index.hits(ids).items():
-                for start, end, codes in windows(hits, index.items[place][1].size, ids.size):
-                    for name, value in zip(out, (key, doc_id, place, start, end, codes, ids[start:end].astype(np.int32)), strict=True):
-                        out[name].append(value)
-        return out
-
-    hits = materialize(map_rows(docs, search, HITS), "windows")
-    # Each n-gram of the block once: how many documents of the corpus hold it.
-    frequency = {r["code"]: r["docs"] for r in hits.select("doc_key", F.explode(F.array_distinct("codes")).alias("code")).groupBy("code").agg(F.approx_count_distinct("doc_key").alias("docs")).collect()}
-    seeds = rare(index, frequency)
-
-    def score(rows: dict) -> dict:
-        out: dict[str, list] = {c.split()[0]: [] for c in LEAKS.split(", ")}
-        for key, doc_id, place, start, codes, held in zip(*(rows[c] for c in ("doc_key", "doc_id", "place", "start", "codes", "words")), strict=True):
-            if seeds.isdisjoint((place, c) for c in codes):
-                continue
-            item_id, ids = index.items[place]
-            points, equal, edits, low, high = align(ids, np.array(held, np.int64))
-            share = points / (MATCH * ids.size)
-            if share >= least or (equal >= least_words and edits * 4 <= equal):
-                for name, value in zip(out, (key, doc_id, item_id, share, equal, edits, start + low, start + high), strict=True):
-                    out[name].append(value)
+                item_id, item = index.items[place]
+                for start, end in windows(hits, item.size, ids.size):
+                    found = aligned(place, ids[start:end])
+                    if found is None:
+                        continue
+                    points, equal, edits, low, high = found
+                    share = points / (MATCH * item.size)
+                    if share >= least or (equal >= least_words and edits * 4 <= equal):
+                        for name, value in zip(out, (key, doc_id, item_id, share, equal, edits, start + low, start + high), strict=True):
+                            out[name].append(value)
         return out
 
-    scored = map_rows(hits.select("doc_key", "doc_id", "place", "start", "codes", "words"), score, LEAKS)
+    scored = materialize(map_rows(docs, search, LEAKS), "passages")
     rest = ("score", "equal_words", "edited", "start_word", "end_word")
     best = F.max_by(F.struct(*rest), F.struct("score", "equal_words", -F.col("start_word")))
     return scored.groupBy("doc_key", "doc_id", "item_id").agg(best.alias("b")).select("doc_key", "doc_id", "item_id", *(F.col(f"b.{c}").alias(c) for c in rest))
 
 
-def rare(index: Index, frequency: dict[int, int]) -> set[tuple[int, int]]:
-    """(item place, code) of the grams that seed: not far more frequent than the median of their item's."""
-    own: dict[int, list[int]] = {}
-    for codes, first, where in index.grams.values():
-        ends = [*first[1:], len(where)]
-        for code, a, b in zip(codes.view(np.int64).tolist(), first, ends, strict=True):
-            for place in {int(p) for p in where[a:b, 0]}:
-                own.setdefault(place, []).append(code)
-    out = set()
-    for place, codes in own.items():
-        bound = max(ALWAYS_RARE, COMMON * float(np.median([frequency.get(c, 0) for c in codes])))
-        out |= {(place, c) for c in codes if frequency.get(c, 0) <= bound}
-    return out
-
-
 def drop_leaks(df: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that hold no leak, all columns as they are. Keys are a written table, joined by its size."""
     keys = materialize(leaks.select(F.col("doc_key").alias("_key")).distinct(), "leaks")

@@ -120,6 +120,27 @@ def test_leaks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(got)
 
 
+def test_leaks_whatever_their_number(spark):
+    """Copies of under half an item, in few and in many documents, and a group of equal texts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    item = [word() for _ in range(40)]
+    part = " ".join(item[:16])
+    same = f"{word()} {part} {word()}"
+    for n in (3, 60):
+        rows = [(k, f"{word()} {part} {word()}") for k in range(n)] + [(1000 + k, same) for k in range(n)]
+        rows += [(2000 + k, f"{word()} {' '.join(item[30:36])} {word()}") for k in range(n)]
+        leaks = decontamination.find_leaks(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+        assert {r["doc_id"] for r in leaks.collect()} == {*range(n), *range(1000, 1000 + n)}
+
+
+def test_shared_words_bound_equal_ones():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, rng.integers(1, 12)), rng.integers(-1, 9, rng.integers(1, 20))
+        assert decontamination.align(a, b)[1] <= decontamination.shared_words(a, b) == sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+
+
 def test_align_against_plain():
     rng = np.random.default_rng(1)
     for _ in range(100):
