@@ -1,14 +1,16 @@
 """Registered queries on the rules and reports, and their DuckDB counterparts.
 
 The tables' texts are invented words, on which few rules would fire. ``prompts`` puts phrases before and after each
-whole text, by id, and takes out straight quotes, which only the expressions here can pair; both sides read the same.
+whole text, by id. SQL cannot pair quotes: the queries that it holds read texts without straight ones, on both sides.
+Each of them is there once more as ``whole_...``, without SQL, over the whole texts; queries without SQL read these too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import jsontext, protect, score, text
@@ -54,17 +56,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _unquoted(c: Column, marks: str) -> Column:
+    for mark in marks:
+        c = F.replace(c, F.lit(mark), F.lit(""))
+    return c
+
+
+def prompts(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+    """Phrases around each text, with its straight double quotes or without them."""
     docs = _table(spark, sf_dir, "documents")
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs)).cast("int"))
-    return docs.select("doc_id", "lang", "source", F.concat(pick(BEFORE), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit("")), pick(AFTER)).alias("t"))
+    return docs.select("doc_id", "lang", "source", F.concat(pick(BEFORE), _unquoted(F.coalesce("text", F.lit("")), "" if quotes else '"'), pick(AFTER)).alias("t"))
 
 
 def _rule(rule_id: str, **params: object) -> Callable[[SparkSession, str], DataFrame]:
     """The rule on every prompt: doc_id, out."""
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stage = Stage(prompts(spark, sf_dir))
+    def query(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+        stage = Stage(prompts(spark, sf_dir, quotes))
         out, _ = BY_ID[rule_id].apply(stage, F.col("t"), Params(params))
         return stage.df.select("doc_id", out.alias("out"))
 
@@ -85,10 +94,10 @@ NUMBERS = (
 )
 
 
-def number_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def number_phrases(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
     """The number rule on every whole text with a phrase behind it."""
     phrase = F.get(F.array(*(F.lit(a) for a, _ in NUMBERS)), (F.col("doc_id") % len(NUMBERS)).cast("int"))
-    stage = Stage(prompts(spark, sf_dir).select("doc_id", F.concat(F.regexp_replace("t", r"(?i)(?<![a-z])one(?![a-z])", "1"), F.lit(" | "), phrase).alias("t")))
+    stage = Stage(prompts(spark, sf_dir, quotes).select("doc_id", F.concat(F.regexp_replace("t", r"(?i)(?<![a-z])one(?![a-z])", "1"), F.lit(" | "), phrase).alias("t")))
     out, _ = BY_ID["numberNormalizer"].apply(stage, F.col("t"), Params())
     return stage.df.select("doc_id", out.alias("out"))
 
@@ -160,34 +169,34 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
 
 
-def sentence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prompts(spark, sf_dir).select("doc_id", text.sentences(F.col("t")).alias("s"))
+def sentence_lists(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+    found = prompts(spark, sf_dir, quotes).select("doc_id", text.sentences(F.col("t")).alias("s"))
     return found.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("sentences"))
 
 
-def protected_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def protected_pieces(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
     """Code and quotes of texts with some around them: pieces, and how many characters are protected."""
-    marked = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Run `a.b` and `` then:\n```py\nx = 1\n``` "), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit("")), F.lit("'"), F.lit("")), F.lit(" `end")).alias("t"))
+    marked = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Run `a.b` and `` then:\n```py\nx = 1\n``` "), _unquoted(F.coalesce("text", F.lit("")), "" if quotes else "\"'"), F.lit(" `end")).alias("t"))
     segs = marked.select("doc_id", "t", protect.segments(F.col("t")).alias("s"))
     chars = F.aggregate("s", F.lit(0), lambda n, x: n + F.when(x["p"], F.length(x["t"])).otherwise(0))
     return segs.select("doc_id", chars.cast("long").alias("protected_chars"), (F.array_join(F.transform("s", lambda x: x["t"]), "") == F.col("t")).alias("whole"))
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tasks(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
     kind, word, complexity = task_columns(F.col("t"), F.col("low"))
-    return prompts(spark, sf_dir).withColumn("low", F.lower("t")).select("doc_id", kind.alias("task"), word.alias("word"), complexity.alias("complexity"))
+    return prompts(spark, sf_dir, quotes).withColumn("low", F.lower("t")).select("doc_id", kind.alias("task"), word.alias("word"), complexity.alias("complexity"))
 
 
-def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = Stage(prompts(spark, sf_dir))
+def conflicts(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+    stage = Stage(prompts(spark, sf_dir, quotes))
     hits, pairs = conflict_columns(stage, F.col("t"))
     hits, pairs = stage.put(hits), stage.put(pairs)
     return stage.df.select("doc_id", F.size(F.map_keys(hits)).cast("long").alias("kinds"), F.array_join(pairs, "|").alias("conflicts"))
 
 
-def conflict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conflict_join(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
     """The same pairs by joining rows of (document, kind) with the table of pairs."""
-    stage = Stage(prompts(spark, sf_dir))
+    stage = Stage(prompts(spark, sf_dir, quotes))
     hits, _ = conflict_columns(stage, F.col("t"))
     hits = stage.put(hits)
     rows = stage.df.select("doc_id", F.explode(F.map_keys(hits)).alias("kind"))
@@ -197,23 +206,23 @@ def conflict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLAGSHIP = {"punctuationNormalizer": RuleConfig(), "sentenceBudget": RuleConfig(True, {"maxSentences": 5}), "lengthControl": RuleConfig(True, {"maxWords": 40})}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
     """Punctuation, sentence budget and word budget over all documents, with statistics."""
-    done = optimize(prompts(spark, sf_dir), FLAGSHIP, "t", record=False)
+    done = optimize(prompts(spark, sf_dir, quotes), FLAGSHIP, "t", record=False)
     return done.select("doc_id", "final_prompt", F.col("token_stats.original").cast("long").alias("original"), F.col("token_stats.final").cast("long").alias("final"), F.col("token_stats.compression_rate").alias("rate"))
 
 
-def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.by_group(optimize(prompts(spark, sf_dir), FLAGSHIP, "t", record=False), "source", "lang")
+def by_source(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+    return analytics.by_group(optimize(prompts(spark, sf_dir, quotes), FLAGSHIP, "t", record=False), "source", "lang")
 
 
-def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.rule_savings(optimize(prompts(spark, sf_dir), FLAGSHIP, "t"))
+def savings(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
+    return analytics.rule_savings(optimize(prompts(spark, sf_dir, quotes), FLAGSHIP, "t"))
 
 
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fifteen rules, with the record of each step."""
-    done = optimize(prompts(spark, sf_dir), ALL_ON, "t")
+    done = optimize(prompts(spark, sf_dir, quotes=True), ALL_ON, "t")
     return done.select("doc_id", "final_prompt", "token_stats.compression_rate", F.transform("steps", lambda s: F.struct(s["rule_name"], s["status"], s["tokens_saved"], s["changes"])).alias("steps"))
 
 
@@ -233,7 +242,7 @@ def blank_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sentence rule takes out of each prompt: chunks of the original that the result doesn't keep."""
-    stage = Stage(prompts(spark, sf_dir))
+    stage = Stage(prompts(spark, sf_dir, quotes=True))
     out, _ = BY_ID["duplicateSentenceRemover"].apply(stage, F.col("t"), Params())
     done = stage.df.select("doc_id", "t", out.alias("after"))
     rows = diff.before_after(done, "doc_id", "t", "after")
@@ -294,7 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_structure": _rule("structureMinimizer"),
     "rule_duplicate_sentences": _rule("duplicateSentenceRemover"),
     "rule_duplicate_sentences_last": _rule("duplicateSentenceRemover", keepFirst=False, caseInsensitive=False),
-    "rule_duplicate_phrases": _rule("duplicatePhraseReducer"),
+    "rule_duplicate_phrases": partial(_rule("duplicatePhraseReducer"), quotes=True),
     "rule_punctuation": _rule("punctuationNormalizer"),
     "rule_numbers": number_phrases,
     "rule_output_formats": _rule("outputFormatDeduplicator"),
@@ -315,6 +324,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rules_metadata": metadata,
     "prompt_templates": template_list,
 }
+#: Queries whose SQL takes out quotes; each is registered over the whole texts as well.
+UNQUOTED = (
+    "flagship_budget", "sentences", "protected_pieces", "rule_filler_low", "rule_filler_medium", "rule_filler_high", "rule_case", "rule_case_low_bar", "rule_task", "rule_semantic_low", "rule_semantic_high", "rule_structure",
+    "rule_duplicate_sentences", "rule_duplicate_sentences_last", "rule_punctuation", "rule_numbers", "rule_output_formats", "rule_constraints", "rule_conflicts", "rule_sentence_budget", "rule_length", "rule_format_control",
+    "savings_by_source", "savings_by_rule", "conflict_join",
+)
+QUERIES |= {f"whole_{name}": partial(QUERIES[name], quotes=True) for name in UNQUOTED}
 
 _tasks_word = "list_filter([" + ", ".join(f"{{'k': {_sql(k)}, 'w': {_sql(w)}}}" for k, ws in v.TASKS.items() for w in ws) + "], lambda x: contains(lower(t), x.w))"
 _hit = lambda k: f"len(list_filter(ss, lambda s: regexp_matches(s, {_re2(v.INSTRUCTIONS[k])}, 'i'))) > 0"

@@ -71,6 +71,48 @@ def test_rules_fire(spark, data):
             assert any(r["out"] != base[r["doc_id"]] for r in got), name
 
 
+QUOTED = (
+    'Look!! token = "go go!! in order to" and go go!!',
+    "He said 'wait wait!! then' and wait wait!!",
+    'Open "go go!! and never closed',
+    'Plain plain!! and `"x x!!` code',
+    'Both "it\'s it\'s `a!!` so" done!! Yes yes. "Yes." "Yes."',
+    None,
+)
+
+
+def test_whole_texts(spark, tmp_path):
+    """Queries over texts with quotes, held against the plain scanner."""
+    import re
+
+    from test_rules import _quotes
+
+    rows = [(9 * 7 * (k + 1), t, "en", "web", len(t or "")) for k, t in enumerate(QUOTED)]  # ids without phrases around
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name, column: {r["doc_id"]: r[column] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+
+    def outside(t, change):
+        flags = _quotes(t)
+        cuts = [0, *(i for i in range(1, len(t)) if flags[i] != flags[i - 1]), len(t)]
+        return "".join(t[a:b] if flags[a] else change(t[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
+
+    texts = {k: t or "" for k, t, *_ in rows}
+    assert got("whole_rule_punctuation", "out") == {k: outside(t, lambda x: re.sub("!{2,}", "!", x)) for k, t in texts.items()}
+    shown = {k: "Run `a.b` and `` then:\n```py\nx = 1\n``` " + t + " `end" for k, t in texts.items()}
+    assert got("whole_protected_pieces", "protected_chars") == {k: sum(_quotes(t)) for k, t in shown.items()}
+    assert got("whole_sentences", "sentences")[63].count('"') == 2
+    reduced = got("rule_duplicate_phrases", "out")
+    assert [reduced[k] for k in (63, 126)] == ['Look!! token = "go go!! in order to" and go!!', "He said 'wait wait!! then' and wait!!"]
+    assert '"go go!! in order to"' in got("all_rules", "final_prompt")[63]
+    assert queries.sentence_diff(spark, str(tmp_path)).where("doc_id = 315 and side = 'before'").first()["flagged"] == 0
+
+
+def test_whole_query_for_each_that_takes_out_quotes():
+    cut = {k for k, sql in queries.ORACLES.items() if "FROM prompts" in sql} | {"protected_pieces"}
+    assert cut == set(queries.UNQUOTED)
+    assert not any(f"whole_{k}" in queries.ORACLES for k in cut)
+
+
 def test_entry(spark, data):
     sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
     import __spark_entry__ as e
