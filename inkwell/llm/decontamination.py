@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import columns, map_rows, materialize
 
-#: Words of a seed.
+#: Words of a seed at most. Shorter items have shorter seeds, as an edited copy may leave no four words in a row.
 SEED = 4
+#: Seeds of so many words for items of fewer words than this.
+SHORT = ((20, 2), (50, 3))
 #: Alignments of windows that are remembered at once in a task: copies of a window cost one alignment.
 REMEMBERED = 20_000
 #: Words of test items that are held at once; larger benchmarks are searched in blocks.
@@ -62,7 +64,7 @@ class Index:
                 items.append((key, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found], np.int64)))
         by: dict[int, list[tuple[np.ndarray, int]]] = {}
         for place, (_, ids) in enumerate(items):
-            size = min(n, len(ids))  # a shorter item is one gram
+            size = min(n, len(ids), next((k for under, k in SHORT if len(ids) < under), n))  # a shorter item is one gram
             by.setdefault(size, []).append((gram_codes(ids, size), place))
         grams = {}
         for size, found in by.items():

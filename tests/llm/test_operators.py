@@ -134,6 +134,14 @@ def test_leaks_whatever_their_number(spark):
         assert {r["doc_id"] for r in leaks.collect()} == {*range(n), *range(1000, 1000 + n)}
 
 
+def test_leaks_without_four_words_in_a_row(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (15, 30, 49)]
+    edited = lambda t, step: " ".join("zz" if k % step == step - 1 else w for k, w in enumerate(t.split()))
+    rows = [(10 * n + step, f"before it {edited(t, step)} behind it") for n, t in items for step in (3, 4) if step == 4 or n < 20]
+    leaks = decontamination.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(k, k // 10) for k, _ in rows}
+
+
 def test_shared_words_bound_equal_ones():
     rng = np.random.default_rng(2)
     for _ in range(200):
