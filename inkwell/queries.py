@@ -97,7 +97,7 @@ NUMBERS = (
 def number_phrases(spark: SparkSession, sf_dir: str, quotes: bool = False) -> DataFrame:
     """The number rule on every whole text with a phrase behind it."""
     phrase = F.get(F.array(*(F.lit(a) for a, _ in NUMBERS)), (F.col("doc_id") % len(NUMBERS)).cast("int"))
-    stage = Stage(prompts(spark, sf_dir, quotes).select("doc_id", F.concat(F.regexp_replace("t", r"(?i)(?<![a-z])one(?![a-z])", "1"), F.lit(" | "), phrase).alias("t")))
+    stage = Stage(prompts(spark, sf_dir, quotes).select("doc_id", F.concat("t", F.lit(" | "), phrase).alias("t")))
     out, _ = BY_ID["numberNormalizer"].apply(stage, F.col("t"), Params())
     return stage.df.select("doc_id", out.alias("out"))
 

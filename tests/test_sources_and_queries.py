@@ -107,6 +107,13 @@ def test_whole_texts(spark, tmp_path):
     assert queries.sentence_diff(spark, str(tmp_path)).where("doc_id = 315 and side = 'before'").first()["flagged"] == 0
 
 
+def test_number_rule_converts_texts(spark, tmp_path):
+    """The rule itself meets the number words of the text: quoted ones stay, a row of them is one number."""
+    rows = [(63 * 5, 'Take one "one" and twenty one now', "en", "web", 33)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.QUERIES["whole_rule_numbers"](spark, str(tmp_path)).first()["out"] == 'Take 1 "one" and 21 now | 253 steps'
+
+
 def test_whole_query_for_each_that_takes_out_quotes():
     cut = {k for k, sql in queries.ORACLES.items() if "FROM prompts" in sql} | {"protected_pieces"}
     assert cut == set(queries.UNQUOTED)
