@@ -227,10 +227,10 @@ def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules on what users say."""
-    said = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    """All rules on every turn, whoever speaks."""
+    said = _table(spark, sf_dir, "conversations")
     done = optimize(said, ALL_ON | {"sentenceBudget": RuleConfig(True, {"maxSentences": 8}), "lengthControl": RuleConfig(True, {"maxWords": 200})}, record=False)
-    return done.select("conv_id", "turn", "final_prompt", F.col("token_stats.original").alias("original"), F.col("token_stats.final").alias("final"))
+    return done.select("conv_id", "turn", "role", "final_prompt", F.col("token_stats.original").alias("original"), F.col("token_stats.final").alias("final"))
 
 
 def blank_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:

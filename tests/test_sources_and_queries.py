@@ -114,6 +114,13 @@ def test_number_rule_converts_texts(spark, tmp_path):
     assert queries.QUERIES["whole_rule_numbers"](spark, str(tmp_path)).first()["out"] == 'Take 1 "one" and 21 now | 253 steps'
 
 
+def test_all_turns_go_through_the_rules(spark, tmp_path):
+    rows = [(1, 0, "system", "Wait!!"), (1, 1, "user", "Wait!!"), (1, 2, "assistant", "Wait!!"), (1, 3, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["turn"], r["role"], r["final_prompt"]) for r in queries.QUERIES["all_rules_conversations"](spark, str(tmp_path)).collect()}
+    assert {(a, b) for a, b, _ in got} == {(a, b) for _, a, b, _ in rows} and {c for _, b, c in got if b} == {"Wait!"}
+
+
 def test_whole_query_for_each_that_takes_out_quotes():
     cut = {k for k, sql in queries.ORACLES.items() if "FROM prompts" in sql} | {"protected_pieces"}
     assert cut == set(queries.UNQUOTED)
