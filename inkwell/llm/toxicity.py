@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import columns, crc_bucket, map_rows
 
-#: Labelled rows of each class at most, from which offending parts of words are learned, and texts of each class for the field.
+#: Labelled rows of each class at most, from which offending parts of words are learned, and first texts of each class for the field, which
+#: also learns from as many further toxic ones as it takes to hold every offending part.
 SAMPLE = 1500
 FIELD_TEXTS = 300
 #: Hashed features, and how many a word has. Beginnings of words by number of characters.
@@ -195,11 +196,24 @@ def calibrate(model: Field, marginals: list[np.ndarray], toxic: np.ndarray, prio
     model.document = beta
 
 
-def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Field:
+def field_rows(texts: list[list[bytes]], toxic: np.ndarray, y: int, offending: set[bytes], least: int) -> list[int]:
+    """Places of the class's first texts, and of each later toxic one with an offending part that is in none before."""
+    out: list[int] = []
+    seen: set[bytes] = set()
+    for i in np.flatnonzero(toxic == y):
+        new = {p for w in set(texts[i]) for p in parts(normal(w))} & offending - seen if y else set()
+        if len(out) < least or new:
+            out.append(int(i))
+            seen |= new
+    return out
+
+
+def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, field_texts: int = FIELD_TEXTS) -> Field:
     """A field from the labelled rows of df whose label row satisfies learn (an expression on doc_id).
 
     Ids are drawn from the labels by hash, at most `sample` of each class, so the ids broadcast to the documents and
-    the texts that reach the driver are bounded by that parameter.
+    the texts that reach the driver are bounded by that parameter. The field is fitted to `field_texts` of each class
+    and to every further toxic text that holds an offending part which those before it don't.
     """
     known = columns(labels, doc_id=id_col, toxic=label_col).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(learn).distinct()
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -216,7 +230,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     offending = offending_parts(texts, toxic)
     bad = {w: not offending.isdisjoint(parts(normal(w))) for words, y in zip(texts, toxic, strict=True) if y for w in words}
     marked = [np.array([int(y and bad[w]) for w in words], dtype=int) for words, y in zip(texts, toxic, strict=True)]
-    first = [int(i) for y in (1, 0) for i in np.flatnonzero(toxic == y)[:FIELD_TEXTS]]
+    first = [int(i) for y in (1, 0) for i in field_rows(texts, toxic, y, offending, field_texts)]
     model = fit_field([texts[i] for i in first], [marked[i] for i in first])
     calibrate(model, model.marginals(texts), toxic, prior)
     return model

@@ -517,6 +517,15 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in one} == {0}
 
 
+def test_field_meets_every_offending_part(spark):
+    rows = [(k, f"tree river {'grubface' if k < 30 else 'snotling' if k < 45 else 'stone'} cloud") for k in range(245)]
+    table = spark.createDataFrame([(k, int(k < 45)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), table, F.lit(True), field_texts=1)
+    assert all(model.weights[toxicity.slots(w)].sum() > 0 for w in (b"grubface", b"snotling"))
+    texts = [b"a x".split(), b"b x".split(), b"a y".split(), b"a z".split()]
+    assert toxicity.field_rows(texts, np.array([1, 0, 1, 1]), 1, {b"wa", b"wz"}, 1) == [0, 3]
+
+
 def test_chains_against_enumeration():
     rng = np.random.default_rng(12)
     for _ in range(20):
