@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import threading
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,14 +29,45 @@ def lower_ascii(text: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session names none."""
+    """The folder that the driver and all executors share, as the session names it.
+
+    On a single machine without one, a folder of that machine serves and is set in the session; a cluster has to name
+    its own, as its machines don't see one another's disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file:///tmp/inkwell-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{Path(tempfile.gettempdir(), 'inkwell-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_lock = threading.Lock()
+_writers: dict[str, int] = {}
+_before: dict[str, str] = {}
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """While any thread of the session writes a table, a query's shuffle files go at its end; then the setting is as before."""
+    key = str(spark._jsparkSession.hashCode())
+    with _lock:
+        _writers[key] = _writers.get(key, 0) + 1
+        if _writers[key] == 1:
+            _before[key] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers[key] -= 1
+            if not _writers[key]:
+                spark.conf.set(_CLEANUP, _before.pop(key))
+                del _writers[key]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
@@ -40,15 +76,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    if (written := _written.get()) is not None:
+        written.append(path)
+    with _shuffle_files_go(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables written inside go at the end, but for those that the given function is called with.
+
+    keep(*frames): the frames' files stay, as what is returned reads them.
+    """
+    written: list[str] = []
+    kept: set[str] = set()
+    token = _written.set(written)
+
+    def keep(*frames: DataFrame) -> None:
+        files = [f for df in frames for f in df.inputFiles()]
+        kept.update(p for p in written if any(f"/{p.rpartition('/')[2]}/" in f for f in files))
+
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        if (outer := _written.get()) is not None:
+            outer.extend(p for p in written if p in kept)
+        for path in written:
+            if path not in kept:
+                drop_table(spark, path)
+
+
 def reachable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package; a cluster has it installed or gets it by --py-files."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
@@ -59,6 +123,18 @@ def columns(df: DataFrame, **names: str | Column) -> DataFrame:
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in names.items()))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_rows(df: DataFrame, one_batch: Callable, schema: str | StructType, rows: int = 1000) -> DataFrame:
     """Arrow batches through one_batch(dict of lists) -> dict of lists, in schema's order; so many rows at a time."""
     import pyarrow as pa

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows, materialize
+from .common import columns, fresh, map_rows, materialize
 
 #: Words of a seed at most. Shorter items have shorter seeds, as an edited copy may leave no four words in a row.
 SEED = 4
@@ -221,6 +221,10 @@ def _leaks_of(docs: DataFrame, index: Index, least: float, least_words: int) ->
 
 
 def drop_leaks(df: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that hold no leak, all columns as they are. Keys are a written table, joined by its size."""
-    keys = materialize(leaks.select(F.col("doc_key").alias("_key")).distinct(), "leaks")
-    return df.withColumn("_key", key_of(id_col, text_col)).join(keys, "_key", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    """The rows of df that hold no leak, all columns as they are. Keys are a written table, joined by its size.
+
+    Rows are told apart by id and text. Empty tables on either side do no harm, and columns of any name are left alone.
+    """
+    (key,) = fresh(df, "key")
+    keys = materialize(leaks.select(F.col("doc_key").alias(key)).distinct(), "leaks")
+    return df.withColumn(key, key_of(id_col, text_col)).join(keys, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

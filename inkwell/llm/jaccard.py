@@ -1,12 +1,14 @@
 """N-gram Jaccard join over a count-vector R-tree, exact, and the groups that its links form.
 
 A document's set holds the hashes of its distinct word shingles. Two sets of n and m shingles with a similarity of at
-least s differ in at most (n + m)(1 - s) / (1 + s) shingles. So if the hash space is cut into one group more than
-that, some group of both holds exactly the same shingles: documents that agree in a whole group are candidates, and
-no link is lost. Chains of candidates are coarse families; within a family the counts of each document's shingles in
-fixed groups are points of an R-tree, the summed coordinate minima bound the overlap from above, and pairs that survive
-the bound are compared. A pair whose ends are known to be connected adds nothing to the groups and is passed over,
-so that a family of thousands of copies needs few comparisons.
+least s differ in at most (n + m)(1 - s) / (1 + s) shingles. So if the hash space is cut into more groups than that,
+some group of both holds exactly the same shingles: documents that agree in a whole group are candidates, and no link
+is lost. The same holds for the rare shingles alone, so most documents sign for these only, and a passage that very
+many documents share makes no candidates of them. Chains of candidates are coarse families; within a family the counts
+of each document's shingles in groups, the more groups the larger its set, are points of an R-tree, the summed
+coordinate minima bound the overlap from above, and pairs that survive the bound are compared. A pair whose ends are
+known to be connected adds nothing to the groups and is passed over, so that a family of thousands of copies needs few
+comparisons.
 """
 
 from __future__ import annotations
@@ -15,19 +17,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows, materialize, reachable
+from .common import columns, map_rows, materialize, reachable, scratch
 from .components import connected
 
 WIDTH = 3
 LEVEL = (90, 100)
-#: Texts of a family that meet in one task; larger families are cut into tiles of this size.
-TILE = 128
+#: Texts of a family that meet in one task; larger families are cut into tiles of this size. Texts of finer families.
+TILE = 64
+BLOCK = 128
+#: Least number of groups of a count vector.
 DIMENSIONS = 64
 #: Texts on either side of a block in which only counts are compared.
 POINTS = 2048
 FANOUT = 8
-#: Bounds of the size classes grow by this ratio.
-_RATIO = 1.4
+#: Cells of the sketch that tells common shingles, and bytes of signatures that meet in a task.
+CELLS = 1 << 18
+MEET_BYTES = 8 << 20
+#: Documents with this share of rare shingles sign for these alone.
+RARE = 0.7
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,7 +89,7 @@ def linked(a: np.ndarray, b: np.ndarray, level: tuple[int, int]) -> bool:
 
 
 class Classes:
-    """Size classes [start, end) and the number of groups in each, for a similarity level."""
+    """Size classes [start, next start) of the smaller set of a pair, and the number of groups in each, for a similarity level."""
 
     def __init__(self, level: tuple[int, int]) -> None:
         num, den = level
@@ -90,55 +97,106 @@ class Classes:
         # Smaller sets that differ at all are below the level.
         start = max(1, -(-num // (den - num))) if num < den else 1 << 62
         while start < 1 << 40:
-            end = max(start + 1, int(start * max(_RATIO, 1.01 * den / num)))
-            most = 2 * (end - 1) * (den - num) // (den + num)
-            slack = (most + 1) // 16
+            end = max(start + 1, start * den // num)
+            most = (end - 1 + (end - 1) * den // num) * (den - num) // (den + num)
+            slack = (most + 1) // 3 + 1
             self.starts.append(start)
             self.slack.append(slack)
             self.groups.append(most + 1 + slack)
             start = end
 
-    def of(self, n: int) -> list[int]:
-        """The classes that a set of n signs for: its own, and the next if a larger partner may be in it."""
-        k = int(np.searchsorted(self.starts, n, "right")) - 1
-        if k < 0:
-            return [0] if self.starts and n * self.level[1] >= self.starts[0] * self.level[0] else []
-        up = k + 1 < len(self.starts) and n * self.level[1] >= self.starts[k + 1] * self.level[0]
-        return [k, k + 1] if up else [k]
+    def of(self, n: int) -> range:
+        """The classes that a set of n signs for: its own, and those of its smallest partners."""
+        own = int(np.searchsorted(self.starts, n, "right")) - 1
+        least = int(np.searchsorted(self.starts, -(-n * self.level[0] // self.level[1]), "right")) - 1
+        return range(max(0, least), own + 1)
 
-    def signatures(self, items: np.ndarray) -> np.ndarray:
+    def signatures(self, items: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
         """A hash of the content of each group, for each class. Of two linked sets at least one is the same.
 
-        Linked sets share slack + 1 groups or more, so a set with at most slack empty groups need not sign for empty
-        ones: then a shared group that is not empty remains. Only sets with more sign for them.
+        common: marks cells of the hash space that hold common shingles. Linked sets lack at most 1 - s of one
+        another, so where one has a share of RARE rare shingles or more, the other has (RARE - (1 - s)) s or more. Sets
+        between these bounds sign for their rare shingles and for all, so that any two linked sets do one of the two.
         """
+        s = self.level[0] / self.level[1]
+        rare = items if common is None else items[~common[cell_of(items, common.size)]]
+        out = []
+        if rare.size < RARE * items.size:
+            out.append(self._signed(items, items.size, 1))
+        if rare.size >= (RARE - (1 - s)) * s * items.size - 1e-6:
+            out.append(self._signed(rare, items.size, 0))
+        return np.concatenate(out)
+
+    def _signed(self, items: np.ndarray, n: int, kind: int) -> np.ndarray:
+        """Linked sets share slack + 1 groups or more, so a set with at most slack empty groups need not sign for empty
+        ones: then a shared group that is not empty remains. Only sets with more sign for them."""
         out = []
         spread = mix(items ^ _P)
         # Groups are ranges of the hash space, so sorted items are in order of their groups.
         top = (items >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        for k in self.of(items.size):
+        for k in self.of(n):
             groups = self.groups[k]
             member = np.minimum((top * groups).astype(np.int64), groups - 1)
-            first = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])
-            sums, which = np.add.reduceat(spread, first), member[first].astype(np.uint64)
+            first = np.flatnonzero(np.diff(member, prepend=-1))
+            sums, which = (np.add.reduceat(spread, first) if first.size else spread), member[first].astype(np.uint64)
             if groups - first.size > self.slack[k]:
                 empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), which)
                 sums, which = np.r_[sums, np.zeros(empty.size, np.uint64)], np.r_[which, empty]
-            out.append(mix(sums + mix(which * _P + np.uint64(k))))
+            out.append(mix(sums + mix(which * _P + np.uint64(2 * k + kind))))
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def cell_of(items: np.ndarray, cells: int) -> np.ndarray:
+    """The sketch's cell of each shingle (cells is a power of two), by bits that groups don't begin with."""
+    return ((items >> np.uint64(16)) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def dimensions(n: int) -> int:
+    """Groups of the count vector of a set of n: a power of two, two to four shingles a group."""
+    return max(DIMENSIONS, 1 << max(0, int(n).bit_length() - 2))
+
+
+def counts(items: np.ndarray, groups: int) -> np.ndarray:
+    """How many of the set's shingles fall into each group, by bits that grouping for signatures doesn't use first."""
+    return np.bincount((items & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    """Count vectors of more groups as those of fewer."""
+    return vectors.reshape(*vectors.shape[:-1], -1, groups).sum(axis=-2)
+
+
 class CountTree:
-    """An R-tree over count vectors, packed bottom up; nodes keep coordinate maxima and least sizes."""
+    """An R-tree over count vectors, packed top down: each node is halved along the coordinate that varies most.
+
+    Nodes keep coordinate maxima, and least and largest sizes.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        self.order = np.lexsort((*points.T[::-1][-2:], sizes))
+        self.order = self._packed(points, sizes)
         self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
         while self.levels[-1][0].shape[0] > FANOUT:
             high, least, most = self.levels[-1]
             at = np.arange(0, high.shape[0], FANOUT)
             self.levels.append((np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
+    @staticmethod
+    def _packed(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places in the order of their leaves: parts are multiples of FANOUT, halved until they fill one leaf."""
+        leaves: list[np.ndarray] = []
+        todo = [np.arange(len(sizes))]
+        while todo:
+            part = todo.pop()
+            if part.size <= FANOUT:
+                leaves.append(part)
+                continue
+            own = sizes[part]
+            by = own if own.max() * 4 > own.min() * 5 else points[part, int(np.argmax(np.ptp(points[part], axis=0)))]
+            half = (-(-part.size // FANOUT) + 1) // 2 * FANOUT
+            split = np.argpartition(by, half - 1) if half < part.size else np.arange(part.size)
+            todo += [part[split[half:]], part[split[:half]]]
+        return np.concatenate(leaves) if leaves else np.empty(0, np.int64)
+
     def search(self, point: np.ndarray, size: int, level: tuple[int, int]) -> np.ndarray:
         """Places of the points whose summed minima allow the level."""
         num, den = level
@@ -155,9 +213,27 @@ class CountTree:
         return self.order[at]
 
 
-def counts(items: np.ndarray) -> np.ndarray:
-    """How many of the set's shingles fall into each fixed group (by bits that grouping for signatures doesn't use first)."""
-    return np.bincount((items & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
+class Forest:
+    """Count trees, one for each number of groups, searched with vectors of any number."""
+
+    def __init__(self, vectors: list[np.ndarray], sizes: list[int]) -> None:
+        self.by: dict[int, list[int]] = {}
+        for k, v in enumerate(vectors):
+            self.by.setdefault(v.size, []).append(k)
+        self.vectors, self.sizes = vectors, np.array(sizes)
+        self.trees: dict[tuple[int, int], CountTree] = {}
+
+    def search(self, vector: np.ndarray, size: int, level: tuple[int, int]) -> np.ndarray:
+        found = []
+        for groups, places in self.by.items():
+            low = min(groups, vector.size)
+            # Sizes of linked sets differ by at most the level, and so do their numbers of groups.
+            if self.sizes[places].max() * level[1] < size * level[0] or self.sizes[places].min() * level[0] > size * level[1]:
+                continue
+            if (groups, low) not in self.trees:
+                self.trees[groups, low] = CountTree(folded(np.stack([self.vectors[k] for k in places]).astype(np.int64), low), self.sizes[places])
+            found.append(np.array(places)[self.trees[groups, low].search(folded(vector.astype(np.int64), low), size, level)])
+        return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 def link_groups(sets: list[np.ndarray], labels: list[int], asks: list[int], level: tuple[int, int]) -> list[tuple[int, int]]:
@@ -170,8 +246,8 @@ def link_groups(sets: list[np.ndarray], labels: list[int], asks: list[int], leve
             x = parent[x]
         return x
 
-    points, sizes = np.stack([counts(s) for s in sets]), np.array([s.size for s in sets])
-    tree, out, done = CountTree(points, sizes), [], np.zeros(len(sets), bool)
+    points = [counts(s, dimensions(s.size)) for s in sets]
+    tree, out, done = Forest(points, [s.size for s in sets]), [], np.zeros(len(sets), bool)
     for i in asks:
         done[i] = True
         near = tree.search(points[i], sets[i].size, level)
@@ -184,64 +260,112 @@ def link_groups(sets: list[np.ndarray], labels: list[int], asks: list[int], leve
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, node: the size and the hash of each row's set."""
+    """doc_id, key, n, node: the size and the hash of each row's set; and rows of cell, times: the sketch of each task.
 
-    def batch(rows: dict) -> dict:
-        hashes = WordHashes()
-        sets = [shingles(t, width, hashes) for t in rows["text"]]
-        return {"doc_id": rows["doc_id"], "key": rows["key"], "n": [s.size for s in sets], "node": [fingerprint(s) if s.size else None for s in sets]}
+    A cell's times are the shingles of all documents that fall into it. One pass gives both, so one table holds both.
+    """
 
-    return map_rows(df, batch, "doc_id long, key long, n long, node long")
+    def sets(batches):
+        import pyarrow as pa
+
+        times = np.zeros(CELLS, np.int64)
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                found = [shingles(t, width, hashes) for t in rows.column("text").to_pylist()]
+                for s in found:
+                    times += np.bincount(cell_of(s, CELLS), minlength=CELLS) if s.size > CELLS // 8 else 0
+                small = [s for s in found if 0 < s.size <= CELLS // 8]
+                if small:
+                    times += np.bincount(cell_of(np.concatenate(small), CELLS), minlength=CELLS)
+                nothing = pa.nulls(len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id").cast(pa.int64()), rows.column("key"), pa.array([s.size for s in found], pa.int64()), pa.array([fingerprint(s) if s.size else None for s in found], pa.int64()), nothing.cast(pa.int32()), nothing],
+                    names=["doc_id", "key", "n", "node", "cell", "times"],
+                )
+        at = np.flatnonzero(times)
+        nothing = pa.nulls(at.size, pa.int64())
+        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(at, pa.int32()), pa.array(times[at], pa.int64())], names=["doc_id", "key", "n", "node", "cell", "times"])
+
+    return df.mapInArrow(sets, "doc_id long, key long, n long, node long, cell int, times long")
+
+
+def _common(table: DataFrame) -> np.ndarray:
+    """Which cells hold shingles far more frequent than chance lets cells be: ten standard deviations above the mean.
+
+    Counts over all documents; what reaches the driver is a number a cell. Any answer gives the same links: it only
+    decides which documents are held against one another.
+    """
+    sums = table.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(CELLS, np.int64)
+    times[sums.column("cell").to_numpy()] = sums.column("times").to_numpy()
+    mean = times.sum() / CELLS
+    return times > mean + 10 * np.sqrt(mean) + 10
 
 
-def _candidates(df: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
+def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.ndarray, shingled: int) -> DataFrame:
     """a, b: edges that connect all nodes which share a signature.
 
     A batch joins its own nodes of a signature to the least of them and sends on that one alone, packed with others
-    into one value for each bucket of the hash space. So a signature that very many share costs one entry a batch.
+    into one value for each bucket of the hash space: signatures, places in a list of nodes, and that list. So a
+    signature that very many share costs one entry a batch. Buckets are as many as the corpus' shingles ask for, so
+    that what meets in a task stays as large whatever the corpus.
     """
-    buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    num, den = level
+    signed = shingled * 2.6 * (den - num) / num  # signatures of the corpus, about; ten bytes each
+    buckets = max(16, int(signed * 10 / MEET_BYTES))
+    packed = np.packbits(common).tobytes()
 
     def batch(rows: dict) -> dict:
         hashes, classes = WordHashes(), Classes(level)
+        marks = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         nodes: dict[int, np.ndarray] = {}
         for text in rows["text"]:
             items = shingles(text, width, hashes)
             if items.size and (node := fingerprint(items)) not in nodes:
-                nodes[node] = classes.signatures(items)
-        out = {"bucket": [], "entries": [], "edges": []}
+                nodes[node] = classes.signatures(items, marks)
+        out = {"bucket": [], "signatures": [], "places": [], "nodes": [], "edges": []}
         if not nodes:
             return out
-        sig = np.concatenate(list(nodes.values()))
-        own = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), [len(s) for s in nodes.values()])
+        names = np.sort(np.fromiter(nodes, np.int64, len(nodes)))
+        sig = np.concatenate([nodes[n] for n in names.tolist()])
+        own = np.repeat(np.arange(names.size), [nodes[n].size for n in names.tolist()])
         (a, b), sig, low = _stars(sig, own)
         where = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with sig
-        ends = np.searchsorted(where, np.arange(buckets + 1))
-        for k in np.flatnonzero(ends[1:] > ends[:-1]):
-            part = slice(ends[k], ends[k + 1])
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        for k, start, end in zip(where[first], first, np.r_[first[1:], where.size], strict=True):
+            part = slice(start, end)
+            there, place = np.unique(low[part], return_inverse=True)
             out["bucket"].append(int(k))
-            out["entries"].append(sig[part].tobytes() + low[part].tobytes())
+            # The bucket says the first bits: six bytes tell signatures apart.
+            out["signatures"].append(sig[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            out["places"].append(place.astype(np.uint16).tobytes())
+            out["nodes"].append(names[there].tobytes())
             out["edges"].append(b"")
         if a.size:  # edges found here travel along, to any bucket
-            out["bucket"].append(int(a[0] % buckets))
-            out["entries"].append(b"")
-            out["edges"].append(a.tobytes() + b.tobytes())
+            out["bucket"].append(int(names[a[0]] % buckets))
+            for column in ("signatures", "places", "nodes"):
+                out[column].append(b"")
+            out["edges"].append(names[a].tobytes() + names[b].tobytes())
         return out
 
     def meet(table):
         import pyarrow as pa
 
-        def halves(column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
-            raws = [r for r in table.column(column).to_pylist() if r]
-            left = [np.frombuffer(r, kind, len(r) // 16) for r in raws]
-            right = [np.frombuffer(r, np.int64, len(r) // 16, len(r) // 2) for r in raws]
-            return np.concatenate([*left, np.empty(0, kind)]), np.concatenate([*right, np.empty(0, np.int64)])
-
-        (a, b), _, _ = _stars(*halves("entries", np.uint64))
-        c, d = halves("edges", np.int64)
+        sigs, owns, ends = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty((2, 0), np.int64)]
+        for s, p, n, e in zip(*(table.column(c).to_pylist() for c in ("signatures", "places", "nodes", "edges")), strict=True):
+            whole = np.zeros((len(s) // 6, 8), np.uint8)
+            whole[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
+            sigs.append(whole.view(np.uint64).ravel())
+            owns.append(np.frombuffer(n, np.int64)[np.frombuffer(p, np.uint16)])
+            ends.append(np.frombuffer(e, np.int64).reshape(2, -1))
+        (a, b), _, _ = _stars(np.concatenate(sigs), np.concatenate(owns))
+        c, d = np.concatenate(ends, axis=1)
         return pa.table({"a": pa.array(np.r_[a, c], pa.int64()), "b": pa.array(np.r_[b, d], pa.int64())})
 
-    return map_rows(df, batch, "bucket int, entries binary, edges binary", 10_000).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    sent = map_rows(df.select("text"), batch, "bucket int, signatures binary, places binary, nodes binary, edges binary", 10_000)
+    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def _stars(sig: np.ndarray, own: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
@@ -266,7 +390,7 @@ def _linked_edges(members: DataFrame, width: int, level: tuple[int, int]) -> Dat
         for node, label, ask, text in zip(*(table.column(c).to_pylist() for c in ("node", "label", "asks", "text")), strict=True):
             if node not in sets:
                 items = shingles(text, width, hashes)
-                if not items.size or fingerprint(items) != node:  # another row of the same id
+                if not items.size or fingerprint(items) != node:  # another row of the same key
                     continue
                 sets[node], labels[node] = items, label
             if ask:
@@ -279,23 +403,14 @@ def _linked_edges(members: DataFrame, width: int, level: tuple[int, int]) -> Dat
     return members.groupBy("family", "tile", "part").applyInArrow(work, "a long, b long")
 
 
-def _possible(members: DataFrame, labelled: DataFrame, outside: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
+def _possible(points: DataFrame, labelled: DataFrame, outside: DataFrame, level: tuple[int, int]) -> DataFrame:
     """node, close: finer families, connected by pairs of an outsider and a text of another component that the bound allows.
 
-    Only counts travel, 256 bytes a text, so blocks may be POINTS wide; a block names only pairs that connect what it
-    has not connected yet. Documents that share a passage, and so a signature, but little else end here: their texts
-    are not copied, and families that met by such documents part again.
+    points: node, size, counts. Only counts travel, about a byte a shingle, so blocks may be POINTS wide; a block names
+    only pairs that connect what it has not connected yet. Documents that share a passage, and so a signature, but
+    little else end here: their texts are not copied, and families that met by such documents part again.
     """
 
-    def point(rows: dict) -> dict:
-        hashes = WordHashes()
-        sets = [shingles(t, width, hashes) for t in rows["text"]]
-        right = [bool(s.size) and fingerprint(s) == n for s, n in zip(sets, rows["node"], strict=True)]
-        keep = [(n, s) for n, s, ok in zip(rows["node"], sets, right, strict=True) if ok]
-        return {"node": [n for n, _ in keep], "size": [s.size for _, s in keep], "counts": [counts(s).astype(np.uint32).tobytes() for _, s in keep]}
-
-    points = map_rows(members.where("tiles > 1").select("node", "text"), point, "node long, size long, counts binary").dropDuplicates(["node"])
-    points = materialize(points, "points")
     many = lambda df, name: df.groupBy("family").agg(F.ceil(F.count("*") / POINTS).cast("int").alias(name))
     wide = materialize(many(labelled, "columns").join(many(outside, "rows"), "family"), "grid")
     spot = lambda seed, of: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of)).cast("int")
@@ -318,11 +433,10 @@ def _possible(members: DataFrame, labelled: DataFrame, outside: DataFrame, width
 
         edges = []
         if held and seek:
-            vectors = np.frombuffer(b"".join(r["counts"] for r in held), np.uint32).reshape(-1, DIMENSIONS).astype(np.int64)
             labels = np.array([r["label"] for r in held])
-            tree = CountTree(vectors, np.array([r["size"] for r in held]))
+            tree = Forest([np.frombuffer(r["counts"], np.uint16) for r in held], [r["size"] for r in held])
             for r in seek:
-                near = tree.search(np.frombuffer(r["counts"], np.uint32).astype(np.int64), r["size"], level)
+                near = tree.search(np.frombuffer(r["counts"], np.uint16), r["size"], level)
                 for k in near[labels[near] != r["label"]]:
                     x, y = root(r["node"]), root(held[k]["node"])
                     if x != y:
@@ -335,62 +449,105 @@ def _possible(members: DataFrame, labelled: DataFrame, outside: DataFrame, width
     return connected(edges).withColumnRenamed("component", "close")
 
 
+def _members(docs: DataFrame, carriers: DataFrame, width: int) -> DataFrame:
+    """family, tile, tiles, node, text: one row a node, or a few of them where rows are equal in id and text; with size and counts in large families.
+
+    Rows meet their key by a sort-merge join, so equal rows stand beside one another and all but the first of a batch
+    go before texts are dealt out.
+    """
+
+    def batch(rows: dict) -> dict:
+        hashes = WordHashes()
+        out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
+        seen = set()
+        for family, tile, tiles, node, text in zip(*(rows[c] for c in ("family", "tile", "tiles", "node", "text")), strict=True):
+            if (node, text) in seen:
+                continue
+            seen.add((node, text))
+            items = shingles(text, width, hashes) if tiles > 1 else None
+            if items is not None and (not items.size or fingerprint(items) != node):  # another row of the same key
+                continue
+            vector = None if items is None else counts(items, dimensions(items.size)).astype(np.uint16).tobytes()
+            for column, value in zip(out, (family, tile, tiles, node, text, None if items is None else items.size, vector), strict=True):
+                out[column].append(value)
+        return out
+
+    schema = "family long, tile int, tiles int, node long, text string, size long, counts binary"
+    joined = docs.select("key", "text").join(carriers.hint("merge"), "key").select("family", "tile", "tiles", "node", "text")
+    return map_rows(joined, batch, schema)
+
+
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, level: tuple[int, int] = LEVEL) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest id that it reaches by links, itself included.
 
     Rows link if level[1] * intersection >= level[0] * union of their sets. Null and blank texts have an empty set and
     link with nothing; a text of fewer words than width is one shingle. Equal sets are one node, so exact copies and
-    repeated rows cost a hash each. Null ids are passed over by the minimum unless a group has no other.
+    repeated rows cost a hash each. Ids may be null or repeated, whatever the texts; null ids are passed over by the
+    minimum unless a group has no other. An empty table gives no rows; other columns don't matter.
 
     Families of more than TILE distinct texts are cut into tiles by hash. Each tile is joined with itself and with the
     family's first. What then stands outside the family's largest component is held against the whole family in blocks
-    of counts; texts that the bound allows to link form finer families, which are compared tile by tile.
-    Work on a family whose members link with one another is so proportional to its size.
+    of counts; texts that the bound allows to link form finer families, which are compared block by block.
+    Work on a family whose members link with one another is so proportional to its size. Tables written on the way go
+    at the end, but for the two that the result reads.
     """
-    reachable(df.sparkSession)
-    docs = columns(df, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id"))
-    sets = materialize(_sets(docs, width), "sets")
-    coarse = connected(_candidates(docs, width, level))
-    coarse = materialize(coarse.select("node", F.col("component").alias("family")), "families")
-    sizes = coarse.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    sizes = materialize(sizes, "tiles")
-    # One row a node before the join: exact copies have met by partial sums.
-    carriers = sets.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(coarse, "node")
-    tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
-    carriers = materialize(carriers.join(sizes, "family").withColumn("tile", tile), "carriers")
-    # Dealt by key at every size: only families travel on, but which these are is known too late to be read first.
-    members = materialize(docs.select("key", "text").join(carriers.hint("merge"), "key"), "members")
+    spark = df.sparkSession
+    reachable(spark)
+    docs = columns(df, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    with scratch(spark) as keep:
+        whole = materialize(_sets(docs, width), "sets")
+        sets = whole.where("n is not null").drop("cell", "times")
+        shingled = sets.agg(F.sum("n")).first()[0] or 0
+        coarse = connected(_candidates(docs, width, level, _common(whole), shingled))
+        coarse = materialize(coarse.select("node", F.col("component").alias("family")), "families")
+        sizes = coarse.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+        sizes = materialize(sizes, "tiles")
+        # One row a node before the join: exact copies have met by partial sums.
+        carriers = sets.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(coarse, "node")
+        tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
+        carriers = materialize(carriers.join(sizes, "family").withColumn("tile", tile), "carriers")
+        # Dealt by key at every size: only families travel on, but which these are is known too late to be read first.
+        members = materialize(_members(docs, carriers, width), "members")
+        groups = _verified(members, carriers, width, level)
+        lone = F.xxhash64(F.lit("empty"), F.col("key"))
+        rooted = sets.join(groups, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(lone).alias("root"))
+        rooted = materialize(rooted, "rooted")
+        least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
+        least = materialize(least, "least")
+        named = rooted.join(least, "root", "left")
+        keep(rooted, least)
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _verified(members: DataFrame, carriers: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
+    """node, component by the links of all families."""
     spread = F.when((F.col("tile") == 0) & (F.col("tiles") > 1), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
     own = members.select("family", F.explode(spread).alias("tile"), F.lit(0).alias("part"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "text")
     links = materialize(_linked_edges(own, width, level), "links")
     groups = materialize(connected(links), "groups")
     wide = carriers.where("tiles > 1")
-    if not wide.isEmpty():
-        labelled = wide.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        labelled = materialize(labelled, "labelled")
-        largest = labelled.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        largest = materialize(largest, "largest")
-        outside = materialize(labelled.join(largest, "family").where("label <> main").drop("main"), "outside")
-        if not outside.isEmpty():
-            close = materialize(_possible(members, labelled, outside, width, level), "close")
-            finer = lambda df: df.drop("family").join(close, "node").withColumnRenamed("close", "family")
-            outside, labelled = materialize(finer(outside), "outside"), materialize(finer(labelled), "labelled")
-            many = lambda df, name: df.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
-            parts = materialize(many(outside, "parts").join(many(labelled, "columns"), "family"), "parts")
-            part, column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("columns")).cast("int")
-            asking = outside.join(parts, "family").select("family", "node", "label", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("tile"), part.alias("part"), F.lit(True).alias("asks"))
-            asked = labelled.join(parts, "family").select("family", "node", "label", column.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
-            blocks = asking.unionByName(asked)
-            rest = blocks.join(members.where("tiles > 1").select("node", "text").hint("merge"), "node")
-            links = links.unionByName(materialize(_linked_edges(rest, width, level), "links"))
-            groups = materialize(connected(links), "groups")
-    lone = F.xxhash64(F.lit("empty"), F.col("key"))
-    rooted = sets.join(groups, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(lone).alias("root"))
-    rooted = materialize(rooted, "rooted")
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
-    least = materialize(least, "least")
-    named = rooted.join(least, "root", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    if wide.isEmpty():
+        return groups
+    labelled = wide.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = materialize(labelled, "labelled")
+    largest = labelled.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    largest = materialize(largest, "largest")
+    outside = materialize(labelled.join(largest, "family").where("label <> main").drop("main"), "outside")
+    if outside.isEmpty():
+        return groups
+    points = materialize(members.where("tiles > 1").select("node", "size", "counts").dropDuplicates(["node"]), "points")
+    close = materialize(_possible(points, labelled, outside, level), "close")
+    finer = lambda df: df.drop("family").join(close, "node").withColumnRenamed("close", "family")
+    outside, labelled = materialize(finer(outside), "outside"), materialize(finer(labelled), "labelled")
+    many = lambda df, name: df.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    parts = materialize(many(outside, "parts").join(many(labelled, "columns"), "family"), "parts")
+    part, column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("columns")).cast("int")
+    asking = outside.join(parts, "family").select("family", "node", "label", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("tile"), part.alias("part"), F.lit(True).alias("asks"))
+    asked = labelled.join(parts, "family").select("family", "node", "label", column.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+    blocks = asking.unionByName(asked)
+    rest = blocks.join(members.where("tiles > 1").select("node", "text").hint("merge"), "node")
+    links = links.unionByName(materialize(_linked_edges(rest, width, level), "links"))
+    return materialize(connected(links), "groups")
 
 
 #: DuckDB: shingles as text, all pairs that share one, and reachability by recursion.

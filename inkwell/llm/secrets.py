@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows, materialize
+from .common import columns, fresh, map_rows, materialize
 
 #: The contract's base kinds, in its order: pattern, group whose length counts, least length.
 BASE_RULES = {
@@ -112,27 +112,28 @@ def redact(df: DataFrame, findings: DataFrame, path_col: str = "doc_id", text_co
     """df with each finding of its blob replaced by ``[kind]`` (overlaps once, by the first); other columns stay.
 
     Texts and findings meet by content address, dealt alike at every size; Spark splits an address that many share.
+    Null texts stay null, empty tables on either side do no harm, and columns of any name are left alone.
     """
     names = df.columns
-    hits = findings.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")).dropDuplicates(["_blob"])
+    blob, spans, done = fresh(df, "blob", "spans", "done")
+    hits = findings.where(F.size("findings") > 0).select(F.col("blob").alias(blob), F.col("findings").alias(spans)).dropDuplicates([blob])
     hits = materialize(hits, "redact")
-    joined = df.withColumn("_blob", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)).join(hits.hint("merge"), "_blob", "left")
+    old = F.col(f"`{text_col}`")
+    joined = df.withColumn(blob, F.sha2(F.coalesce(old, F.lit("")), 256)).join(hits.hint("merge"), blob, "left")
     # Spans come by start: each piece is the text since the furthest end so far, then the kind's mark.
     step = F.aggregate(
-        "_findings",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, x: F.when(
             x["start"] >= acc["at"],
             F.struct(
-                F.concat(acc["out"], F.substring(F.col(f"`{text_col}`"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("["), x["kind"], F.lit("]")).alias("out"),
+                F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("["), x["kind"], F.lit("]")).alias("out"),
                 x["end"].alias("at"),
             ),
         ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))),
     )
-    masked = joined.withColumn("_step", F.when(F.col("_findings").isNotNull(), step))
-    text = F.when(F.col("_findings").isNull(), F.col(f"`{text_col}`")).otherwise(
-        F.concat(F.col("_step.out"), F.substring(F.col(f"`{text_col}`"), (F.col("_step.at") + 1).cast("int"), F.length(F.col(f"`{text_col}`"))))
-    )
+    masked = joined.withColumn(done, F.when(F.col(spans).isNotNull(), step))
+    text = F.when(F.col(spans).isNull(), old).otherwise(F.concat(F.col(f"{done}.out"), F.substring(old, (F.col(f"{done}.at") + 1).cast("int"), F.length(old))))
     return masked.withColumn(text_col, text).select(*(F.col(f"`{n}`") for n in names))
 
 

@@ -12,6 +12,7 @@ from conftest import same_rows
 from pyspark.sql import functions as F
 
 from inkwell.llm import chat, components, decontamination, jaccard, langid, licenses, mixing, ogg, queries, secrets, toxicity, warc
+from inkwell.llm.common import columns, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, key string, blob string, node long, n long"
 
@@ -433,9 +434,11 @@ def near_rows():
     return rows + [(9000, None), (9001, ""), (9002, "a b"), (9003, "A\tb"), (9004, "w " * 20_000), (9005, "a b c d e f g"), (9005, "a b c d e f g")]
 
 
-@pytest.mark.parametrize(("width", "level", "tile"), [(3, (90, 100), 128), (5, (80, 100), 128), (2, (50, 100), 4)])
-def test_jaccard(spark, monkeypatch, width, level, tile):
+@pytest.mark.parametrize(("width", "level", "tile", "points"), [(3, (90, 100), 128, 2048), (5, (80, 100), 3, 5), (2, (50, 100), 4, 3)])
+def test_jaccard(spark, monkeypatch, width, level, tile, points):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "BLOCK", tile)
+    monkeypatch.setattr(jaccard, "POINTS", points)
     rows = near_rows()
     random.Random(1).shuffle(rows)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs(spark, rows), width=width, level=level).collect())
@@ -455,8 +458,42 @@ def test_jaccard_signatures_lose_no_pair():
             b = np.unique(np.r_[a[cut // 2 :], rng.integers(0, 2**63, cut - cut // 2, dtype=np.uint64)])
             if b.size and jaccard.linked(a, b, level) and jaccard.fingerprint(a) != jaccard.fingerprint(b):
                 assert np.intersect1d(classes.signatures(a), classes.signatures(b)).size, (level, a.size, b.size)
-                tree = jaccard.CountTree(np.stack([jaccard.counts(a)] * 20), np.full(20, a.size))
-                assert len(tree.search(jaccard.counts(b), b.size, level)) == 20
+                for share in (0.1, 0.3, 0.5, 0.8):  # whatever cells are called common
+                    common = rng.random(1 << 10) < share
+                    assert np.intersect1d(classes.signatures(a, common), classes.signatures(b, common)).size, (level, a.size, b.size, share)
+                vector = lambda x: jaccard.counts(x, jaccard.dimensions(x.size))
+                others = [np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300)), dtype=np.uint64)) for _ in range(30)]
+                tree = jaccard.Forest([vector(x) for x in [*others, *[a] * 20]], [x.size for x in others] + [a.size] * 20)
+                assert set(range(30, 50)) <= set(tree.search(vector(b), b.size, level).tolist())
+
+
+def test_jaccard_ids(spark):
+    """Null ids and ids that different texts share: a row each, and no more rows on the way."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for k in range(300):
+        base = [word() for _ in range(60)]
+        rows += [(None if k % 2 else 7, " ".join(base)), (None if k % 2 else 7, " ".join(["other", *base[1:]]))]
+    df = docs(spark, rows).withColumn("key", F.lit(1)).withColumn("node", F.lit(1)).withColumn("family", F.lit("x"))
+    got = jaccard.jaccard_groups(df)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == Counter({(None, 58, None): 300, (7, 58, 7): 300})
+    keyed = columns(df, doc_id="doc_id", text="text").withColumn("key", F.xxhash64("doc_id", "text"))
+    sets = jaccard._sets(keyed, 3).where("n is not null")
+    carriers = sets.groupBy("node").agg(F.min("key").alias("key")).withColumn("family", F.col("node")).withColumn("tiles", F.lit(1)).withColumn("tile", F.lit(0))
+    assert jaccard._members(keyed, carriers, 3).count() == 600
+    assert jaccard.jaccard_groups(docs(spark, [])).count() == 0
+
+
+def test_tables_go(spark):
+    """Of the tables written on the way only those that the result reads stay."""
+    from pathlib import Path
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = jaccard.jaccard_groups(docs(spark, near_rows()))
+    assert len({p.name for p in set(folder.iterdir()) - before if not p.name.startswith(".")}) == 2
+    assert got.count() == len(near_rows())
 
 
 def test_components(spark):
