@@ -20,8 +20,12 @@ from .common import columns, fresh, map_rows, materialize
 SEED = 4
 #: Seeds of so many words for items of fewer words than this.
 SHORT = ((20, 2), (50, 3))
-#: Alignments of windows that are remembered at once in a task: copies of a window cost one alignment.
-REMEMBERED = 20_000
+#: Words of windows whose alignments are remembered at once in a task: copies of a window cost one alignment.
+REMEMBERED = 4_000_000
+#: Places of grams in items that are looked at together.
+ROOMS = 1_000_000
+#: Alignment values of items of under half so many words fit in 32 bits.
+SMALL = 1 << 14
 #: Words of test items that are held at once; larger benchmarks are searched in blocks.
 BLOCK_WORDS = 500_000
 #: A leak: this share of the best possible score, or this many equal words of which at most a fifth are edited.
@@ -47,11 +51,11 @@ def gram_codes(ids: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A block of test items: word ids, and for each gram code its items and places."""
+    """A block of test items: word ids, and for each gram code the items that hold it."""
 
     vocabulary: dict[str, int]
     items: list[tuple[int, np.ndarray]]
-    #: by gram length: sorted codes, and for each the slice of (item place, offset) pairs
+    #: by gram length: sorted codes, where each begins in the next, and (item place, first offset, last offset) for each item that holds it
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
@@ -62,22 +66,30 @@ class Index:
             found = words(text)
             if found:
                 items.append((key, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found], np.int64)))
-        by: dict[int, list[tuple[np.ndarray, int]]] = {}
+        by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for place, (_, ids) in enumerate(items):
             size = min(n, len(ids), next((k for under, k in SHORT if len(ids) < under), n))  # a shorter item is one gram
-            by.setdefault(size, []).append((gram_codes(ids, size), place))
+            codes, first = np.unique(h := gram_codes(ids, size), return_index=True)
+            last = h.size - 1 - np.unique(h[::-1], return_index=True)[1]
+            by.setdefault(size, []).append((codes, np.stack([np.full(codes.size, place), first, last], axis=1)))
         grams = {}
         for size, found in by.items():
             codes = np.concatenate([c for c, _ in found])
-            where = np.concatenate([np.stack([np.full(len(c), p), np.arange(len(c))], axis=1) for c, p in found])
             order = np.argsort(codes, kind="stable")
-            grams[size] = (*np.unique(codes[order], return_index=True), where[order])
+            codes, first = np.unique(codes[order], return_index=True)
+            grams[size] = (codes, np.r_[first, order.size], np.concatenate([w for _, w in found])[order])
         return cls(vocabulary, items, grams)
 
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By item place: (place in the document, offset in the item) of each gram found."""
-        out: dict[int, list[tuple[int, int]]] = {}
+    def stretches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item place, start, end): where in the document each item may lie, disjoint for an item.
+
+        A gram at p that the item holds at offset o puts the item at p - o, with room for words put in. Room is taken
+        for all offsets of a gram at once, from the first to the last: their rooms overlap, so nothing more is taken,
+        and texts that say one thing over and over cost no more than others. Rooms that meet are one stretch.
+        """
         known = ids >= 0
+        sizes = np.array([i.size for _, i in self.items])
+        rooms: list[np.ndarray] = []
         for size, (codes, first, where) in self.grams.items():
             if len(ids) < size:
                 continue
@@ -86,24 +98,29 @@ class Index:
                 continue
             h = gram_codes(ids, size)[run]
             at = np.minimum(np.searchsorted(codes, h), codes.size - 1)
-            for k in np.flatnonzero(codes[at] == h):
-                i = at[k]
-                for place, offset in where[first[i] : first[i + 1] if i + 1 < len(first) else len(where)]:
-                    out.setdefault(int(place), []).append((int(run[k]), int(offset)))
-        return out
-
-
-def windows(hits: list[tuple[int, int]], item_words: int, doc_words: int) -> list[tuple[int, int]]:
-    """(start, end) of the stretches of the document where the item may lie; overlapping ones are one."""
-    slack = max(4, item_words // 4)
-    out: list[tuple[int, int]] = []
-    for start, end in sorted({(max(0, p - o - slack), min(doc_words, p - o + item_words + slack)) for p, o in hits}):
-        # An item's length of chained windows at most, so that repeated copies don't make one endless stretch.
-        if out and start < out[-1][1] and end - out[-1][0] <= 3 * (item_words + 2 * slack):
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
+            hit = codes[at] == h
+            run, at = run[hit], at[hit]
+            many = first[at + 1] - first[at]
+            cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(many) // ROOMS)) + 1, run.size]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                m = many[low:high]
+                entry = where[np.repeat(first[at[low:high]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                n = sizes[entry[:, 0]]
+                p, slack = np.repeat(run[low:high], m), np.maximum(4, n // 4)
+                room = np.stack([entry[:, 0], np.maximum(0, p - entry[:, 2] - slack), np.minimum(len(ids), p - entry[:, 1] + n + slack)], axis=1)
+                rooms.append(merged(room))
+        return [tuple(x) for x in merged(np.concatenate(rooms)).tolist()] if rooms else []
+
+
+def merged(rooms: np.ndarray) -> np.ndarray:
+    """Rows (item place, start, end) with those of an item that overlap made one."""
+    if not len(rooms):
+        return rooms
+    rooms = rooms[np.lexsort((rooms[:, 1], rooms[:, 0]))]
+    apart = rooms[:, 0] * (int(rooms[:, 2].max()) + 1)  # keeps items apart under one running maximum
+    reach = np.maximum.accumulate(rooms[:, 2] + apart)
+    new = np.flatnonzero(np.r_[True, rooms[1:, 1] + apart[1:] > reach[:-1]])
+    return np.stack([rooms[new, 0], rooms[new, 1], np.maximum.reduceat(rooms[:, 2], new)], axis=1)
 
 
 def shared_words(item: np.ndarray, window: np.ndarray) -> int:
@@ -113,32 +130,63 @@ def shared_words(item: np.ndarray, window: np.ndarray) -> int:
     return int(np.minimum(counts, np.bincount(at[own[at] == window], minlength=own.size)).sum())
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment: score, equal words, edited places, start and end in the window.
+def may_leak(item: np.ndarray, window: np.ndarray, least: float, least_words: int) -> bool:
+    """False only where no alignment is a leak: too few of the item's words are there, or nowhere near enough to one another.
 
-    Row by row; gaps along a row are a running maximum of score plus distance, so that each row is a few vector steps.
+    A leak by score has that share of the item's words and at most as many words put in as the item has; one by words
+    at most a quarter as many. So it lies within twice the item's length.
+    """
+    enough = min(least * item.size, least_words)
+    if shared_words(item, window) < enough:
+        return False
+    span = 2 * item.size
+    if window.size <= span:
+        return True
+    sums = np.r_[0, np.cumsum(np.isin(window, item))]
+    return bool((sums[span:] - sums[:-span]).max() >= enough)
+
+
+def _rows(item: np.ndarray, window: np.ndarray, base: int, local: bool) -> tuple[int, int, int]:
+    """(best, i, j): the best value of an alignment that ends behind i words of the item and j of the window, and where.
+
+    A value is score * base + equal words, so that of equal scores the one with more equal words wins. Row by row, in
+    memory of one row; gaps along a row are a running maximum of value plus distance. local: alignments begin
+    anywhere, else at the first words.
     """
     m = window.size
-    table = np.zeros((item.size + 1, m + 1), np.int32)
-    along = np.arange(m + 1, dtype=np.int32) * -GAP
+    kind = np.int32 if base == SMALL else np.int64
+    along = np.arange(m + 1, dtype=kind) * kind(-GAP * base)
+    last = np.zeros(m + 1, kind) if local else -along
+    best, where = (0, (0, 0)) if local else (-(1 << 62), (0, 0))
+    row = np.empty(m + 1, kind)
     for i, w in enumerate(item, 1):
-        row = table[i]
-        row[1:] = table[i - 1, :-1] + np.where(window == w, MATCH, MISS)
-        np.maximum(row, table[i - 1] + GAP, out=row)
-        np.maximum(row, 0, out=row)
-        np.maximum.accumulate(row + along, out=row)
+        row[0] = 0 if local else i * GAP * base
+        np.add(last[:-1], np.where(window == w, kind(MATCH * base + 1), kind(MISS * base)), out=row[1:])
+        np.maximum(row, last + kind(GAP * base), out=row)
+        if local:
+            np.maximum(row, 0, out=row)
+        row += along
+        np.maximum.accumulate(row, out=row)
         row -= along
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    score, end, equal, edits = int(table[i, j]), int(j), 0, 0
-    while i and j and table[i, j]:
-        same = item[i - 1] == window[j - 1]
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if same else MISS):
-            equal, edits, i, j = equal + bool(same), edits + (not same), i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
-            edits, i = edits + 1, i - 1
-        else:
-            edits, j = edits + 1, j - 1
-    return score, equal, edits, int(j), end
+        j = int(row.argmax())
+        if row[j] > best:
+            best, where = int(row[j]), (i, j)
+        last, row = row, last
+    return best, *where
+
+
+def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Best local alignment (Smith-Waterman): score, equal words, edited places, start and end in the window.
+
+    Memory is a few rows, whatever the lengths. A second run, backwards from the end and anchored there, finds the start.
+    """
+    base = SMALL if item.size < SMALL // 2 and window.size < 1 << 16 else 1 << 24
+    best, i, j = _rows(item, window, base, True)
+    if not best:
+        return 0, 0, 0, 0, 0
+    _, _, back = _rows(item[:i][::-1], window[max(0, j - 3 * i) : j][::-1], base, False)
+    score, equal = divmod(best, base)
+    return score, equal, MATCH * equal - score, j - back, j
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int, str]]]:
@@ -161,8 +209,10 @@ def find_leaks(
     Each block of the benchmark is searched in all documents in place, and windows are aligned there: neither texts nor
     windows are shuffled, and documents that hold a common passage stay where they are, so no key gathers them. Whether
     a document leaks depends on it and the item alone. doc_key tells rows with equal ids and other texts apart.
-    Null or wordless texts and items match nothing; equal items are each found; repeated rows are each a leak, but
-    rows equal in id and text have one doc_key.
+    Null or wordless texts and items match nothing, and empty tables on either side give no rows; equal items are each
+    found; repeated rows are each a leak, but rows equal in id and text have one doc_key. Texts and items may be of any
+    length and say one thing over and over: time grows with the product of an item and the stretch it may lie in, memory
+    with their sum. Other columns don't matter.
     """
     docs = columns(df, doc_key=key_of(id_col, text_col), doc_id=id_col, text=text_col)
     items = columns(benchmark, item_id=item_col, text=item_text_col).where("text is not null")
@@ -178,20 +228,19 @@ def key_of(id_col: str, text_col: str):
 
 
 def _leaks_of(docs: DataFrame, index: Index, least: float, least_words: int) -> DataFrame:
-    remembered: dict[tuple[int, bytes], tuple[int, int, int, int, int]] = {}
+    remembered: dict[tuple[int, bytes], tuple[int, int, int, int, int] | None] = {}
+    held = [0]
 
     def aligned(place: int, window: np.ndarray) -> tuple[int, int, int, int, int] | None:
         """The alignment with the item, None where too few words are shared for a leak."""
-        item = index.items[place][1]
-        # A score of least takes that share of the item's words, and the other way to a leak least_words of them.
-        shared = shared_words(item, window)
-        if shared / item.size < least and shared < least_words:
-            return None
         key = (place, window.tobytes())
         if key not in remembered:
-            if len(remembered) >= REMEMBERED:
+            held[0] += window.size
+            if held[0] > REMEMBERED:
                 remembered.clear()
-            remembered[key] = align(item, window)
+                held[0] = window.size
+            item = index.items[place][1]
+            remembered[key] = align(item, window) if may_leak(item, window, least, least_words) else None
         return remembered[key]
 
     def search(rows: dict) -> dict:
@@ -201,17 +250,20 @@ def _leaks_of(docs: DataFrame, index: Index, least: float, least_words: int) ->
             ids = np.array([get(w, -1) for w in words(text)], np.int32)
             if not ids.size:
                 continue
-            for place, hits in index.hits(ids).items():
+            for place, start, end in index.stretches(ids):
                 item_id, item = index.items[place]
-                for start, end in windows(hits, item.size, ids.size):
+                found = aligned(place, ids[start:end])
+                # An alignment that reaches the stretch's end may go on behind it.
+                while found and ((found[3] == 0 and start) or (found[4] == end - start and end < ids.size)):
+                    start, end = max(0, start - item.size * (found[3] == 0)), min(ids.size, end + item.size * (found[4] == end - start))
                     found = aligned(place, ids[start:end])
-                    if found is None:
-                        continue
-                    points, equal, edits, low, high = found
-                    share = points / (MATCH * item.size)
-                    if share >= least or (equal >= least_words and edits * 4 <= equal):
-                        for name, value in zip(out, (key, doc_id, item_id, share, equal, edits, start + low, start + high), strict=True):
-                            out[name].append(value)
+                if not found:
+                    continue
+                points, equal, edits, low, high = found
+                share = points / (MATCH * item.size)
+                if share >= least or (equal >= least_words and edits * 4 <= equal):
+                    for name, value in zip(out, (key, doc_id, item_id, share, equal, edits, start + low, start + high), strict=True):
+                        out[name].append(value)
         return out
 
     scored = materialize(map_rows(docs, search, LEAKS), "passages")
