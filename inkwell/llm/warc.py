@@ -56,15 +56,19 @@ def resolve_revisits(
     by time, then record id (WARC dates have whole seconds). status: "orphan" without an earlier response; else by the
     strongest validator that both have, entity tag, modification date, payload digest: "confirmed" or "mismatch";
     "unverified" if they share none. Headers are merged where the status is confirmed or unverified; a mismatch or an
-    orphan keeps its own. Null URLs are one URL, null times come first, null headers count as none.
+    orphan keeps its own. Records without a URL (null, or nothing left of it) have nothing to do with one another: such
+    a revisit is an orphan with a null canonical URL. Null times come first, null headers count as none. An empty log
+    gives no rows; other columns don't matter.
 
     A URL may hold a third of all records, so no window takes a whole URL. Records are dealt by range of (URL, time,
     id) into even cells, a written table; a window within (cell, URL) finds responses in the cell, and one over the
     last response of each (cell, URL), a row each, carries them over cell ends. Payloads never travel.
     """
     empty = F.array().cast(HEADERS)
-    narrow = columns(records, record_id=id_col, canonical=F.coalesce(canonical_url(F.col(f"`{url_col}`")), F.lit("")), ts=time_col, kind=kind_col, etag=etag_col, modified=modified_col, digest=digest_col, headers=F.coalesce(F.col(f"`{headers_col}`").cast(HEADERS), empty))
+    narrow = columns(records, record_id=id_col, canonical=F.nullif(canonical_url(F.col(f"`{url_col}`")), F.lit("")), ts=time_col, kind=kind_col, etag=etag_col, modified=modified_col, digest=digest_col, headers=F.coalesce(F.col(f"`{headers_col}`").cast(HEADERS), empty))
     narrow = narrow.where(F.col("kind").isin("response", "revisit"))
+    nowhere = narrow.where("canonical is null and kind = 'revisit'")
+    narrow = narrow.where("canonical is not null")
     by = ["ts", "record_id", "kind", "etag", "modified", "digest"]
     dealt = materialize(narrow.repartitionByRange("canonical", *by).withColumn("cell", F.spark_partition_id()), "captures")
     full = F.when(F.col("kind") == "response", F.struct("record_id", "ts", "etag", "modified", "digest", "headers"))
@@ -85,9 +89,11 @@ def resolve_revisits(
     )
     status = F.when(~known, "orphan").when(agrees.isNull(), "unverified").when(agrees, "confirmed").otherwise("mismatch")
     merged = F.when(F.col("status").isin("confirmed", "unverified"), merge_headers(F.col("stored"), F.col("headers"))).otherwise(merge_headers(empty, F.col("headers")))
+    none = {n: F.lit(None).cast(t) for n, t in (("response_id", narrow.schema["record_id"].dataType), ("response_ts", narrow.schema["ts"].dataType), ("digest", narrow.schema["digest"].dataType))}
+    alone = nowhere.select("record_id", "canonical", "ts", none["response_id"].alias("response_id"), none["response_ts"].alias("response_ts"), F.lit("orphan").alias("status"), none["digest"].alias("digest"), merge_headers(empty, F.col("headers")).alias("headers"))
     return found.select("record_id", "canonical", "ts", part("record_id").alias("response_id"), part("ts").alias("response_ts"), status.alias("status"), F.when(known, part("digest")).alias("digest"), part("headers").alias("stored"), "headers").select(
         "record_id", "canonical", "ts", "response_id", "response_ts", "status", "digest", merged.alias("headers")
-    )
+    ).unionByName(alone)
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
