@@ -27,13 +27,14 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     Speakers are told apart by their exact name. Null names are the participant "unknown"; narrators (system) keep
     their role in every perspective and have none of their own, so a conversation of narrators alone gives no rows.
     Null conversation ids are one conversation. Null texts render empty. Markup inside texts is broken by a space, so
-    that nobody speaks for others. Rows with equal turns stay separate rows.
+    that nobody speaks for others. Rows with equal turns stay separate rows. Texts may be of any length; an empty table
+    gives no rows; other columns don't matter.
 
     One shuffle of the turns by conversation; participants are distinct names, found with partial aggregation. A
     conversation that holds many of the rows is split by Spark's skew join, as both sides are plain exchanges.
     """
     turns = columns(df, conv=conv_col, turn=turn_col, speaker=F.coalesce(F.col(f"`{role_col}`"), F.lit(NOBODY)), text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    turns = turns.withColumn("key", F.coalesce(F.col("conv").cast("string"), F.lit("null")))
+    turns = turns.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("null")))
     seats = turns.where(~F.col("speaker").isin(*narrators)).select(F.col("key"), F.col("speaker").alias("perspective")).distinct()
     return render(turns.join(seats, "key"), narrators)
 
