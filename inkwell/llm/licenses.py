@@ -189,7 +189,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row for each input row: words, phrase places, labels, parsed expressions, verdict and score.
 
     permissive: null without any label; else all expressions can be satisfied from PERMISSIVE and all notices are in
-    it. Null texts count as empty; rows are independent, so repeated ids and rows stay. Narrow: no shuffle.
+    it. Null texts count as empty; rows are independent, so repeated ids and rows stay; an empty table gives no rows.
+    Narrow: no shuffle.
     """
     scanner: list[Scanner] = []
 

@@ -246,8 +246,9 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def read_packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", rate: int = RATE) -> DataFrame:
     """Demultiplex a binary column: a row for each packet of each logical stream, dated from granule positions.
 
+    A stream of samples has a granule a byte, so each of its packets is dated, by the rate that its header states.
     Streams of unknown kind are read too; their packets that do not end a page have no time. A medium without any
-    readable packet gives one row with null packet and its faults; null media give none.
+    readable packet gives one row with null packet and its faults; null media and empty tables give none.
     """
 
     def batch(rows: dict) -> dict:
@@ -256,7 +257,13 @@ def read_packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
             if media is None:
                 continue
             streams, faults = read_pages(media)
-            found = [(s.serial, k, g, sec, p) for s in streams.values() for k, (p, g, sec) in enumerate(zip(s.packets, s.granules, s.seconds(rate), strict=True))]
+            found = []
+            for s in streams.values():
+                known = s.packets and s.packets[0][:5] == b"PCM8\0" and len(s.packets[0]) == 17
+                if known:
+                    date_packets(s)
+                own = struct.unpack("<5sIQ", s.packets[0])[1] or rate if known else rate
+                found += [(s.serial, k, g, sec, p) for k, (p, g, sec) in enumerate(zip(s.packets, s.granules, s.seconds(own), strict=True))]
             for serial, k, g, sec, p in found or [(None, None, None, None, None)]:
                 for name, value in zip(out, (key, serial, k, g, sec, p, faults), strict=True):
                     out[name].append(value)
@@ -269,7 +276,7 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Store each whole text as Ogg, read the stored bytes back, and describe both. One row for each input row.
 
     Null and empty texts are one padding block of spaces; equal texts give equal values; rows are independent of one
-    another, so repeated ids and rows stay as they are. A batch holds at most Spark's Arrow byte limit of text.
+    another, so repeated ids and rows stay as they are; an empty table gives no rows. A batch holds at most Spark's Arrow byte limit of text.
     """
 
     def batch(rows: dict) -> dict:
