@@ -121,7 +121,9 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
 
     One pass counts languages and, over all those rows, documents of each feature: partitions send up one number a
     feature. A second reads the sample: rows whose id hashes below a bound that is set for each language, so that
-    languages are even, at most `sample` rows in all. Features, classes and sample bound what reaches the driver.
+    languages are even, at most `sample` rows in all. Features, classes and sample bound what reaches the driver. A
+    language is learned from a row at least, so at most `sample` languages can be, the most frequent ones: raise it for
+    more. Weights take features x languages x 8 bytes in each task.
     """
     reachable(df.sparkSession)
     known = columns(df.where(learn), doc_id=id_col, text=text_col, lang=lang_col).where("text is not null and lang is not null and doc_id is not null")

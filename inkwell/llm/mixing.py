@@ -54,16 +54,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     cells. Both grow as the square root of the source's rows, so a source with a third of all rows is no hot spot.
 
     Null texts have size 0, and so do texts of blanks; null sources are one source, the last. Rows with equal ids and
-    sizes are told apart by their order only, and so may swap copies. Sources without words have target 0. Empty
-    input, empty result.
+    sizes are told apart by their order only, and so may swap copies; one id that very many rows of a source share
+    falls into few cells. Sources without words have target 0. Empty input, empty result. The list of sources, a row
+    each, is laid out in one task.
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
-    rows = materialize(columns(df, doc_id=id_col, source=source_col, size=size), "sizes")
+    rows = materialize(columns(df, doc_id=id_col, source=source_col, size=size, row=F.monotonically_increasing_id()), "sizes")
     totals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     # A text that no source lacks, so that joins and windows share one plain key.
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     known = materialize(totals.withColumn("sk", named).drop("source"), "targets")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    # Rows without an id are told apart by their place in the written table, so that no cell gathers them.
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))))
     bits = F.bin("size")
     placed = rows.withColumn("sk", named).join(known, "sk").withColumn("key", key).select(
         "doc_id", "source", "size", "source_size", "target", "sk", "key",

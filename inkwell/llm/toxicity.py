@@ -213,9 +213,12 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
 
     Ids are drawn from the labels by hash, at most `sample` of each class, so the ids broadcast to the documents and
     the texts that reach the driver are bounded by that parameter. The field is fitted to `field_texts` of each class
-    and to every further toxic text that holds an offending part which those before it don't.
+    and to every further toxic text that holds an offending part which those before it don't. An id that label rows
+    call both toxic and not counts as toxic, once. The driver holds the sampled texts whole, so `sample` bounds rows and
+    their longest texts decide the memory.
     """
-    known = columns(labels, doc_id=id_col, toxic=label_col).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(learn).distinct()
+    known = columns(labels, doc_id=id_col, toxic=label_col).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(learn)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     spot = F.crc32(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")))
     clean, bad_ids = (known.where(F.col("toxic") == y).orderBy(spot, "doc_id").limit(sample) for y in (0, 1))
@@ -274,7 +277,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """doc_id, held_out, score, predicted, spans: learn from label rows that aren't held out, score every row.
 
     Null ids are not held out and have no label. Without labels of both classes all rows get one low score (high if
-    all labels are 1). Repeated rows are scored each.
+    all labels are 1). Repeated rows are scored each. Empty tables of documents give no rows.
     """
     model = fit(df, labels, crc_bucket(F.col("doc_id"), 5) != 0, id_col, text_col)
     held = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
