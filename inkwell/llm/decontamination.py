@@ -41,12 +41,17 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
+def codes_at(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit code of the n word ids from each of the places."""
+    h = np.full(at.size, n, np.uint64)
+    for k in range(n):
+        h = (h ^ (h >> np.uint64(29))) * _P + ids[at + k].astype(np.uint64) + np.uint64(1)
+    return h ^ (h >> np.uint64(32))
+
+
 def gram_codes(ids: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit code of each run of n word ids."""
-    h = np.full(max(0, len(ids) - n + 1), n, np.uint64)
-    for k in range(n if h.size else 0):
-        h = (h ^ (h >> np.uint64(29))) * _P + ids[k : len(ids) - n + 1 + k].astype(np.uint64) + np.uint64(1)
-    return h ^ (h >> np.uint64(32))
+    return codes_at(ids, np.arange(max(0, len(ids) - n + 1)), n)
 
 
 @dataclass
@@ -58,6 +63,11 @@ class Index:
     #: by gram length: sorted codes, where each begins in the next, and (item place, first offset, last offset) for each item that holds it
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+    def __post_init__(self) -> None:
+        self.sizes = np.array([i.size for _, i in self.items], np.int64)
+        self.slack = np.maximum(4, self.sizes // 4)
+        self.bags = [np.unique(i, return_counts=True) for _, i in self.items]
+
     @classmethod
     def build(cls, rows: list[tuple[int, str]], n: int) -> Index:
         vocabulary: dict[str, int] = {}
@@ -88,27 +98,33 @@ class Index:
         and texts that say one thing over and over cost no more than others. Rooms that meet are one stretch.
         """
         known = ids >= 0
-        sizes = np.array([i.size for _, i in self.items])
         rooms: list[np.ndarray] = []
         for size, (codes, first, where) in self.grams.items():
             if len(ids) < size:
                 continue
-            run = np.flatnonzero(np.convolve(known, np.ones(size, np.int64), "valid") == size)
+            run = known[: len(ids) - size + 1].copy()
+            for k in range(1, size):
+                run &= known[k : len(ids) - size + 1 + k]
+            run = np.flatnonzero(run)
             if not run.size:
                 continue
-            h = gram_codes(ids, size)[run]
-            at = np.minimum(np.searchsorted(codes, h), codes.size - 1)
-            hit = codes[at] == h
+            h = codes_at(ids, run, size)
+            at = np.searchsorted(codes, h)
+            at[at == codes.size] = 0
+            hit = np.flatnonzero(codes[at] == h)
+            if not hit.size:
+                continue
             run, at = run[hit], at[hit]
             many = first[at + 1] - first[at]
-            cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(many) // ROOMS)) + 1, run.size]
+            total = np.cumsum(many)
+            cuts = [0, *(np.flatnonzero(np.diff(total // ROOMS)) + 1).tolist(), run.size] if total[-1] > ROOMS else [0, run.size]
             for low, high in zip(cuts, cuts[1:], strict=False):
                 m = many[low:high]
-                entry = where[np.repeat(first[at[low:high]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-                n = sizes[entry[:, 0]]
-                p, slack = np.repeat(run[low:high], m), np.maximum(4, n // 4)
-                room = np.stack([entry[:, 0], np.maximum(0, p - entry[:, 2] - slack), np.minimum(len(ids), p - entry[:, 1] + n + slack)], axis=1)
-                rooms.append(merged(room))
+                entry = where[np.repeat(first[at[low:high]] + m - np.cumsum(m), m) + np.arange(m.sum())]
+                place, p = entry[:, 0], np.repeat(run[low:high], m)
+                n, slack = self.sizes[place], self.slack[place]
+                room = np.column_stack((place, np.maximum(0, p - entry[:, 2] - slack), np.minimum(len(ids), p - entry[:, 1] + n + slack)))
+                rooms.append(merged(room) if len(cuts) > 2 else room)
         return [tuple(x) for x in merged(np.concatenate(rooms)).tolist()] if rooms else []
 
 
@@ -123,27 +139,28 @@ def merged(rooms: np.ndarray) -> np.ndarray:
     return np.stack([rooms[new, 0], rooms[new, 1], np.maximum.reduceat(rooms[:, 2], new)], axis=1)
 
 
-def shared_words(item: np.ndarray, window: np.ndarray) -> int:
-    """Words that both hold, each as often as both do: no alignment has more equal ones."""
-    own, counts = np.unique(item, return_counts=True)
-    at = np.minimum(np.searchsorted(own, window), own.size - 1)
+def shared_words(bag: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> int:
+    """Words that both hold, each as often as both do: no alignment has more equal ones. bag: an item's words and how often."""
+    own, counts = bag
+    at = np.searchsorted(own, window)
+    at[at == own.size] = 0
     return int(np.minimum(counts, np.bincount(at[own[at] == window], minlength=own.size)).sum())
 
 
-def may_leak(item: np.ndarray, window: np.ndarray, least: float, least_words: int) -> bool:
+def may_leak(bag: tuple[np.ndarray, np.ndarray], window: np.ndarray, least: float, least_words: int) -> bool:
     """False only where no alignment is a leak: too few of the item's words are there, or nowhere near enough to one another.
 
     A leak by score has that share of the item's words and at most as many words put in as the item has; one by words
     at most a quarter as many. So it lies within twice the item's length.
     """
-    enough = min(least * item.size, least_words)
-    if shared_words(item, window) < enough:
+    size = int(bag[1].sum())
+    enough = min(least * size, least_words)
+    if shared_words(bag, window) < enough:
         return False
-    span = 2 * item.size
-    if window.size <= span:
+    if window.size <= 2 * size:
         return True
-    sums = np.r_[0, np.cumsum(np.isin(window, item))]
-    return bool((sums[span:] - sums[:-span]).max() >= enough)
+    sums = np.r_[0, np.cumsum(np.isin(window, bag[0]))]
+    return bool((sums[2 * size :] - sums[: -2 * size]).max() >= enough)
 
 
 def _rows(item: np.ndarray, window: np.ndarray, base: int, local: bool) -> tuple[int, int, int]:
@@ -239,8 +256,7 @@ def _leaks_of(docs: DataFrame, index: Index, least: float, least_words: int) ->
             if held[0] > REMEMBERED:
                 remembered.clear()
                 held[0] = window.size
-            item = index.items[place][1]
-            remembered[key] = align(item, window) if may_leak(item, window, least, least_words) else None
+            remembered[key] = align(index.items[place][1], window) if may_leak(index.bags[place], window, least, least_words) else None
         return remembered[key]
 
     def search(rows: dict) -> dict:
