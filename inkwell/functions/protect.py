@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from .text import W, extract_all
 
 CODE = r"(?:```[\s\S]*?```|`[^`\r\n]*`)"
-_FREE = r"(?<!(?<!\\)(?:\\\\){0,64}\\)"
+#: Backslashes that the test for an escape looks back at; longer runs are shortened before.
+_LOOK = 128
+_FREE = rf"(?<!(?<!\\)(?:\\\\){{0,{_LOOK // 2}}}\\)"
+#: Characters for private use, one of which stands in for backslashes of long runs.
+_STAND_INS = "\ue000\ue001\ue002\ue003"
 _PAIRS = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"))
 
 
@@ -41,15 +45,26 @@ def _piece(text: Column, protected: Column) -> Column:
 
 
 def segments(text: Column) -> Column:
-    """array<struct<t string, p boolean>>: the text in pieces, p where it is protected. Texts without marks are one piece."""
+    """array<struct<t string, p boolean>>: the text in pieces, p where it is protected. Texts without marks are one piece.
+
+    A mark is escaped by an odd number of backslashes before it, however many. Look-behinds are bounded, so in texts
+    with longer runs pairs of backslashes before the last one or two give way to a character that the text lacks.
+    """
+    stand_in = F.coalesce(*(F.when(~F.contains(text, F.lit(c)), F.lit(c)) for c in _STAND_INS), F.lit(_STAND_INS[0]))
+    deep = F.contains(text, F.lit("\\" * _LOOK))
+    shown = F.when(deep, F.regexp_replace(text, F.lit(r"\\\\(?=\\)"), F.concat(stand_in, stand_in))).otherwise(text)
+    restored = lambda s: _piece(F.when(deep, F.replace(s["t"], stand_in, F.lit("\\"))).otherwise(s["t"]), s["p"])
+    return F.when(text.rlike(f"[{_MARKS}]"), F.transform(_pieces(shown), restored)).otherwise(F.array(_piece(text, F.lit(False))))
+
+
+def _pieces(text: Column) -> Column:
     found = F.arrays_zip(extract_all(text, PIECES, 0).alias("all"), extract_all(text, PIECES, 1).alias("kept"), extract_all(text, PIECES, 2).alias("tail"))
 
     def split(x: Column) -> Column:
         tail = F.arrays_zip(extract_all(x["tail"], _TAIL, 0).alias("all"), extract_all(x["tail"], _TAIL, 1).alias("kept"))
         return F.when(x["tail"] != "", F.transform(tail, lambda y: _piece(y["all"], y["kept"] != ""))).otherwise(F.array(_piece(x["all"], x["kept"] != "")))
 
-    whole = F.array(_piece(text, F.lit(False)))
-    return F.when(text.rlike(f"[{_MARKS}]"), F.flatten(F.transform(found, split))).otherwise(whole)
+    return F.flatten(F.transform(found, split))
 
 
 def plain(segs: Column) -> Column:

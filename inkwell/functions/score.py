@@ -67,9 +67,12 @@ def score_quality(df: DataFrame, judge_col: str = "score_json", before_col: str
 
     The judge's answer has fields like relevanceBefore and clarityAfter, and naturalSummary.
     """
-    df = df.withColumn("_body", object_text(F.col(judge_col)))
-    scores = {f"{d}_score_{side}": int_field(F.col("_body"), f"{d}{side.title()}") for d in DIMENSIONS for side in ("before", "after")}
-    df = df.withColumns(scores | {"natural_summary": string_field(F.col("_body"), "naturalSummary")}).drop("_body")
+    body = "_body"
+    while body in {c.lower() for c in df.columns}:
+        body = f"_{body}"
+    df = df.withColumn(body, object_text(F.col(f"`{judge_col}`")))
+    scores = {f"{d}_score_{side}": int_field(F.col(body), f"{d}{side.title()}") for d in DIMENSIONS for side in ("before", "after")}
+    df = df.withColumns(scores | {"natural_summary": string_field(F.col(body), "naturalSummary")}).drop(body)
     mean = lambda side: average(*(F.col(f"{d}_score_{side}") for d in DIMENSIONS))
     df = df.withColumns({"original_score": mean("before"), "optimized_score": mean("after")})
     gain = efficiency_gain(F.col("original_score"), F.col("optimized_score"), F.col(before_col), F.col(after_col))

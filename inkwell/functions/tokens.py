@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Callable
-from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +20,10 @@ words: Counter = word_count
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=4)
+#: Workers get this module's functions with the plan, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _encoding(path: str, pattern: str):
     import tiktoken
 
@@ -30,14 +34,16 @@ def _encoding(path: str, pattern: str):
 def bpe(path: str, pattern: str = PATTERN) -> Counter:
     """Counts tokens by the rank file at path (base64 token and rank on each line), which every executor must reach.
 
-    Null and blank texts have 0. The vocabulary is loaded once for each Python worker. Counts are those of the given
-    file and must not be taken for another vocabulary's.
+    Null and blank texts have 0. The vocabulary is loaded once for each task. Counts are those of the given file and
+    must not be taken for another vocabulary's.
     """
+    loaded: list = []
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(path, pattern)
-        return pd.Series([0 if t is None else len(encoding.encode_ordinary(t)) for t in texts], dtype="int32")
+        if not loaded:
+            loaded.append(_encoding(path, pattern))
+        return pd.Series([0 if t is None else len(loaded[0].encode_ordinary(t)) for t in texts], dtype="int32")
 
     return lambda c: count(F.when(is_blank(c), F.lit(None).cast("string")).otherwise(c))
 

@@ -22,20 +22,24 @@ def chunk_key(c: Column) -> Column:
     return F.lower(F.btrim(collapse(c), F.lit(WHITE + " ﻿")))
 
 
-def diff(df: DataFrame, id_col: str, source_col: str, other_col: str) -> DataFrame:
-    """id, pos, chunk, kept for each chunk of the source: the k-th occurrence of a key is kept if the other side has it k times.
+def before_after(df: DataFrame, id_col: str, before_col: str, after_col: str) -> DataFrame:
+    """id, side, pos, chunk, kept for each chunk of both texts.
 
-    Ranks and counts come from windows and sums by (id, key), so no task holds a document, and the join is on both.
+    side is "before" (what isn't kept was deleted) or "after" (what isn't kept is new). The k-th occurrence of a key is
+    kept if the other side has it k times; chunks of white space always are. Null texts have no chunks. df is read
+    once: both sides are dealt by (id, key) in one shuffle, so no task holds a document, and ranks and counts come from
+    one sort.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(chunks(F.coalesce(F.col(source_col), F.lit("")))).alias("pos", "chunk")).withColumn("key", chunk_key(F.col("chunk")))
-    other = df.select(F.col(id_col).alias("id"), F.explode(chunks(F.coalesce(F.col(other_col), F.lit("")))).alias("chunk")).select("id", chunk_key(F.col("chunk")).alias("key"))
-    have = other.where("key <> ''").groupBy("id", "key").agg(F.count("*").alias("have"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id", "key").orderBy("pos")))
-    return ranked.join(have, ["id", "key"], "left").select("id", "pos", "chunk", ((F.col("key") == "") | (F.col("rank") <= F.coalesce("have", F.lit(0)))).alias("kept"))
+    side = lambda name, c: F.transform(chunks(F.coalesce(F.col(f"`{c}`"), F.lit(""))), lambda x, i: F.struct(F.lit(name).alias("side"), i.alias("pos"), x.alias("chunk")))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.concat(side("before", before_col), side("after", after_col))).alias("x")).select("id", "x.*")
+    rows = rows.withColumn("key", chunk_key(F.col("chunk")))
+    both = Window.partitionBy("id", "key")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id", "key", "side").orderBy("pos")))
+    times = lambda name: F.count(F.when(F.col("side") == name, 1)).over(both)
+    held = ranked.withColumn("have", F.when(F.col("side") == "before", times("after")).otherwise(times("before")))
+    return held.select("id", "side", "pos", "chunk", ((F.col("key") == "") | (F.col("rank") <= F.col("have"))).alias("kept"))
 
 
-def before_after(df: DataFrame, id_col: str, before_col: str, after_col: str) -> DataFrame:
-    """Both views: side is "before" (what isn't kept was deleted) or "after" (what isn't kept is new)."""
-    sides = (("before", before_col, after_col), ("after", after_col, before_col))
-    a, b = (diff(df, id_col, s, o).withColumn("side", F.lit(name)) for name, s, o in sides)
-    return a.unionByName(b)
+def diff(df: DataFrame, id_col: str, source_col: str, other_col: str) -> DataFrame:
+    """id, pos, chunk, kept for each chunk of the source alone."""
+    return before_after(df, id_col, source_col, other_col).where("side = 'before'").drop("side")

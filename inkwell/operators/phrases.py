@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+import sys
 from operator import eq
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..functions.text import TRIMMED, WHITE
 
 _EDGE = ",.?!:;\"'()"
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
-
+#: Workers get this module's functions with the plan, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _ends_sentence(token: str) -> bool:

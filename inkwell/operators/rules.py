@@ -47,13 +47,18 @@ class Params:
 
 @dataclass
 class Stage:
-    """A frame under construction."""
+    """A frame under construction. Its own columns have names that no column of the frame begins with."""
 
     df: DataFrame
     count: int = 0
+    prefix: str = "_s"
+
+    def __post_init__(self) -> None:
+        while any(c.lower().startswith(self.prefix) for c in self.df.columns):
+            self.prefix = f"_{self.prefix}"
 
     def put(self, value: Column) -> Column:
-        name = f"_s{self.count}"
+        name = f"{self.prefix}{self.count}"
         self.count += 1
         self.df = self.df.withColumn(name, value)
         return F.col(name)

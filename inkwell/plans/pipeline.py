@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.score import compression_rate
@@ -82,10 +82,14 @@ def optimize(df: DataFrame, rules: Mapping[str, RuleConfig | Mapping[str, object
     return stage.df.select(*(F.col(f"`{n}`") for n in names), text.alias("final_prompt"), *recorded, stats.alias("token_stats"))
 
 
+def blank(text_col: str) -> Column:
+    """Whether a request's text is rejected: null or blank."""
+    return F.col(f"`{text_col}`").isNull() | is_blank(F.col(f"`{text_col}`"))
+
+
 def reject_blank(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows to work on, rows whose text is null or blank)."""
-    blank = F.col(f"`{text_col}`").isNull() | is_blank(F.col(f"`{text_col}`"))
-    return df.where(~blank), df.where(blank)
+    return df.where(~blank(text_col)), df.where(blank(text_col))
 
 
 def rules_table(spark: SparkSession) -> DataFrame:

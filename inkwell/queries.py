@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .functions import jsontext, protect, score, text
 from .operators import analytics, diff, vocabulary as v
 from .operators.rules import BY_ID, RULES, Params, Stage, conflict_columns, task_columns
-from .plans.pipeline import ALL_ON, RuleConfig, optimize, reject_blank, rules_table
-from .sources import templates
+from .plans.pipeline import ALL_ON, RuleConfig, blank, optimize, rules_table
+from .sources import io, templates
 
 BEFORE = (
     "",
@@ -53,7 +53,7 @@ _INPUT = _INPUT.format(before=", ".join(map(_sql, BEFORE)), nb=len(BEFORE), afte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return io.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _unquoted(c: Column, marks: str) -> Column:
@@ -236,8 +236,7 @@ def conversations_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blank_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of all texts pass validation; every seventh is blanked first."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, " \n\t").otherwise(F.col("text")).alias("text"))
-    good, bad = reject_blank(docs)
-    return good.groupBy(F.lit("accepted").alias("verdict")).agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.lit("rejected").alias("verdict")).agg(F.count("*").alias("n")))
+    return docs.groupBy(F.when(blank("text"), "rejected").otherwise("accepted").alias("verdict")).agg(F.count("*").alias("n"))
 
 
 def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

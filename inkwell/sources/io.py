@@ -23,3 +23,12 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r}: one of {', '.join(FORMATS)}")
     df.write.format(fmt).mode(mode).options(**options).save(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files have fewer parts than the session has cores; else as it is.
+
+    Rules cost far more than reading, so dealing a small table out pays; large tables have parts enough, and no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

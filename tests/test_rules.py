@@ -226,3 +226,42 @@ def test_diff(spark):
 def test_word_counts(spark):
     df = spark.createDataFrame([("a b\tc",), ("  a ",), ("",), (None,), (" ",), (" ",), ("\x00",)], "t string")
     assert [r[0] for r in df.select(text.word_count(F.col("t"))).collect()] == [3, 1, 0, 0, 0, 0, 1]
+
+
+def test_escapes_of_any_length(spark):
+    """An odd number of backslashes escapes a mark, an even one doesn't, however many."""
+    runs = [0, 1, 2, 3, 126, 127, 128, 129, 130, 131, 132, 133, 1000, 1001]
+    texts = [f"say {chr(92) * n}\u201cgo go{chr(92) * m}\u201d go\u201d on" for n in runs for m in (0, 1, 130, 131)]
+    texts += ["\ue000 " + texts[-1], f'a "b{chr(92) * 131}" c" d']
+    for t, row in zip(texts, _pieces(spark, texts), strict=True):
+        flags = _quotes(t)
+        assert "".join(x for x, _ in row) == t
+        assert [p for x, p in row for _ in x] == flags, t[:60]
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([("Wait!! go", "a", "b", "c")], "text string, _s0 string, __s1 string, _body string")
+    got = optimize(df, {"punctuationNormalizer": True, "lengthControl": True}).first()
+    assert (got["final_prompt"], got["_s0"], got["__s1"]) == ("Wait! go", "a", "b")
+    rows = df.select(F.lit('{"relevanceBefore": 7}').alias("score_json"), F.lit(1).alias("tokens_before"), F.lit(1).alias("tokens_after"), "_body")
+    assert score.score_quality(rows).first()["_body"] == "c"
+
+
+def test_rules_without_the_package_on_workers(tmp_path):
+    """All rules, run from another folder with the package on the driver's path alone."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from inkwell.plans.pipeline import ALL_ON, optimize
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+print(optimize(spark.createDataFrame([("Explain explain arrays.",)], "text string"), {{"duplicatePhraseReducer": True}}).first()["final_prompt"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "Explain arrays." in done.stdout, done.stderr[-1500:]
