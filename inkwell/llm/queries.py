@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.io import spread
 from . import chat, decontamination, jaccard, langid, licenses, mixing, ogg, secrets, toxicity, warc
 
 
@@ -13,20 +14,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents over all cores, for operators that spend far more on a text than reading it."""
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents"))[0])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("doc_key")
+    return decontamination.find_leaks(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")).drop("doc_key")
 
 
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.media_digest(_table(spark, sf_dir, "documents"))
+    return ogg.media_digest(_documents(spark, sf_dir))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_table(spark, sf_dir, "documents"))
+    return langid.identify(_documents(spark, sf_dir))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +48,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_groups(_documents(spark, sf_dir))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
