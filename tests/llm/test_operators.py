@@ -635,7 +635,9 @@ def test_tables_go(spark):
     assert got.count() == len(near_rows())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [components.PART_EDGES, 120])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART_EDGES", part)
     rng = random.Random(10)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + k) for k in range(1, 200)] + [(k, k + 1) for k in range(2000, 2060)] + [(5, 5), (None, 3)]
     parent = {x: x for e in edges for x in e}
@@ -649,11 +651,27 @@ def test_components(spark):
         if a is not None:
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    rng.shuffle(edges)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    rows = components.connected(frame).collect()
+    got = {r["node"]: r["component"] for r in rows}
+    assert len(got) == len(rows)
     assert all(root(x) == c for x, c in got.items())
     assert {x for e in edges for x in e if e[0] != e[1] and e[0] is not None} == set(got)
 
 
+def test_components_of_no_edges(spark):
+    assert components.connected(spark.createDataFrame([(4, 4), (None, 1)], "a long, b long")).isEmpty()
+
+
+def test_forest_of_a_long_path():
+    rng = np.random.default_rng(3)
+    names = rng.permutation(5000)
+    u, v = names[:-1], names[1:]
+    node, least = components.forest(np.maximum(u, v), np.minimum(u, v))
+    assert sorted(node) == list(range(1, 5000)) and not least.any()
+
+
 # 9 toxicity
 
 
