@@ -39,6 +39,11 @@ def word_count(c: Column) -> Column:
     return F.when(c.isNull() | is_blank(c), 0).otherwise(F.regexp_count(jtrim(c), F.lit(r"\s+")) + 1).cast("int")
 
 
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units: characters beyond U+FFFF count twice. Null stays null."""
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+
+
 def extract_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 

@@ -7,7 +7,7 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from inkwell import queries
+from inkwell import marked, queries
 from inkwell.functions import tokens
 from inkwell.plans.pipeline import optimize
 from inkwell.sources import io, templates
@@ -62,6 +62,12 @@ def test_query(spark, data, duck, name):
     same_rows(df, duck.sql(queries.ORACLES[name]))
 
 
+@pytest.mark.parametrize("name", list(marked.ORACLES))
+def test_marked_query(spark, data, duck, name):
+    df = marked.QUERIES[name](spark, data)
+    same_rows(df, duck.sql(marked.ORACLES[name]))
+
+
 #: Rules that must change some prompts, so that comparing them says something.
 def test_rules_fire(spark, data):
     base = {r["doc_id"]: r["t"] for r in queries.prompts(spark, data).collect()}
