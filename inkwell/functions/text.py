@@ -62,13 +62,6 @@ def edges(original: Column, inner: Column) -> Column:
     return F.concat(left, inner, right)
 
 
-def fold(c: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Each pair's first part, literally and in any case, replaced by its second, one pair after the other."""
-    for verbose, short in pairs:
-        c = F.regexp_replace(c, rf"(?i)\Q{verbose}\E", short)
-    return c
-
-
 def has_any(lower: Column, words: Iterable[str]) -> Column:
     """Whether a lower-case text holds any of the words: a plain search, far cheaper than patterns, to go before them."""
     found = F.lit(False)

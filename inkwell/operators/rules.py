@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import protect
-from ..functions.text import BEGIN, END, SENTENCE, W, collapse, edges, extract_all, fold, has_any, jstrip, jtrim, sentences, word_count
+from ..functions.text import BEGIN, END, SENTENCE, W, collapse, edges, extract_all, has_any, jstrip, jtrim, sentences, word_count
 from . import vocabulary as v
 
 STRINGS = "array<string>"
@@ -137,8 +137,8 @@ def case_normalizer(stage: Stage, text: Column, params: Params) -> Result:
     threshold, least = params.number("uppercaseRatioThreshold", 0.9), params.integer("minLetters", 8)
     segs = stage.put(protect.segments(text))
     whole = stage.put(F.array_join(protect.plain(segs), ""))
-    upper = F.regexp_count(whole, F.lit("[A-Z]"))
-    letters = stage.put(F.regexp_count(whole, F.lit("[A-Za-z]")))
+    upper = F.length(F.regexp_replace(whole, "[^A-Z]++", ""))
+    letters = stage.put(F.length(F.regexp_replace(whole, "[^A-Za-z]++", "")))
     shouts = stage.put(F.coalesce((letters >= least) & (F.try_divide(upper, letters) >= threshold), F.lit(False)))
     cased = stage.put(F.when(shouts, _ascii_sentence_case(whole)))
 
@@ -168,19 +168,23 @@ def task_analyzer(stage: Stage, text: Column, params: Params) -> Result:
 
 
 def _replaced(stage: Stage, text: Column, pairs: list[tuple[str, str]], none: str) -> Result:
-    """fold() outside protected pieces, only where any of the phrases stands."""
+    """Each pair's first part (in lower case), in any case of letters, replaced by its second, one pair after the other, outside protected pieces."""
     segs = stage.put(F.when(has_any(F.lower(text), [a for a, _ in pairs]), protect.segments(text)))
-    outs = stage.put(protect.transformed(segs, lambda t: fold(t, pairs)))
-    out = F.coalesce(protect.joined(segs, outs), text)
+    table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+
+    def step(acc: Column, pair: Column) -> Column:  # each phrase is looked for in what the ones before it left
+        pattern = F.concat(F.lit(r"(?i)\Q"), pair["a"], F.lit(r"\E"))
+        entry = F.concat(F.lit("'"), pair["a"], F.lit("' -> '"), pair["b"], F.lit("'"))
+        hit = F.contains(F.lower(acc["t"]), pair["a"]) & F.rlike(acc["t"], pattern)
+        return F.when(hit, F.struct(F.regexp_replace(acc["t"], pattern, pair["b"]).alias("t"), F.array_append(acc["log"], entry).alias("log"))).otherwise(acc)
 
-    def of_piece(t: Column) -> Column:
-        told = []
-        for a, b in pairs:  # each phrase is looked for in what the ones before it left
-            told.append(F.when(t.rlike(rf"(?i)\Q{a}\E"), F.lit(f"'{a}' -> '{b}'")))
-            t = fold(t, [(a, b)])
-        return F.filter(F.array(*told), lambda x: x.isNotNull())
+    def of_piece(s: Column) -> Column:
+        start = F.struct(s["t"].alias("t"), F.array().cast(STRINGS).alias("log"))
+        return F.when(s["p"], start).otherwise(F.aggregate(table, start, step))
 
-    found = F.flatten(F.transform(protect.plain(segs), of_piece))
+    done = stage.put(F.transform(segs, of_piece))
+    out = F.coalesce(protect.joined(segs, F.transform(done, lambda d: d["t"])), text)
+    found = F.flatten(F.transform(done, lambda d: d["log"]))
     return out, F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(F.array(F.lit(none)))
 
 
@@ -241,7 +245,8 @@ def duplicate_sentences(stage: Stage, text: Column, params: Params) -> Result:
 
     outs = stage.put(F.transform(segs, rebuilt))
     total = F.aggregate(lost, F.lit(0), lambda a, b: a + b)
-    dropped = F.flatten(F.transform(found, lambda ss, i: F.filter(ss, lambda s, k: ~F.array_contains(F.get(kept, i), k))))
+    again = lambda ks: F.array_sort(F.transform(F.filter(ks, lambda x, i: (i > 0) & (F.get(ks, i - 1)["k"] == x["k"])), lambda x: F.abs(x["i"])))
+    dropped = F.flatten(F.transform(found, lambda ss, i: F.transform(again(F.get(keyed, i)), lambda k: F.get(ss, k))))
     told = F.concat(F.transform(dropped, lambda s: F.concat(F.lit("duplicate sentence removed: "), s)), F.array(F.concat(F.lit("sentences removed: "), total.cast("string"))))
     return protect.joined(segs, outs), F.when(total > 0, told).otherwise(F.array(F.lit("no duplicate sentence")))
 
