@@ -33,6 +33,10 @@ FANOUT = 8
 #: Cells of the sketch that tells common shingles, and bytes of signatures that meet in a task.
 CELLS = 1 << 18
 MEET_BYTES = 8 << 20
+#: Signatures, and nodes (below 2^16), that a task gathers before it sends them; ranges of signatures sorted in turn.
+GATHER = 3 << 20
+GATHER_NODES = 1 << 15
+RANGES = 16
 #: Documents with this share of rare shingles sign for these alone.
 RARE = 0.7
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +55,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -307,48 +311,68 @@ def _common(table: DataFrame) -> np.ndarray:
 def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.ndarray, shingled: int) -> DataFrame:
     """a, b: edges that connect all nodes which share a signature.
 
-    A batch joins its own nodes of a signature to the least of them and sends on that one alone, packed with others
-    into one value for each bucket of the hash space: signatures, places in a list of nodes, and that list. So a
-    signature that very many share costs one entry a batch. Buckets are as many as the corpus' shingles ask for, so
-    that what meets in a task stays as large whatever the corpus.
+    A task gathers signatures up to a fixed number, however long or short the texts, joins its own nodes of a signature
+    to the least of them and sends on that one alone, packed with others into one value for each bucket of the hash
+    space: signatures, places in a list of nodes, and that list. So a signature that very many share costs one entry
+    each time. Buckets are as many as the corpus' shingles ask for, so that what meets in a task stays as large whatever
+    the corpus.
     """
     num, den = level
     signed = shingled * 2.6 * (den - num) / num  # signatures of the corpus, about; ten bytes each
     buckets = max(16, int(signed * 10 / MEET_BYTES))
     packed = np.packbits(common).tobytes()
 
-    def batch(rows: dict) -> dict:
-        hashes, classes = WordHashes(), Classes(level)
-        marks = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        nodes: dict[int, np.ndarray] = {}
-        for text in rows["text"]:
-            items = shingles(text, width, hashes)
-            if items.size and (node := fingerprint(items)) not in nodes:
-                nodes[node] = classes.signatures(items, marks)
+    def send(nodes: dict[int, np.ndarray]):
+        import pyarrow as pa
+
         out = {"bucket": [], "signatures": [], "places": [], "nodes": [], "edges": []}
-        if not nodes:
-            return out
         names = np.sort(np.fromiter(nodes, np.int64, len(nodes)))
-        sig = np.concatenate([nodes[n] for n in names.tolist()])
-        own = np.repeat(np.arange(names.size), [nodes[n].size for n in names.tolist()])
-        (a, b), sig, low = _stars(sig, own)
-        where = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with sig
-        first = np.flatnonzero(np.diff(where, prepend=-1))
-        for k, start, end in zip(where[first], first, np.r_[first[1:], where.size], strict=True):
-            part = slice(start, end)
-            there, place = np.unique(low[part], return_inverse=True)
-            out["bucket"].append(int(k))
-            # The bucket says the first bits: six bytes tell signatures apart.
-            out["signatures"].append(sig[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            out["places"].append(place.astype(np.uint16).tobytes())
-            out["nodes"].append(names[there].tobytes())
-            out["edges"].append(b"")
+        every = [nodes.pop(n) for n in names.tolist()]
+        owners = np.repeat(np.arange(names.size, dtype=np.uint16), [x.size for x in every])
+        signed = np.concatenate(every)
+        del every
+        ranges, ends = (signed >> np.uint64(56)).astype(np.uint8) // (256 // RANGES), []
+        for r in range(RANGES):
+            this = ranges == r
+            edges, sig, low = _stars(signed[this], owners[this])
+            ends.append(np.stack(edges))
+            where = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with sig
+            first = np.flatnonzero(np.diff(where, prepend=-1))
+            for k, start, end in zip(where[first], first, np.r_[first[1:], where.size], strict=True):
+                part = slice(start, end)
+                there, place = np.unique(low[part], return_inverse=True)
+                out["bucket"].append(int(k))
+                # The bucket says the first bits: six bytes tell signatures apart.
+                out["signatures"].append(sig[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                out["places"].append(place.astype(np.uint16).tobytes())
+                out["nodes"].append(names[there].tobytes())
+                out["edges"].append(b"")
+        a, b = np.unique(np.concatenate(ends, axis=1), axis=1)
         if a.size:  # edges found here travel along, to any bucket
             out["bucket"].append(int(names[a[0]] % buckets))
             for column in ("signatures", "places", "nodes"):
                 out[column].append(b"")
             out["edges"].append(names[a].tobytes() + names[b].tobytes())
-        return out
+        kinds = {"bucket": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()], names=list(out))
+
+    def gather(batches):
+        hashes, classes = WordHashes(), Classes(level)
+        marks = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        nodes: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for text in batch.column("text").slice(at, 500).to_pylist():
+                    items = shingles(text, width, hashes)
+                    if items.size and (node := fingerprint(items)) not in nodes:
+                        nodes[node] = classes.signatures(items, marks)
+                        held += nodes[node].size
+                        if held >= GATHER or len(nodes) >= GATHER_NODES:
+                            yield send(nodes)
+                            held = 0
+        if nodes:
+            yield send(nodes)
 
     def meet(table):
         import pyarrow as pa
@@ -364,7 +388,7 @@ def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.nd
         c, d = np.concatenate(ends, axis=1)
         return pa.table({"a": pa.array(np.r_[a, c], pa.int64()), "b": pa.array(np.r_[b, d], pa.int64())})
 
-    sent = map_rows(df.select("text"), batch, "bucket int, signatures binary, places binary, nodes binary, edges binary", 10_000)
+    sent = df.select("text").mapInArrow(gather, "bucket int, signatures binary, places binary, nodes binary, edges binary")
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
@@ -376,7 +400,8 @@ def _stars(sig: np.ndarray, own: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarr
     sig, own = sig[order], own[order]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     low = np.repeat(own[first], np.diff(np.r_[first, sig.size]))
-    edges = np.unique(np.stack([own, low])[:, own != low], axis=1)
+    apart = own != low
+    edges = np.unique(np.stack([own[apart], low[apart]]), axis=1)
     return (edges[0], edges[1]), sig[first], own[first]
 
 
