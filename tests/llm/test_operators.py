@@ -573,8 +573,9 @@ def near_rows():
     return rows + [(9000, None), (9001, ""), (9002, "a b"), (9003, "A\tb"), (9004, "w " * 20_000), (9005, "a b c d e f g"), (9005, "a b c d e f g")]
 
 
-@pytest.mark.parametrize(("width", "level", "tile", "points"), [(3, (90, 100), 128, 2048), (5, (80, 100), 3, 5), (2, (50, 100), 4, 3)])
-def test_jaccard(spark, monkeypatch, width, level, tile, points):
+@pytest.mark.parametrize(("width", "level", "tile", "points", "gather"), [(3, (90, 100), 128, 2048, 3 << 20), (5, (80, 100), 3, 5, 300), (2, (50, 100), 4, 3, 1)])
+def test_jaccard(spark, monkeypatch, width, level, tile, points, gather):
+    monkeypatch.setattr(jaccard, "GATHER", gather)
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "BLOCK", tile)
     monkeypatch.setattr(jaccard, "POINTS", points)
