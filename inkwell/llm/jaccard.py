@@ -331,9 +331,11 @@ def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.nd
         owners = np.repeat(np.arange(names.size, dtype=np.uint16), [x.size for x in every])
         signed = np.concatenate(every)
         del every
-        ranges, ends = (signed >> np.uint64(56)).astype(np.uint8) // (256 // RANGES), []
+        ranges, ends = (signed >> np.uint64(56)).astype(np.uint8) // (256 // RANGES), [np.empty((2, 0), np.uint16)]
         for r in range(RANGES):
             this = ranges == r
+            if not this.any():
+                continue
             edges, sig, low = _stars(signed[this], owners[this])
             ends.append(np.stack(edges))
             where = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with sig

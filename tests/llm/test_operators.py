@@ -625,6 +625,13 @@ def test_jaccard_ids(spark):
     assert jaccard.jaccard_groups(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "a b c")], [(1, "a b"), (2, "a b"), (3, "c"), (4, None)], [(k, f"{'x y z ' * 5}{k}") for k in range(3)]])
+def test_jaccard_small_tables(spark, rows):
+    """Texts that sign for nothing, and so few signatures that most ranges of them are empty."""
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs(spark, rows)).collect())
+    assert got == plain_groups(rows, 3, 90, 100)
+
+
 def test_tables_go(spark):
     """Of the tables written on the way only those that the result reads stay."""
     from pathlib import Path
