@@ -90,7 +90,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixture", mixture),
 ]
 
-#: SQL can express neither the language model nor the alignment; tests hold each stage against a plain version.
+#: SQL can express neither the language model nor the alignment; tests hold near copies, leaks and masks against plain
+#: versions, the language stage and the mix against planted outcomes and bounds.
 ORACLE_SQL: str | None = None
 
 
