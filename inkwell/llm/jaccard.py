@@ -39,7 +39,10 @@ GATHER_NODES = 1 << 15
 RANGES = 16
 #: Documents with this share of rare shingles sign for these alone.
 RARE = 0.7
+#: Most times that large families are parted by signatures in other groups.
+REGROUPS = 3
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(56)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,7 +106,7 @@ class Classes:
         while start < 1 << 40:
             end = max(start + 1, start * den // num)
             most = (end - 1 + (end - 1) * den // num) * (den - num) // (den + num)
-            slack = (most + 1) // 3 + 1
+            slack = (most + 1) // 2 + 1
             self.starts.append(start)
             self.slack.append(slack)
             self.groups.append(most + 1 + slack)
@@ -115,25 +118,32 @@ class Classes:
         least = int(np.searchsorted(self.starts, -(-n * self.level[0] // self.level[1]), "right")) - 1
         return range(max(0, least), own + 1)
 
-    def signatures(self, items: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    def signatures(self, items: np.ndarray, common: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
         """A hash of the content of each group, for each class. Of two linked sets at least one is the same.
+        Another seed groups anew. The first byte names the class.
 
         common: marks cells of the hash space that hold common shingles. Linked sets lack at most 1 - s of one
         another, so where one has a share of RARE rare shingles or more, the other has (RARE - (1 - s)) s or more. Sets
         between these bounds sign for their rare shingles and for all, so that any two linked sets do one of the two.
         """
         s = self.level[0] / self.level[1]
-        rare = items if common is None else items[~common[cell_of(items, common.size)]]
-        out = []
+        seldom = np.ones(items.size, bool) if common is None else ~common[cell_of(items, common.size)]
+        if seed:
+            items = mix(items + np.uint64(seed) * _P)
+            order = np.argsort(items)
+            items, seldom = items[order], seldom[order]
+        rare, out = items[seldom], []
         if rare.size < RARE * items.size:
-            out.append(self._signed(items, items.size, 1))
+            out.append(self._signed(items, np.where(seldom, 4, 1), items.size, 1))
         if rare.size >= (RARE - (1 - s)) * s * items.size - 1e-6:
-            out.append(self._signed(rare, items.size, 0))
+            out.append(self._signed(rare, np.full(rare.size, 4), items.size, 0))
         return np.concatenate(out)
 
-    def _signed(self, items: np.ndarray, n: int, kind: int) -> np.ndarray:
-        """Linked sets share slack + 1 groups or more, so a set with at most slack empty groups need not sign for empty
-        ones: then a shared group that is not empty remains. Only sets with more sign for them."""
+    def _signed(self, items: np.ndarray, worth: np.ndarray, n: int, kind: int) -> np.ndarray:
+        """Linked sets share slack + 1 groups or more, so each need not sign for its slack least telling groups: empty
+        ones, then those of least worth, in an order by content alone. Of the shared groups the last in that order
+        stands behind slack others in both sets, so both sign for it. Groups of one shingle, which chance makes equal
+        far more often than groups of more, so mostly go."""
         out = []
         spread = mix(items ^ _P)
         # Groups are ranges of the hash space, so sorted items are in order of their groups.
@@ -143,13 +153,22 @@ class Classes:
             member = np.minimum((top * groups).astype(np.int64), groups - 1)
             first = np.flatnonzero(np.diff(member, prepend=-1))
             sums, which = (np.add.reduceat(spread, first) if first.size else spread), member[first].astype(np.uint64)
-            if groups - first.size > self.slack[k]:
+            weight = np.add.reduceat(worth, first) if first.size else worth
+            spare = self.slack[k] - (groups - first.size)
+            if spare < 0:
                 empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), which)
-                sums, which = np.r_[sums, np.zeros(empty.size, np.uint64)], np.r_[which, empty]
-            out.append(mix(sums + mix(which * _P + np.uint64(2 * k + kind))))
+                sums, which, weight = np.r_[sums, np.zeros(empty.size, np.uint64)], np.r_[which, empty], np.r_[weight, np.zeros(empty.size, weight.dtype)]
+                spare = self.slack[k]
+            signed = _classed(mix(sums + mix(which * _P + np.uint64(2 * k + kind))), np.uint64(k % 256) << _TOP)
+            out.append(signed[np.lexsort((signed, weight))[spare:]])
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _classed(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hashes whose first byte gives way to a class in the first byte."""
+    return hashes >> np.uint64(8) | classes
+
+
 def cell_of(items: np.ndarray, cells: int) -> np.ndarray:
     """The sketch's cell of each shingle (cells is a power of two), by bits that groups don't begin with."""
     return ((items >> np.uint64(16)) & np.uint64(cells - 1)).astype(np.int64)
@@ -308,19 +327,37 @@ def _common(table: DataFrame) -> np.ndarray:
     return times > mean + 10 * np.sqrt(mean) + 10
 
 
-def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.ndarray, shingled: int) -> DataFrame:
-    """a, b: edges that connect all nodes which share a signature.
+def _buckets(sizes: DataFrame, level: tuple[int, int]) -> np.ndarray:
+    """How many buckets the signatures of each first byte get: about MEET_BYTES each, by sets of size n; a few hundred numbers reach the driver."""
+    classes, signed = Classes(level), np.zeros(256)
+    for r in sizes.where("n > 0").groupBy(F.floor(F.log2("n") * 8).alias("octave")).agg(F.count("*").alias("many"), F.min("n").alias("least"), F.max("n").alias("most")).collect():
+        for k in range(classes.of(r["least"]).start, classes.of(r["most"]).stop):
+            signed[k % 256] += r["many"] * (classes.groups[k] - classes.slack[k])
+    return np.ceil(signed * 10 / MEET_BYTES).astype(np.int64)  # ten bytes a signature, about
+
+
+def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.ndarray, each: np.ndarray, seed: int = 0) -> DataFrame:
+    """a, b: edges that connect all nodes which share a signature; where df has a family, within it. each: _buckets.
 
     A task gathers signatures up to a fixed number, however long or short the texts, joins its own nodes of a signature
     to the least of them and sends on that one alone, packed with others into one value for each bucket of the hash
     space: signatures, places in a list of nodes, and that list. So a signature that very many share costs one entry
     each time. Buckets are as many as the corpus' shingles ask for, so that what meets in a task stays as large whatever
-    the corpus.
+    the corpus. Each size class has buckets of its own, so that sets which share many signatures meet in few of them:
+    every bucket names the same edges again.
     """
-    num, den = level
-    signed = shingled * 2.6 * (den - num) / num  # signatures of the corpus, about; ten bytes each
-    buckets = max(16, int(signed * 10 / MEET_BYTES))
+    begins, buckets = np.cumsum(each) - each, max(1, int(each.sum()))
     packed = np.packbits(common).tobytes()
+    apart = "family" in df.columns
+
+    def bucket_of(sig: np.ndarray) -> np.ndarray:
+        """Rises with sig."""
+        out = np.empty(sig.size, np.int32)
+        for at in range(0, sig.size, 1 << 18):
+            part = sig[at : at + (1 << 18)]
+            kind, spot = (part >> _TOP).astype(np.int64), (part >> np.uint64(24)).astype(np.int64) & 0xFFFFFFFF
+            out[at : at + part.size] = np.minimum(begins[kind] + (spot * each[kind] >> 32), buckets - 1)
+        return out
 
     def send(nodes: dict[int, np.ndarray]):
         import pyarrow as pa
@@ -331,20 +368,20 @@ def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.nd
         owners = np.repeat(np.arange(names.size, dtype=np.uint16), [x.size for x in every])
         signed = np.concatenate(every)
         del every
-        ranges, ends = (signed >> np.uint64(56)).astype(np.uint8) // (256 // RANGES), [np.empty((2, 0), np.uint16)]
+        ranges, ends = (bucket_of(signed) * np.int32(RANGES) // np.int32(buckets)).astype(np.uint8), [np.empty((2, 0), np.uint16)]
         for r in range(RANGES):
             this = ranges == r
             if not this.any():
                 continue
             edges, sig, low = _stars(signed[this], owners[this])
             ends.append(np.stack(edges))
-            where = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with sig
+            where = bucket_of(sig)
             first = np.flatnonzero(np.diff(where, prepend=-1))
             for k, start, end in zip(where[first], first, np.r_[first[1:], where.size], strict=True):
                 part = slice(start, end)
                 there, place = np.unique(low[part], return_inverse=True)
                 out["bucket"].append(int(k))
-                # The bucket says the first bits: six bytes tell signatures apart.
+                # The bucket says the class: six bytes tell its signatures apart.
                 out["signatures"].append(sig[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 out["places"].append(place.astype(np.uint16).tobytes())
                 out["nodes"].append(names[there].tobytes())
@@ -365,10 +402,15 @@ def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.nd
         held = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                for text in batch.column("text").slice(at, 500).to_pylist():
+                some = batch.slice(at, 500)
+                families = some.column("family").to_pylist() if apart else [None] * some.num_rows
+                for text, family in zip(some.column("text").to_pylist(), families, strict=True):
                     items = shingles(text, width, hashes)
                     if items.size and (node := fingerprint(items)) not in nodes:
-                        nodes[node] = classes.signatures(items, marks)
+                        signed = classes.signatures(items, marks, seed)
+                        if apart:
+                            signed = _classed(mix(signed + np.array([family]).view(np.uint64)), signed >> _TOP << _TOP)
+                        nodes[node] = signed
                         held += nodes[node].size
                         if held >= GATHER or len(nodes) >= GATHER_NODES:
                             yield send(nodes)
@@ -390,7 +432,7 @@ def _candidates(df: DataFrame, width: int, level: tuple[int, int], common: np.nd
         c, d = np.concatenate(ends, axis=1)
         return pa.table({"a": pa.array(np.r_[a, c], pa.int64()), "b": pa.array(np.r_[b, d], pa.int64())})
 
-    sent = df.select("text").mapInArrow(gather, "bucket int, signatures binary, places binary, nodes binary, edges binary")
+    sent = df.select("text", *["family"] * apart).mapInArrow(gather, "bucket int, signatures binary, places binary, nodes binary, edges binary")
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
@@ -524,18 +566,15 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with scratch(spark) as keep:
         whole = materialize(_sets(docs, width), "sets")
         sets = whole.where("n is not null").drop("cell", "times")
-        shingled = sets.agg(F.sum("n")).first()[0] or 0
-        coarse = connected(_candidates(docs, width, level, _common(whole), shingled))
+        common = _common(whole)
+        coarse = connected(_candidates(docs, width, level, common, _buckets(sets, level)))
         coarse = materialize(coarse.select("node", F.col("component").alias("family")), "families")
-        sizes = coarse.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-        sizes = materialize(sizes, "tiles")
         # One row a node before the join: exact copies have met by partial sums.
-        carriers = sets.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(coarse, "node")
-        tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
-        carriers = materialize(carriers.join(sizes, "family").withColumn("tile", tile), "carriers")
+        carriers = _tiled(sets.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(coarse, "node"), coarse, "carriers")
         # Dealt by key at every size: only families travel on, but which these are is known too late to be read first.
         members = materialize(_members(docs, carriers, width), "members")
-        groups = _verified(members, carriers, width, level)
+        members, wide = _regrouped(members, carriers.where("tiles > 1").drop("key"), width, level, common)
+        groups = _verified(members, wide, width, level)
         lone = F.xxhash64(F.lit("empty"), F.col("key"))
         rooted = sets.join(groups, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(lone).alias("root"))
         rooted = materialize(rooted, "rooted")
@@ -546,13 +585,44 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _verified(members: DataFrame, carriers: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
-    """node, component by the links of all families."""
+def _tiled(nodes: DataFrame, families: DataFrame, name: str) -> DataFrame:
+    """nodes with their family's number of tiles, and their tile. families: one row a node."""
+    sizes = materialize(families.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "tiles")
+    tile = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
+    return materialize(nodes.join(sizes, "family").withColumn("tile", tile), name)
+
+
+def _regrouped(members: DataFrame, wide: DataFrame, width: int, level: tuple[int, int], common: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """members and wide (node, family, tile, tiles of large families) after large families have parted.
+
+    Linked sets share a signature however shingles are grouped, and chance links others. So each large family is
+    connected again within itself by signatures in other groups: what chance alone had chained parts, nodes without a
+    partner go, no link is lost, and the work is in proportion to the family. Families of more than POINTS texts
+    after that are parted again, REGROUPS times at most.
+    """
+    least = TILE
+    for seed in range(1, REGROUPS + 1):
+        large = materialize(wide.groupBy("family").agg(F.count("*").alias("many")).where(F.col("many") > least).select("family"), "large")
+        if large.isEmpty():
+            break
+        texts = materialize(members.where("tiles > 1").join(large, "family").drop("tile", "tiles"), "texts")
+        each = _buckets(texts.select(F.col("size").alias("n")), level)
+        close = connected(_candidates(texts, width, level, common, each, seed))
+        close = materialize(close.select("node", F.col("component").alias("family")), "families")
+        close = _tiled(close, close, "regrouped")
+        members = members.join(large, "family", "left_anti").unionByName(texts.drop("family").join(close, "node").select(members.columns))
+        members = materialize(members, "members")
+        wide = materialize(wide.join(large, "family", "left_anti").unionByName(close.where("tiles > 1").select(wide.columns)), "wide")
+        least = POINTS
+    return members, wide
+
+
+def _verified(members: DataFrame, wide: DataFrame, width: int, level: tuple[int, int]) -> DataFrame:
+    """node, component by the links of all families. wide: node, family, tile, tiles of the large ones."""
     spread = F.when((F.col("tile") == 0) & (F.col("tiles") > 1), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
     own = members.select("family", F.explode(spread).alias("tile"), F.lit(0).alias("part"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "text")
     links = materialize(_linked_edges(own, width, level), "links")
     groups = materialize(connected(links), "groups")
-    wide = carriers.where("tiles > 1")
     if wide.isEmpty():
         return groups
     labelled = wide.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")

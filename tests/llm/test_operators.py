@@ -607,6 +607,79 @@ def test_jaccard_signatures_lose_no_pair():
                 assert set(range(30, 50)) <= set(tree.search(vector(b), b.size, level).tolist())
 
 
+def test_jaccard_groups_of_one_shingle_go():
+    """Long sets with a twentieth of their shingles in common seldom share a signature, however shingles are grouped."""
+    rng = np.random.default_rng(11)
+    classes = jaccard.Classes((80, 100))
+    many = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+    passage = many(100)
+    sets = [np.unique(np.r_[passage, many(1900)]) for _ in range(40)]
+    signed = [classes.signatures(x) for x in sets]
+    met = sum(np.intersect1d(signed[i], signed[j]).size > 0 for i in range(40) for j in range(i))
+    assert met < 100, met  # of 780 pairs; 295 where such groups sign
+
+
+def test_jaccard_signatures_in_other_groups_lose_no_pair():
+    rng = np.random.default_rng(12)
+    for level in ((90, 100), (80, 100)):
+        classes = jaccard.Classes(level)
+        for _ in range(200):
+            n = int(rng.integers(5, 300))
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.r_[a[int(rng.integers(0, n * (level[1] - level[0]) // level[1] + 1)) :], a[:0]])
+            common = rng.random(1 << 10) < 0.4
+            if jaccard.linked(a, b, level) and a.size > b.size:
+                for seed in (1, 2):
+                    assert np.intersect1d(classes.signatures(a, common, seed), classes.signatures(b, common, seed)).size
+
+
+def chained(rng, many):
+    """Texts, each with a third of the one before, of which no two are near copies, and a copy of each with a word more."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    texts, last = [], [word() for _ in range(60)]
+    for _ in range(many):
+        last = last[40:] + [word() for _ in range(40)]
+        texts.append(" ".join(last))
+    return [*texts, *(f"{t} end" for t in texts)]
+
+
+def test_jaccard_large_families_part(spark, monkeypatch):
+    """Of a family that chance has chained, texts without a near copy outside their pair part before they are compared."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    seen = []
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda members, wide, *a: (seen.append(wide.count()), verified(members, wide, *a))[1])
+    candidates = jaccard._candidates
+
+    def chain(df, width, level, common, each, seed=0):  # at first, all nodes are one family
+        edges = candidates(df, width, level, common, each, seed)
+        return edges if seed else edges.unionByName(edges.crossJoin(edges.agg(F.min("b").alias("least"))).select("a", F.col("least").alias("b")))
+
+    monkeypatch.setattr(jaccard, "_candidates", chain)
+    rows = list(enumerate(chained(random.Random(4), 40)))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs(spark, rows)).collect())
+    assert got == plain_groups(rows, 3, 90, 100)
+    assert seen == [0]  # no family of more than a tile is left
+
+
+def test_jaccard_edges_are_named_in_few_buckets(spark, monkeypatch):
+    """Copies of different sizes: the more buckets a set's signatures go to, the more often its edges are named."""
+    monkeypatch.setattr(jaccard, "MEET_BYTES", 4000)
+    monkeypatch.setattr(jaccard, "GATHER", 1)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = []
+    for size in (20, 30, 45, 70, 100, 150, 220, 330, 500):
+        base = [word() for _ in range(size)]
+        rows += [(len(rows) + k, " ".join([*base[:-1], word()])) for k in range(8)]
+    named = []
+    connected = jaccard.connected
+    monkeypatch.setattr(jaccard, "connected", lambda edges: (named.append((edges.count(), edges.distinct().count())), connected(edges))[1])
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs(spark, rows)).collect())
+    assert got == plain_groups(rows, 3, 90, 100)
+    assert named[0][0] < 6 * named[0][1], named
+
+
 def test_jaccard_ids(spark):
     """Null ids and ids that different texts share: a row each, and no more rows on the way."""
     rng = random.Random(3)
