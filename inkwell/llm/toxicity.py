@@ -26,6 +26,8 @@ FIELD_TEXTS = 300
 SLOTS = 1 << 16
 BEGINNINGS = (3, 4, 5, 6, 7)
 FEATURES = 2 + len(BEGINNINGS)
+#: Bytes of text whose words are held at once (one text is never cut); about 600,000 words.
+HELD_BYTES = 4 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _EDGES = re.compile(rb"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$")
 
@@ -246,13 +248,11 @@ def tag(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "te
     """doc_id, score, predicted, spans for each row: spans are runs of words with marginals of 0.5 or more, in code points, end exclusive.
 
     Null and empty texts have no words: nothing offends, and the score is the least there is. Narrow: no shuffle.
+    Words are held for HELD_BYTES of text at a time, however long the texts of a batch are.
     """
 
-    def batch(rows: dict) -> dict:
-        texts = [(t or "").encode() for t in rows["text"]]
-        words = [t.split() for t in texts]
-        found = model.marginals(words)
-        spans = []
+    def judge(texts: list[bytes], scores: list[float], spans: list[list[dict]]) -> None:
+        found = model.marginals([t.split() for t in texts])
         for raw, p in zip(texts, found, strict=True):
             some: list[dict] = []
             if p.size and p.max() >= 0.5:
@@ -267,7 +267,21 @@ def tag(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "te
                             some.append({"start": start, "end": end, "p": float(p[k])})
                         last = k
             spans.append(some)
-        scores = [model.score(p) for p in found]
+            scores.append(model.score(p))
+
+    def batch(rows: dict) -> dict:
+        scores: list[float] = []
+        spans: list[list[dict]] = []
+        some: list[bytes] = []
+        size = 0
+        for text in rows["text"]:
+            raw = (text or "").encode()
+            if some and size + len(raw) > HELD_BYTES:
+                judge(some, scores, spans)
+                some, size = [], 0
+            some.append(raw)
+            size += len(raw)
+        judge(some, scores, spans)
         return {"doc_id": rows["doc_id"], "score": scores, "predicted": [int(s >= 0.5) for s in scores], "spans": spans}
 
     return map_rows(columns(df, doc_id=id_col, text=text_col), batch, SCHEMA)

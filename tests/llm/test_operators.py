@@ -880,3 +880,23 @@ def test_queries_keep_all_documents(spark, data):
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     for name in ("op1_secrets", "op3_ogg", "op4_licenses", "op5_mixing", "op6_langid", "op9_toxicity"):
         assert queries.QUERIES[name](spark, data).count() == n
+
+
+def test_toxicity_holds_words_by_bytes(monkeypatch):
+    """However long the texts of a batch, words are held for a bounded number of bytes; cut or not, rows are judged alike."""
+    rng = np.random.default_rng(13)
+    model = toxicity.Field(rng.normal(0, 1, toxicity.SLOTS), np.array([[0.0, -1.0], [-1.0, -1.0]]), -3.0)
+    monkeypatch.setattr(toxicity, "columns", lambda df, **names: df)
+    monkeypatch.setattr(toxicity, "map_rows", lambda df, batch, schema: batch(df))
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 3000, 40)] + [None, "", "é w1 w2"]
+    rows = {"doc_id": list(range(len(texts))), "text": texts}
+    whole = toxicity.tag(rows, model)
+    held = []
+    marginals = toxicity.Field.marginals
+    monkeypatch.setattr(toxicity.Field, "marginals", lambda self, some: (held.append(sum(len(w) for t in some for w in t)), marginals(self, some))[1])
+    monkeypatch.setattr(toxicity, "HELD_BYTES", 20_000, raising=False)
+    cut = toxicity.tag(rows, model)
+    assert max(held) <= 20_000 and len(held) > 5
+    assert [len(x) for x in cut["spans"]] == [len(x) for x in whole["spans"]]
+    assert cut["predicted"] == whole["predicted"] and np.allclose(cut["score"], whole["score"])
