@@ -4,7 +4,8 @@ A document's set holds the hashes of its distinct word shingles. Two sets of n a
 least s differ in at most (n + m)(1 - s) / (1 + s) shingles. So if the hash space is cut into more groups than that,
 some group of both holds exactly the same shingles: documents that agree in a whole group are candidates, and no link
 is lost. The same holds for the rare shingles alone, so most documents sign for these only, and a passage that very
-many documents share makes no candidates of them. Chains of candidates are coarse families; within a family the counts
+many documents share makes no candidates of them, and groups beyond the bound let each sign for its most telling ones
+alone. Chains of candidates are coarse families; within a family the counts
 of each document's shingles in groups, the more groups the larger its set, are points of an R-tree, the summed
 coordinate minima bound the overlap from above, and pairs that survive the bound are compared. A pair whose ends are
 known to be connected adds nothing to the groups and is passed over, so that a family of thousands of copies needs few
