@@ -130,7 +130,7 @@ class Classes:
         s = self.level[0] / self.level[1]
         seldom = np.ones(items.size, bool) if common is None else ~common[cell_of(items, common.size)]
         if seed:
-            items = mix(items + np.uint64(seed) * _P)
+            items = mix(items + np.uint64(seed * int(_P) % (1 << 64)))
             order = np.argsort(items)
             items, seldom = items[order], seldom[order]
         rare, out = items[seldom], []
