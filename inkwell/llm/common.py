@@ -135,6 +135,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of rows so described; made on the driver, as workers have no session to read it with."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def map_rows(df: DataFrame, one_batch: Callable, schema: str | StructType, rows: int = 1000) -> DataFrame:
     """Arrow batches through one_batch(dict of lists) -> dict of lists, in schema's order; so many rows at a time."""
     import pyarrow as pa

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.io import spread
-from . import chat, decontamination, jaccard, langid, licenses, mixing, ogg, secrets, toxicity, warc
+from . import chat, decontamination, exactdedup, jaccard, langid, licenses, mixing, negatives, ogg, secrets, tokenalign, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.align_tokenizers(_documents(spark, sf_dir))[0]
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secrets, op2_decontamination, op3_ogg, op4_licenses, op5_mixing, op6_langid, op7_warc, op8_jaccard, op9_toxicity, op10_chat)
+    for f in (op1_secrets, op2_decontamination, op3_ogg, op4_licenses, op5_mixing, op6_langid, op7_warc, op8_jaccard, op9_toxicity, op10_chat, op11_exact_dedup, op12_token_alignment, op13_hard_negatives)
 }
-ORACLES: dict[str, str] = {"op1_secrets": secrets.ORACLE, "op8_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_secrets": secrets.ORACLE, "op8_jaccard": jaccard.ORACLE, "op5_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_chat": chat.ORACLE, "op11_exact_dedup": exactdedup.ORACLE, "op13_hard_negatives": negatives.ORACLE}
