@@ -43,49 +43,104 @@ _STRENGTH = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: SPDX ids that count as licenses and exceptions, in lower case; LicenseRef-... and DocumentRef-... count too.
+KNOWN_IDS = frozenset(
+    """
+0bsd afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0
+blueoak-1.0.0 bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 bzip2-1.0.6
+cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0
+cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl gfdl-1.2 gfdl-1.3 gfdl-1.3-only gfdl-1.3-or-later
+gpl-1.0 gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0+ gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0+ gpl-3.0-only gpl-3.0-or-later hpnd icu ijg isc
+lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1+ lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0+ lgpl-3.0-only lgpl-3.0-or-later libpng libpng-2.0 lppl-1.3c
+mit mit-0 mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby
+sgi-b-2.0 sleepycat tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 font-exception-2.0 gcc-exception-3.1 linux-syscall-note llvm-exception openssl-exception
+""".split()
+)
+
+
+def is_known(license_id: str) -> bool:
+    return license_id in KNOWN_IDS or license_id.startswith(("licenseref-", "documentref-"))
+
+
 @dataclass(frozen=True)
-class Node:
-    """An expression: a license id (op 'id'), or an operator over two parts."""
+class Expression:
+    """An expression in postfix order, as the shunting-yard gives it: ids, and operators behind their two parts.
 
-    op: str
-    left: object
-    right: Node | None = None
+    Whatever is asked of it is one walk with a stack, so no expression is too deep.
+    """
+
+    tokens: tuple[str, ...]
 
     def ids(self) -> set[str]:
-        if self.op == "id":
-            return {str(self.left)}
-        if self.op == "with":
-            return {f"{self.left.left} with {self.right.left}"}
-        return self.left.ids() | self.right.ids()
+        """The ids, those joined by WITH as one."""
+        held: list[str] = []  # WITH joins two ids, so only ids wait for it
+        out: set[str] = set()
+        for token in self.tokens:
+            if token == "with":
+                right = held.pop()
+                held.append(f"{held.pop()} with {right}")
+            elif token not in _STRENGTH:
+                held.append(token)
+            else:
+                out.update(held)
+                held.clear()
+        return out | set(held)
 
     def allows(self, accepted: set[str]) -> bool:
         """Whether a user who accepts these ids may use the work: OR any part, AND all; WITH needs its license or the pair."""
-        if self.op == "id":
-            return self.left in accepted
-        if self.op == "with":
-            return bool(self.ids() & accepted) or self.left.allows(accepted)
-        a, b = self.left.allows(accepted), self.right.allows(accepted)
-        return a and b if self.op == "and" else a or b
+        held: list[bool] = []
+        for k, token in enumerate(self.tokens):
+            if token not in _STRENGTH:
+                held.append(token in accepted)
+                continue
+            right, left = held.pop(), held.pop()
+            if token == "with":
+                held.append(left or f"{self.tokens[k - 2]} with {self.tokens[k - 1]}" in accepted)
+            else:
+                held.append(left and right if token == "and" else left or right)
+        return held[0]
+
+    def unknown(self) -> bool:
+        return not all(token in _STRENGTH or is_known(token) for token in self.tokens)
+
+
+def show(expression: Expression) -> str:
+    """Infix, with parentheses around every operator. Ids stand in the same order as in postfix."""
+    begins: list[int] = []  # of each part on the stack, its first id
+    opened, closed, before, ids = [], [], [], []
+    for token in expression.tokens:
+        if token not in _STRENGTH:
+            begins.append(len(ids))
+            ids.append(token)
+            opened.append(0)
+            closed.append(0)
+            before.append("")
+        else:
+            before[begins.pop()] = f" {token} "  # the operator stands before its right part
+            opened[begins[-1]] += 1
+            closed[-1] += 1
+    return "".join(f"{b}{'(' * o}{x}{')' * c}" for b, o, x, c in zip(before, opened, ids, closed, strict=True))
 
 
-def parse_expression(text: str) -> tuple[Node | None, bool]:
+def parse_expression(text: str) -> tuple[Expression | None, bool]:
     """The longest well-formed expression at the start of text, by shunting-yard, and whether anything was malformed.
 
     Ids become lower case. A second operand in a row ends the expression ("MIT for details" is MIT); so does a
-    closing parenthesis that nothing opened. Unclosed parentheses and operators without an operand spoil it.
+    closing parenthesis that nothing opened. Unclosed parentheses and operators without an operand spoil it. An unknown
+    id is malformed; an expression without any known one is none ("banana phone").
     """
-    output: list[Node] = []
+    output: list[str] = []
     stack: list[str] = []
+    plain: list[bool] = []  # of each part whether it is a single id, as WITH needs on both sides
+    opened = 0
 
     def reduce() -> bool:
         op = stack.pop()
-        if len(output) < 2:
-            return False
-        right, left = output.pop(), output.pop()
-        if op == "with" and (left.op != "id" or right.op != "id"):
-            return False
-        output.append(Node(op, left, right))
-        return True
+        right, left = plain.pop(), plain.pop()
+        output.append(op)
+        plain.append(False)
+        return op != "with" or (left and right)
 
     at, operand_next = 0, True
     while m := _TOKEN.match(text, at):
@@ -94,8 +149,9 @@ def parse_expression(text: str) -> tuple[Node | None, bool]:
             if not operand_next:
                 break
             stack.append(token)
+            opened += 1
         elif token == ")":
-            if "(" not in stack:
+            if not opened:
                 break
             if operand_next:
                 return None, True
@@ -103,6 +159,7 @@ def parse_expression(text: str) -> tuple[Node | None, bool]:
                 if not reduce():
                     return None, True
             stack.pop()
+            opened -= 1
         elif token in _STRENGTH:
             if operand_next:
                 return None, True
@@ -114,15 +171,19 @@ def parse_expression(text: str) -> tuple[Node | None, bool]:
         else:
             if not operand_next:
                 break
-            output.append(Node("id", token.rstrip(".:") or token))
+            output.append(token.rstrip(".:") or token)
+            plain.append(True)
             operand_next = False
         at = m.end()
-    if operand_next or "(" in stack:
+    if operand_next or opened:
         return None, True
     while stack:
         if not reduce():
             return None, True
-    return output[0], False
+    found = Expression(tuple(output))
+    if not any(is_known(t) for t in found.tokens if t not in _STRENGTH):
+        return None, True
+    return found, found.unknown()
 
 
 def normal_words(text: str) -> list[str]:
@@ -181,15 +242,12 @@ def confidence(found: dict) -> float:
     return 1.0 - 0.5 ** (2 * len(found["base"]) + len(found["notices"]))
 
 
-def show(node: Node) -> str:
-    return str(node.left) if node.op == "id" else f"({show(node.left)} {node.op} {show(node.right)})"
-
-
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: words, phrase places, labels, parsed expressions, verdict and score.
 
     permissive: null without any label; else all expressions can be satisfied from PERMISSIVE and all notices are in
-    it. Null texts count as empty; rows are independent, so repeated ids and rows stay; an empty table gives no rows.
+    it. expressions: every operator with its parentheses. labels name known ids (KNOWN_IDS, LicenseRef-...) only; malformed
+    tells of others. Expressions may be of any length and depth. Null texts count as empty; rows are independent, so repeated ids and rows stay; an empty table gives no rows.
     Narrow: no shuffle.
     """
     scanner: list[Scanner] = []
@@ -203,7 +261,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             places = [p for p, _ in found["base"]]
             base = sorted({x for _, x in found["base"]})
             notices = {x for _, x in found["notices"]}
-            stated = set().union(*(n.ids() for n in found["expressions"]))
+            stated = {x for n in found["expressions"] for x in n.ids() if is_known(x.partition(" with ")[0])}
             labels = sorted(set(base) | notices | stated)
             free = None
             if labels:

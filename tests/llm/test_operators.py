@@ -306,6 +306,36 @@ def test_ogg_pages_by_hand():
     assert streams[5].packets == [b"head", b"", b] and any("checksum" in f for f in faults) and any("missing" in f for f in faults)
 
 
+def test_ogg_flags_chains_and_granules(spark):
+    a = ogg.page(1, 0, 0, b"\3", b"abc", 2)
+    continued = ogg.page(1, 1, 9, b"\2\1", b"dex", 1)  # "de" goes on from nothing
+    streams, faults = ogg.read_pages(a + continued + ogg.page(1, 2, 10, b"\1", b"y", 4))
+    assert streams[1].packets == [b"abc", b"x", b"y"] and any("continues no packet" in f for f in faults)
+    streams, faults = ogg.read_pages(ogg.page(1, 0, 0, b"\3", b"abc", 0))
+    assert streams[1].packets == [b"abc"] and any("without a first page" in f for f in faults)
+    streams, faults = ogg.read_pages(a + ogg.page(1, 1, 5, b"\1", b"x", 4) + ogg.page(1, 2, 4, b"\1", b"y"))
+    assert len(streams[1].packets) == 3 and {"page of stream 1 behind its last", "granule position of stream 1 goes back"} <= set(faults)
+    streams, faults = ogg.read_pages(a + ogg.page(1, 1, 5, b"\1", b"x", 2))
+    assert faults == ["another first page of stream 1"]
+    streams, faults = ogg.read_pages(a + ogg.page(1, 1, -1, b"\xff", b"z" * 255) + ogg.page(1, 2, 7, b"\0\1", b"q", 1))
+    assert not faults and streams[1].packets == [b"abc", b"z" * 255, b"q"]
+    open_end = ogg.page(1, 1, -1, b"\xff", b"z" * 255)
+    assert ogg.read_pages(a + open_end)[1] == ["packet of stream 1 not ended"]
+    assert "packet of stream 1 not ended" in ogg.read_pages(a + open_end + ogg.page(1, 2, 3, b"\1", b"w"))[1]
+    one = ogg.ogg_encode(b"some text " * 400)
+    whole = ogg.ogg_decode(one + one)
+    single = ogg.ogg_decode(one)
+    assert not whole["faults"] and whole["payload"] == single["payload"] * 2 and whole["n_bytes"] == 8000 and len(whole["streams"]) == 4
+    other = ogg.ogg_decode(one + ogg.ogg_encode(b"other"))
+    assert not other["faults"] and other["payload"] == single["payload"] + ogg.pad(b"other")
+    wrong = b"".join(ogg.write_stream(5, [(b"PCM8\0" + bytes(12), 0), (b"x", 1)])[k] + ogg.write_stream(6, [(b"INDEX\0" + bytes(8), 0), (b"short", 1)])[k] for k in range(2))
+    assert "a packet differs from its index" in ogg.ogg_decode(wrong)["faults"]
+    rows = spark.createDataFrame([(1, bytearray(one + one)), (2, bytearray(continued))], "doc_id long, media binary")
+    got = ogg.read_packets(rows).collect()
+    assert b"".join(bytes(r["data"]) for r in got if r["media_id"] == 1 and r["second"] is not None and r["packet"] and len(r["data"]) > 8) == whole["payload"]
+    assert [(bytes(r["data"]), r["faults"]) for r in got if r["media_id"] == 2] == [(b"x", ["stream 1 begins without a first page", "page 0 of stream 1 missing"])]
+
+
 # 4 licenses
 
 
@@ -348,6 +378,60 @@ def test_expressions():
     assert node.allows({"mit"}) and not node.allows({"isc"})
     found = licenses.Scanner().scan("// SPDX-License-Identifier: MIT AND (\n")
     assert found["malformed"] and not found["expressions"]
+    assert licenses.parse_expression("banana phone") == (None, True)
+    mixed, bad = licenses.parse_expression("MIT OR banana")
+    assert bad and mixed.ids() == {"mit", "banana"} and mixed.allows({"mit"})
+    assert licenses.parse_expression("LicenseRef-own AND mit")[1] is False
+    assert licenses.parse_expression("(GPL-2.0-only WITH Classpath-exception-2.0) AND (MIT OR ISC)")[0].ids() == {"gpl-2.0-only with classpath-exception-2.0", "mit", "isc"}
+
+
+def plain_expression(text):
+    """(value under accepted ids, ids, shown) by Python's own parser, for small expressions of known ids."""
+    names = {}
+    code = re.sub(r"[a-z][\w.-]*", lambda m: m[0] if m[0] in ("and", "or") else names.setdefault(m[0], f"n{len(names)}"), text.lower())
+    return lambda accepted: eval(code, {}, {n: t in accepted for t, n in names.items()}), set(names)
+
+
+def test_expressions_against_python():
+    rng = random.Random(9)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["mit", "isc", "gpl-3.0-only", "zlib", "mpl-2.0"])
+        left, right = made(depth - 1), made(depth - 1)
+        return f"({left} {rng.choice(['and', 'or', 'AND', 'OR'])} {right})" if rng.random() < 0.6 else f"{left} {rng.choice(['and', 'or'])} {right}"
+
+    for _ in range(400):
+        text = made(4)
+        value, ids = plain_expression(text)
+        got, bad = licenses.parse_expression(text)
+        assert not bad and got.ids() == ids
+        again = licenses.parse_expression(licenses.show(got))[0]
+        for _ in range(6):
+            accepted = {i for i in ids if rng.random() < 0.5}
+            assert got.allows(accepted) == value(accepted) == again.allows(accepted), text
+
+
+def plain_notices(text):
+    words, _ = plain_base(text)
+    return [label for phrase, label in licenses.NOTICE_PHRASES.items() for k in range(len(words)) if words[k : k + phrase.count(" ") + 1] == phrase.split()]
+
+
+def test_long_expressions_and_notices(spark):
+    n = 50_000
+    chains = [" or ".join(["MIT"] * n), " AND ".join(["isc"] * n), "(" * n + "mit" + ")" * n, " or (mit and ".join(["zlib"] * (n // 2)) + ")" * (n // 2 - 1), " or ".join(f"LicenseRef-{k}" for k in range(n))]
+    rng = random.Random(11)
+    bits = [*licenses.NOTICE_PHRASES, "gnu", "public license", "clause", "filler words", "Bsd 3"]
+    rows = [(k, f"x SPDX-License-Identifier: {c}\nend") for k, c in enumerate(chains)]
+    rows += [(100 + k, ". ".join(rng.choice(bits).title() for _ in range(rng.randrange(9)))) for k in range(150)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert [got[k]["permissive"] for k in range(5)] == [True, True, True, True, False]
+    assert [got[k]["labels"] for k in range(4)] == ["mit", "isc", "mit", "mit,zlib"] and got[4]["labels"].count(",") == n - 1
+    assert all(len(got[k]["expressions"]) == 1 and got[k]["score"] == 1.0 for k in range(5))
+    for k, t in rows[5:]:
+        found = plain_notices(t)
+        assert got[k]["labels"] == ",".join(sorted(set(found))), t
+        assert got[k]["score"] == 1 - 0.5 ** len(found)
 
 
 # 5 mixing
@@ -396,6 +480,9 @@ def test_mixing(spark):
     key = lambda r: (r["doc_id"], r["copies"])
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert mixing.mix(docs(spark, [])).count() == 0
+    nameless = [(None, f"w {k % 50} " * (k % 7), None, "ab"[k % 2]) for k in range(600)] + [(None, "same text", None, None)] * 100 + [(k, "x y", None, "a") for k in range(40)]
+    by_text = [sorted((r["source"] or "", r["size"], r["copies"]) for r in mixing.mix(docs(spark, random.Random(n).sample(nameless, len(nameless))).repartition(n)).collect()) for n in (2, 7)]
+    assert by_text[0] == by_text[1] and len(by_text[0]) == len(nameless)
     lost = mixing.mix(docs(spark, [(None, "w " * (k % 9 + 1), None, "a") for k in range(900)] + [(1, "w " * 4000, None, "b")])).collect()
     share = next(r["target"] for r in lost if r["source"] == "a")
     assert len(lost) == 901 and abs(sum(r["taken"] for r in lost if r["source"] == "a") - share) <= 40 + 0.03 * share
@@ -900,3 +987,40 @@ def test_toxicity_holds_words_by_bytes(monkeypatch):
     assert max(held) <= 20_000 and len(held) > 5
     assert [len(x) for x in cut["spans"]] == [len(x) for x in whole["spans"]]
     assert cut["predicted"] == whole["predicted"] and np.allclose(cut["score"], whole["score"])
+
+
+def test_leaks_without_any_seed(spark):
+    """Copies with a word put in at nearly every place, against alignment of every document with every item."""
+    rng = random.Random(21)
+    items = [(k, [f"w{rng.randrange(300)}" if rng.random() < 0.3 else f"i{k}x{j}" for j in range(n)]) for k, n in enumerate([6, 15, 19, 20, 38, 49, 50, 100])]
+    rows = []
+    for _ in range(250):
+        _, item = rng.choice(items)
+        share, text = rng.choice([0.4, 0.6, 0.8, 1.0]), [f"w{rng.randrange(300)}" for _ in range(rng.randrange(30))]
+        for w in item:
+            text += [w] if rng.random() < 0.97 else []
+            text += [f"n{rng.randrange(10**6)}"] if rng.random() < share else []
+        rows.append((len(rows), " ".join(text)))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs(spark, rows), bench).collect()}
+    want, unseeded = set(), 0
+    for key, text in rows:
+        held = decontamination.words(text)
+        for k, item in items:
+            number = {w: n for n, w in enumerate(dict.fromkeys(item))}
+            window, own = (np.array([number.get(w, -1) for w in x], np.int64) for x in (held, item))
+            points, equal, edits, _, _ = decontamination.align(own, window)
+            if points / (2 * len(item)) >= 0.5 or (equal >= 13 and edits * 4 <= equal):
+                want.add((key, k))
+                index = decontamination.Index.build([(k, " ".join(item))], 4)
+                index.lookers = index.lookers[:0]
+                unseeded += not index.stretches(np.array([index.vocabulary.get(w, -1) for w in held], np.int32))
+    assert got == want and unseeded > 20
+
+
+def test_words_of_unseeded_leaks():
+    """The bound by trying every way to lay out equal words and edits."""
+    for size in range(1, 30):
+        for n in (2, 3, 4):
+            found = [e for e in range(1, size + 1) if any(2 * e - d >= size or (e >= 13 and 4 * d <= e) for d in range(-(-e // (n - 1)) - 1, 60))]
+            assert decontamination.unseeded_words(size, n, 0.5, 13) == min(found, default=None)
