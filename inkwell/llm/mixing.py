@@ -45,6 +45,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return levels.withColumn("target", target).select("source", "source_size", "n", "target")
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """name: what a row is known by, whatever the partitions: its id, or the hash of its text and its rank among equals.
+
+    Ranks of equal rows come from counts by part of the input, so no task gathers them.
+    """
+    named = rows.where("doc_id IS NOT NULL").withColumn("name", F.col("doc_id").cast("string"))
+    equal = ["blob", "source"]
+    nameless = rows.where("doc_id IS NULL").withColumn("part", F.shiftright("row", 33))
+    along = Window.partitionBy(equal).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = nameless.groupBy(*equal, "part").agg(F.count("*").alias("m")).select(*equal, "part", F.coalesce(F.sum("m").over(along), F.lit(0)).alias("start"))
+    starts = starts.withColumnRenamed("source", "from")
+    ranked = nameless.withColumn("rank", F.row_number().over(Window.partitionBy(*equal, "part").orderBy("row")))
+    joined = ranked.join(starts, (ranked["blob"] == starts["blob"]) & ranked["source"].eqNullSafe(starts["from"]) & (ranked["part"] == starts["part"]))
+    name = F.concat_ws(" ", F.lit("text"), ranked["blob"], (F.col("rank") + F.col("start")).cast("string"))
+    return named.unionByName(joined.select(*(ranked[c] for c in rows.columns), name.alias("name"))).drop("blob", "row")
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: how often the mix takes each row of df.
 
@@ -53,21 +70,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     near the target. Places on the line come from two sums: within a cell (source, class, chunk), and over a source's
     cells. Both grow as the square root of the source's rows, so a source with a third of all rows is no hot spot.
 
-    Null texts have size 0, and so do texts of blanks; null sources are one source, the last. Rows with equal ids and
-    sizes are told apart by their order only, and so may swap copies; one id that very many rows of a source share
+    Null texts have size 0, and so do texts of blanks; null sources are one source, the last. Rows without an id
+    are known by their texts and ranks among equal ones, so any order of the input gives the same copies of each text.
+    Rows with equal ids and sizes are told apart by their order only, and so may swap copies; one id that very many rows of a source share
     falls into few cells. Sources without words have target 0. Empty input, empty result. The list of sources, a row
     each, is laid out in one task.
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
-    rows = materialize(columns(df, doc_id=id_col, source=source_col, size=size, row=F.monotonically_increasing_id()), "sizes")
+    blob = F.when(F.col(f"`{id_col}`").isNull(), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    rows = materialize(columns(df, doc_id=id_col, source=source_col, size=size, row=F.monotonically_increasing_id(), blob=blob), "sizes")
     totals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     # A text that no source lacks, so that joins and windows share one plain key.
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     known = materialize(totals.withColumn("sk", named).drop("source"), "targets")
-    # Rows without an id are told apart by their place in the written table, so that no cell gathers them.
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "name"))
     bits = F.bin("size")
-    placed = rows.withColumn("sk", named).join(known, "sk").withColumn("key", key).select(
+    placed = _told_apart(rows).withColumn("sk", named).join(known, "sk").withColumn("key", key).select(
         "doc_id", "source", "size", "source_size", "target", "sk", "key",
         (F.length(bits) * 2 + F.when(F.substring(bits, 2, 1) == "1", 1).otherwise(0)).alias("class"),
         F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.ceil(F.sqrt("n") / 8).cast("long")).alias("chunk"),
