@@ -88,23 +88,29 @@ class Stream:
     pages: int = 0
     started: bool = False
     ended: bool = False
+    link: int = 0
+    latest: int = 0
 
     def seconds(self, rate: int = RATE) -> list[float | None]:
         return [g / rate if g >= 0 else None for g in self.granules]
 
 
-def read_pages(data: bytes) -> tuple[dict[int, Stream], list[str]]:
-    """Streams by serial number, in order of appearance, and what is wrong.
+def read_pages(data: bytes) -> tuple[dict, list[str]]:
+    """Streams by serial number (of later links of a chain by serial and link), in order of appearance, and what is wrong.
 
     A page of a wrong checksum is left out whole and the reader looks for the next capture pattern; the packet that
-    it was part of is dropped, not joined over the gap. Granule positions are known at page ends only: packets that
-    end earlier on a page have -1 here, ``date_packets`` fills them for streams of known packet lengths.
+    it was part of is dropped, not joined over the gap. So is what a page says to continue where no packet is open.
+    Granule positions are known at page ends only: packets that end earlier on a page have -1 here, ``date_packets``
+    fills them for streams of known packet lengths. Media may be chained: once all streams have ended, a first page
+    begins another link, whose streams may use serial numbers again. Missing first pages, pages behind the last one,
+    first pages of running streams and granule positions that go back are faults; the pages count all the same.
     """
-    streams: dict[int, Stream] = {}
-    parts: dict[int, bytearray | None] = {}
+    streams: dict[object, Stream] = {}
+    current: dict[int, Stream] = {}
+    parts: dict[int, bytearray | None] = {}  # of each running stream the open packet, if any
     expected: dict[int, int] = {}
     faults: list[str] = []
-    at = 0
+    at, link = 0, 0
     while at < len(data):
         if data[at : at + 4] != b"OggS":
             found = data.find(b"OggS", at + 1)
@@ -126,34 +132,55 @@ def read_pages(data: bytes) -> tuple[dict[int, Stream], list[str]]:
             faults.append(f"bad checksum at {at}")
             at += 4
             continue
-        stream = streams.setdefault(serial, Stream(serial))
-        if sequence != expected.get(serial, 0):
+        if flags & 2 and current and all(s.ended for s in current.values()):
+            link += 1
+            faults += [f"packet of stream {s} not ended" for s, part in parts.items() if part is not None]
+            current, parts, expected = {}, {}, {}
+        if serial not in current:
+            current[serial] = Stream(serial, link=link)
+            streams[(serial, link) if serial in streams else serial] = current[serial]
+            if not flags & 2:
+                faults.append(f"stream {serial} begins without a first page")
+        elif flags & 2:
+            faults.append(f"another first page of stream {serial}")
+        stream = current[serial]
+        if stream.ended:
+            faults.append(f"page of stream {serial} behind its last")
+        lost = sequence != expected.get(serial, 0)
+        if lost:
             faults.append(f"page {expected.get(serial, 0)} of stream {serial} missing")
             parts[serial] = None
         expected[serial] = sequence + 1
         stream.pages += 1
         stream.started |= bool(flags & 2)
         stream.ended |= bool(flags & 4)
+        if granule >= 0:
+            if granule < stream.latest:
+                faults.append(f"granule position of stream {serial} goes back")
+            stream.latest = max(stream.latest, granule)
         part = parts.get(serial)
-        if not flags & 1:
-            if part:
-                faults.append(f"packet of stream {serial} not ended")
-            part = bytearray()
-        offset, ended, skip = at + 27 + count, [], bool(flags & 1) and part is None
+        skip = bool(flags & 1) and part is None and count > 0
+        if skip and not lost:
+            faults.append(f"page of stream {serial} continues no packet")
+        if not flags & 1 and part is not None and count:
+            faults.append(f"packet of stream {serial} not ended")
+            part = None
+        offset, ended = at + 27 + count, []
         for value in lacing:
             if not skip:
+                part = part if part is not None else bytearray()
                 part += data[offset : offset + value]
             offset += value
             if value < 255:
                 if not skip:
                     ended.append(bytes(part))
-                part, skip = bytearray(), False
-        parts[serial] = None if skip else part
+                part, skip = None, False
+        parts[serial] = part
         stream.packets += ended
         if ended:
             stream.granules += [-1] * (len(ended) - 1) + [granule]
         at = end
-    faults += [f"packet of stream {s} not ended" for s, part in parts.items() if part]
+    faults += [f"packet of stream {s} not ended" for s, part in parts.items() if part is not None]
     return streams, faults
 
 
@@ -189,39 +216,50 @@ def ogg_encode(raw: bytes) -> bytes:
 
 
 def ogg_decode(media: bytes) -> dict:
-    """Payload and facts read back from the stored bytes; faults is empty if every check held."""
+    """Payload and facts read back from the stored bytes; faults is empty if every check held.
+
+    The links of a chain follow one another: their payloads are joined, their unpadded bytes added up.
+    """
     streams, faults = read_pages(media)
-    sound = next((s for s in streams.values() if s.packets and s.packets[0][:5] == b"PCM8\0"), None)
-    index = next((s for s in streams.values() if s.packets and s.packets[0][:6] == b"INDEX\0"), None)
-    if sound is None or index is None or len(sound.packets[0]) != 17 or len(index.packets[0]) != 14:
-        return {"payload": b"", "n_bytes": 0, "faults": [*faults, "no known streams"], "streams": streams}
-    _, rate, total = struct.unpack("<5sIQ", sound.packets[0])
-    _, n_bytes = struct.unpack("<6sQ", index.packets[0])
-    date_packets(sound)
-    payload = b"".join(sound.packets[1:])
-    for mark, data in zip(index.packets[1:], sound.packets[1:], strict=False):
-        if struct.unpack("<II", mark)[1] != zlib.crc32(data):
-            faults.append("a packet differs from its index")
-    if len(payload) != total or len(index.packets) != len(sound.packets):
-        faults.append("packets missing")
-    if not all(s.started and s.ended for s in (sound, index)):
-        faults.append("a stream is not whole")
-    return {"payload": payload, "n_bytes": n_bytes, "faults": faults, "streams": streams, "sound": sound, "rate": rate}
+    out = {"payload": b"", "n_bytes": 0, "faults": faults, "streams": streams, "sounds": [], "rates": []}
+    for link in range(max((s.link for s in streams.values()), default=0) + 1):
+        own = [s for s in streams.values() if s.link == link]
+        sound = next((s for s in own if s.packets and s.packets[0][:5] == b"PCM8\0"), None)
+        index = next((s for s in own if s.packets and s.packets[0][:6] == b"INDEX\0"), None)
+        if sound is None or index is None or len(sound.packets[0]) != 17 or len(index.packets[0]) != 14:
+            faults.append("no known streams")
+            continue
+        _, rate, total = struct.unpack("<5sIQ", sound.packets[0])
+        _, n_bytes = struct.unpack("<6sQ", index.packets[0])
+        date_packets(sound)
+        payload = b"".join(sound.packets[1:])
+        for mark, data in zip(index.packets[1:], sound.packets[1:], strict=False):
+            if len(mark) != 8 or struct.unpack("<II", mark)[1] != zlib.crc32(data):
+                faults.append("a packet differs from its index")
+        if len(payload) != total or len(index.packets) != len(sound.packets):
+            faults.append("packets missing")
+        if not all(s.started and s.ended for s in (sound, index)):
+            faults.append("a stream is not whole")
+        out["payload"] += payload
+        out["n_bytes"] += n_bytes
+        out["sounds"].append(sound)
+        out["rates"].append(rate or RATE)
+        out.setdefault("sound", sound)
+    return out
 
 
 def feature(found: dict) -> str:
     """What the samples say: streams, pages, packets, seconds, mean, energy and crossings of the middle level."""
     import numpy as np
 
-    sound = found.get("sound")
-    if sound is None:
+    if not found["sounds"]:
         return "none"
     x = np.frombuffer(found["payload"], dtype=np.uint8).astype(np.int64)
     crossings = int(np.count_nonzero(np.diff(x >= 96)))
-    times = [t for t in sound.seconds(found["rate"])[1:] if t is not None]
+    times = [[t for t in s.seconds(r)[1:] if t is not None] for s, r in zip(found["sounds"], found["rates"], strict=True)]
     pages = sum(s.pages for s in found["streams"].values())
     return (
-        f"streams={len(found['streams'])};pages={pages};packets={len(sound.packets) - 1};end={times[-1] if times else 0:.6f};"
+        f"streams={len(found['streams'])};pages={pages};packets={sum(len(s.packets) - 1 for s in found['sounds'])};end={sum(t[-1] for t in times if t):.6f};"
         f"sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings};faults={len(found['faults'])}"
     )
 
