@@ -1,8 +1,10 @@
 """Benchmark decontamination: word n-grams seed candidate passages, Smith-Waterman alignment scores them.
 
-A test item's n-grams are looked up in every document; where some stand, the words around make a window. Windows that
-share enough words with the item for a leak are aligned with it word by word, so that copies with words changed, left
-out or put in still score high. How often an n-gram or a passage stands in the corpus decides nothing.
+A test item's n-grams are looked up in every document; where some stand, the words around make a window. A copy with
+words changed or put in nearly everywhere may hold none of them; such a copy must hold so many of the item's words near
+one another that these find it. Windows that share enough words with the item for a leak are aligned with it word by
+word, so that copies with words changed, left out or put in still score high. How often an n-gram, a word or a passage
+stands in the corpus decides nothing; words that are rare among the items only go first.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ SHORT = ((20, 2), (50, 3))
 REMEMBERED = 4_000_000
 #: Places of grams in items that are looked at together.
 ROOMS = 1_000_000
+#: Leaks that hold no seed are sought where they have so many equal words at least; shorter items by their grams alone.
+FEW = 4
 #: Alignment values of items of under half so many words fit in 32 bits.
 SMALL = 1 << 14
 #: Words of test items that are held at once; larger benchmarks are searched in blocks.
@@ -62,14 +66,44 @@ class Index:
     items: list[tuple[int, np.ndarray]]
     #: by gram length: sorted codes, where each begins in the next, and (item place, first offset, last offset) for each item that holds it
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    least: float = LEAST_SCORE
+    least_words: int = LEAST_WORDS
+    seeds: tuple[int, ...] = ()
 
     def __post_init__(self) -> None:
         self.sizes = np.array([i.size for _, i in self.items], np.int64)
         self.slack = np.maximum(4, self.sizes // 4)
         self.bags = [np.unique(i, return_counts=True) for _, i in self.items]
+        self._loosen()
+
+    def _loosen(self) -> None:
+        """What finds leaks without a seed: for each word the items that look out for it, how many such words each needs, how near.
+
+        An item need not look out for all its words: those that most items hold are left out as long as a third of what
+        it needs stays, and count as if they were there.
+        """
+        held = np.zeros(len(self.vocabulary) + 1, np.int64)
+        for own, _ in self.bags:
+            held[own] += 1
+        self.need = np.zeros(len(self.items), np.int64)
+        self.span = np.maximum(np.ceil((3 - 2 * self.least) * self.sizes), np.ceil(1.25 * self.sizes)).astype(np.int64)
+        heads, places = [], []
+        for place, (own, counts) in enumerate(self.bags):
+            enough = unseeded_words(int(self.sizes[place]), self.seeds[place], self.least, self.least_words)
+            if enough is None or enough < FEW:
+                continue
+            order = np.argsort(-held[own], kind="stable")
+            out = int(np.searchsorted(np.cumsum(counts[order]), enough - max(1, enough // 3), side="right"))
+            self.need[place] = enough - int(counts[order[:out]].sum())
+            heads.append(own[order[out:]])
+            places.append(np.full(own.size - out, place))
+        heads = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+        order = np.argsort(heads, kind="stable")
+        self.lookers = np.concatenate(places)[order] if places else np.zeros(0, np.int64)
+        self.looked = np.searchsorted(heads[order], np.arange(len(self.vocabulary) + 1))
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], n: int) -> Index:
+    def build(cls, rows: list[tuple[int, str]], n: int, least: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> Index:
         vocabulary: dict[str, int] = {}
         items = []
         for key, text in rows:
@@ -77,8 +111,10 @@ class Index:
             if found:
                 items.append((key, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found], np.int64)))
         by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        seeds = []
         for place, (_, ids) in enumerate(items):
             size = min(n, len(ids), next((k for under, k in SHORT if len(ids) < under), n))  # a shorter item is one gram
+            seeds.append(size)
             codes, first = np.unique(h := gram_codes(ids, size), return_index=True)
             last = h.size - 1 - np.unique(h[::-1], return_index=True)[1]
             by.setdefault(size, []).append((codes, np.stack([np.full(codes.size, place), first, last], axis=1)))
@@ -88,7 +124,7 @@ class Index:
             order = np.argsort(codes, kind="stable")
             codes, first = np.unique(codes[order], return_index=True)
             grams[size] = (codes, np.r_[first, order.size], np.concatenate([w for _, w in found])[order])
-        return cls(vocabulary, items, grams)
+        return cls(vocabulary, items, grams, least, least_words, tuple(seeds))
 
     def stretches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(item place, start, end): where in the document each item may lie, disjoint for an item.
@@ -125,8 +161,50 @@ class Index:
                 n, slack = self.sizes[place], self.slack[place]
                 room = np.column_stack((place, np.maximum(0, p - entry[:, 2] - slack), np.minimum(len(ids), p - entry[:, 1] + n + slack)))
                 rooms.append(merged(room) if len(cuts) > 2 else room)
+        rooms += self.crowds(ids)
         return [tuple(x) for x in merged(np.concatenate(rooms)).tolist()] if rooms else []
 
+    def crowds(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Rooms around places where as many of an item's words stand as near to one another as a leak without a seed needs."""
+        if not self.lookers.size:
+            return []
+        at = np.flatnonzero(ids >= 0)
+        many = self.looked[ids[at] + 1] - self.looked[ids[at]]
+        total = int(many.sum())
+        if not total:
+            return []
+        found = []
+        step, reach = -(-ids.size // -(-total // ROOMS)), int(self.span.max())
+        for begin in range(0, ids.size, step):
+            part = slice(*np.searchsorted(at, (begin, begin + step + reach)))
+            p, m = np.repeat(at[part], many[part]), many[part]
+            place = self.lookers[np.repeat(self.looked[ids[at[part]]] + m - np.cumsum(m), m) + np.arange(m.sum())]
+            order = np.argsort(place, kind="stable")
+            place, p = place[order], p[order]
+            last = np.arange(p.size) + self.need[place] - 1
+            full = np.flatnonzero(last < p.size)
+            full = full[place[last[full]] == place[full]]
+            full = full[p[last[full]] - p[full] < self.span[place[full]]]
+            if full.size:
+                a, b, w = place[full], p[last[full]], self.span[place[full]]
+                found.append(merged(np.column_stack((a, np.maximum(0, b - w + 1), np.minimum(ids.size, p[full] + w)))))
+        return found
+
+
+def unseeded_words(size: int, n: int, least: float, least_words: int) -> int | None:
+    """Equal words that a leak of an item has at least if no n of them stand in a row on both sides; None: there is no such leak.
+
+    Runs of equal words are then n - 1 long at most, with an edit between any two, so e equal words come with at least
+    ceil(e / (n - 1)) - 1 edits. By score a leak has 2 e - edits >= 2 least size; by words at most a quarter as many
+    edits as equal words.
+    """
+    if n < 2:
+        return None
+    equal = np.arange(1, size + 1)
+    edits = -(-equal // (n - 1)) - 1
+    leak = (MATCH * equal - edits >= MATCH * least * size - 1e-9) | ((equal >= least_words) & (edits * 4 <= equal))
+    return int(equal[leak][0]) if leak.any() else None
+
 
 def merged(rooms: np.ndarray) -> np.ndarray:
     """Rows (item place, start, end) with those of an item that overlap made one."""
@@ -235,7 +313,7 @@ def find_leaks(
     items = columns(benchmark, item_id=item_col, text=item_text_col).where("text is not null")
     found = None
     for block in _blocks(items, block_words):
-        some = _leaks_of(docs, Index.build(block, n), least, least_words)
+        some = _leaks_of(docs, Index.build(block, n, least, least_words), least, least_words)
         found = some if found is None else found.unionByName(some)
     return found
 
