@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -26,9 +27,9 @@ from .common import arrow_schema, columns, materialize, reachable
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Characters of text that a batch aligns together; a longer text is a batch of its own.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: Different chunks whose tokens a task remembers from batch to batch.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Pairs of ids up to which their counts are sent to all executors; beyond, they are joined by shuffle. About 32 MB.
 SMALL_PAIRS = 1_000_000
 #: In a key that is sorted: an end, which side it is of, and its place, from high bits to low.
@@ -53,7 +54,6 @@ class ByteLevel:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        self.length = {i: len(t) for t, i in ranks.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         order = [model["vocab"]["".join(m)] for m in merges]
         if order == sorted(order):  # merges in the order of ids: ids are ranks
@@ -99,13 +99,14 @@ class Tokenised:
         return _CUT.split(f" {text}") if self.b.splits else [f" {text}"]
 
     def tokens(self, chunk: str) -> tuple | None:
-        """(ids and lengths by A, ids and lengths by B, bytes), or None if the tokens' bytes are not the chunk's."""
+        """(ids and lengths by A, ids and lengths by B, each as packed integers, and bytes), or None if the tokens' bytes are not the chunk's."""
         if chunk in self.known:
             return self.known[chunk]
         raw = chunk.encode()
         a, b = self.a.encode(chunk), self.b.encode(chunk)
         right = b"".join(self.a.bytes[i] for i in a) == raw and b"".join(self.b.bytes[i] for i in b) == raw
-        found = (a, [self.a.length[i] for i in a], b, [len(self.b.bytes[i]) for i in b], len(raw)) if right else None
+        packed = lambda xs: array("i", xs).tobytes()
+        found = (packed(a), packed(len(self.a.bytes[i]) for i in a), packed(b), packed(len(self.b.bytes[i]) for i in b), len(raw)) if right else None
         if len(self.known) >= self.remembered:
             self.known.popitem(last=False)
         self.known[chunk] = found
@@ -130,8 +131,8 @@ def tokenise(df: DataFrame, a_path: str, b_path: str, batch_chars: int = BATCH_C
         def packed(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
             numbers: dict[str, int] = {}
             kept: list[tuple] = []
-            docs = []
-            for key, text in rows:
+            said, ends = array("i"), [0]
+            for _, text in rows:
                 own: list[int] = []
                 for chunk in tokenised.chunks(text) if text else ():
                     at = numbers.get(chunk)
@@ -141,11 +142,15 @@ def tokenise(df: DataFrame, a_path: str, b_path: str, batch_chars: int = BATCH_C
                         if found is not None:
                             kept.append(found)
                     own.append(at)
-                docs.append({"doc_id": key, "chunks": [] if -1 in own else own})
-            flat = lambda k, kind: np.fromiter((x for t in kept for x in t[k]), dtype=kind)
+                if -1 not in own:
+                    said.extend(own)
+                ends.append(len(said))
+            flat = lambda k: np.frombuffer(b"".join(t[k] for t in kept), dtype=np.int32)
             sizes = np.fromiter((t[4] for t in kept), dtype=np.int64, count=len(kept))
-            whole = [docs, flat(0, np.int32), np.cumsum(flat(1, np.int64)), flat(2, np.int32), np.cumsum(flat(3, np.int64)), np.cumsum(sizes)]
-            return pa.RecordBatch.from_arrays([pa.array([x], type=arrow.field(i).type) for i, x in enumerate(whole)], schema=arrow)
+            chunks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(said, dtype=np.int32)))
+            docs = pa.StructArray.from_arrays([pa.array([k for k, _ in rows], pa.int64()), chunks], names=["doc_id", "chunks"])
+            whole = [docs, *map(pa.array, (flat(0), np.cumsum(flat(1), dtype=np.int64), flat(2), np.cumsum(flat(3), dtype=np.int64), np.cumsum(sizes)))]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(arrow.field(i).type) for i, x in enumerate(whole)], schema=arrow)
 
         rows: list[tuple[int | None, str]] = []
         held = 0
