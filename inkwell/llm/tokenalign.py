@@ -1,13 +1,14 @@
 """Alignment of two tokenizers: which tokens of one share bytes with which of the other, in text and over the corpus.
 
 Python only tokenises. Everything behind it is Spark's higher-order functions: array_intersect of the tokens' ends gives
-the places where both end, sorted keys give how many ends lie before a place, sequence, transform and slice build groups
-and links, and aggregate sums them.
+the places where both end, sorted keys give how many ends of the other side lie before an end, sequence, transform and
+slice build groups and links, and aggregate sums them.
 
 A chunk is what stands from one space behind a letter, digit or ASCII mark to the next such space. Neither vocabulary
-has a token across such a place, so chunks are tokenised on their own, and a batch of documents tokenises and aligns
-each of its different chunks once; documents are sequences of numbers of chunks. Chunks end where tokens of both end, so
-groups and links of a document are those of its chunks, in order.
+has a token across such a place, so chunks are tokenised on their own, and each different chunk of the corpus is
+tokenised and aligned once. Documents are packed by the thousand as numbers into a list of their different chunks; only
+these lists meet the aligned chunks by join. Chunks end where tokens of both end, so groups and links of a document are
+those of its chunks, in order.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections import OrderedDict
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -26,19 +26,16 @@ from .common import arrow_schema, columns, materialize, reachable
 
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
-#: Characters of text that a batch aligns together; a longer text is a batch of its own.
-BATCH_CHARS = 2_000_000
-#: Different chunks whose tokens a task remembers from batch to batch.
-REMEMBERED = 150_000
+#: Characters of text in a pack of documents; a longer text is a pack of its own.
+PACK_CHARS = 12_000_000
 #: Pairs of ids up to which their counts are sent to all executors; beyond, they are joined by shuffle. About 32 MB.
 SMALL_PAIRS = 1_000_000
 #: In a key that is sorted: an end, which side it is of, and its place, from high bits to low.
 _SIDE, _PLACE = 31, (1 << 31) - 1
 
 _CUT = re.compile(r"(?<=[^\W_]|[!-/:-@\[-`{-~])(?= +[^ ])")
-BATCH = (
-    "docs array<struct<doc_id bigint, chunks array<int>>>, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>, chunk_ends array<bigint>"
-)
+PACK = "docs array<struct<doc_id bigint, chunks array<int>>>, words array<string>"
+TOKENS = "word string, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>"
 
 
 class ByteLevel:
@@ -87,85 +84,81 @@ class Pieces:
 
 
 class Tokenised:
-    """Tokens of chunks, remembered up to a number of them."""
+    """Tokens of chunks by both vocabularies."""
 
-    def __init__(self, a_path: str, b_path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
-        self.known: OrderedDict[str, tuple | None] = OrderedDict()
-        self.remembered = remembered
-
-    def chunks(self, text: str) -> list[str]:
-        """Pieces of space + text."""
-        return _CUT.split(f" {text}") if self.b.splits else [f" {text}"]
 
     def tokens(self, chunk: str) -> tuple | None:
-        """(ids and lengths by A, ids and lengths by B, each as packed integers, and bytes), or None if the tokens' bytes are not the chunk's."""
-        if chunk in self.known:
-            return self.known[chunk]
+        """(ids and lengths by A, ids and lengths by B), or None if the tokens' bytes are not the chunk's."""
         raw = chunk.encode()
         a, b = self.a.encode(chunk), self.b.encode(chunk)
-        right = b"".join(self.a.bytes[i] for i in a) == raw and b"".join(self.b.bytes[i] for i in b) == raw
-        packed = lambda xs: array("i", xs).tobytes()
-        found = (packed(a), packed(len(self.a.bytes[i]) for i in a), packed(b), packed(len(self.b.bytes[i]) for i in b), len(raw)) if right else None
-        if len(self.known) >= self.remembered:
-            self.known.popitem(last=False)
-        self.known[chunk] = found
-        return found
+        left, right = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
+        if b"".join(left) != raw or b"".join(right) != raw:
+            return None
+        return a, list(map(len, left)), b, list(map(len, right))
 
 
-def tokenise(df: DataFrame, a_path: str, b_path: str, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """doc_id, text -> a row for each batch of documents: its documents as numbers of chunks, and its chunks' tokens.
+def pack(df: DataFrame, splits: bool, pack_chars: int = PACK_CHARS) -> DataFrame:
+    """doc_id, text -> packs of documents: each document as numbers of chunks, and the pack's different chunks.
 
-    The chunks of a batch stand one behind another: ends count bytes from the batch's first chunk. Documents without
-    tokens have no chunks.
+    Documents without text have no chunks. splits: whether texts may be cut into chunks.
     """
     reachable(df.sparkSession)
-    arrow = arrow_schema(BATCH)
+    arrow = arrow_schema(PACK)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        tokenised = Tokenised(a_path, b_path)
+        ids: list[int | None] = []
+        numbers: dict[str, int] = {}
+        said, ends, held = array("i"), [0], 0
 
-        def packed(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
-            numbers: dict[str, int] = {}
-            kept: list[tuple] = []
-            said, ends = array("i"), [0]
-            for _, text in rows:
-                own: list[int] = []
-                for chunk in tokenised.chunks(text) if text else ():
-                    at = numbers.get(chunk)
-                    if at is None:
-                        found = tokenised.tokens(chunk)
-                        at = numbers[chunk] = -1 if found is None else len(kept)
-                        if found is not None:
-                            kept.append(found)
-                    own.append(at)
-                if -1 not in own:
-                    said.extend(own)
-                ends.append(len(said))
-            flat = lambda k: np.frombuffer(b"".join(t[k] for t in kept), dtype=np.int32)
-            sizes = np.fromiter((t[4] for t in kept), dtype=np.int64, count=len(kept))
-            chunks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(said, dtype=np.int32)))
-            docs = pa.StructArray.from_arrays([pa.array([k for k, _ in rows], pa.int64()), chunks], names=["doc_id", "chunks"])
-            whole = [docs, *map(pa.array, (flat(0), np.cumsum(flat(1), dtype=np.int64), flat(2), np.cumsum(flat(3), dtype=np.int64), np.cumsum(sizes)))]
+        def packed() -> pa.RecordBatch:
+            chunks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(said, dtype=np.int32).copy()))
+            docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), chunks], names=["doc_id", "chunks"])
+            whole = [docs, pa.array(list(numbers), pa.string())]
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(arrow.field(i).type) for i, x in enumerate(whole)], schema=arrow)
 
-        rows: list[tuple[int | None, str]] = []
-        held = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                said = text.as_py() or ""
-                if rows and held + len(said) > batch_chars:
-                    yield packed(rows)
-                    rows, held = [], 0
-                rows.append((key, said))
-                held += len(said)
-        if rows:
-            yield packed(rows)
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py() or ""
+                if ids and held + len(text) > pack_chars:
+                    yield packed()
+                    ids, numbers, said, ends, held = [], {}, array("i"), [0], 0
+                ids.append(key)
+                held += len(text)
+                if text:
+                    own = _CUT.split(f" {text}") if splits else [f" {text}"]
+                    said.extend([numbers.setdefault(chunk, len(numbers)) for chunk in own])
+                ends.append(len(said))
+        if ids:
+            yield packed()
+
+    return df.select("doc_id", "text").mapInArrow(run, PACK)
+
+
+def tokenise(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """word -> its tokens' ids and ends in bytes by both vocabularies; null where the tokens' bytes are not the word's."""
+    reachable(words.sparkSession)
+    arrow = arrow_schema(TOKENS)
+
+    def run(batches: Iterator) -> Iterator:
+        from itertools import accumulate
+
+        import pyarrow as pa
+
+        tokenised = Tokenised(a_path, b_path)
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for word in batch.column(0).to_pylist():
+                a, a_lengths, b, b_lengths = tokenised.tokens(word) or (None, None, None, None)
+                for column, values in zip(out, (a, a and list(accumulate(a_lengths)), b, b and list(accumulate(b_lengths))), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, type=arrow.field(i + 1).type) for i, v in enumerate(out))], schema=arrow)
 
-    return df.select("doc_id", "text").mapInArrow(run, BATCH)
+    return words.select("word").mapInArrow(run, TOKENS)
 
 
 def _key(end: Column, side: int, place: Column) -> Column:
@@ -188,64 +181,64 @@ def _keys(ends: Column, side: int) -> Column:
     return F.transform(ends, lambda e, i: _key(e, side, i.cast("long")))
 
 
-def below(points: Column, ends: Column) -> Column:
-    """For each of the rising points how many of the rising ends lie before it, by one sort of both."""
-    both = F.sort_array(F.concat(_keys(points, 0), _keys(ends, 1)))
-    return F.filter(F.transform(both, lambda x, k: F.when(_side(x) == 0, k.cast("int") - _place(x).cast("int"))), lambda n: n.isNotNull())
-
-
 def _held(name: str) -> Column:
     """A column, named twice: the optimizer moves what is named once into the function that uses it, for every element."""
     return F.when(F.col(name).isNotNull(), F.col(name))
 
 
-def align(batches: DataFrame) -> DataFrame:
-    """Batches of documents with groups (a text for each) and links (A id * 2^32 + B id) of each of their chunks.
+def align(tokens: DataFrame) -> DataFrame:
+    """word, n_a, n_b, n_groups, groups (a text) and links (A id * 2^32 + B id) of each word; null without tokens.
 
     A group goes from one place where both tokens end to the next. A link is a stretch of bytes from any token's end to
-    the next end of either side: on it stand one A and one B token, and no other stretch has the same two.
+    the next end of either side: on it stand one A and one B token, and no other stretch has the same two. In the sorted
+    keys of all ends, the key at place k that is the i-th of its own side has k - i ends of the other side before it.
     """
-    before = lambda at, xs: F.when(at > 0, F.get(xs, at - 1)).otherwise(F.lit(0))
-    texts = lambda ids: F.transform(ids, lambda x: x.cast("string"))
-    df = batches.withColumns({"a_names": texts(F.col("a_ids")), "b_names": texts(F.col("b_ids")), "cuts": F.array_intersect("a_ends", "b_ends"), "both": F.sort_array(F.concat(_keys(F.col("a_ends"), 0), _keys(F.col("b_ends"), 1)))})
-    # Tokens of either side up to and with each cut.
-    df = df.withColumns({"a_to": F.transform(below(F.col("cuts"), F.col("a_ends")), lambda n: n + 1), "b_to": F.transform(below(F.col("cuts"), F.col("b_ends")), lambda n: n + 1), "cut_to": F.transform(below(F.col("chunk_ends"), F.col("cuts")), lambda n: n + 1)})
+    both = F.sort_array(F.concat(_keys(F.col("a_ends"), 0), _keys(F.col("b_ends"), 1)))
+    df = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "both": both})
+    tied = lambda x, k: (k > 0) & (_side(x) == 1) & (_of_end(F.get("both", k - 1)) == _of_end(x))  # noqa: E731  a B end where an A end is
+    # Tokens of A up to and with each cut; a cut's own place gives those of B.
+    df = df.withColumn("places", F.when(F.size("cuts") > 0, F.filter(F.transform("both", lambda x, k: F.when(tied(x, k), F.struct((k.cast("int") - _place(x).cast("int")).alias("a"), (_place(x).cast("int") + 1).alias("b")))), lambda x: x.isNotNull())))
 
     def group(to: Column, k: Column) -> Column:
-        a, b = before(k, F.col("a_to")), before(k, F.col("b_to"))
-        return F.concat(F.array_join(F.slice(_held("a_names"), a + 1, to - a), ","), F.lit("|"), F.array_join(F.slice(_held("b_names"), b + 1, F.get("b_to", k) - b), ","))
+        last = F.get("places", k - 1)
+        a, b = (F.when(k > 0, last[side]).otherwise(0) for side in ("a", "b"))
+        names = lambda ids, start, end: F.when(end - start == 1, F.get(ids, start).cast("string")).otherwise(F.array_join(F.transform(F.slice(ids, start + 1, end - start), lambda x: x.cast("string")), ","))
+        return F.concat(names("a_ids", a, to["a"]), F.lit("|"), names("b_ids", b, to["b"]))
 
     def link(x: Column, k: Column) -> Column:
-        own, other = _place(x).cast("int"), k.cast("int") - _place(x).cast("int")
+        own = _place(x).cast("int")
+        other = k.cast("int") - own
         pair = lambda a, b: F.shiftleft(F.get("a_ids", a).cast("long"), 32) + F.get("b_ids", b).cast("long")
-        tied = (k > 0) & (_of_end(F.get("both", k - 1)) == _of_end(x))  # a B end where an A end is: the same stretch
-        return F.when(_side(x) == 0, pair(own, other)).when(~tied, pair(other, own))
+        return F.when(_side(x) == 0, pair(own, other)).when(~tied(x, k), pair(other, own))
 
-    df = df.withColumns({"groups": F.transform("a_to", group), "all_links": F.filter(F.transform("both", link), lambda x: x.isNotNull())})
-    # A chunk's links stand behind one another too: up to a cut there are as many as tokens of both sides less the cuts.
-    link_to = lambda cut: before(cut, F.col("a_to")) + before(cut, F.col("b_to")) - cut
+    return df.select(
+        "word", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("cuts").alias("n_groups"),
+        F.array_join(F.transform("places", group), ";").alias("groups"), F.filter(F.transform("both", link), lambda x: x.isNotNull()).alias("links"),
+    )
 
-    def chunk(to: Column, k: Column) -> Column:
-        start = before(k, F.col("cut_to"))
-        return F.struct(
-            (before(to, F.col("a_to")) - before(start, F.col("a_to"))).alias("n_a"), (before(to, F.col("b_to")) - before(start, F.col("b_to"))).alias("n_b"), (to - start).alias("n_groups"),
-            F.array_join(F.slice(_held("groups"), start + 1, to - start), ";").alias("groups"), F.slice(_held("all_links"), link_to(start) + 1, link_to(to) - link_to(start)).alias("links"),
-        )
 
-    return df.select("docs", F.transform("cut_to", chunk).alias("chunks"))
+def documents(packs: DataFrame, aligned: DataFrame) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups_sha256, links for each document of the packs.
 
-
-def documents(aligned: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups (a text), links, for each document of the batches."""
+    packs: pack, docs, words. Lists of a pack's words meet the aligned words and come back together in any order; sorted
+    numbers tell where each word's entry lies. Documents with a word that has no tokens have none.
+    """
+    listed = packs.select("pack", F.posexplode("words").alias("place", "word"))
+    entry = F.struct("place", "n_a", "n_b", "n_groups", "groups", "links")
+    lists = listed.join(aligned, "word").groupBy("pack").agg(F.collect_list(entry).alias("entries"))
+    at = F.transform(F.sort_array(F.transform("entries", lambda x, k: F.shiftleft(x["place"].cast("long"), 32) + k.cast("long"))), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumn("at", at)
     zero = F.lit(0).cast("long")
+    of = lambda i: F.get("entries", F.get(_held("at"), i))
 
     def one(doc: Column) -> Column:
-        of = lambda name: F.aggregate(doc["chunks"], zero, lambda n, i: n + F.get("chunks", i)[name])
-        groups = F.array_join(F.transform(doc["chunks"], lambda i: F.get("chunks", i)["groups"]), ";")
-        links = F.flatten(F.transform(doc["chunks"], lambda i: F.get("chunks", i)["links"]))
-        return F.struct(doc["doc_id"].alias("doc_id"), of("n_a").alias("n_a"), of("n_b").alias("n_b"), of("n_groups").alias("n_groups"), groups.alias("groups"), links.alias("links"))
+        sound = F.forall(doc["chunks"], lambda i: of(i)["n_a"].isNotNull())
+        chunks = F.when(sound, doc["chunks"]).otherwise(F.array().cast("array<int>"))
+        total = lambda name: F.aggregate(chunks, zero, lambda n, i: n + of(i)[name])
+        groups = F.when(F.size(chunks) > 0, F.sha2(F.array_join(F.transform(chunks, lambda i: of(i)["groups"]), ";"), 256)).otherwise("")
+        return F.struct(doc["doc_id"].alias("doc_id"), total("n_a").alias("n_a"), total("n_b").alias("n_b"), total("n_groups").alias("n_groups"), groups.alias("groups_sha256"), F.flatten(F.transform(chunks, lambda i: of(i)["links"])).alias("links"))
 
-    return aligned.select(F.inline(F.transform("docs", one)))
+    return whole.select(F.inline(F.transform("docs", one)))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -257,7 +250,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return materialize(counts.withColumn("piece", piece).join(tops, "piece").select("link", "count", (F.col("count") == F.col("top")).alias("best")), "pairs")
 
 
-def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, files: tuple[str, str] = FILES, small_pairs: int = SMALL_PAIRS) -> tuple[DataFrame, DataFrame]:
+def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, files: tuple[str, str] = FILES, small_pairs: int = SMALL_PAIRS, pack_chars: int = PACK_CHARS) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs).
 
     documents: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, a row for each row of df. pairs:
@@ -265,12 +258,15 @@ def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tokens: zeros, an empty groups_sha256, and nothing in the counts. Repeated rows count each; rows of one id stay
     rows; an empty table gives no rows. Ids are long.
 
-    Texts are read once; nothing is shuffled but sums: counts of id pairs, as many as two vocabularies have that share
-    bytes, and each document's own.
+    Texts are read once and never shuffled. What travels is each pack's different words, to the tokens and back, sums of
+    id pairs, as many as two vocabularies have that share bytes, and each document's own sums.
     """
     rows = columns(df, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    done = documents(align(tokenise(rows, f"{folder}/{files[0]}", f"{folder}/{files[1]}")))
-    done = materialize(done.select("doc_id", "n_a", "n_b", "n_groups", F.when(F.size("links") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "links"), "aligned")
+    a_path, b_path = (f"{folder}/{f}" for f in files)
+    packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs")
+    words = packs.select(F.explode("words").alias("word")).distinct()
+    aligned = materialize(align(tokenise(words, a_path, b_path)), "words")
+    done = materialize(documents(packs, aligned), "aligned")
     pairs = pair_counts(done)
     known = pairs.hint("broadcast") if pairs.count() <= small_pairs else pairs
     keyed = done.withColumn("row", F.monotonically_increasing_id())

@@ -154,24 +154,23 @@ def test_alignment(spark, data):
 
 
 @needs_vocabularies
-def test_alignment_by_small_batches_and_joins(spark, monkeypatch):
+def test_alignment_by_small_packs_and_joins(spark):
     rng = random.Random(5)
     words = ["the", "cat", "sat", "onto", "unbelievably", "naïve", "x1y2", "."]
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 60)))) for k in range(60)]
     want = plain_alignment(rows)
-    small = tokenalign.tokenise
-    monkeypatch.setattr(tokenalign, "tokenise", lambda df, a, b: small(df, a, b, batch_chars=100))
-    assert aligned(docs(spark, rows), small_pairs=0) == want
+    assert aligned(docs(spark, rows), small_pairs=0, pack_chars=100) == want
     assert aligned(docs(spark, [])) == []
     assert [r[1:] for r in aligned(docs(spark, [(1, None), (2, "")]))] == [(0, 0, 0, 0, 0, 0, "")] * 2
 
 
 @needs_vocabularies
-def test_forgetting_changes_nothing():
-    few, many = (tokenalign.Tokenised(*(f"{tokenalign.FOLDER}/{f}" for f in tokenalign.FILES), remembered=n) for n in (2, 1000))
-    for chunk in few.chunks("one two three two one four"):
-        assert few.tokens(chunk) == many.tokens(chunk)
-    assert len(few.known) <= 2
+def test_texts_that_may_not_be_cut(spark, monkeypatch):
+    rows = [(k, t) for k, t in enumerate(["one two  three", "one", "two  three. four"])]
+    want = plain_alignment(rows)
+    whole = tokenalign.Pieces.__init__
+    monkeypatch.setattr(tokenalign.Pieces, "__init__", lambda self, path: (whole(self, path), setattr(self, "splits", False))[0])
+    assert aligned(docs(spark, rows)) == want
 
 
 # 13 hard negatives
