@@ -22,17 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import PATTERN
-from .common import arrow_schema, columns, materialize, reachable
+from .common import arrow_schema, columns, materialize, reachable, scratch
 
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Characters of text in a pack of documents; a longer text is a pack of its own.
-PACK_CHARS = 12_000_000
+PACK_CHARS = 24_000_000
 #: Pairs of ids up to which their counts are sent to all executors; beyond, they are joined by shuffle. About 32 MB.
 SMALL_PAIRS = 1_000_000
 #: In a key that is sorted: an end, which side it is of, and its place, from high bits to low.
 _SIDE, _PLACE = 31, (1 << 31) - 1
 
+#: Where a space is no begin of a chunk; texts without such a place are cut at every space.
+_ODD = re.compile(r"(?:^|[^\w!-/:-@\[-`{-~]) | $")
 _CUT = re.compile(r"(?<=[^\W_]|[!-/:-@\[-`{-~])(?= +[^ ])")
 PACK = "docs array<struct<doc_id bigint, chunks array<int>>>, words array<string>"
 TOKENS = "word string, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>"
@@ -78,25 +80,32 @@ class Pieces:
         #: No piece goes on with a space: then none crosses the begin of a chunk.
         self.splits = not any("▁" in n.lstrip("▁") for n in names)
 
-    def encode(self, chunk: str) -> list[int]:
-        """chunk begins with the space that the model adds."""
-        return self.model.encode(chunk[1:])
-
 
 class Tokenised:
-    """Tokens of chunks by both vocabularies."""
+    """Tokens of words, each with a space before it, by both vocabularies."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
 
-    def tokens(self, chunk: str) -> tuple | None:
-        """(ids and lengths by A, ids and lengths by B), or None if the tokens' bytes are not the chunk's."""
-        raw = chunk.encode()
-        a, b = self.a.encode(chunk), self.b.encode(chunk)
-        left, right = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return None
-        return a, list(map(len, left)), b, list(map(len, right))
+    def columns(self, words: list[str]) -> list:
+        """Arrow lists of A ids, A ends, B ids, B ends; null for words whose tokens' bytes are not theirs."""
+        import numpy as np
+        import pyarrow as pa
+
+        raw = [b" " + w.encode() for w in words]
+        both = [list(map(self.a.encode, (f" {w}" for w in words))), self.b.model.encode(words)]
+        ends_of_words = np.cumsum([0, *map(len, raw)])
+        sides, right = [], np.ones(len(words), dtype=bool)
+        for ids, table in zip(both, (self.a.bytes, self.b.bytes), strict=True):
+            tokens = [table[i] for own in ids for i in own]
+            counts = np.cumsum([0, *map(len, ids)])
+            reach = np.cumsum([0, *map(len, tokens)])
+            if not np.array_equal(reach[counts], ends_of_words) or b"".join(tokens) != b"".join(raw):
+                right &= [b"".join(tokens[i:j]) == x for i, j, x in zip(counts, counts[1:], raw, strict=False)]
+            ends = reach[1:] - np.repeat(reach[counts[:-1]], np.diff(counts))
+            sides += [(counts, np.fromiter((i for own in ids for i in own), np.int32, len(tokens))), (counts, ends)]
+        lists = [pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(values)) for counts, values in sides]
+        return lists if right.all() else [pa.array([v if ok else None for v, ok in zip(x.to_pylist(), right, strict=True)], type=x.type) for x in lists]
 
 
 def pack(df: DataFrame, splits: bool, pack_chars: int = PACK_CHARS) -> DataFrame:
@@ -118,7 +127,7 @@ def pack(df: DataFrame, splits: bool, pack_chars: int = PACK_CHARS) -> DataFrame
         def packed() -> pa.RecordBatch:
             chunks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(said, dtype=np.int32).copy()))
             docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), chunks], names=["doc_id", "chunks"])
-            whole = [docs, pa.array(list(numbers), pa.string())]
+            whole = [docs, pa.array(list(numbers), pa.string())]  # each word without the space before it
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(arrow.field(i).type) for i, x in enumerate(whole)], schema=arrow)
 
         for batch in batches:
@@ -130,7 +139,10 @@ def pack(df: DataFrame, splits: bool, pack_chars: int = PACK_CHARS) -> DataFrame
                 ids.append(key)
                 held += len(text)
                 if text:
-                    own = _CUT.split(f" {text}") if splits else [f" {text}"]
+                    if splits and not _ODD.search(text):
+                        own = text.split(" ")
+                    else:
+                        own = [chunk[1:] for chunk in _CUT.split(f" {text}")] if splits else [text]
                     said.extend([numbers.setdefault(chunk, len(numbers)) for chunk in own])
                 ends.append(len(said))
         if ids:
@@ -145,18 +157,12 @@ def tokenise(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
     arrow = arrow_schema(TOKENS)
 
     def run(batches: Iterator) -> Iterator:
-        from itertools import accumulate
-
         import pyarrow as pa
 
         tokenised = Tokenised(a_path, b_path)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for word in batch.column(0).to_pylist():
-                a, a_lengths, b, b_lengths = tokenised.tokens(word) or (None, None, None, None)
-                for column, values in zip(out, (a, a and list(accumulate(a_lengths)), b, b and list(accumulate(b_lengths))), strict=True):
-                    column.append(values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, type=arrow.field(i + 1).type) for i, v in enumerate(out))], schema=arrow)
+            found = tokenised.columns(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(x.cast(arrow.field(i + 1).type) for i, x in enumerate(found))], schema=arrow)
 
     return words.select("word").mapInArrow(run, TOKENS)
 
@@ -193,11 +199,13 @@ def align(tokens: DataFrame) -> DataFrame:
     the next end of either side: on it stand one A and one B token, and no other stretch has the same two. In the sorted
     keys of all ends, the key at place k that is the i-th of its own side has k - i ends of the other side before it.
     """
-    both = F.sort_array(F.concat(_keys(F.col("a_ends"), 0), _keys(F.col("b_ends"), 1)))
-    df = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "both": both})
+    df = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    even = (F.size("cuts") == F.size("a_ids")) & (F.size("cuts") == F.size("b_ids"))  # every end is a cut: token by token
+    df = df.withColumn("even", even)
+    df = df.withColumn("both", F.when(~F.col("even"), F.sort_array(F.concat(_keys(F.col("a_ends"), 0), _keys(F.col("b_ends"), 1)))))
     tied = lambda x, k: (k > 0) & (_side(x) == 1) & (_of_end(F.get("both", k - 1)) == _of_end(x))  # noqa: E731  a B end where an A end is
     # Tokens of A up to and with each cut; a cut's own place gives those of B.
-    df = df.withColumn("places", F.when(F.size("cuts") > 0, F.filter(F.transform("both", lambda x, k: F.when(tied(x, k), F.struct((k.cast("int") - _place(x).cast("int")).alias("a"), (_place(x).cast("int") + 1).alias("b")))), lambda x: x.isNotNull())))
+    df = df.withColumn("places", F.filter(F.transform("both", lambda x, k: F.when(tied(x, k), F.struct((k.cast("int") - _place(x).cast("int")).alias("a"), (_place(x).cast("int") + 1).alias("b")))), lambda x: x.isNotNull()))
 
     def group(to: Column, k: Column) -> Column:
         last = F.get("places", k - 1)
@@ -208,12 +216,17 @@ def align(tokens: DataFrame) -> DataFrame:
     def link(x: Column, k: Column) -> Column:
         own = _place(x).cast("int")
         other = k.cast("int") - own
-        pair = lambda a, b: F.shiftleft(F.get("a_ids", a).cast("long"), 32) + F.get("b_ids", b).cast("long")
-        return F.when(_side(x) == 0, pair(own, other)).when(~tied(x, k), pair(other, own))
+        at = lambda a, b: pair(F.get("a_ids", a), F.get("b_ids", b))
+        return F.when(_side(x) == 0, at(own, other)).when(~tied(x, k), at(other, own))
+
+    pair = lambda a, b: F.shiftleft(a.cast("long"), 32) + b.cast("long")
+    one = lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))
+    groups = F.when(F.col("even"), F.zip_with("a_ids", "b_ids", one)).otherwise(F.transform("places", group))
+    links = F.when(F.col("even"), F.zip_with("a_ids", "b_ids", pair)).otherwise(F.filter(F.transform("both", link), lambda x: x.isNotNull()))
 
     return df.select(
         "word", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("cuts").alias("n_groups"),
-        F.array_join(F.transform("places", group), ";").alias("groups"), F.filter(F.transform("both", link), lambda x: x.isNotNull()).alias("links"),
+        F.array_join(groups, ";").alias("groups"), links.alias("links"),
     )
 
 
@@ -225,7 +238,8 @@ def documents(packs: DataFrame, aligned: DataFrame) -> DataFrame:
     """
     listed = packs.select("pack", F.posexplode("words").alias("place", "word"))
     entry = F.struct("place", "n_a", "n_b", "n_groups", "groups", "links")
-    lists = listed.join(aligned, "word").groupBy("pack").agg(F.collect_list(entry).alias("entries"))
+    met = materialize(listed.join(aligned, "word").select("pack", entry.alias("entry")), "met")
+    lists = met.groupBy("pack").agg(F.collect_list("entry").alias("entries"))
     at = F.transform(F.sort_array(F.transform("entries", lambda x, k: F.shiftleft(x["place"].cast("long"), 32) + k.cast("long"))), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
     whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumn("at", at)
     zero = F.lit(0).cast("long")
@@ -263,10 +277,12 @@ def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = columns(df, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
     a_path, b_path = (f"{folder}/{f}" for f in files)
-    packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs")
-    words = packs.select(F.explode("words").alias("word")).distinct()
-    aligned = materialize(align(tokenise(words, a_path, b_path)), "words")
-    done = materialize(documents(packs, aligned), "aligned")
+    with scratch(df.sparkSession) as keep:
+        packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs")
+        words = packs.select(F.explode("words").alias("word")).distinct()
+        aligned = materialize(align(tokenise(words, a_path, b_path)), "words")
+        done = materialize(documents(packs, aligned), "aligned")
+        keep(done)
     pairs = pair_counts(done)
     known = pairs.hint("broadcast") if pairs.count() <= small_pairs else pairs
     keyed = done.withColumn("row", F.monotonically_increasing_id())
