@@ -19,8 +19,9 @@ CODE = r"(?:```[\s\S]*?```|`[^`\r\n]*`)"
 #: Backslashes that the test for an escape looks back at; longer runs are shortened before.
 _LOOK = 128
 _FREE = rf"(?<!(?<!\\)(?:\\\\){{0,{_LOOK // 2}}}\\)"
-#: Characters for private use, one of which stands in for backslashes of long runs.
-_STAND_INS = "\ue000\ue001\ue002\ue003"
+#: Characters for private use that no rule of quotes knows: one stands in for a backslash of a long run, the next says
+#: that a text has these characters itself, followed by which one it was.
+_STAND_IN, _OWN, _OWN_FIRST, _OWN_SECOND = "\ue000", "\ue001", "\ue002", "\ue003"
 _PAIRS = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"))
 
 
@@ -48,13 +49,14 @@ def segments(text: Column) -> Column:
     """array<struct<t string, p boolean>>: the text in pieces, p where it is protected. Texts without marks are one piece.
 
     A mark is escaped by an odd number of backslashes before it, however many. Look-behinds are bounded, so in texts
-    with longer runs pairs of backslashes before the last one or two give way to a character that the text lacks.
+    with longer runs pairs of backslashes before the last one or two give way to stand-ins. What is put back into the
+    pieces hangs on no text, so the time grows with the text alone, however many pieces it has.
     """
-    stand_in = F.coalesce(*(F.when(~F.contains(text, F.lit(c)), F.lit(c)) for c in _STAND_INS), F.lit(_STAND_INS[0]))
+    own = F.replace(F.replace(text, F.lit(_OWN), F.lit(_OWN + _OWN_SECOND)), F.lit(_STAND_IN), F.lit(_OWN + _OWN_FIRST))
     deep = F.contains(text, F.lit("\\" * _LOOK))
-    shown = F.when(deep, F.regexp_replace(text, F.lit(r"\\\\(?=\\)"), F.concat(stand_in, stand_in))).otherwise(text)
-    restored = lambda s: _piece(F.when(deep, F.replace(s["t"], stand_in, F.lit("\\"))).otherwise(s["t"]), s["p"])
-    return F.when(text.rlike(f"[{_MARKS}]"), F.transform(_pieces(shown), restored)).otherwise(F.array(_piece(text, F.lit(False))))
+    shown = F.when(deep, F.regexp_replace(own, r"\\\\(?=\\)", _STAND_IN * 2)).otherwise(own)
+    back = lambda t: F.replace(F.replace(F.replace(t, F.lit(_STAND_IN), F.lit("\\")), F.lit(_OWN + _OWN_FIRST), F.lit(_STAND_IN)), F.lit(_OWN + _OWN_SECOND), F.lit(_OWN))
+    return F.when(text.rlike(f"[{_MARKS}]"), F.transform(_pieces(shown), lambda s: _piece(back(s["t"]), s["p"]))).otherwise(F.array(_piece(text, F.lit(False))))
 
 
 def _pieces(text: Column) -> Column:

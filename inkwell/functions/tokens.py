@@ -1,10 +1,15 @@
-"""Token counters: words, or byte-pair encoding from a rank file. A counter is a function of a string column."""
+"""Token counters: words, or byte-pair encoding by a rank file. A counter is a function of a string column.
+
+A counter that a caller writes in Python may fail on some texts; ``python_counter`` gives null there, which the plan
+around the rules takes for a failed step.
+"""
 
 from __future__ import annotations
 
 import base64
+import heapq
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from pathlib import Path
 
 import pandas as pd
@@ -18,32 +23,90 @@ Counter = Callable[[Column], Column]
 words: Counter = word_count
 #: How text is cut before merging, as public byte-level vocabularies of 50k entries have it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Different pieces whose tokens a task remembers.
+REMEMBERED = 200_000
 
 
 #: Workers get this module's functions with the plan, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _encoding(path: str, pattern: str):
-    import tiktoken
+def read_ranks(raw: bytes) -> dict[bytes, int]:
+    """Lines of a base64 token and its rank."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def merge(raw: bytes, ranks: Mapping[bytes, int]) -> list[bytes]:
+    """The tokens of one piece: of all neighbours whose joint bytes have a rank those of the least, the leftmost first,
+    become one, until none is left.
+
+    Pairs wait in a heap by (rank, place); ends[i] is where the part that begins at i ends, 0 where none begins any
+    more. A pair is out of date if one of its parts has grown or gone. A piece of n bytes takes n log n steps.
+    """
+    n = len(raw)
+    ends, befores = list(range(1, n + 1)), list(range(-1, n))
+    heap = [(ranks[raw[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, left, right, stop = heapq.heappop(heap)
+        if ends[left] != right or ends[right] != stop:
+            continue
+        ends[left], ends[right] = stop, 0
+        befores[stop] = left
+        for a, b in ((befores[left], left), (left, stop)):
+            if a >= 0 and b < n and (rank := ranks.get(raw[a : ends[b]])) is not None:
+                heapq.heappush(heap, (rank, a, b, ends[b]))
+    out, at = [], 0
+    while at < n:
+        out.append(raw[at : ends[at]])
+        at = ends[at]
+    return out
 
 
 def bpe(path: str, pattern: str = PATTERN) -> Counter:
-    """Counts tokens by the rank file at path (base64 token and rank on each line), which every executor must reach.
+    """Counts tokens by the rank file at path (base64 token and rank on each line), which only the driver has to reach.
 
-    Null and blank texts have 0. The vocabulary is loaded once for each task. Counts are those of the given file and
-    must not be taken for another vocabulary's.
+    Null and blank texts have 0. Bytes without a rank are a token each. A task remembers what it has merged, so a word
+    that comes again costs a look-up. Counts are those of the given file and must not be taken for another vocabulary's.
     """
-    loaded: list = []
+    raw = Path(path).read_bytes()
+    state: dict = {}
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        import regex
+
+        if not state:
+            state.update(ranks=read_ranks(raw), cut=regex.compile(pattern), known={})
+        known: dict[str, int] = state["known"]
+
+        def of(piece: str) -> int:
+            found = known.get(piece)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[piece] = len(merge(piece.encode(), state["ranks"]))
+            return found
+
+        return pd.Series([0 if t is None else sum(map(of, state["cut"].findall(t))) for t in texts], dtype="int32")
+
+    return lambda c: count(F.when(is_blank(c), F.lit(None).cast("string")).otherwise(c))
+
+
+def python_counter(function: Callable[[str], int]) -> Counter:
+    """A counter of the caller's, in Arrow batches; null for texts on which it raises. Null and blank texts have 0."""
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        if not loaded:
-            loaded.append(_encoding(path, pattern))
-        return pd.Series([0 if t is None else len(loaded[0].encode_ordinary(t)) for t in texts], dtype="int32")
+        def one(t: str | None) -> int | None:
+            if t is None:
+                return 0
+            try:
+                return int(function(t))
+            except Exception:  # the row's step tells of it
+                return None
+
+        return pd.Series([one(t) for t in texts], dtype="Int32")
 
     return lambda c: count(F.when(is_blank(c), F.lit(None).cast("string")).otherwise(c))
 

@@ -31,7 +31,7 @@ GUARDED: dict[str, tuple[str, dict, str, str, str, str, str]] = {
     "duplicate_sentences": ("duplicateSentenceRemover", {}, "Go up. Go  up! Then. ", "Go up. Go up.", " Stop. stop. ", "Go up. Then. ", " Stop. "),
     "duplicate_phrases": ("duplicatePhraseReducer", {}, "the the cat ", "on on", " go on go on now", "the cat ", " go on now"),
     "punctuation": ("punctuationNormalizer", {}, "Stop!!! ", "what??!!....", " why??.....", "Stop! ", " why?..."),
-    "numbers": ("numberNormalizer", {}, "twenty percent of ", "forty two", " two hundred and fifty three", "20% of ", " 253"),
+    "numbers": ("numberNormalizer", {}, "twenty percent of ", "forty two", " nine hundred and seventy one", "20% of ", " 971"),
     "output_formats": ("outputFormatDeduplicator", {}, "Use bullet points. ", "Use a table. Use bullet points.", " Answer as a list. Use a table.", "Use bullet points. ", " Use a table."),
     "constraints": ("constraintDeduplicator", {}, "Be concise. ", "Be concise. Give examples.", " Keep it short. Give examples.", "Be concise. ", " Give examples."),
     "format_control": ("formatControl", {}, "bullet points: ", "bold text:", " italic text: so", "• ", " * so"),

@@ -42,6 +42,6 @@ def conflict_pairs(hits: DataFrame, id_col: str = "id", kind_col: str = "kind")
     """Of rows (id, kind): id, left, right for each known conflict whose kinds an id has both. The pairs are three rows."""
     spark = hits.sparkSession
     pairs = spark.createDataFrame(v.CONFLICTS, "left string, right string")
-    have = hits.select(F.col(id_col).alias("id"), F.col(kind_col).alias("kind")).distinct()
+    have = hits.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{kind_col}`").alias("kind")).distinct()
     lefts = have.join(F.broadcast(pairs), F.col("kind") == F.col("left")).select("id", "left", "right")
     return lefts.join(have.withColumnRenamed("kind", "right"), ["id", "right"]).select("id", "left", "right")

@@ -5,41 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE, collapse, extract_all
+from ..functions.text import extract_all
 
-_CHUNK = r"[^.!?]++[.!?]?(?:\s+|\z)"
+#: What a browser's \\s takes for white space.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+SPACE = r"\x09-\x0d\x20\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: A run without end marks, up to a mark before white space or the end, up to the end, or up to its last white space.
+_CHUNK = rf"(?:[^.!?]++[.!?](?:[{SPACE}]++|\z)|[^.!?]++\z|[^.!?]+[{SPACE}])"
 
 
 def chunks(c: Column) -> Column:
     """Sentences with the white space behind them; what lies between them is a chunk too, so that joining gives the text.
 
-    A sentence may begin later than its run of characters: it must end at white space or the text's end.
+    A run of characters none of whose places begins a sentence is passed at once, so long runs cost no more than others.
     """
-    return extract_all(c, rf"{_CHUNK}|(?:(?!{_CHUNK})[\s\S])++")
+    return extract_all(c, rf"{_CHUNK}|(?:(?!{_CHUNK})[^.!?]*+[.!?]++)++")
 
 
 def chunk_key(c: Column) -> Column:
-    return F.lower(F.btrim(collapse(c), F.lit(WHITE + " ﻿")))
+    return F.lower(F.btrim(F.regexp_replace(c, rf"[{SPACE}]++", " "), F.lit(SPACES)))
 
 
 def before_after(df: DataFrame, id_col: str, before_col: str, after_col: str) -> DataFrame:
-    """id, side, pos, chunk, kept for each chunk of both texts.
+    """id, row, side, pos, chunk, kept for each chunk of both texts.
 
     side is "before" (what isn't kept was deleted) or "after" (what isn't kept is new). The k-th occurrence of a key is
-    kept if the other side has it k times; chunks of white space always are. Null texts have no chunks. df is read
-    once: both sides are dealt by (id, key) in one shuffle, so no task holds a document, and ranks and counts come from
-    one sort.
+    kept if the other side of the same row has it k times; chunks of white space always are. Rows are told apart by row,
+    not by id: ids may repeat or be null. Null texts have no chunks. df is read once: both sides are dealt by (row, key)
+    in one shuffle, so no task holds a document, and ranks and counts come from one sort.
     """
     side = lambda name, c: F.transform(chunks(F.coalesce(F.col(f"`{c}`"), F.lit(""))), lambda x, i: F.struct(F.lit(name).alias("side"), i.alias("pos"), x.alias("chunk")))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.concat(side("before", before_col), side("after", after_col))).alias("x")).select("id", "x.*")
-    rows = rows.withColumn("key", chunk_key(F.col("chunk")))
-    both = Window.partitionBy("id", "key")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id", "key", "side").orderBy("pos")))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), F.concat(side("before", before_col), side("after", after_col)).alias("x"))
+    rows = rows.select("id", "row", F.explode("x").alias("x")).select("id", "row", "x.*").withColumn("key", chunk_key(F.col("chunk")))
+    both = Window.partitionBy("row", "key")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("row", "key", "side").orderBy("pos")))
     times = lambda name: F.count(F.when(F.col("side") == name, 1)).over(both)
     held = ranked.withColumn("have", F.when(F.col("side") == "before", times("after")).otherwise(times("before")))
-    return held.select("id", "side", "pos", "chunk", ((F.col("key") == "") | (F.col("rank") <= F.col("have"))).alias("kept"))
+    return held.select("id", "row", "side", "pos", "chunk", ((F.col("key") == "") | (F.col("rank") <= F.col("have"))).alias("kept"))
 
 
 def diff(df: DataFrame, id_col: str, source_col: str, other_col: str) -> DataFrame:
-    """id, pos, chunk, kept for each chunk of the source alone."""
+    """id, row, pos, chunk, kept for each chunk of the source alone."""
     return before_after(df, id_col, source_col, other_col).where("side = 'before'").drop("side")

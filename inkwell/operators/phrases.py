@@ -8,6 +8,7 @@ from operator import eq
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import TRIMMED, WHITE
@@ -78,16 +79,15 @@ def reduce_text(text: str, most: int, fold_case: bool) -> tuple[str, list[str]]:
     return left + " ".join(out) + right, phrases
 
 
-def reduce_pieces(most: int, fold_case: bool):
-    """A UDF on pieces (null: protected, stays null)."""
+def _reduced(pieces: pd.Series, most: pd.Series, fold_case: pd.Series) -> pd.DataFrame:
+    texts, phrases = [], []
+    for row, size, fold in zip(pieces, most, fold_case, strict=True):
+        done = [(None, []) if t is None else reduce_text(t, int(size), bool(fold)) for t in (row if row is not None else [])]
+        texts.append([t for t, _ in done])
+        phrases.append([p for _, ps in done for p in ps])
+    return pd.DataFrame({"texts": texts, "phrases": phrases})
 
-    @F.pandas_udf("texts array<string>, phrases array<string>")
-    def udf(pieces: pd.Series) -> pd.DataFrame:
-        texts, phrases = [], []
-        for row in pieces:
-            done = [(None, []) if t is None else reduce_text(t, most, fold_case) for t in (row if row is not None else [])]
-            texts.append([t for t, _ in done])
-            phrases.append([p for _, ps in done for p in ps])
-        return pd.DataFrame({"texts": texts, "phrases": phrases})
 
-    return udf
+def reduce_pieces(pieces: Column, most: Column, fold_case: Column) -> Column:
+    """texts: the pieces (null: protected, stays null) without what is said twice; phrases: what was taken out."""
+    return F.pandas_udf(_reduced, "texts array<string>, phrases array<string>")(pieces, most, fold_case)

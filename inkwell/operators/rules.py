@@ -45,6 +45,40 @@ class Params:
         return default if value is None else value if isinstance(value, bool) else str(value).lower() == "true"
 
 
+@dataclass
+class RowParams(Params):
+    """Parameters that each row has for itself, in a map of strings; reading one gives a column, with the same defaults."""
+
+    column: Column | None = None
+
+    def _text(self, name: str) -> Column:
+        return F.element_at(self.column, F.lit(name))
+
+    def integer(self, name: str, default: int) -> Column:  # type: ignore[override]
+        return F.coalesce(self._text(name).try_cast("int"), F.lit(default))
+
+    def number(self, name: str, default: float) -> Column:  # type: ignore[override]
+        return F.coalesce(self._text(name).try_cast("double"), F.lit(default))
+
+    def truth(self, name: str, default: bool) -> Column:  # type: ignore[override]
+        return F.coalesce(F.lower(self._text(name)) == "true", F.lit(default))
+
+
+def _lit(value: object) -> Column:
+    """A parameter as a column, whether it is the same for all rows or not."""
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _by_tier(name: str) -> Callable[[RowParams], list[tuple[Column | None, Params]]]:
+    """Each row's tier decides which phrases a rule knows, so the rule is planned once for each tier."""
+
+    def variants(params: RowParams) -> list[tuple[Column | None, Params]]:
+        level = params.integer(name, 50)
+        return [(level <= 30, Params({name: 30})), ((level > 30) & (level <= 70), Params({name: 70})), (level > 70, Params({name: 100}))]
+
+    return variants
+
+
 @dataclass
 class Stage:
     """A frame under construction. Its own columns have names that no column of the frame begins with."""
@@ -63,8 +97,15 @@ class Stage:
         self.df = self.df.withColumn(name, value)
         return F.col(name)
 
+    def held(self, value: Column) -> Column:
+        """Like put, for a value that a function of array elements reads: the optimizer would move a column that is named
+        once into the function and evaluate it again for every element, so this one is named twice."""
+        column = self.put(value)
+        return F.when(column.isNotNull(), column)
 
-Result = tuple[Column, Column]
+
+#: New text and record of changes; of a rule that may fail also what went wrong, null where nothing did.
+Result = tuple[Column, Column] | tuple[Column, Column, Column]
 
 
 @dataclass(frozen=True)
@@ -74,6 +115,8 @@ class Rule:
     level: str
     description: str
     apply: Callable[[Stage, Column, Params], Result]
+    #: How to plan the rule where each row has its own parameters: which rows (None: all) take which parameters.
+    variants: Callable[[RowParams], list[tuple[Column | None, Params]]] = lambda params: [(None, params)]
 
 
 def _log(*entries: Column, otherwise: str) -> Column:
@@ -128,26 +171,35 @@ def _ascii_sentence_case(c: Column) -> Column:
     return F.array_join(F.transform(extract_all(lower, r"[^.?!]*+[.?!]|[^.?!]++"), chunk), "")
 
 
+#: Characters for private use, no letters: one between pieces; in texts that have it, two that say so.
+_MARK, _BEHIND, _ESCAPED, _MARKED = "\ue000", "\ue001", "\ue002", "\ue003"
+
+
+def _escaped(t: Column) -> Column:
+    return F.replace(F.replace(t, F.lit(_BEHIND), F.lit(_BEHIND + _ESCAPED)), F.lit(_MARK), F.lit(_BEHIND + _MARKED))
+
+
+def _unescaped(t: Column) -> Column:
+    return F.replace(F.replace(t, F.lit(_BEHIND + _MARKED), F.lit(_MARK)), F.lit(_BEHIND + _ESCAPED), F.lit(_BEHIND))
+
+
 def case_normalizer(stage: Stage, text: Column, params: Params) -> Result:
     """Texts (outside protected pieces) that are nearly all upper case become sentence case.
 
     Letters keep their places, so the plain pieces are changed as one text, whose sentences go on over protected
     pieces, and cut again where they were.
     """
-    threshold, least = params.number("uppercaseRatioThreshold", 0.9), params.integer("minLetters", 8)
+    threshold, least = _lit(params.number("uppercaseRatioThreshold", 0.9)), _lit(params.integer("minLetters", 8))
     segs = stage.put(protect.segments(text))
     whole = stage.put(F.array_join(protect.plain(segs), ""))
     upper = F.length(F.regexp_replace(whole, "[^A-Z]++", ""))
     letters = stage.put(F.length(F.regexp_replace(whole, "[^A-Za-z]++", "")))
     shouts = stage.put(F.coalesce((letters >= least) & (F.try_divide(upper, letters) >= threshold), F.lit(False)))
-    cased = stage.put(F.when(shouts, _ascii_sentence_case(whole)))
-
-    def cut(s: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(segs, F.lit(1), i), F.lit(0), lambda n, x: n + F.when(x["p"], 0).otherwise(F.length(x["t"])))
-        return F.when(s["p"], s["t"]).otherwise(F.substring(cased, start + 1, F.length(s["t"])))
-
-    out = F.when(shouts, F.array_join(F.transform(segs, cut), "")).otherwise(text)
-    log = F.when(text == "", F.array(F.lit("empty input"))).when(shouts, F.array(F.lit("upper-case input put into sentence case"), F.lit(f"uppercaseRatioThreshold={threshold}, minLetters={least}")))
+    # Protected pieces stand as nothing between marks that no piece has, so that the cased text falls apart at the marks.
+    apart = F.array_join(F.transform(segs, lambda s: F.when(s["p"], "").otherwise(_escaped(s["t"]))), _MARK)
+    cased = F.transform(F.split(_ascii_sentence_case(apart), _MARK, -1), _unescaped)
+    out = F.when(shouts, F.array_join(F.zip_with(segs, cased, lambda s, x: F.when(s["p"], s["t"]).otherwise(x)), "")).otherwise(text)
+    log = F.when(text == "", F.array(F.lit("empty input"))).when(shouts, F.array(F.lit("upper-case input put into sentence case"), F.concat(F.lit("uppercaseRatioThreshold="), threshold.cast("string"), F.lit(", minLetters="), least.cast("string"))))
     return out, F.coalesce(log, F.array(F.lit("input is not in upper case")))
 
 
@@ -226,15 +278,15 @@ def duplicate_sentences(stage: Stage, text: Column, params: Params) -> Result:
 
     Positions of equal keys come from one sort, so a piece of n sentences takes n log n steps.
     """
-    fold_case, first = params.truth("caseInsensitive", True), params.truth("keepFirst", True)
+    fold_case, first = _lit(params.truth("caseInsensitive", True)), _lit(params.truth("keepFirst", True))
     segs = stage.put(protect.segments(text))
 
     def key(s: Column) -> Column:
         k = jtrim(F.regexp_replace(collapse(jtrim(s)), r"[.!?]+\z", ""))
-        return F.lower(k) if fold_case else k
+        return F.when(fold_case, F.lower(k)).otherwise(k)
 
     found = stage.put(F.transform(segs, lambda s: F.when(s["p"], F.array().cast(STRINGS)).otherwise(F.filter(F.transform(extract_all(s["t"], SENTENCE), jtrim), lambda x: x != ""))))
-    keyed = stage.put(F.transform(found, lambda ss: F.array_sort(F.transform(ss, lambda s, i: F.struct(key(s).alias("k"), (i if first else -i).alias("i"))))))
+    keyed = stage.put(F.transform(found, lambda ss: F.array_sort(F.transform(ss, lambda s, i: F.struct(key(s).alias("k"), F.when(first, i).otherwise(-i).alias("i"))))))
     kept = stage.put(F.transform(keyed, lambda ks: F.array_sort(F.transform(F.filter(ks, lambda x, i: (i == 0) | (F.get(ks, i - 1)["k"] != x["k"])), lambda x: F.abs(x["i"])))))
     lost = F.transform(found, lambda ss, i: F.size(ss) - F.size(F.get(kept, i)))
     lost = stage.put(lost)
@@ -263,20 +315,24 @@ def _deduplicated(stage: Stage, text: Column, kinds: dict[str, str], words: list
     def kind(s: Column) -> Column:
         return F.when(has_any(F.lower(s), words), F.coalesce(*(F.when(s.rlike(p), F.lit(k)) for k, p in kinds.items())))
 
-    parts = stage.put(F.transform(segs, lambda s: F.when(s["p"], F.array().cast(STRINGS)).otherwise(sentences(s["t"]))))
-    types = stage.put(F.transform(parts, lambda ss: F.transform(ss, kind)))
-    flat = stage.put(F.flatten(types))
-    starts = stage.put(F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, x: n + F.size(x))))
-    stays = lambda t, at: t.isNull() | (F.array_position(flat, F.coalesce(t, F.lit(""))) == at + 1)
-    kept = stage.put(F.transform(parts, lambda ss, i: F.filter(ss, lambda s, k: stays(F.get(F.get(types, i), k), F.get(starts, i) + k))))
-    outs = stage.put(F.transform(segs, lambda s, i: F.when(s["p"] | (F.size(F.get(kept, i)) == F.size(F.get(parts, i))), s["t"]).otherwise(edges(s["t"], F.array_join(F.get(kept, i), " ")))))
+    said = lambda x, i, k: F.struct(kind(x).alias("kind"), i.alias("piece"), k.alias("place"), x.alias("s"))
+    found = stage.put(F.transform(segs, lambda s, i: F.when(~s["p"], F.transform(sentences(s["t"]), lambda x, k: said(x, i, k)))))
+    flat = stage.put(F.flatten(F.filter(found, lambda ss: ss.isNotNull())))
+    at = lambda x: F.struct(x["piece"], x["place"])
+    first = lambda k: F.array_min(F.transform(F.filter(flat, lambda x: x["kind"] == k), at))
+    firsts = stage.held(F.when(flat.isNotNull(), F.create_map(*(c for k in kinds for c in (F.lit(k), first(k))))))
+    stays = lambda x: x["kind"].isNull() | (F.element_at(firsts, F.coalesce(x["kind"], F.lit(next(iter(kinds))))) == at(x))
+    kept = stage.put(F.transform(found, lambda ss: F.filter(ss, stays)))
+
+    def rebuilt(s: Column, pair: Column) -> Column:
+        same = s["p"] | (F.size(pair["kept"]) == F.size(pair["found"]))
+        return F.when(same, s["t"]).otherwise(edges(s["t"], F.array_join(F.transform(pair["kept"], lambda x: x["s"]), " ")))
+
+    outs = stage.put(F.zip_with(segs, F.arrays_zip(found.alias("found"), kept.alias("kept")), rebuilt))
     out = F.coalesce(protect.joined(segs, outs), text)
-    all_of = stage.put(F.flatten(parts))
-    told = F.filter(
-        F.transform(all_of, lambda s, k: F.when(F.get(flat, k).isNotNull(), F.concat(F.when(stays(F.get(flat, k), k), F.lit("kept ")).otherwise(F.lit("removed ")), F.get(flat, k), F.lit(": "), s))),
-        lambda x: x.isNotNull(),
-    )
-    gone = F.size(all_of) - F.size(F.flatten(kept))
+    of_kind = F.filter(flat, lambda x: x["kind"].isNotNull())
+    told = F.transform(of_kind, lambda x: F.concat(F.when(stays(x), F.lit("kept ")).otherwise(F.lit("removed ")), x["kind"], F.lit(": "), x["s"]))
+    gone = F.size(flat) - F.size(F.flatten(F.filter(kept, lambda ss: ss.isNotNull())))
     end = F.when(gone > 0, F.concat(F.lit(f"{what} removed: "), gone.cast("string"))).otherwise(F.lit(f"no repeated {what}"))
     return out, F.coalesce(F.concat(told, F.array(end)), F.array(F.lit(f"no repeated {what}")))
 
@@ -374,25 +430,27 @@ def numbers(stage: Stage, text: Column, params: Params) -> Result:
     return F.coalesce(protect.joined(segs, two), text), F.when(F.coalesce(F.size(told), F.lit(0)) > 0, told).otherwise(F.array(F.lit("no number words")))
 
 
+def _positive(value: object, default: int) -> Column:
+    return F.when(_lit(value) > 0, _lit(value)).otherwise(F.lit(default))
+
+
 def sentence_budget(stage: Stage, text: Column, params: Params) -> Result:
     """At most maxSentences sentences."""
-    most = params.integer("maxSentences", 3)
-    most = most if most > 0 else 3
+    most = _positive(params.integer("maxSentences", 3), 3)
     found = stage.put(sentences(text))
     n = F.size(found)
-    head = F.array_join(F.slice(found, 1, most), " ")
+    head = F.array_join(F.slice(found, F.lit(1), most), " ")
     cut = F.concat(head, F.when(head.rlike(r"[.?!]\z"), " ...").otherwise("..."))
-    log = F.when(jtrim(text) == "", "empty input").when(n <= most, F.concat(F.lit("sentences within budget: "), n.cast("string"))).otherwise(F.concat(F.lit(f"first {most} sentences kept of "), n.cast("string")))
+    log = F.when(jtrim(text) == "", "empty input").when(n <= most, F.concat(F.lit("sentences within budget: "), n.cast("string"))).otherwise(F.concat(F.lit("first "), most.cast("string"), F.lit(" sentences kept of "), n.cast("string")))
     return F.when(n > most, cut).otherwise(text), F.array(log)
 
 
 def length_control(stage: Stage, text: Column, params: Params) -> Result:
     """At most maxWords words."""
-    most = params.integer("maxWords", 50)
-    most = most if most > 0 else 50
+    most = _positive(params.integer("maxWords", 50), 50)
     n = stage.put(word_count(text))
-    head = F.concat(F.array_join(F.slice(F.split(jtrim(text), r"\s+"), 1, most), " "), F.lit("..."))
-    log = F.when(n > most, F.concat(F.lit(f"cut to {most} words of "), n.cast("string"))).otherwise(F.concat(F.lit("words within budget: "), n.cast("string")))
+    head = F.concat(F.array_join(F.slice(F.split(jtrim(text), r"\s+"), F.lit(1), most), " "), F.lit("..."))
+    log = F.when(n > most, F.concat(F.lit("cut to "), most.cast("string"), F.lit(" words of "), n.cast("string"))).otherwise(F.concat(F.lit("words within budget: "), n.cast("string")))
     return F.when(n > most, head).otherwise(text), F.array(log)
 
 
@@ -403,9 +461,9 @@ def duplicate_phrases(stage: Stage, text: Column, params: Params) -> Result:
     """
     from .phrases import reduce_pieces
 
-    most = max(1, min(3, params.integer("maxPhraseLength", 3)))
+    most = F.greatest(F.lit(1), F.least(F.lit(3), _lit(params.integer("maxPhraseLength", 3))))
     segs = stage.put(protect.segments(text))
-    done = stage.put(reduce_pieces(most, params.truth("caseInsensitive", True))(F.transform(segs, lambda s: F.when(~s["p"], s["t"]))))
+    done = stage.put(reduce_pieces(F.transform(segs, lambda s: F.when(~s["p"], s["t"])), most, _lit(params.truth("caseInsensitive", True))))
     outs = stage.put(F.transform(segs, lambda s, i: F.coalesce(F.get(done["texts"], i), s["t"])))
     gone = F.size(done["phrases"])
     told = F.concat(F.transform(done["phrases"], lambda p: F.concat(F.lit("repeated phrase removed: "), p)), F.array(F.concat(F.lit("phrases removed: "), gone.cast("string"))))
@@ -414,10 +472,10 @@ def duplicate_phrases(stage: Stage, text: Column, params: Params) -> Result:
 
 #: In the order in which they run: sentences are limited before words.
 RULES: tuple[Rule, ...] = (
-    Rule("fillerRemoval", "Filler Removal", "Level 1", "Removes greetings, polite openers, mid-text fillers, and closing remarks", filler_removal),
+    Rule("fillerRemoval", "Filler Removal", "Level 1", "Removes greetings, polite openers, mid-text fillers, and closing remarks", filler_removal, _by_tier("aggressiveness")),
     Rule("caseNormalizer", "Case Normalizer", "Level 1", "Normalizes clearly all-uppercase prompts into sentence case", case_normalizer),
     Rule("taskAnalyzer", "Task Analyzer", "Level 1", "Classifies task type and complexity without modifying the prompt", task_analyzer),
-    Rule("semanticCompressor", "Semantic Compressor", "Level 1", "Replaces verbose phrases with concise equivalents", semantic_compressor),
+    Rule("semanticCompressor", "Semantic Compressor", "Level 1", "Replaces verbose phrases with concise equivalents", semantic_compressor, _by_tier("compressionLevel")),
     Rule("structureMinimizer", "Structure Minimizer", "Level 1", "Removes redundant whitespace and normalises text structure", structure_minimizer),
     Rule("duplicateSentenceRemover", "Duplicate Sentence Remover", "Level 1", "Removes fully duplicated sentences from the prompt", duplicate_sentences),
     Rule("duplicatePhraseReducer", "Duplicate Phrase Reducer", "Level 1", "Removes consecutive duplicated words or short phrases", duplicate_phrases),

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .functions import jsontext, protect, score, text
 from .operators import analytics, diff, vocabulary as v
 from .operators.rules import BY_ID, RULES, Params, Stage, conflict_columns, task_columns
-from .plans.pipeline import ALL_ON, RuleConfig, blank, optimize, rules_table
-from .sources import io, templates
+from .plans.pipeline import ALL_ON, RuleConfig, blank, optimize
+from .sources import io
 
 BEFORE = (
     "",
@@ -82,7 +82,7 @@ def _rule(rule_id: str, **params: object) -> Callable[[SparkSession, str], DataF
 
 #: Number phrases and what they become.
 NUMBERS = (
-    ("two hundred and fifty three steps", "253 steps"),
+    ("three hundred and sixty seven pages", "367 pages"),
     ("Twenty percent of it", "20% of it"),
     ("one, two", "3"),
     ("one million thousand", "1001000"),
@@ -269,14 +269,6 @@ def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", jsontext.chat_content(body).alias("content"))
 
 
-def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules_table(spark)
-
-
-def template_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.templates(spark)
-
-
 _FLAG = r"""
 , p AS (SELECT doc_id, lang, source, t, regexp_replace(regexp_replace(regexp_replace(t, '!{{2,}}', '!', 'g'), '\?{{2,}}', '?', 'g'), '\.{{4,}}', '...', 'g') AS u FROM prompts),
 q AS (SELECT *, {sentences} AS ss FROM p),
@@ -320,8 +312,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentence_diff": sentence_diff,
     "quality_scores": judged,
     "chat_content": chat_answers,
-    "rules_metadata": metadata,
-    "prompt_templates": template_list,
 }
 #: Queries whose SQL takes out quotes; each is registered over the whole texts as well.
 UNQUOTED = (
@@ -415,6 +405,4 @@ e AS (SELECT *, CASE WHEN tb > 0 THEN CAST(original_score AS DOUBLE) / tb ELSE 0
 g AS (SELECT *, CASE WHEN eb > 0 THEN floor((ea - eb) / eb * 10000.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS gain FROM e)
 SELECT doc_id, original_score, optimized_score, 'all' || chr(10) || 'well "done"' AS natural_summary, gain AS optimization_score, {_verdicts} AS verdict, CASE WHEN optimized_score >= 8 THEN 'high' WHEN optimized_score >= 5 THEN 'mid' ELSE 'low' END AS badge FROM g""",
     "chat_content": "SELECT conv_id, turn, coalesce(text, '') AS content FROM conversations",
-    "rules_metadata": "SELECT * FROM (VALUES " + _values([(r.id, r.name, r.level, r.description, k) for k, r in enumerate(RULES)]) + ") AS r(id, name, level, description, position)",
-    "prompt_templates": "SELECT * FROM (VALUES " + _values(templates._rows()) + ") AS r(task_type, verbosity, variant, prompt)",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TASK_TYPES = ("CODING", "DEBUG", "EXPLAIN", "WRITING", "COMPARE")
@@ -65,8 +65,20 @@ def pick(spark: SparkSession, task_type: str, verbosity: str, seed: int | None =
     return some.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(1).select("task_type", "verbosity", "prompt", F.lit(origin).alias("source"))
 
 
+def number_of(c: Column, n: int) -> Column:
+    """A number under n from the md5 of a value's text: the same on every run and in every engine. Null counts as empty."""
+    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(n))
+
+
 def assign(df: DataFrame, id_col: str) -> DataFrame:
-    """df with a template for each row, chosen by the id's hash: the same on every run."""
+    """df with a template for each row, chosen by the id's hash: the same on every run.
+
+    Columns task_type, verbosity, variant and prompt of df give way.
+    """
+    number = "_n"
+    while number.lower() in {c.lower() for c in df.columns}:
+        number = f"_{number}"
     numbered = [(k, *r) for k, r in enumerate(_rows())]  # 45 rows, whatever the input
-    table = df.sparkSession.createDataFrame(numbered, "_n long, task_type string, verbosity string, variant int, prompt string")
-    return df.withColumn("_n", F.pmod(F.xxhash64(id_col), F.lit(len(numbered)))).join(F.broadcast(table), "_n").drop("_n")
+    table = df.sparkSession.createDataFrame(numbered, f"{number} long, task_type string, verbosity string, variant int, prompt string")
+    own = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("task_type", "verbosity", "variant", "prompt")]
+    return df.select(*own, number_of(F.col(f"`{id_col}`"), len(numbered)).alias(number)).join(F.broadcast(table), number).drop(number)

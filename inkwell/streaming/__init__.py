@@ -29,6 +29,26 @@ def savings_by_window(optimized: DataFrame, time_col: str, window: str = "10 min
     return optimized.withWatermark(time_col, late).groupBy(span.alias("window")).agg(F.count("*").alias("n"), F.sum(saved).alias("saved"))
 
 
+def sessions(df: DataFrame, time_col: str, key: str, value_col: str, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
+    """session, key, n, total: runs of a key's events that lie less than gap apart; total adds up hundredths, rounded down.
+
+    On a stream, events later than the watermark are left out and bound the state; late=None is for tables, which take
+    all events. Null times are in no session; a null key is a key. Rows are summed before they are shuffled, within each
+    part's own sessions, so a busy key is no hot spot.
+    """
+    watched = df if late is None else df.withWatermark(time_col, late)
+    hundredths = F.floor(F.col(f"`{value_col}`") * F.lit(100)).cast("long")
+    return watched.groupBy(F.session_window(time_col, gap).alias("session"), F.col(f"`{key}`").alias(key)).agg(F.count("*").alias("n"), F.sum(hundredths).alias("total"))
+
+
+def first_seen(df: DataFrame, time_col: str, *keys: str, late: str = "1 hour") -> DataFrame:
+    """Each key's first row, across batches and restarts; keys are forgotten once the watermark has passed them.
+
+    Copies that come within the watermark are dropped whatever their own times; state is bounded by the keys of that time.
+    """
+    return df.withWatermark(time_col, late).dropDuplicatesWithinWatermark(list(keys))
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
     """All that is there now, exactly once, then stop; run again for what came since."""
     return df.writeStream.format(fmt).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)

@@ -7,7 +7,7 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from inkwell import marked, queries
+from inkwell import corpus, marked, queries
 from inkwell.functions import tokens
 from inkwell.plans.pipeline import optimize
 from inkwell.sources import io, templates
@@ -62,6 +62,12 @@ def test_query(spark, data, duck, name):
     same_rows(df, duck.sql(queries.ORACLES[name]))
 
 
+@pytest.mark.parametrize("name", list(corpus.ORACLES))
+def test_corpus_query(spark, data, duck, name):
+    df = corpus.QUERIES[name](spark, data)
+    same_rows(df, duck.sql(corpus.ORACLES[name]))
+
+
 @pytest.mark.parametrize("name", list(marked.ORACLES))
 def test_marked_query(spark, data, duck, name):
     df = marked.QUERIES[name](spark, data)
@@ -117,7 +123,7 @@ def test_number_rule_converts_texts(spark, tmp_path):
     """The rule itself meets the number words of the text: quoted ones stay, a row of them is one number."""
     rows = [(63 * 5, 'Take one "one" and twenty one now', "en", "web", 33)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert queries.QUERIES["whole_rule_numbers"](spark, str(tmp_path)).first()["out"] == 'Take 1 "one" and 21 now | 253 steps'
+    assert queries.QUERIES["whole_rule_numbers"](spark, str(tmp_path)).first()["out"] == 'Take 1 "one" and 21 now | 367 pages'
 
 
 def test_all_turns_go_through_the_rules(spark, tmp_path):
