@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from .functions import protect, text, tokens
 from .marked import GUARDED, MARKS, _guarded, _guarded_sql, _sql_pick
-from .operators import diff, reports, spans
+from .operators import diff, longdocs, reports, spans
+from .operators import vocabulary as v
 from .operators.custom import python_rule
 from .operators.rules import BY_ID, RULES, Params, Stage
 from .plans.pipeline import optimize, optimize_requests, rules_table
-from .queries import _FLAG, FLAGSHIP, _filler_sql, _jtrim, _rate, _sentences, _sql, _table, _values, _with, _words, prompts
+from .queries import _FLAG, FLAGSHIP, _filler_sql, _jtrim, _rate, _re2, _sentences, _sql, _table, _values, _with, _words, prompts
 from .sources import templates
 from .streaming import sessions
 
@@ -250,15 +251,45 @@ u AS (SELECT doc_id, 'before' AS side, b AS chunks, CASE WHEN key = '' THEN 0 EL
 SELECT doc_id, side, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(flagged) AS BIGINT) AS flagged FROM u GROUP BY doc_id, side HAVING sum(chunks) > 0"""
 
 
+# Sources as documents that fit no row
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as one document, whose parts are the source's texts in order of their ids."""
+    return longdocs.sentence_rows(prompts(spark, sf_dir), "source", "doc_id", "t")
+
+
+def source_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source without the sentences that it has said before, in blocks of 20,000 characters."""
+    kept = longdocs.distinct_sentences(_sources(spark, sf_dir))
+    return longdocs.blocks(kept, 20_000).select(F.col("doc").alias("source"), "block", "sentences", F.md5("text").alias("digest"))
+
+
+def source_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source with the first demand for each output format alone, and how many sentences that leaves."""
+    rows = _sources(spark, sf_dir)
+    kept = longdocs.first_of_kinds(rows, v.OUTPUT_FORMATS, v.FORMAT_WORDS)
+    sizes = longdocs.blocks(kept, 100_000).groupBy("doc").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"))
+    counts = longdocs.lost(rows, kept)
+    return counts.join(sizes.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select(F.col("doc").alias("source"), "before", "after", "blocks", "chars")
+
+
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user: events that lie less than half an hour apart."""
     found = sessions(_table(spark, sf_dir, "events"), "ts", "user_id", "value", "30 minutes", late=None)
     return found.select("user_id", F.unix_micros(F.col("session.start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("session.end").cast("timestamp")).alias("end_us"), "n", "total")
 
 
+_LONG_SQL = _with(rf", l AS (SELECT source, doc_id, list_filter(list_transform(regexp_extract_all(t, '[^.!?]+[.!?]?'), lambda s: {_jtrim('s')}), lambda s: s <> '') AS ss FROM prompts), r AS (SELECT source, doc_id, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM l)")
+
+
+def _kind_sql(kinds: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(s, {_re2(p)}, 'i') THEN {_sql(k)}" for k, p in kinds.items()) + " END"
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (bpe_counts, rule_states, failing_rule, requests_by_row, protected_audit, savings_cube, top_savings, rate_sketches, rules_metadata, prompt_templates, sentences_lost, sentences_kept, budget_diff, event_sessions)
+    for f in (bpe_counts, rule_states, failing_rule, requests_by_row, protected_audit, savings_cube, top_savings, rate_sketches, rules_metadata, prompt_templates, sentences_lost, sentences_kept, budget_diff, source_sentences, source_formats, event_sessions)
 }
 _TEMPLATES = "(SELECT row_number() OVER () - 1 AS k, * FROM (VALUES " + _values(templates._rows()) + ") AS r(task_type, verbosity, variant, prompt))"
 _SENTENCES_SQL = _TWO_SQL + f", b AS (SELECT lower(unnest(ss)) AS sentence FROM n), f AS (SELECT {_sentences('final_prompt')} AS fs FROM n), a AS (SELECT lower(unnest(fs)) AS sentence FROM f)"
@@ -274,6 +305,15 @@ ORACLES: dict[str, str] = {
     "sentences_lost": _SENTENCES_SQL + " SELECT sentence, count(*) AS n FROM (SELECT sentence FROM b EXCEPT ALL SELECT sentence FROM a) GROUP BY sentence",
     "sentences_kept": _SENTENCES_SQL + " SELECT sentence, count(*) AS n FROM (SELECT sentence FROM b INTERSECT ALL SELECT sentence FROM a) GROUP BY sentence",
     "budget_diff": _DIFF_SQL,
+    "source_sentences": _LONG_SQL + rf""", k AS (SELECT source, doc_id, i, s, lower(trim(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '[.!?]+$', ''), ' ')) AS key FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY doc_id, i) AS nth FROM k),
+b AS (SELECT source, doc_id, i, s, floor((sum(length(s) + 1) OVER (PARTITION BY source ORDER BY doc_id, i) - length(s) - 1) / 20000) AS block FROM f WHERE nth = 1)
+SELECT source, CAST(block AS BIGINT) AS block, count(*) AS sentences, md5(string_agg(s, ' ' ORDER BY doc_id, i)) AS digest FROM b GROUP BY source, block""",
+    "source_formats": _LONG_SQL + f""", k AS (SELECT source, doc_id, i, s, {_kind_sql(v.OUTPUT_FORMATS)} AS kind FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id, i) AS nth FROM k),
+b AS (SELECT source, s, floor((sum(length(s) + 1) OVER (PARTITION BY source ORDER BY doc_id, i) - length(s) - 1) / 100000) AS block FROM f WHERE kind IS NULL OR nth = 1),
+c AS (SELECT source, count(*) AS after, count(DISTINCT block) AS blocks, CAST(sum(length(s) + 1) - count(DISTINCT block) AS BIGINT) AS chars FROM b GROUP BY source), h AS (SELECT source, count(*) AS before FROM r GROUP BY source)
+SELECT c.source, before, after, blocks, chars FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source""",
     "event_sessions": """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS total FROM s GROUP BY user_id, run""",

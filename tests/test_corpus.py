@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from inkwell import corpus
 from inkwell.functions import tokens
-from inkwell.operators import analytics, diff, reports, spans
+from inkwell.operators import analytics, diff, longdocs, reports, spans
+from inkwell.operators import vocabulary as v
 from inkwell.operators.custom import python_rule
 from inkwell.operators.rules import BY_ID, RULES, Params, Stage
 from inkwell.plans.pipeline import optimize, optimize_requests
@@ -263,6 +264,50 @@ def test_versions_as_multisets(spark):
     assert Counter(r[0] for r in reports.in_both(a, b).collect()) == {"x": 1, None: 1}
 
 
+# Documents that fit no row
+
+
+def _rule(spark, texts, rule_id, params):
+    stage = Stage(spark.createDataFrame(list(enumerate(texts)), "k int, t string"))
+    out, _ = BY_ID[rule_id].apply(stage, F.col("t"), Params(params))
+    return {r["k"]: r["o"] for r in stage.df.select("k", out.alias("o")).collect()}
+
+
+def test_long_documents_against_the_rules(spark):
+    """Cut into parts and put together again, a text gives what the rule gives on the whole of it."""
+    rng = random.Random(17)
+    bits = ["Go up.", "go  UP!", "Use bullet points.", "Answer as a list.", "Respond in JSON.", "One more thing?", "Stop.", "Use a table."]
+    documents = {d: [" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30))] for d in ("a", "b", None)}
+    parts = spark.createDataFrame([(d, k, t, "x") for d, ts in documents.items() for k, t in enumerate(ts)] + [("e", 0, None, "x")], "d string, n int, t string, at string").repartition(5)
+    rows = longdocs.sentence_rows(parts, "d", "n", "t")
+    names = list(documents)
+    for kept, rule, params in (
+        (longdocs.distinct_sentences(rows), "duplicateSentenceRemover", {}),
+        (longdocs.distinct_sentences(rows, False, False), "duplicateSentenceRemover", {"keepFirst": False, "caseInsensitive": False}),
+        (longdocs.first_of_kinds(rows, v.OUTPUT_FORMATS, v.FORMAT_WORDS), "outputFormatDeduplicator", {}),
+    ):
+        want = _rule(spark, [" ".join(documents[d]) for d in names], rule, params)
+        for chars in (1, 50, 10**6):
+            got = defaultdict(list)
+            for r in longdocs.blocks(kept, chars).orderBy("block").collect():
+                got[r["doc"]].append(r["text"])
+            assert {d: re.sub(r"\s+", " ", " ".join(ts)) for d, ts in got.items()} == {d: re.sub(r"\s+", " ", want[k]) for k, d in enumerate(names)}
+
+
+def test_a_document_of_many_sentences(spark):
+    """One sentence over and over, in one document: no task gathers it, blocks stay small, order stays."""
+    n = 300_000
+    parts = spark.range(n // 100).select(F.lit(1).alias("d"), F.col("id").alias("n"), F.concat(F.repeat(F.lit("Same again. "), 99), F.concat(F.lit("Own "), F.col("id").cast("string"), F.lit("."))).alias("t"))
+    rows = longdocs.sentence_rows(parts, "d", "n", "t")
+    kept = longdocs.distinct_sentences(rows)
+    assert longdocs.lost(rows, kept).first()[1:] == (n, n // 100 + 1)
+    found = longdocs.blocks(kept, 5000).orderBy("block").collect()
+    assert max(len(r["text"]) for r in found) < 5100
+    assert " ".join(r["text"] for r in found) == "Same again. " + " ".join(f"Own {k}." for k in range(n // 100))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "Window" not in plan
+
+
 # Streams
 
 
