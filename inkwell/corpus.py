@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import protect, text, tokens
-from .marked import GUARDED, MARKS, _guarded, _guarded_sql, _sql_pick
+from .marked import GUARDED, MARKS, _guarded, _guarded_sql, _pick, _sql_pick
 from .operators import diff, longdocs, reports, spans
 from .operators import vocabulary as v
 from .operators.custom import python_rule
@@ -154,6 +154,43 @@ def _audit_sql() -> str:
 
 
 
+# Phrases said twice
+
+#: What stands behind the texts, by id: repeats at each distance, within and across one another, with marks.
+_TWICE = (" go go on.", " step by step step by step!", " So, so it it is, is? no", " a b a b a b a b", " Yes. yes. Yes", " on and on and on and off and off", "")
+
+
+def phrases_said_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrase rule on each whole text, straight quotes aside, with phrases said twice behind it."""
+    stage = Stage(prompts(spark, sf_dir).select("doc_id", F.concat("t", _pick(_TWICE)).alias("t")))
+    out, log = BY_ID["duplicatePhraseReducer"].apply(stage, F.col("t"), Params())
+    return stage.df.select("doc_id", out.alias("out"), (F.size(log) - 1).cast("long").alias("removed"))
+
+
+def _twice_sql() -> str:
+    """The rule by recursion: one word, or one phrase, a step; again on what is left, five times at most."""
+    edge = """[,.?!:;"''()]"""
+    again = lambda k: f"(spot + {2 * k - 1} <= len(toks) AND keys[spot:spot + {k - 1}] = keys[spot + {k}:spot + {2 * k - 1}] AND len(list_filter(keys[spot:spot + {k - 1}], lambda x: x <> '')) > 0)"
+    size = f"CASE WHEN {again(3)} THEN 3 WHEN {again(2)} THEN 2 WHEN {again(1)} THEN 1 ELSE 0 END"
+    marks = f"regexp_extract(toks[spot + 2 * size - 1], '{edge}*$')"
+    kept = f"list_append(toks[spot:spot + size - 2], CASE WHEN ends_with(toks[spot + size - 1], {marks}) THEN toks[spot + size - 1] ELSE toks[spot + size - 1] || {marks} END)"
+    white = r"[\x09-\x0d\x1c-\x20]"
+    return _with("").replace("WITH ", "WITH RECURSIVE ", 1) + rf""", x AS (SELECT doc_id, t || {_sql_pick(_TWICE)} AS t FROM prompts),
+k AS (SELECT doc_id, unnest(regexp_split_to_array({_jtrim('t')}, '[ \t\n\x0b\f\r]+')) AS tok, generate_subscripts(regexp_split_to_array({_jtrim('t')}, '[ \t\n\x0b\f\r]+'), 1) AS i FROM x),
+e AS (SELECT *, lower(regexp_replace(tok, '^{edge}+|{edge}+$', '', 'g')) AS key, coalesce(sum(CAST(regexp_matches(tok, '[.?!]{edge}*$') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM k),
+s AS (SELECT doc_id, sent, list(tok ORDER BY i) AS toks, list(key ORDER BY i) AS keys FROM e GROUP BY doc_id, sent),
+w(doc_id, sent, walk, spot, toks, keys, done_toks, done_keys, n, total) AS (
+  SELECT doc_id, sent, 1, 1, toks, keys, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 0, 0 FROM s WHERE len(list_filter(keys, lambda x, i: x = keys[i + 1] OR x = keys[i + 2] OR x = keys[i + 3])) > 0
+  UNION ALL
+  SELECT doc_id, sent, CASE WHEN ended THEN walk + 1 ELSE walk END, CASE WHEN ended THEN 1 WHEN size = 0 THEN spot + 1 ELSE spot + 2 * size END, CASE WHEN ended THEN done_toks ELSE toks END, CASE WHEN ended THEN done_keys ELSE keys END,
+    CASE WHEN ended THEN [] WHEN size = 0 THEN list_append(done_toks, toks[spot]) ELSE list_concat(done_toks, {kept}) END, CASE WHEN ended THEN [] WHEN size = 0 THEN list_append(done_keys, keys[spot]) ELSE list_concat(done_keys, keys[spot:spot + size - 1]) END,
+    CASE WHEN ended THEN 0 WHEN size = 0 THEN n ELSE n + 1 END, CASE WHEN ended OR size = 0 THEN total ELSE total + 1 END
+  FROM (SELECT *, spot > len(toks) AS ended, {size} AS size FROM w WHERE spot <= len(toks) OR (n > 0 AND walk < 5))),
+f AS (SELECT doc_id, sent, done_toks, total FROM w WHERE spot > len(toks) AND (n = 0 OR walk = 5)),
+j AS (SELECT s.doc_id, string_agg(array_to_string(coalesce(done_toks, toks), ' '), ' ' ORDER BY s.sent) AS body, coalesce(sum(total), 0) AS total FROM s LEFT JOIN f USING (doc_id, sent) GROUP BY s.doc_id)
+SELECT doc_id, CASE WHEN total > 0 THEN regexp_extract(t, '^{white}*') || body || regexp_extract(t, '{white}*$') ELSE t END AS out, CAST(total AS BIGINT) AS removed FROM x JOIN j USING (doc_id)"""
+
+
 # Reports
 
 
@@ -289,7 +326,7 @@ def _kind_sql(kinds: dict[str, str]) -> str:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (bpe_counts, rule_states, failing_rule, requests_by_row, protected_audit, savings_cube, top_savings, rate_sketches, rules_metadata, prompt_templates, sentences_lost, sentences_kept, budget_diff, source_sentences, source_formats, event_sessions)
+    for f in (bpe_counts, rule_states, failing_rule, requests_by_row, protected_audit, phrases_said_twice, savings_cube, top_savings, rate_sketches, rules_metadata, prompt_templates, sentences_lost, sentences_kept, budget_diff, source_sentences, source_formats, event_sessions)
 }
 _TEMPLATES = "(SELECT row_number() OVER () - 1 AS k, * FROM (VALUES " + _values(templates._rows()) + ") AS r(task_type, verbosity, variant, prompt))"
 _SENTENCES_SQL = _TWO_SQL + f", b AS (SELECT lower(unnest(ss)) AS sentence FROM n), f AS (SELECT {_sentences('final_prompt')} AS fs FROM n), a AS (SELECT lower(unnest(fs)) AS sentence FROM f)"
@@ -298,6 +335,7 @@ ORACLES: dict[str, str] = {
     "failing_rule": _CUT_SQL + rf" SELECT doc_id, CASE WHEN p > 0 THEN 'done' ELSE 'error' END AS status, CAST({_words('t')} - {_words('u')} AS BIGINT) AS cut_saved, CASE WHEN {_words('u')} > 30 THEN array_to_string(regexp_split_to_array({_jtrim('u')}, '\s+')[1:30], ' ') || '...' ELSE u END AS final_prompt FROM k",
     "requests_by_row": _REQUESTS_SQL,
     "protected_audit": _audit_sql(),
+    "phrases_said_twice": _twice_sql(),
     "savings_cube": _TWO_SQL + ", s AS (SELECT lang, source, 'Sentence Budget' AS rule_name, greatest(0, original - middle) AS saved FROM n UNION ALL SELECT lang, source, 'Length Control', greatest(0, middle - final) FROM n) SELECT lang, source, rule_name, count(*) AS n, CAST(sum(saved) AS BIGINT) AS saved, CAST(GROUPING(lang, source, rule_name) AS BIGINT) AS level FROM s GROUP BY GROUPING SETS ((lang, source, rule_name), (lang), (source, rule_name), ())",
     "top_savings": _TWO_SQL + " SELECT source, row_number() OVER (PARTITION BY source ORDER BY original - final DESC, doc_id) AS rank, doc_id, original - final AS saved FROM n QUALIFY rank <= 5",
     "rules_metadata": _TWO_SQL + ", m AS (SELECT count(*) AS c, sum(greatest(0, original - middle)) AS s, sum(greatest(0, middle - final)) AS l FROM n) SELECT r.*, CAST(CASE WHEN id IN ('sentenceBudget', 'lengthControl') THEN c ELSE 0 END AS BIGINT) AS done, CAST(CASE id WHEN 'sentenceBudget' THEN s WHEN 'lengthControl' THEN l ELSE 0 END AS BIGINT) AS saved FROM m, (VALUES " + _values([(r.id, r.name, r.level, r.description, k) for k, r in enumerate(RULES)]) + ") AS r(id, name, level, description, position)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from itertools import compress
 from operator import eq
 
 import pandas as pd
@@ -24,27 +25,37 @@ def _ends_sentence(token: str) -> bool:
     return any(c in ".?!" for c in tail)
 
 
-def _once(tokens: list[str], keys: list[str], most: int, phrases: list[str]) -> tuple[list[str], list[str], bool]:
-    """One walk: at each place the longest phrase that follows itself is taken once and both copies are passed."""
-    out, out_keys, changed, at, n = [], [], False, 0, len(tokens)
-    while at < n:
-        for size in range(min(most, (n - at) // 2), 0, -1):
-            phrase = keys[at : at + size]
-            if phrase == keys[at + size : at + 2 * size] and any(phrase):
-                kept, last = tokens[at : at + size], tokens[at + 2 * size - 1]
-                marks = last[len(last.rstrip(_EDGE)) :]
-                if marks and not kept[-1].endswith(marks):
-                    kept[-1] += marks
-                out += kept
-                out_keys += phrase
-                phrases.append(" ".join(filter(None, phrase)))
-                at, changed = at + 2 * size, True
-                break
-        else:
-            out.append(tokens[at])
-            out_keys.append(keys[at])
-            at += 1
-    return out, out_keys, changed
+def _repeats(keys: list[str], most: int) -> list[tuple[int, int]]:
+    """(place, size) of the phrases that are said again at once, chosen from the left, the longest at each place.
+
+    Words that equal the word size places on make runs; a phrase of that size stands wherever a run has size words left.
+    """
+    longest: dict[int, int] = {}
+    for size in range(1, most + 1):
+        run = 0
+        for place in range(len(keys) - size - 1, -1, -1):
+            run = run + 1 if keys[place] == keys[place + size] else 0
+            if run >= size and any(keys[place : place + size]):
+                longest[place] = size
+    chosen, free = [], 0
+    for place in sorted(longest):
+        if place >= free:
+            chosen.append((place, longest[place]))
+            free = place + 2 * longest[place]
+    return chosen
+
+
+def _without(tokens: list[str], keys: list[str], chosen: list[tuple[int, int]]) -> tuple[list[str], list[str]]:
+    """Words and keys without the second time of each phrase; the marks behind it go to the first time's last word."""
+    stays = [True] * len(tokens)
+    words = list(tokens)
+    for place, size in chosen:
+        last, end = place + size - 1, place + 2 * size - 1
+        marks = tokens[end][len(tokens[end].rstrip(_EDGE)) :]
+        if not words[last].endswith(marks):
+            words[last] += marks
+        stays[place + size : end + 1] = [False] * size
+    return list(compress(words, stays)), list(compress(keys, stays))
 
 
 def reduce_text(text: str, most: int, fold_case: bool) -> tuple[str, list[str]]:
@@ -56,10 +67,12 @@ def reduce_text(text: str, most: int, fold_case: bool) -> tuple[str, list[str]]:
 
     def flush() -> None:
         tokens, keys = sentence[:], [key(t) for t in sentence]
-        for _ in range(5):
-            tokens, keys, changed = _once(tokens, keys, most, phrases)
-            if not changed:
+        for _ in range(5):  # what was taken out may bring others together
+            chosen = _repeats(keys, most)
+            if not chosen:
                 break
+            phrases.extend(" ".join(filter(None, keys[place : place + size])) for place, size in chosen)
+            tokens, keys = _without(tokens, keys, chosen)
         out.extend(tokens)
         sentence.clear()
 
