@@ -68,7 +68,7 @@ def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
                 del _writers[key]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Unlike a cached frame, the reread table has real size statistics, so that joins on it are planned by size. The
@@ -79,7 +79,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if (written := _written.get()) is not None:
         written.append(path)
     with _shuffle_files_go(spark):
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,9 +27,11 @@ from .common import arrow_schema, columns, materialize, reachable, scratch
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Characters of text in a pack of documents; a longer text is a pack of its own.
-PACK_CHARS = 12_000_000
+PACK_CHARS = 6_000_000
 #: Pairs of ids up to which their counts are sent to all executors; beyond, they are joined by shuffle. About 32 MB.
 SMALL_PAIRS = 1_000_000
+#: Tables of words and entries are as large as the input; packed harder they cost half.
+ZSTD = {"compression": "zstd"}
 #: In a key that is sorted: an end, which side it is of, and its place, from high bits to low.
 _SIDE, _PLACE = 31, (1 << 31) - 1
 
@@ -230,15 +232,18 @@ def align(tokens: DataFrame) -> DataFrame:
     )
 
 
-def documents(packs: DataFrame, aligned: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups_sha256, links for each document of the packs.
+def entries(packs: DataFrame, aligned: DataFrame) -> DataFrame:
+    """pack, entry: the aligned word of each place in each pack's list, in any order."""
+    listed = packs.select("pack", F.posexplode("words").alias("place", "word"))
+    return listed.join(aligned, "word").select("pack", F.struct("place", "n_a", "n_b", "n_groups", "groups", "links").alias("entry"))
+
 
-    packs: pack, docs, words. Lists of a pack's words meet the aligned words and come back together in any order; sorted
-    numbers tell where each word's entry lies. Documents with a word that has no tokens have none.
+def documents(packs: DataFrame, met: DataFrame) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups_sha256, links for each document of the packs, from the packs' entries.
+
+    Entries come together in any order; sorted numbers tell where each place's entry lies. Documents with a word that
+    has no tokens have none.
     """
-    listed = packs.select("pack", F.posexplode("words").alias("place", "word"))
-    entry = F.struct("place", "n_a", "n_b", "n_groups", "groups", "links")
-    met = materialize(listed.join(aligned, "word").select("pack", entry.alias("entry")), "met")
     lists = met.groupBy("pack").agg(F.collect_list("entry").alias("entries"))
     at = F.transform(F.sort_array(F.transform("entries", lambda x, k: F.shiftleft(x["place"].cast("long"), 32) + k.cast("long"))), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
     whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumn("at", at)
@@ -278,10 +283,13 @@ def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = columns(df, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
     a_path, b_path = (f"{folder}/{f}" for f in files)
     with scratch(df.sparkSession) as keep:
-        packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs")
-        words = packs.select(F.explode("words").alias("word")).distinct()
-        aligned = materialize(align(tokenise(words, a_path, b_path)), "words")
-        done = materialize(documents(packs, aligned), "aligned")
+        packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs", ZSTD)
+        with scratch(df.sparkSession) as keep_met:
+            words = packs.select(F.explode("words").alias("word")).distinct()
+            aligned = materialize(align(tokenise(words, a_path, b_path)), "words", ZSTD)
+            met = materialize(entries(packs, aligned), "met", ZSTD)
+            keep_met(met)
+        done = materialize(documents(packs, met), "aligned")
         keep(done)
     pairs = pair_counts(done)
     known = pairs.hint("broadcast") if pairs.count() <= small_pairs else pairs
