@@ -243,6 +243,52 @@ def prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.templates(spark).join(used, key, "left").select(*key, "prompt", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("words", F.lit(0)).alias("words"))
 
 
+#: Parameters of requests for prompts, by id: usual and odd forms, unknown ones, none.
+_ASKED = ((" coding", "DEBUG ", "Explain", "writing", "COMPARE", "cooking", None), ("low", "MEDIUM ", " high", "loud"), ("template", "AI", " Template", "web", None))
+
+
+def template_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for a prompt for each document: what it is answered with, or what is wrong with it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", *(_pick(x).alias(n) for n, x in zip(("t", "v", "s"), _ASKED, strict=True)))
+    return templates.answers(docs, "doc_id", "t", "v", "s").withColumnRenamed("id", "doc_id")
+
+
+def _answers_sql() -> str:
+    task, level, source = (f"list_extract([{', '.join('NULL' if x is None else _sql(x) for x in xs)}], CAST(doc_id % {len(xs)} AS INTEGER) + 1)" for xs in _ASKED)
+    known = (("task_type", templates.TASK_TYPES, "task type"), ("verbosity", templates.VERBOSITIES, "verbosity"), ("source", templates.SOURCES, "source"))
+    wrong = " ".join(f"WHEN {c} NOT IN ({', '.join(map(_sql, xs))}) THEN {_sql(what + chr(32) + chr(39))} || {c} || {_sql(chr(39) + ': one of ' + ', '.join(xs))}" for c, xs, what in known)
+    return f"WITH q AS (SELECT doc_id, upper(trim(coalesce({task}, ''), ' ')) AS task_type, upper(trim({level}, ' ')) AS verbosity, lower(trim(coalesce({source}, 'template'), ' ')) AS source FROM documents), e AS (SELECT *, CASE {wrong} END AS error, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 3 AS v FROM q) SELECT doc_id, e.task_type, e.verbosity, source, error, prompt FROM e LEFT JOIN {_TEMPLATES} r ON error IS NULL AND source = 'template' AND r.task_type = e.task_type AND r.verbosity = e.verbosity AND r.variant = v"
+
+
+# Number phrases by their values
+
+_SAID = (*v.ONES, *v.TENS, *v.SCALES)
+
+
+def number_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number rule on three phrases of up to five number words, chosen by the hash of each document's whole text."""
+    said = F.array(*map(F.lit, _SAID))
+    word = lambda k: F.get(said, templates.number_of(F.concat(F.lit(f"{k}:"), F.coalesce("text", F.lit(""))), len(_SAID)).cast("int"))
+    phrase = lambda first, n: F.concat_ws(" ", *(word(first + k) for k in range(n)))
+    t = F.concat(F.lit("All "), phrase(0, 5), F.lit(". Of "), phrase(5, 2), F.lit(" percent, or "), phrase(7, 1), F.lit(" in it"))
+    stage = Stage(_table(spark, sf_dir, "documents").select("doc_id", t.alias("t")))
+    out, _ = BY_ID["numberNormalizer"].apply(stage, F.col("t"), Params())
+    return stage.df.select("doc_id", out.alias("out"))
+
+
+def _values_sql() -> str:
+    """Each phrase's value by folding its words: a running number, and what larger scales have closed."""
+    word = lambda k: f"list_extract([{', '.join(map(_sql, _SAID))}], CAST(CAST('0x' || substr(md5('{k}:' || coalesce(text, '')), 1, 8) AS BIGINT) % {len(_SAID)} AS INTEGER) + 1)"
+    pair = lambda r, c: f"{{'r': {r}, 'c': {c}, 'w': ''}}"
+    number = "CASE x.w " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in {**v.ONES, **v.TENS}.items()) + " END"
+    some, none = "CASE WHEN a.c = 0 THEN 1 ELSE a.c END", "CAST(0 AS HUGEINT)"
+    step = f"CASE x.w WHEN 'hundred' THEN {pair('a.r', some + ' * 100')} " + " ".join(f"WHEN '{w}' THEN {pair(f'a.r + {some} * {v.SCALES[w]}', none)}" for w in ("thousand", "million")) + f" ELSE {pair('a.r', f'a.c + {number}')} END"
+    folded = lambda ws: f"list_reduce(list_prepend({pair(none, none)}, list_transform([{', '.join(ws)}], lambda w: {{'r': {none}, 'c': {none}, 'w': w}})), lambda a, x: {step})"
+    said = ", ".join(f"{folded([word(k) for k in ks])} AS n{n}" for n, ks in enumerate((range(5), range(5, 7), range(7, 8))))
+    value = lambda k: f"CAST(n{k}.r + n{k}.c AS VARCHAR)"
+    return f"WITH f AS (SELECT doc_id, {said} FROM documents) SELECT doc_id, 'All ' || {value(0)} || '. Of ' || {value(1)} || '%, or ' || {value(2)} || ' in it' AS out FROM f"
+
+
 # Corpora compared
 
 
@@ -326,7 +372,7 @@ def _kind_sql(kinds: dict[str, str]) -> str:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (bpe_counts, rule_states, failing_rule, requests_by_row, protected_audit, phrases_said_twice, savings_cube, top_savings, rate_sketches, rules_metadata, prompt_templates, sentences_lost, sentences_kept, budget_diff, source_sentences, source_formats, event_sessions)
+    for f in (bpe_counts, rule_states, failing_rule, requests_by_row, protected_audit, phrases_said_twice, savings_cube, top_savings, rate_sketches, rules_metadata, prompt_templates, template_answers, number_values, sentences_lost, sentences_kept, budget_diff, source_sentences, source_formats, event_sessions)
 }
 _TEMPLATES = "(SELECT row_number() OVER () - 1 AS k, * FROM (VALUES " + _values(templates._rows()) + ") AS r(task_type, verbosity, variant, prompt))"
 _SENTENCES_SQL = _TWO_SQL + f", b AS (SELECT lower(unnest(ss)) AS sentence FROM n), f AS (SELECT {_sentences('final_prompt')} AS fs FROM n), a AS (SELECT lower(unnest(fs)) AS sentence FROM f)"
@@ -340,6 +386,8 @@ ORACLES: dict[str, str] = {
     "top_savings": _TWO_SQL + " SELECT source, row_number() OVER (PARTITION BY source ORDER BY original - final DESC, doc_id) AS rank, doc_id, original - final AS saved FROM n QUALIFY rank <= 5",
     "rules_metadata": _TWO_SQL + ", m AS (SELECT count(*) AS c, sum(greatest(0, original - middle)) AS s, sum(greatest(0, middle - final)) AS l FROM n) SELECT r.*, CAST(CASE WHEN id IN ('sentenceBudget', 'lengthControl') THEN c ELSE 0 END AS BIGINT) AS done, CAST(CASE id WHEN 'sentenceBudget' THEN s WHEN 'lengthControl' THEN l ELSE 0 END AS BIGINT) AS saved FROM m, (VALUES " + _values([(r.id, r.name, r.level, r.description, k) for k, r in enumerate(RULES)]) + ") AS r(id, name, level, description, position)",
     "prompt_templates": f"WITH r AS {_TEMPLATES}, d AS (SELECT CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 45 AS k, {_words("coalesce(text, '')")} AS w FROM documents), g AS (SELECT k, count(*) AS c, sum(w) AS w FROM d GROUP BY k) SELECT task_type, verbosity, variant, prompt, coalesce(c, 0) AS documents, CAST(coalesce(w + c * {_words('prompt')}, 0) AS BIGINT) AS words FROM r LEFT JOIN g USING (k)",
+    "template_answers": _answers_sql(),
+    "number_values": _values_sql(),
     "sentences_lost": _SENTENCES_SQL + " SELECT sentence, count(*) AS n FROM (SELECT sentence FROM b EXCEPT ALL SELECT sentence FROM a) GROUP BY sentence",
     "sentences_kept": _SENTENCES_SQL + " SELECT sentence, count(*) AS n FROM (SELECT sentence FROM b INTERSECT ALL SELECT sentence FROM a) GROUP BY sentence",
     "budget_diff": _DIFF_SQL,

@@ -1 +1 @@
-from .pipeline import RuleConfig, optimize, reject_blank, rules_table  # noqa: F401
+from .pipeline import RuleConfig, optimize, optimize_requests, reject_blank, rules_table  # noqa: F401

@@ -25,10 +25,18 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
     df.write.format(fmt).mode(mode).options(**options).save(path)
 
 
+#: Bytes, by the optimizer's estimate, up to which a table is dealt out; larger ones stay where their files are.
+SPREAD_BYTES = 8_000_000_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files have fewer parts than the session has cores; else as it is.
+    """df over all cores, where it is small and its files have fewer parts than the session has cores; else as it is.
 
-    Rules cost far more than reading, so dealing a small table out pays; large tables have parts enough, and no shuffle.
+    Rules cost far more than reading, so dealing a small table out pays. Large tables are never shuffled for it, even
+    where a few files can't be split.
     """
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df

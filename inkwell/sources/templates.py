@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import TRIMMED
+
 TASK_TYPES = ("CODING", "DEBUG", "EXPLAIN", "WRITING", "COMPARE")
 VERBOSITIES = ("LOW", "MEDIUM", "HIGH")
 SOURCES = ("template", "ai")
@@ -65,6 +67,27 @@ def pick(spark: SparkSession, task_type: str, verbosity: str, seed: int | None =
     return some.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(1).select("task_type", "verbosity", "prompt", F.lit(origin).alias("source"))
 
 
+def answers(df: DataFrame, id_col: str, task_col: str, verbosity_col: str, source_col: str) -> DataFrame:
+    """Requests for prompts, a row each -> id, task_type, verbosity, source in their usual form, error, prompt.
+
+    error says what the first unknown parameter is, and what is known; it is null where all are known. A null source is
+    the template; other nulls are unknown. Which variant a row gets hangs on its id alone. Requests of source "ai" have
+    no prompt here: their prompts are the caller's to fetch.
+    """
+    tidy = lambda c, change: change(F.btrim(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(TRIMMED)))
+    source = F.when(F.col(f"`{source_col}`").isNull(), "template").otherwise(tidy(source_col, F.lower))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), tidy(task_col, F.upper).alias("task_type"), tidy(verbosity_col, F.upper).alias("verbosity"), source.alias("source"))
+    wrong = [
+        F.when(~F.col(c).isin(*known), F.concat(F.lit(f"{what} '"), F.col(c), F.lit(f"': one of {', '.join(known)}")))
+        for c, known, what in (("task_type", TASK_TYPES, "task type"), ("verbosity", VERBOSITIES, "verbosity"), ("source", SOURCES, "source"))
+    ]
+    rows = rows.withColumn("error", F.coalesce(*wrong))
+    wants = F.col("error").isNull() & (F.col("source") == "template")
+    keyed = rows.withColumn("variant", F.when(wants, number_of(F.col("id"), 3).cast("int")))
+    table = F.broadcast(templates(df.sparkSession))  # 45 rows, whatever the input
+    return keyed.join(table, ["task_type", "verbosity", "variant"], "left").select("id", "task_type", "verbosity", "source", "error", "prompt")
+
+
 def number_of(c: Column, n: int) -> Column:
     """A number under n from the md5 of a value's text: the same on every run and in every engine. Null counts as empty."""
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(n))

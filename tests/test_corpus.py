@@ -15,7 +15,7 @@ from inkwell.operators import vocabulary as v
 from inkwell.operators.custom import python_rule
 from inkwell.operators.rules import BY_ID, RULES, Params, Stage
 from inkwell.plans.pipeline import optimize, optimize_requests
-from inkwell.sources import templates
+from inkwell.sources import io, templates
 from inkwell.streaming import first_seen, sessions
 
 RULES_TYPE = "map<string,struct<enabled:boolean,params:map<string,string>>>"
@@ -154,6 +154,13 @@ def test_mark_characters_of_the_text_survive(spark):
     assert stage.df.select(out).first()[0] == "Read   `x` and  then `y` stop. Ok"
 
 
+def test_spread_leaves_large_tables(spark, data, monkeypatch):
+    one = spark.read.parquet(f"{data}/documents.parquet")
+    assert io.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(io, "SPREAD_BYTES", 10)
+    assert io.spread(one) is one
+
+
 # Ranges
 
 
@@ -341,3 +348,13 @@ def test_sessions_and_first_seen_replayed(spark, data, tmp_path):
         spark.createDataFrame(parts[k * len(parts) // 3 : (k + 1) * len(parts) // 3], events.schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/files/{4 + k}")
     seen = run("first", lambda s: first_seen(s, "ts", "event_id", late="4000 days"), range(7))
     assert sorted(r[0] for r in seen.select("event_id").collect()) == sorted(r["event_id"] for r in parts)
+
+
+def test_answers_to_requests(spark):
+    rows = [(1, " coding", "low", None), (2, None, "low", "ai"), (3, "DEBUG", "loud", "template"), (4, "Debug", "HIGH", "Web "), (None, "write", None, None), (6, "compare", "medium", "AI"), (1, "coding ", "Low", "template")]
+    got = [tuple(r) for r in templates.answers(spark.createDataFrame(rows, "k int, t string, v string, s string").coalesce(1), "k", "t", "v", "s").collect()]
+    by = {(r[0], r[1]): r for r in got}
+    assert len(got) == len(rows) and by[1, "CODING"][4] is None and by[1, "CODING"][5]
+    assert by[2, ""][4].startswith("task type ''") and by[3, "DEBUG"][4].startswith("verbosity 'LOUD'") and by[4, "DEBUG"][4].startswith("source 'web'") and by[None, "WRITE"][4].startswith("task type 'WRITE'")
+    assert by[6, "COMPARE"][4:] == (None, None)
+    assert len({r[5] for r in got if r[0] == 1}) == 1
