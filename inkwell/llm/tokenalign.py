@@ -246,18 +246,21 @@ def documents(packs: DataFrame, met: DataFrame) -> DataFrame:
     """
     lists = met.groupBy("pack").agg(F.collect_list("entry").alias("entries"))
     at = F.transform(F.sort_array(F.transform("entries", lambda x, k: F.shiftleft(x["place"].cast("long"), 32) + k.cast("long"))), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumn("at", at)
+    whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumns({"at": at, "unsound": F.exists("entries", lambda x: x["n_a"].isNull())})
     zero = F.lit(0).cast("long")
     of = lambda i: F.get("entries", F.get(_held("at"), i))
 
     def one(doc: Column) -> Column:
-        sound = F.forall(doc["chunks"], lambda i: of(i)["n_a"].isNotNull())
+        sound = ~F.col("unsound") | F.forall(doc["chunks"], lambda i: of(i)["n_a"].isNotNull())
         chunks = F.when(sound, doc["chunks"]).otherwise(F.array().cast("array<int>"))
         total = lambda name: F.aggregate(chunks, zero, lambda n, i: n + of(i)[name])
         groups = F.when(F.size(chunks) > 0, F.sha2(F.array_join(F.transform(chunks, lambda i: of(i)["groups"]), ";"), 256)).otherwise("")
-        return F.struct(doc["doc_id"].alias("doc_id"), total("n_a").alias("n_a"), total("n_b").alias("n_b"), total("n_groups").alias("n_groups"), groups.alias("groups_sha256"), F.flatten(F.transform(chunks, lambda i: of(i)["links"])).alias("links"))
+        links = F.flatten(F.transform(chunks, lambda i: of(i)["links"]))
+        return F.struct(doc["doc_id"].alias("doc_id"), total("n_a").alias("n_a"), total("n_groups").alias("n_groups"), groups.alias("groups_sha256"), links.alias("links"))
 
-    return whole.select(F.inline(F.transform("docs", one)))
+    done = whole.select(F.inline(F.transform("docs", one)))
+    # Every token of either side ends one link, but where both end together.
+    return done.withColumn("n_b", F.size("links") - F.col("n_a") + F.col("n_groups"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
