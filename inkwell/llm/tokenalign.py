@@ -27,7 +27,7 @@ from .common import arrow_schema, columns, materialize, reachable, scratch
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Characters of text in a pack of documents; a longer text is a pack of its own.
-PACK_CHARS = 6_000_000
+PACK_CHARS = 12_000_000
 #: Pairs of ids up to which their counts are sent to all executors; beyond, they are joined by shuffle. About 32 MB.
 SMALL_PAIRS = 1_000_000
 #: Tables of words and entries are as large as the input; packed harder they cost half.
@@ -38,8 +38,8 @@ _SIDE, _PLACE = 31, (1 << 31) - 1
 #: Where a space is no begin of a chunk; texts without such a place are cut at every space.
 _ODD = re.compile(r"(?:^|[^\w!-/:-@\[-`{-~]) | $")
 _CUT = re.compile(r"(?<=[^\W_]|[!-/:-@\[-`{-~])(?= +[^ ])")
-PACK = "docs array<struct<doc_id bigint, chunks array<int>>>, words array<string>"
-TOKENS = "word string, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>"
+PACK = "docs array<struct<doc_id bigint, chunks array<int>>>, words array<string>, counts array<int>"
+TOKENS = "word string, n bigint, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>"
 
 
 class ByteLevel:
@@ -111,7 +111,7 @@ class Tokenised:
 
 
 def pack(df: DataFrame, splits: bool, pack_chars: int = PACK_CHARS) -> DataFrame:
-    """doc_id, text -> packs of documents: each document as numbers of chunks, and the pack's different chunks.
+    """doc_id, text -> packs of documents: each document as numbers of chunks, the pack's different chunks, and how often each is there.
 
     Documents without text have no chunks. splits: whether texts may be cut into chunks.
     """
@@ -129,7 +129,8 @@ def pack(df: DataFrame, splits: bool, pack_chars: int = PACK_CHARS) -> DataFrame
         def packed() -> pa.RecordBatch:
             chunks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(said, dtype=np.int32).copy()))
             docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), chunks], names=["doc_id", "chunks"])
-            whole = [docs, pa.array(list(numbers), pa.string())]  # each word without the space before it
+            counts = np.bincount(np.frombuffer(said, dtype=np.int32), minlength=len(numbers)).astype(np.int32)
+            whole = [docs, pa.array(list(numbers), pa.string()), pa.array(counts)]  # each word without the space before it
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(arrow.field(i).type) for i, x in enumerate(whole)], schema=arrow)
 
         for batch in batches:
@@ -154,7 +155,7 @@ def pack(df: DataFrame, splits: bool, pack_chars: int = PACK_CHARS) -> DataFrame
 
 
 def tokenise(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """word -> its tokens' ids and ends in bytes by both vocabularies; null where the tokens' bytes are not the word's."""
+    """word, n -> also its tokens' ids and ends in bytes by both vocabularies; null where the tokens' bytes are not the word's."""
     reachable(words.sparkSession)
     arrow = arrow_schema(TOKENS)
 
@@ -164,9 +165,9 @@ def tokenise(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
         tokenised = Tokenised(a_path, b_path)
         for batch in batches:
             found = tokenised.columns(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(x.cast(arrow.field(i + 1).type) for i, x in enumerate(found))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(x.cast(arrow.field(i + 2).type) for i, x in enumerate(found))], schema=arrow)
 
-    return words.select("word").mapInArrow(run, TOKENS)
+    return words.select("word", "n").mapInArrow(run, TOKENS)
 
 
 def _key(end: Column, side: int, place: Column) -> Column:
@@ -195,7 +196,7 @@ def _held(name: str) -> Column:
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """word, n_a, n_b, n_groups, groups (a text) and links (A id * 2^32 + B id) of each word; null without tokens.
+    """word, n, n_a, n_b, n_groups, groups (a text) and links (A id * 2^32 + B id) of each word; null without tokens.
 
     A group goes from one place where both tokens end to the next. A link is a stretch of bytes from any token's end to
     the next end of either side: on it stand one A and one B token, and no other stretch has the same two. In the sorted
@@ -227,19 +228,50 @@ def align(tokens: DataFrame) -> DataFrame:
     links = F.when(F.col("even"), F.zip_with("a_ids", "b_ids", pair)).otherwise(F.filter(F.transform("both", link), lambda x: x.isNotNull()))
 
     return df.select(
-        "word", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("cuts").alias("n_groups"),
+        "word", "n", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("cuts").alias("n_groups"),
         F.array_join(groups, ";").alias("groups"), links.alias("links"),
     )
 
 
-def entries(packs: DataFrame, aligned: DataFrame) -> DataFrame:
-    """pack, entry: the aligned word of each place in each pack's list, in any order."""
-    listed = packs.select("pack", F.posexplode("words").alias("place", "word"))
-    return listed.join(aligned, "word").select("pack", F.struct("place", "n_a", "n_b", "n_groups", "groups", "links").alias("entry"))
+def _listed(packs: DataFrame) -> DataFrame:
+    return packs.select("pack", F.posexplode("words").alias("place", "word"))
+
+
+def sound_counts(packs: DataFrame, words: DataFrame) -> DataFrame:
+    """words with n less what stands in documents that hold a word without tokens: these have no tokens at all."""
+    unsound = words.where("n_a IS NULL").select("word")
+    if unsound.isEmpty():
+        return words
+    places = _listed(packs).join(unsound, "word").groupBy("pack").agg(F.collect_list("place").alias("bad"))
+    held = F.filter("docs", lambda d: F.arrays_overlap(d["chunks"], F.col("bad")))
+    lost = packs.join(places, "pack").select("pack", F.explode(F.flatten(F.transform(held, lambda d: d["chunks"]))).alias("place")).groupBy("pack", "place").agg(F.count("*").alias("m"))
+    minus = lost.join(_listed(packs), ["pack", "place"]).groupBy("word").agg(F.sum("m").alias("m"))
+    return words.join(minus, "word", "left").withColumn("n", F.col("n") - F.coalesce("m", F.lit(0))).drop("m")
+
+
+def pair_counts(words: DataFrame) -> DataFrame:
+    """link -> count, best: how many links of the corpus join its two ids, and whether no A id has more with its B id.
+
+    words: links of each different word, and n, how often it is there.
+    """
+    counts = words.select(F.explode("links").alias("link"), "n").groupBy("link").agg(F.sum("n").alias("count")).where("count > 0")
+    counts = materialize(counts, "pair-counts")
+    piece = F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
+    tops = counts.groupBy(piece.alias("piece")).agg(F.max("count").alias("top"))
+    return materialize(counts.withColumn("piece", piece).join(tops, "piece").select("link", "count", (F.col("count") == F.col("top")).alias("best")), "pairs")
+
+
+def entries(packs: DataFrame, words: DataFrame, pairs: DataFrame, small_pairs: int) -> DataFrame:
+    """pack, entry: the aligned word of each place in each pack's list, with the sums of its links, in any order."""
+    known = pairs.hint("broadcast") if pairs.count() <= small_pairs else pairs
+    linked = words.select("word", F.explode("links").alias("link")).join(known, "link")
+    scores = linked.groupBy("word").agg(F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+    aligned = words.select("word", "n_a", "n_groups", F.size("links").alias("n_links"), "groups").join(scores, "word", "left")
+    return _listed(packs).join(aligned, "word").select("pack", F.struct("place", "n_a", "n_groups", "n_links", "n_best", "count_sum", "groups").alias("entry"))
 
 
 def documents(packs: DataFrame, met: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups_sha256, links for each document of the packs, from the packs' entries.
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each document, from the packs' entries.
 
     Entries come together in any order; sorted numbers tell where each place's entry lies. Documents with a word that
     has no tokens have none.
@@ -249,27 +281,19 @@ def documents(packs: DataFrame, met: DataFrame) -> DataFrame:
     whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumns({"at": at, "unsound": F.exists("entries", lambda x: x["n_a"].isNull())})
     zero = F.lit(0).cast("long")
     of = lambda i: F.get("entries", F.get(_held("at"), i))
+    sums = ("n_a", "n_groups", "n_links", "n_best", "count_sum")
 
     def one(doc: Column) -> Column:
         sound = ~F.col("unsound") | F.forall(doc["chunks"], lambda i: of(i)["n_a"].isNotNull())
         chunks = F.when(sound, doc["chunks"]).otherwise(F.array().cast("array<int>"))
         total = lambda name: F.aggregate(chunks, zero, lambda n, i: n + of(i)[name])
         groups = F.when(F.size(chunks) > 0, F.sha2(F.array_join(F.transform(chunks, lambda i: of(i)["groups"]), ";"), 256)).otherwise("")
-        links = F.flatten(F.transform(chunks, lambda i: of(i)["links"]))
-        return F.struct(doc["doc_id"].alias("doc_id"), total("n_a").alias("n_a"), total("n_groups").alias("n_groups"), groups.alias("groups_sha256"), links.alias("links"))
+        return F.struct(doc["doc_id"].alias("doc_id"), *(total(c).alias(c) for c in sums), groups.alias("groups_sha256"))
 
     done = whole.select(F.inline(F.transform("docs", one)))
     # Every token of either side ends one link, but where both end together.
-    return done.withColumn("n_b", F.size("links") - F.col("n_a") + F.col("n_groups"))
-
-
-def pair_counts(links: DataFrame) -> DataFrame:
-    """link -> count, best: how many links of the corpus join its two ids, and whether no A id has more with its B id."""
-    counts = links.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("count"))
-    counts = materialize(counts, "pair-counts")
-    piece = F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
-    tops = counts.groupBy(piece.alias("piece")).agg(F.max("count").alias("top"))
-    return materialize(counts.withColumn("piece", piece).join(tops, "piece").select("link", "count", (F.col("count") == F.col("top")).alias("best")), "pairs")
+    n_b = F.col("n_links") - F.col("n_a") + F.col("n_groups")
+    return done.select("doc_id", "n_a", n_b.alias("n_b"), "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, files: tuple[str, str] = FILES, small_pairs: int = SMALL_PAIRS, pack_chars: int = PACK_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -288,16 +312,12 @@ def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with scratch(df.sparkSession) as keep:
         packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs", ZSTD)
         with scratch(df.sparkSession) as keep_met:
-            words = packs.select(F.explode("words").alias("word")).distinct()
-            aligned = materialize(align(tokenise(words, a_path, b_path)), "words", ZSTD)
-            met = materialize(entries(packs, aligned), "met", ZSTD)
-            keep_met(met)
+            counted = packs.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("x")).groupBy("x.word").agg(F.sum("x.n").alias("n"))
+            words = materialize(align(tokenise(counted, a_path, b_path)), "words", ZSTD)
+            words = sound_counts(packs, words)
+            pairs = pair_counts(words)
+            met = materialize(entries(packs, words, pairs, small_pairs), "met", ZSTD)
+            keep_met(met, pairs)
         done = materialize(documents(packs, met), "aligned")
-        keep(done)
-    pairs = pair_counts(done)
-    known = pairs.hint("broadcast") if pairs.count() <= small_pairs else pairs
-    keyed = done.withColumn("row", F.monotonically_increasing_id())
-    each = keyed.select("row", F.explode("links").alias("link")).join(known, "link").groupBy("row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    whole = keyed.withColumn("n_links", F.size("links").cast("long")).drop("links").join(each, "row", "left")
-    return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", none("n_best"), none("count_sum"), "groups_sha256"), pairs
+        keep(done, pairs)
+    return done, pairs
