@@ -30,7 +30,8 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     that nobody speaks for others. Rows with equal turns stay separate rows. Texts may be of any length; an empty table
     gives no rows; other columns don't matter.
 
-    One shuffle of the turns by conversation; participants are distinct names, found with partial aggregation. A
+    The output has every turn once for each participant: a conversation of very many speakers gives turns times
+    speakers rows, by what is asked for. One shuffle of the turns by conversation; participants are distinct names, found with partial aggregation. A
     conversation that holds many of the rows is split by Spark's skew join, as both sides are plain exchanges.
     """
     turns = columns(df, conv=conv_col, turn=turn_col, speaker=F.coalesce(F.col(f"`{role_col}`"), F.lit(NOBODY)), text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
