@@ -27,7 +27,7 @@ from .common import arrow_schema, columns, materialize, reachable, scratch
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Characters of text in a pack of documents; a longer text is a pack of its own.
-PACK_CHARS = 12_000_000
+PACK_CHARS = 16_000_000
 #: Pairs of ids up to which their counts are sent to all executors; beyond, they are joined by shuffle. About 32 MB.
 SMALL_PAIRS = 1_000_000
 #: Tables of words and entries are as large as the input; packed harder they cost half.
