@@ -127,6 +127,28 @@ def _quotes(t):
     return keep
 
 
+def test_pieces_search_each_text_once(spark):
+    """Patterns of quotes in one replacement; no class of characters that Java nests, on which threads wait for one another."""
+    df = spark.createDataFrame([("a",)], "t string").select(protect.segments(F.col("t")).alias("s"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(protect.PIECES) == 1 and "regexp_extract_all" not in plan
+    assert "“‘" not in protect.PIECES
+
+
+def test_pieces_with_the_separators_in_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    own = "".join(map(chr, (*range(0xE000, 0xE006), *range(0xE010, 0xE016))))
+    slashes = "\\" * 130
+    texts = ["".join(rng.choice(f"ab '\"`“”\\{own}") for _ in range(rng.randrange(1, 24))) for _ in range(1000)]
+    texts += [f"“{own}{slashes}” {own}” `{own}` “{own} `{own}`", f"{own}“{own} `{own}`"]
+    for t, pieces in zip(texts, _pieces(spark, texts), strict=True):
+        assert "".join(x for x, _ in pieces) == t
+        assert [p for x, p in pieces for _ in x] == _quotes(t), t
+        assert all(x for x, _ in pieces) and all(not (a[1] is False and b[1] is False) for a, b in zip(pieces, pieces[1:], strict=False)), t
+
+
 def test_pieces_against_scanner(spark):
     import random
 
