@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import protect, text, tokens
+from .llm.common import materialize, scratch
 from .marked import GUARDED, MARKS, _guarded, _guarded_sql, _pick, _sql_pick
 from .operators import diff, longdocs, reports, spans
 from .operators import vocabulary as v
@@ -120,21 +121,28 @@ _CANDIDATE = r"!{2,}|\?{2,}|\.{4,}"
 
 def protected_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each text between marks: runs of protected characters, candidates for the punctuation rule, those that touch
-    protected characters, what the rule took out, and what it should have taken out of the others."""
+    protected characters, what the rule took out, and what it should have taken out of the others.
+
+    The texts are searched once: their ranges, a few numbers each, are written and read by what counts them.
+    """
     _, _, before, inside, behind, _, _ = GUARDED["punctuation"]
     stage = Stage(_table(spark, sf_dir, "documents").select("doc_id", _guarded(before, inside, behind).alias("t")))
     segs = stage.put(protect.segments(F.col("t")))
     kept = stage.put(F.transform(segs, lambda s: F.struct(F.when(s["p"], 0).otherwise(F.length(s["t"])).alias("gap"), F.when(s["p"], F.length(s["t"])).otherwise(0).alias("size"), F.lit("").alias("kind"))))
     hits = stage.put(spans.match_ranges(F.col("t"), _CANDIDATE))
     out, _ = BY_ID["punctuationNormalizer"].apply(stage, F.col("t"), Params())
-    whole = stage.df.select("doc_id", (F.length("t") - F.length(out)).cast("long").alias("removed"), kept.alias("kept"), hits.alias("hits"))
-    protected = spans.placed(whole, "doc_id", pieces="kept").where("end > start")
-    found = spans.placed(whole.select("doc_id", "hits"), "doc_id", pieces="hits")
-    touched = spans.overlapping(found, protected, "doc_id", extra=("kind",)).select("doc_id", "start", "end", "kind").distinct().groupBy("doc_id").agg(F.count("*").alias("shielded"), F.sum(_excess()).alias("shielded_excess"))
-    totals = found.groupBy("doc_id").agg(F.count("*").alias("candidates"), F.sum(_excess()).alias("excess"))
-    joined = whole.select("doc_id", "removed").join(spans.covered(protected, "doc_id"), "doc_id", "left").join(totals, "doc_id", "left").join(touched, "doc_id", "left")
-    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return joined.select("doc_id", number("ranges").alias("ranges"), number("characters").alias("characters"), number("candidates").alias("candidates"), number("shielded").alias("shielded"), "removed", (number("excess") - number("shielded_excess")).alias("explained"))
+    ranges = stage.df.select("doc_id", (F.length("t") - F.length(out)).cast("long").alias("removed"), kept.alias("kept"), hits.alias("hits"))
+    with scratch(spark) as keep:
+        whole = materialize(ranges, "audit-ranges")
+        protected = spans.placed(whole, "doc_id", pieces="kept").where("end > start")
+        found = spans.placed(whole.select("doc_id", "hits"), "doc_id", pieces="hits")
+        touched = spans.overlapping(found, protected, "doc_id", extra=("kind",)).select("doc_id", "start", "end", "kind").distinct().groupBy("doc_id").agg(F.count("*").alias("shielded"), F.sum(_excess()).alias("shielded_excess"))
+        totals = found.groupBy("doc_id").agg(F.count("*").alias("candidates"), F.sum(_excess()).alias("excess"))
+        joined = whole.select("doc_id", "removed").join(spans.covered(protected, "doc_id"), "doc_id", "left").join(totals, "doc_id", "left").join(touched, "doc_id", "left")
+        number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+        done = materialize(joined.select("doc_id", number("ranges").alias("ranges"), number("characters").alias("characters"), number("candidates").alias("candidates"), number("shielded").alias("shielded"), "removed", (number("excess") - number("shielded_excess")).alias("explained")), "audited")
+        keep(done)
+    return done
 
 
 def _excess() -> Column:
@@ -337,24 +345,35 @@ SELECT doc_id, side, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(flagged) AS
 # Sources as documents that fit no row
 
 
+#: Sentences are as large as the input; packed harder they cost half.
+_ZSTD = {"compression": "zstd"}
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source as one document, whose parts are the source's texts in order of their ids."""
-    return longdocs.sentence_rows(prompts(spark, sf_dir), "source", "doc_id", "t")
+    """Each source as one document, whose parts are the source's texts in order of their ids; written, as it is read again and again."""
+    return materialize(longdocs.sentence_rows(prompts(spark, sf_dir), "source", "doc_id", "t"), "source-rows", _ZSTD)
 
 
 def source_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source without the sentences that it has said before, in blocks of 20,000 characters."""
-    kept = longdocs.distinct_sentences(_sources(spark, sf_dir))
-    return longdocs.blocks(kept, 20_000).select(F.col("doc").alias("source"), "block", "sentences", F.md5("text").alias("digest"))
+    with scratch(spark) as keep:
+        kept = materialize(longdocs.distinct_sentences(_sources(spark, sf_dir)), "source-kept", _ZSTD)
+        done = materialize(longdocs.blocks(kept, 20_000).select(F.col("doc").alias("source"), "block", "sentences", F.md5("text").alias("digest")), "source-blocks")
+        keep(done)
+    return done
 
 
 def source_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source with the first demand for each output format alone, and how many sentences that leaves."""
-    rows = _sources(spark, sf_dir)
-    kept = longdocs.first_of_kinds(rows, v.OUTPUT_FORMATS, v.FORMAT_WORDS)
-    sizes = longdocs.blocks(kept, 100_000).groupBy("doc").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"))
-    counts = longdocs.lost(rows, kept)
-    return counts.join(sizes.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select(F.col("doc").alias("source"), "before", "after", "blocks", "chars")
+    with scratch(spark) as keep:
+        rows = _sources(spark, sf_dir)
+        kept = materialize(longdocs.first_of_kinds(rows, v.OUTPUT_FORMATS, v.FORMAT_WORDS), "source-kept", _ZSTD)
+        sizes = longdocs.blocks(kept, 100_000).groupBy("doc").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"))
+        counts = longdocs.lost(rows, kept)
+        joined = counts.join(sizes.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select(F.col("doc").alias("source"), "before", "after", "blocks", "chars")
+        done = materialize(joined, "source-formats")
+        keep(done)
+    return done
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

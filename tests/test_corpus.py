@@ -358,3 +358,14 @@ def test_answers_to_requests(spark):
     assert by[2, ""][4].startswith("task type ''") and by[3, "DEBUG"][4].startswith("verbosity 'LOUD'") and by[4, "DEBUG"][4].startswith("source 'web'") and by[None, "WRITE"][4].startswith("task type 'WRITE'")
     assert by[6, "COMPARE"][4:] == (None, None)
     assert len({r[5] for r in got if r[0] == 1}) == 1
+
+
+def test_texts_are_searched_once_for_all_that_counts_them(spark, data):
+    """What comes back is read from a table: no plan holds the search for pieces, let alone several times."""
+    from inkwell import corpus
+    from inkwell.functions import protect
+
+    for name in ("protected_audit", "source_formats", "source_sentences"):
+        df = corpus.QUERIES[name](spark, data)
+        assert protect.PIECES not in df._jdf.queryExecution().optimizedPlan().toString(), name
+        assert df.count() > 0, name

@@ -287,3 +287,15 @@ print(optimize(spark.createDataFrame([("Count count sails.",)], "text string"),
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "Count sails." in done.stdout, done.stderr[-1500:]
+
+
+def test_patterns_are_held_against_sentences_alone(spark):
+    """Whole texts are searched for words; each pattern of a kind stands in the plan once, for sentences that hold a word."""
+    from inkwell.operators.rules import conflict_columns
+
+    stage = Stage(spark.createDataFrame([("Be concise. Go on.\n`x`explain  in\ndetail!",)], "t string"))
+    hits, pairs = conflict_columns(stage, F.col("t"))
+    df = stage.df.select(hits.alias("hits"), pairs.alias("pairs"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert not [x for x in plan.split("RLIKE(")[1:] if "concise" in x.split("\n")[0][:200] and x.startswith("t#")]
+    assert df.first()["hits"] == {"CONCISE": "Be concise.", "DETAILED": "explain in detail!"}
