@@ -299,3 +299,12 @@ def test_patterns_are_held_against_sentences_alone(spark):
     plan = df._jdf.queryExecution().analyzed().toString()
     assert not [x for x in plan.split("RLIKE(")[1:] if "concise" in x.split("\n")[0][:200] and x.startswith("t#")]
     assert df.first()["hits"] == {"CONCISE": "Be concise.", "DETAILED": "explain in detail!"}
+
+
+def test_closings_are_sought_once_for_the_record(spark):
+    """Each closing's pattern stands in the plan for the text, and twice for its line of the record, not again for whether there is one."""
+    stage = Stage(spark.createDataFrame([("Read on. THANKS IN ADVANCE! Any more?",)], "t string"))
+    out, log = BY_ID["fillerRemoval"].apply(stage, F.col("t"), Params())
+    df = stage.df.select(out.alias("out"), log.alias("log"))
+    assert df._jdf.queryExecution().analyzed().toString().count(f"(?i){text.BEGIN}thanks in advance") <= 3
+    assert df.first()["log"] == ["[MEDIUM] closing removed: THANKS IN ADVANCE!"]
