@@ -7,8 +7,8 @@ slice build groups and links, and aggregate sums them.
 A chunk is what stands from one space behind a letter, digit or ASCII mark to the next such space. Neither vocabulary
 has a token across such a place, so chunks are tokenised on their own, and each different chunk of the corpus is
 tokenised and aligned once. Documents are packed by the thousand as numbers into a list of their different chunks; only
-these lists meet the aligned chunks by join. Chunks end where tokens of both end, so groups and links of a document are
-those of its chunks, in order.
+these lists travel. Each chunk takes along at which places of which packs it stands, so it goes back there without a
+second meeting. Chunks end where tokens of both end, so groups and links of a document are those of its chunks, in order.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,11 @@ from .common import arrow_schema, columns, materialize, reachable, scratch
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Characters of text in a pack of documents; a longer text is a pack of its own.
-PACK_CHARS = 16_000_000
+PACK_CHARS = 8_000_000
 #: Pairs of ids up to which their counts are sent to all executors; beyond, they are joined by shuffle. About 32 MB.
 SMALL_PAIRS = 1_000_000
+#: Parts of the packs whose words travel back one after the other, so that shuffle files of one part lie there at a time.
+ROUNDS = 4
 #: Tables of words and entries are as large as the input; packed harder they cost half.
 ZSTD = {"compression": "zstd"}
 #: In a key that is sorted: an end, which side it is of, and its place, from high bits to low.
@@ -39,7 +42,7 @@ _SIDE, _PLACE = 31, (1 << 31) - 1
 _ODD = re.compile(r"(?:^|[^\w!-/:-@\[-`{-~]) | $")
 _CUT = re.compile(r"(?<=[^\W_]|[!-/:-@\[-`{-~])(?= +[^ ])")
 PACK = "docs array<struct<doc_id bigint, chunks array<int>>>, words array<string>, counts array<int>"
-TOKENS = "word string, n bigint, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>"
+TOKENS = "n bigint, in_packs array<bigint>, in_places array<int>, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>"
 
 
 class ByteLevel:
@@ -154,20 +157,32 @@ def pack(df: DataFrame, splits: bool, pack_chars: int = PACK_CHARS) -> DataFrame
     return df.select("doc_id", "text").mapInArrow(run, PACK)
 
 
-def tokenise(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """word, n -> also its tokens' ids and ends in bytes by both vocabularies; null where the tokens' bytes are not the word's."""
-    reachable(words.sparkSession)
+def tokenise(listed: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """word, pack, place, n -> a row for each run of equal words in a batch: how often it is there, its packs and places,
+    its tokens' ids and ends in bytes by both vocabularies; null where the tokens' bytes are not the word's.
+
+    Rows come sorted by word; a word whose run goes over batches has a row for each part of it.
+    """
+    reachable(listed.sparkSession)
     arrow = arrow_schema(TOKENS)
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         tokenised = Tokenised(a_path, b_path)
         for batch in batches:
-            found = tokenised.columns(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(x.cast(arrow.field(i + 2).type) for i, x in enumerate(found))], schema=arrow)
+            if not batch.num_rows:
+                continue
+            word, pack, place, n = batch.columns
+            firsts = np.flatnonzero(np.append(True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)))
+            runs = pa.array(np.append(firsts, len(word)), pa.int32())
+            found = tokenised.columns(word.take(pa.array(firsts)).to_pylist())
+            whole = [pa.array(np.add.reduceat(n.to_numpy(), firsts, dtype=np.int64)), *(pa.ListArray.from_arrays(runs, x) for x in (pack, place)), *found]
+            yield pa.RecordBatch.from_arrays([x.cast(arrow.field(i).type) for i, x in enumerate(whole)], schema=arrow)
 
-    return words.select("word", "n").mapInArrow(run, TOKENS)
+    return listed.select("word", "pack", "place", "n").repartition("word").sortWithinPartitions("word").mapInArrow(run, TOKENS)
 
 
 def _key(end: Column, side: int, place: Column) -> Column:
@@ -196,7 +211,7 @@ def _held(name: str) -> Column:
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """word, n, n_a, n_b, n_groups, groups (a text) and links (A id * 2^32 + B id) of each word; null without tokens.
+    """n, in_packs, in_places, n_a, n_groups, groups (a text) and links (A id * 2^32 + B id) of each row; null without tokens.
 
     A group goes from one place where both tokens end to the next. A link is a stretch of bytes from any token's end to
     the next end of either side: on it stand one A and one B token, and no other stretch has the same two. In the sorted
@@ -228,31 +243,36 @@ def align(tokens: DataFrame) -> DataFrame:
     links = F.when(F.col("even"), F.zip_with("a_ids", "b_ids", pair)).otherwise(F.filter(F.transform("both", link), lambda x: x.isNotNull()))
 
     return df.select(
-        "word", "n", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("cuts").alias("n_groups"),
+        "n", "in_packs", "in_places", F.size("a_ids").alias("n_a"), F.size("cuts").alias("n_groups"),
         F.array_join(groups, ";").alias("groups"), links.alias("links"),
     )
 
 
 def _listed(packs: DataFrame) -> DataFrame:
-    return packs.select("pack", F.posexplode("words").alias("place", "word"))
+    return packs.select("pack", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("place", "x")).select("x.word", "pack", "place", "x.n")
+
+
+def _stands(words: DataFrame, *names: str) -> DataFrame:
+    """The named columns, pack and place of each place at which a word stands."""
+    return words.select(*names, F.explode(F.arrays_zip(F.col("in_packs").alias("pack"), F.col("in_places").alias("place"))).alias("x")).select(*names, "x.pack", "x.place")
 
 
 def sound_counts(packs: DataFrame, words: DataFrame) -> DataFrame:
     """words with n less what stands in documents that hold a word without tokens: these have no tokens at all."""
-    unsound = words.where("n_a IS NULL").select("word")
+    unsound = words.where("n_a IS NULL")
     if unsound.isEmpty():
         return words
-    places = _listed(packs).join(unsound, "word").groupBy("pack").agg(F.collect_list("place").alias("bad"))
+    places = _stands(unsound).groupBy("pack").agg(F.collect_list("place").alias("bad"))
     held = F.filter("docs", lambda d: F.arrays_overlap(d["chunks"], F.col("bad")))
     lost = packs.join(places, "pack").select("pack", F.explode(F.flatten(F.transform(held, lambda d: d["chunks"]))).alias("place")).groupBy("pack", "place").agg(F.count("*").alias("m"))
-    minus = lost.join(_listed(packs), ["pack", "place"]).groupBy("word").agg(F.sum("m").alias("m"))
-    return words.join(minus, "word", "left").withColumn("n", F.col("n") - F.coalesce("m", F.lit(0))).drop("m")
+    minus = _stands(words, "id").join(lost, ["pack", "place"]).groupBy("id").agg(F.sum("m").alias("m"))
+    return words.join(minus, "id", "left").withColumn("n", F.col("n") - F.coalesce("m", F.lit(0))).drop("m")
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """link -> count, best: how many links of the corpus join its two ids, and whether no A id has more with its B id.
 
-    words: links of each different word, and n, how often it is there.
+    words: links of words, and n, how often they are there.
     """
     counts = words.select(F.explode("links").alias("link"), "n").groupBy("link").agg(F.sum("n").alias("count")).where("count > 0")
     counts = materialize(counts, "pair-counts")
@@ -261,36 +281,46 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return materialize(counts.withColumn("piece", piece).join(tops, "piece").select("link", "count", (F.col("count") == F.col("top")).alias("best")), "pairs")
 
 
-def entries(packs: DataFrame, words: DataFrame, pairs: DataFrame, small_pairs: int) -> DataFrame:
-    """pack, entry: the aligned word of each place in each pack's list, with the sums of its links, in any order."""
+def scored(words: DataFrame, pairs: DataFrame, small_pairs: int) -> DataFrame:
+    """in_packs, in_places, n_a, n_groups, n_links, groups of each word, and n_best and count_sum, the sums over its links."""
     known = pairs.hint("broadcast") if pairs.count() <= small_pairs else pairs
-    linked = words.select("word", F.explode("links").alias("link")).join(known, "link")
-    scores = linked.groupBy("word").agg(F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-    aligned = words.select("word", "n_a", "n_groups", F.size("links").alias("n_links"), "groups").join(scores, "word", "left")
-    return _listed(packs).join(aligned, "word").select("pack", F.struct("place", "n_a", "n_groups", "n_links", "n_best", "count_sum", "groups").alias("entry"))
+    scores = words.select("id", F.explode("links").alias("link")).join(known, "link").groupBy("id").agg(F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+    return words.select("id", "in_packs", "in_places", "n_a", "n_groups", F.size("links").alias("n_links"), "groups").join(scores, "id", "left").drop("id")
+
+
+def _of_round(df: DataFrame, k: int, rounds: int) -> DataFrame:
+    """Rows of packs of a round: numbers of a task's packs follow one another from 2^33 times the task's number."""
+    return df.where((F.shiftright("pack", 33) + F.col("pack").bitwiseAND(F.lit((1 << 33) - 1))) % rounds == k)
 
 
-def documents(packs: DataFrame, met: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each document, from the packs' entries.
+def documents(packs: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each document of the packs, from the
+    scored words that stand in them; both dealt by pack into so many parts.
 
-    Entries come together in any order; sorted numbers tell where each place's entry lies. Documents with a word that
-    has no tokens have none.
+    Words come together in any order; sorted numbers tell where each place's entry lies. Documents with a word that has
+    no tokens have none. Two counts are summed as one number, in its high and low half; a text of 2^30 bytes has fewer
+    tokens and links than a half holds.
     """
-    lists = met.groupBy("pack").agg(F.collect_list("entry").alias("entries"))
+    both = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32) + F.col(low)
+    met = words.select("pack", F.struct("place", both("n_a", "n_groups").alias("tokens"), both("n_best", "n_links").alias("links"), "count_sum", "groups").alias("entry"))
+    lists = met.repartition(parts, "pack").groupBy("pack").agg(F.collect_list("entry").alias("entries"))
     at = F.transform(F.sort_array(F.transform("entries", lambda x, k: F.shiftleft(x["place"].cast("long"), 32) + k.cast("long"))), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumns({"at": at, "unsound": F.exists("entries", lambda x: x["n_a"].isNull())})
+    whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumns({"at": at, "unsound": F.exists("entries", lambda x: x["tokens"].isNull())})
     zero = F.lit(0).cast("long")
     of = lambda i: F.get("entries", F.get(_held("at"), i))
-    sums = ("n_a", "n_groups", "n_links", "n_best", "count_sum")
+    sums = ("tokens", "links", "count_sum")
 
     def one(doc: Column) -> Column:
-        sound = ~F.col("unsound") | F.forall(doc["chunks"], lambda i: of(i)["n_a"].isNotNull())
+        sound = ~F.col("unsound") | F.forall(doc["chunks"], lambda i: of(i)["tokens"].isNotNull())
         chunks = F.when(sound, doc["chunks"]).otherwise(F.array().cast("array<int>"))
         total = lambda name: F.aggregate(chunks, zero, lambda n, i: n + of(i)[name])
         groups = F.when(F.size(chunks) > 0, F.sha2(F.array_join(F.transform(chunks, lambda i: of(i)["groups"]), ";"), 256)).otherwise("")
         return F.struct(doc["doc_id"].alias("doc_id"), *(total(c).alias(c) for c in sums), groups.alias("groups_sha256"))
 
+    high = lambda c: F.shiftright(c, 32)
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
     done = whole.select(F.inline(F.transform("docs", one)))
+    done = done.select("doc_id", high("tokens").alias("n_a"), low("tokens").alias("n_groups"), low("links").alias("n_links"), high("links").alias("n_best"), "count_sum", "groups_sha256")
     # Every token of either side ends one link, but where both end together.
     n_b = F.col("n_links") - F.col("n_a") + F.col("n_groups")
     return done.select("doc_id", "n_a", n_b.alias("n_b"), "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -312,12 +342,16 @@ def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with scratch(df.sparkSession) as keep:
         packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs", ZSTD)
         with scratch(df.sparkSession) as keep_met:
-            counted = packs.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("x")).groupBy("x.word").agg(F.sum("x.n").alias("n"))
-            words = materialize(align(tokenise(counted, a_path, b_path)), "words", ZSTD)
-            words = sound_counts(packs, words)
+            words = align(tokenise(_listed(packs), a_path, b_path)).withColumn("id", F.monotonically_increasing_id())
+            words = sound_counts(packs, materialize(words, "words", ZSTD))
             pairs = pair_counts(words)
-            met = materialize(entries(packs, words, pairs, small_pairs), "met", ZSTD)
+            met = materialize(scored(words, pairs, small_pairs), "met", ZSTD)
             keep_met(met, pairs)
-        done = materialize(documents(packs, met), "aligned")
+        n_packs = packs.count()
+        rounds = max(1, min(ROUNDS, n_packs))
+        stands = _stands(met, "n_a", "n_groups", "n_links", "n_best", "count_sum", "groups")
+        # Twice as many parts as packs, so that a task seldom holds the words of several.
+        parts = max(1, 2 * n_packs // rounds)
+        done = reduce(DataFrame.unionAll, [materialize(documents(_of_round(packs, k, rounds), _of_round(stands, k, rounds), parts), "aligned") for k in range(rounds)])
         keep(done, pairs)
     return done, pairs

@@ -164,6 +164,23 @@ def test_alignment_by_small_packs_and_joins(spark):
     assert [r[1:] for r in aligned(docs(spark, [(1, None), (2, "")]))] == [(0, 0, 0, 0, 0, 0, "")] * 2
 
 
+@needs_vocabularies
+def test_packs_go_back_in_rounds(spark, monkeypatch):
+    """Each round deals and groups its own packs alone, and no pack is left out."""
+    rows = [(k, f"word{k % 7} and {'x' * (k % 5)} more") for k in range(40)]
+    seen = []
+    whole = tokenalign.documents
+
+    def documents(packs, *more):
+        seen.append({r["pack"] for r in packs.select("pack").collect()})
+        return whole(packs, *more)
+
+    monkeypatch.setattr(tokenalign, "documents", documents)
+    assert aligned(docs(spark, rows, 2), pack_chars=100) == plain_alignment(rows)
+    assert len(seen) == tokenalign.ROUNDS and all(seen)
+    assert sum(map(len, seen)) == len(set().union(*seen)) and max(map(len, seen)) - min(map(len, seen)) <= 2
+
+
 @needs_vocabularies
 def test_texts_that_may_not_be_cut(spark, monkeypatch):
     rows = [(k, t) for k, t in enumerate(["one two  three", "one", "two  three. four"])]
