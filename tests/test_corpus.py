@@ -3,8 +3,10 @@
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,26 @@ def test_merge():
     assert time.time() - began < 20
 
 
+def test_bpe_keeps_little(monkeypatch):
+    """Pieces that no longer come again, long pieces and long texts don't stay in a worker's memory."""
+    pytest.importorskip("regex")
+    monkeypatch.setattr(tokens, "REMEMBERED", 1000)
+    raw = b"YWI= 0\nYWJhYg== 1\n"
+    ranks, pick = tokens.read_ranks(raw), random.Random(4)
+    pieces = ["".join(pick.choices("abc", k=pick.randint(0, 60))) for _ in range(2000)]
+    assert all(tokens.merged(p.encode(), ranks) == len(tokens.merge(p.encode(), ranks)) for p in pieces)
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(5))
+    rows = lambda: (pa.array([" ".join(letters(i * 500 + j) for j in range(500)), letters(i) * 400, None]) for i in range(60))
+    tracemalloc.start()
+    assert [x.to_pylist()[2] for x in tokens._counts(rows(), raw, tokens.PATTERN)] == [0] * 60
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert next(tokens._counts(iter([pa.array([" b" * 1_000_000])]), raw, tokens.PATTERN)).to_pylist() == [2_000_000]
+    long = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000 and long < 20_000_000
+
+
 def test_bpe_of_whole_texts(spark, data):
     public = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
