@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell import corpus
+from inkwell import corpus, queries
 from inkwell.functions import tokens
 from inkwell.operators import analytics, diff, longdocs, reports, spans
 from inkwell.operators import vocabulary as v
@@ -246,6 +246,19 @@ def test_diff_by_row(spark):
             assert got[row, side] == want, (own, other)
 
 
+def test_diff_counts(spark, data):
+    """Counts of chunks and of those not kept are those of before_after, and sentence_diff shuffles only its sums."""
+    pick = random.Random(9)
+    say = lambda n: "".join(pick.choice(("Go up.", "go  UP. ", "Stop! ", " ", "\u3000", "x.y", "\n\n", "é?", "")) for _ in range(n))
+    rows = [(pick.choice((1, 2, None)), t, pick.choice((t, say(6), None))) for t in (say(pick.randint(0, 9)) for _ in range(400))] + [(7, None, None), (7, None, "a. b"), (7, "a. b", None)]
+    df = spark.createDataFrame(rows, "id int, b string, a string")
+    want = diff.before_after(df, "id", "b", "a").groupBy("id", "side").agg(F.count("*").alias("chunks"), F.count_if(~F.col("kept")).alias("flagged"))
+    got = diff.counts(df, "id", "b", "a").groupBy("id", "side").agg(F.sum("chunks").alias("chunks"), F.sum("flagged").alias("flagged"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    plan = queries.sentence_diff(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
 def test_chunks_of_long_runs(spark):
     texts = ["x" * 300_000 + ".y", "ab." * 100_000, ("w" * 50 + " ") * 5000 + ".z", "!" * 200_000]
     began = time.time()
