@@ -1,5 +1,6 @@
 """Each rule on the cases that define it, protected pieces, and the plan around the rules."""
 
+import re
 import time
 
 import pytest
@@ -69,6 +70,15 @@ def test_dead_tails_are_passed_quickly(spark):
     assert [x["p"] for x in got["s"]] == [False, True, False] and "".join(x["t"] for x in got["s"]) == got["t"]
 
 
+def test_phrases_share_one_lower_case(spark):
+    """Phrases are sought in the lower case that a piece brings along, which none of them makes anew."""
+    stage = Stage(spark.createDataFrame([("BOLD text: a Bullet Points: b `as follows:` AS follows: c",)], "t string"))
+    out, _ = BY_ID["formatControl"].apply(stage, F.col("t"), Params())
+    done = stage.df.select(out.alias("o"))
+    assert done.first()["o"] == "** a • b `as follows:` : c"
+    assert not re.search(r"contains\(lower\(lambda", done._jdf.queryExecution().optimizedPlan().toString(), re.I)
+
+
 def test_white_space_at_marks(spark):
     """What a changed piece loses towards a protected one comes back: a space, or the run if it holds a line end."""
     white = ["", " ", "  ", "\n", " \r\n ", "\u2028", "\u3000", "\x1c"]
