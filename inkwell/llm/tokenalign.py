@@ -1,8 +1,8 @@
 """Alignment of two tokenizers: which tokens of one share bytes with which of the other, in text and over the corpus.
 
-Python only tokenises. Everything behind it is Spark's higher-order functions: array_intersect of the tokens' ends gives
-the places where both end, sorted keys give how many ends of the other side lie before an end, sequence, transform and
-slice build groups and links, and aggregate sums them.
+Python tokenises, and puts documents together at the end. What lies between is Spark's higher-order functions:
+array_intersect of the tokens' ends gives the places where both end, sorted keys give how many ends of the other side lie
+before an end, transform and slice build groups and links, and sums by link count them.
 
 A chunk is what stands from one space behind a letter, digit or ASCII mark to the next such space. Neither vocabulary
 has a token across such a place, so chunks are tokenised on their own, and each different chunk of the corpus is
@@ -13,11 +13,13 @@ second meeting. Chunks end where tokens of both end, so groups and links of a do
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,10 @@ SMALL_PAIRS = 1_000_000
 ROUNDS = 4
 #: Tables of words and entries are as large as the input; packed harder they cost half.
 ZSTD = {"compression": "zstd"}
+#: A pack is a row of several MB: writers and readers hold a row group at a time, so each has one of its own.
+ONE_BY_ONE = {**ZSTD, "parquet.block.row.count.limit": "1"}
+#: Chunks of a document whose groups are hashed at a time.
+HASHED = 1 << 16
 #: In a key that is sorted: an end, which side it is of, and its place, from high bits to low.
 _SIDE, _PLACE = 31, (1 << 31) - 1
 
@@ -42,7 +48,8 @@ _SIDE, _PLACE = 31, (1 << 31) - 1
 _ODD = re.compile(r"(?:^|[^\w!-/:-@\[-`{-~]) | $")
 _CUT = re.compile(r"(?<=[^\W_]|[!-/:-@\[-`{-~])(?= +[^ ])")
 PACK = "docs array<struct<doc_id bigint, chunks array<int>>>, words array<string>, counts array<int>"
-TOKENS = "n bigint, in_packs array<bigint>, in_places array<int>, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>"
+TOKENS = "n bigint, in_packs array<int>, in_places array<int>, a_ids array<int>, a_ends array<bigint>, b_ids array<int>, b_ends array<bigint>"
+ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
 class ByteLevel:
@@ -205,11 +212,6 @@ def _keys(ends: Column, side: int) -> Column:
     return F.transform(ends, lambda e, i: _key(e, side, i.cast("long")))
 
 
-def _held(name: str) -> Column:
-    """A column, named twice: the optimizer moves what is named once into the function that uses it, for every element."""
-    return F.when(F.col(name).isNotNull(), F.col(name))
-
-
 def align(tokens: DataFrame) -> DataFrame:
     """n, in_packs, in_places, n_a, n_groups, groups (a text) and links (A id * 2^32 + B id) of each row; null without tokens.
 
@@ -288,42 +290,74 @@ def scored(words: DataFrame, pairs: DataFrame, small_pairs: int) -> DataFrame:
     return words.select("id", "in_packs", "in_places", "n_a", "n_groups", F.size("links").alias("n_links"), "groups").join(scores, "id", "left").drop("id")
 
 
+def numbered(packs: DataFrame) -> tuple[DataFrame, int]:
+    """(packs, their number): they are numbered from 0 without a gap, in place of 2^33 times the task's number and on."""
+    task, own = F.shiftright("pack", 33), F.col("pack").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = packs.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()  # a row for each task
+    befores = list(accumulate((r["n"] for r in counts), initial=0))
+    before = packs.sparkSession.createDataFrame([(r["task"], n) for r, n in zip(counts, befores, strict=False)], "task bigint, before bigint")
+    dense = (F.col("before") + own).cast("int").alias("pack")
+    return packs.join(before.hint("broadcast"), task == F.col("task")).select(*(dense if c == "pack" else c for c in packs.columns)), befores[-1]
+
+
 def _of_round(df: DataFrame, k: int, rounds: int) -> DataFrame:
-    """Rows of packs of a round: numbers of a task's packs follow one another from 2^33 times the task's number."""
-    return df.where((F.shiftright("pack", 33) + F.col("pack").bitwiseAND(F.lit((1 << 33) - 1))) % rounds == k)
+    """Rows of packs of a round."""
+    return df.where(F.col("pack") % rounds == k)
+
+
+def _restored(met, arrow):
+    """A pack's documents, an Arrow batch of the given schema, from a table of its words and its own row in any order."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    own = pc.is_valid(met["docs"])
+    docs = met.filter(own)["docs"].combine_chunks().flatten()
+    words = met.filter(pc.invert(own)).drop_columns("docs")
+    order = np.argsort(words["place"].to_numpy())
+    groups = np.array(words["groups"].to_pylist(), dtype=object)[order].tolist()
+    chunks = docs.field("chunks")
+    said, ends = chunks.values.to_numpy(), chunks.offsets.to_numpy()
+
+    def sums(of_words):  # over each document's chunks
+        reach = np.cumsum(np.append(0, of_words.astype(np.int64)[order][said]))
+        return reach[ends[1:]] - reach[ends[:-1]]
+
+    sound = sums(pc.is_null(words["n_a"]).to_numpy()) == 0
+    a, g, links, best, total = (np.where(sound, sums(pc.fill_null(words[c], 0).to_numpy()), 0) for c in ("n_a", "n_groups", "n_links", "n_best", "count_sum"))
+    hashes = []
+    for start, end, ok in zip(ends.tolist(), ends[1:].tolist(), sound.tolist(), strict=False):
+        digest = hashlib.sha256()
+        for at in range(start, end if ok else start, HASHED):
+            digest.update(((";" if at > start else "") + ";".join([groups[i] for i in said[at : min(at + HASHED, end)].tolist()])).encode())
+        hashes.append(digest.hexdigest() if ok and end > start else "")
+    # Every token of either side ends one link, but where both end together.
+    return pa.RecordBatch.from_arrays([docs.field("doc_id"), *map(pa.array, (a, links - a + g, g, links, best, total)), pa.array(hashes, pa.string())], schema=arrow)
 
 
-def documents(packs: DataFrame, words: DataFrame, parts: int) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each document of the packs, from the
-    scored words that stand in them; both dealt by pack into so many parts.
+def documents(packs: DataFrame, words: DataFrame, parts: int, rounds: int) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each document of a round's packs, from
+    the scored words that stand in them. Documents with a word that has no tokens have none.
 
-    Words come together in any order; sorted numbers tell where each place's entry lies. Documents with a word that has
-    no tokens have none. Two counts are summed as one number, in its high and low half; a text of 2^30 bytes has fewer
-    tokens and links than a half holds.
+    Packs are dealt by their numbers, one to a task: dealt by hash, the fullest of ever more tasks held ever more packs.
     """
-    both = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32) + F.col(low)
-    met = words.select("pack", F.struct("place", both("n_a", "n_groups").alias("tokens"), both("n_best", "n_links").alias("links"), "count_sum", "groups").alias("entry"))
-    lists = met.repartition(parts, "pack").groupBy("pack").agg(F.collect_list("entry").alias("entries"))
-    at = F.transform(F.sort_array(F.transform("entries", lambda x, k: F.shiftleft(x["place"].cast("long"), 32) + k.cast("long"))), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    whole = packs.select("pack", "docs").join(lists, "pack", "left").withColumns({"at": at, "unsound": F.exists("entries", lambda x: x["tokens"].isNull())})
-    zero = F.lit(0).cast("long")
-    of = lambda i: F.get("entries", F.get(_held("at"), i))
-    sums = ("tokens", "links", "count_sum")
-
-    def one(doc: Column) -> Column:
-        sound = ~F.col("unsound") | F.forall(doc["chunks"], lambda i: of(i)["tokens"].isNotNull())
-        chunks = F.when(sound, doc["chunks"]).otherwise(F.array().cast("array<int>"))
-        total = lambda name: F.aggregate(chunks, zero, lambda n, i: n + of(i)[name])
-        groups = F.when(F.size(chunks) > 0, F.sha2(F.array_join(F.transform(chunks, lambda i: of(i)["groups"]), ";"), 256)).otherwise("")
-        return F.struct(doc["doc_id"].alias("doc_id"), *(total(c).alias(c) for c in sums), groups.alias("groups_sha256"))
-
-    high = lambda c: F.shiftright(c, 32)
-    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    done = whole.select(F.inline(F.transform("docs", one)))
-    done = done.select("doc_id", high("tokens").alias("n_a"), low("tokens").alias("n_groups"), low("links").alias("n_links"), high("links").alias("n_best"), "count_sum", "groups_sha256")
-    # Every token of either side ends one link, but where both end together.
-    n_b = F.col("n_links") - F.col("n_a") + F.col("n_groups")
-    return done.select("doc_id", "n_a", n_b.alias("n_b"), "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    reachable(packs.sparkSession)
+    arrow = arrow_schema(ALIGNED)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        met = [batch for batch in batches if batch.num_rows]
+        table = pa.Table.from_batches(met) if met else None
+        numbers = pc.unique(table["pack"]) if met else []
+        for number in numbers:
+            yield _restored(table if len(numbers) == 1 else table.filter(pc.equal(table["pack"], number)), arrow)
+
+    own = ("place", "n_a", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    whole = packs.select("pack", *(F.lit(None).cast(words.schema[c].dataType).alias(c) for c in own), "docs")
+    met = words.select("pack", *own, F.lit(None).cast(packs.schema["docs"].dataType).alias("docs")).unionAll(whole)
+    return met.repartitionById(parts, (F.col("pack") / rounds).cast("int")).mapInArrow(run, ALIGNED)
 
 
 def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, files: tuple[str, str] = FILES, small_pairs: int = SMALL_PAIRS, pack_chars: int = PACK_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -340,18 +374,17 @@ def align_tokenizers(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = columns(df, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
     a_path, b_path = (f"{folder}/{f}" for f in files)
     with scratch(df.sparkSession) as keep:
-        packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs", ZSTD)
+        packs = materialize(pack(rows, Pieces(b_path).splits, pack_chars).withColumn("pack", F.monotonically_increasing_id()), "packs", ONE_BY_ONE)
+        packs, n_packs = numbered(packs)
         with scratch(df.sparkSession) as keep_met:
             words = align(tokenise(_listed(packs), a_path, b_path)).withColumn("id", F.monotonically_increasing_id())
             words = sound_counts(packs, materialize(words, "words", ZSTD))
             pairs = pair_counts(words)
             met = materialize(scored(words, pairs, small_pairs), "met", ZSTD)
             keep_met(met, pairs)
-        n_packs = packs.count()
         rounds = max(1, min(ROUNDS, n_packs))
         stands = _stands(met, "n_a", "n_groups", "n_links", "n_best", "count_sum", "groups")
-        # Twice as many parts as packs, so that a task seldom holds the words of several.
-        parts = max(1, 2 * n_packs // rounds)
-        done = reduce(DataFrame.unionAll, [materialize(documents(_of_round(packs, k, rounds), _of_round(stands, k, rounds), parts), "aligned") for k in range(rounds)])
+        parts = max(1, -(-n_packs // rounds))
+        done = reduce(DataFrame.unionAll, [materialize(documents(_of_round(packs, k, rounds), _of_round(stands, k, rounds), parts, rounds), "aligned") for k in range(rounds)])
         keep(done, pairs)
     return done, pairs

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 from math import floor, isfinite
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -181,6 +183,47 @@ def test_packs_go_back_in_rounds(spark, monkeypatch):
     assert sum(map(len, seen)) == len(set().union(*seen)) and max(map(len, seen)) - min(map(len, seen)) <= 2
 
 
+@needs_vocabularies
+def test_one_pack_a_task(spark, monkeypatch):
+    """However many packs there are, none shares a task with another, and each is a row group of its own."""
+    rows = [(k, f"word{k % 7} and {'x' * (k % 5)} more") for k in range(120)]
+    dealt, files = [], []
+    whole, write = tokenalign.documents, tokenalign.materialize
+
+    def documents(*args):
+        found = whole(*args)
+        dealt.extend(r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        return found
+
+    def materialize(df, name, *more):
+        done = write(df, name, *more)
+        if name == "packs":
+            files.extend(pq.ParquetFile(f.removeprefix("file://")).metadata for f in done.inputFiles())
+        return done
+
+    monkeypatch.setattr(tokenalign, "documents", documents)
+    monkeypatch.setattr(tokenalign, "materialize", materialize)
+    assert aligned(docs(spark, rows, 2), pack_chars=1) == plain_alignment(rows)  # each document is a pack
+    assert set(dealt) == {1}
+    assert sum(f.num_rows for f in files) == sum(f.num_row_groups for f in files) == len(rows)
+
+
+def test_a_pack_is_restored(monkeypatch):
+    """From words and documents in any order; long documents are hashed in parts, one with a word without tokens has none."""
+    monkeypatch.setattr(tokenalign, "HASHED", 2)
+    words = [(k, None if k == 3 else k + 1, 1, k + 2, 1, 10 * k, f"{k}|{k}") for k in (2, 0, 3, 1, 4)]
+    chunks = {7: [0, 1, 2, 4, 0, 0, 1], None: [], 5: [1, 3], 8: [2]}
+    names = ("place", "n_a", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    rows = [{**dict(zip(names, w)), "docs": None} for w in words]
+    rows.insert(2, {**dict.fromkeys(names), "docs": [{"doc_id": i, "chunks": c} for i, c in chunks.items()]})
+    got = tokenalign._restored(pa.Table.from_pylist(rows), tokenalign.arrow_schema(tokenalign.ALIGNED)).to_pylist()
+    for r, (i, c) in zip(got, chunks.items(), strict=True):
+        c = [] if 3 in c else c
+        sha = hashlib.sha256(";".join(f"{k}|{k}" for k in c).encode()).hexdigest() if c else ""
+        a, links = sum(k + 1 for k in c), sum(k + 2 for k in c)
+        assert list(r.values()) == [i, a, links - a + len(c), len(c), links, len(c), sum(10 * k for k in c), sha]
+
+
 @needs_vocabularies
 def test_texts_that_may_not_be_cut(spark, monkeypatch):
     rows = [(k, t) for k, t in enumerate(["one two  three", "one", "two  three. four"])]
