@@ -350,3 +350,39 @@ def test_closings_are_sought_once_for_the_record(spark):
     df = stage.df.select(out.alias("out"), log.alias("log"))
     assert df._jdf.queryExecution().analyzed().toString().count(f"(?i){text.BEGIN}thanks in advance") <= 3
     assert df.first()["log"] == ["[MEDIUM] closing removed: THANKS IN ADVANCE!"]
+
+
+def test_sentences_are_sought_once():
+    """Within functions of array elements, what is named twice is made twice."""
+    said = str(text.sentences(F.col("t")))
+    assert said.count(text.SENTENCE) == 1 and said.count(r"\s+") == 1
+
+
+def test_known_pieces_serve_again(spark):
+    """A text that a rule left as it was isn't searched for its pieces again; a new one is."""
+    stage = Stage(spark.createDataFrame([("a 'b' c",), (None,)], "t string"))
+    planted = F.array(F.struct(F.lit("known").alias("t"), F.lit(False).alias("p")))
+    stage.segments(F.col("t"))
+    assert stage.known is not None
+    stage.known = F.col("t"), planted
+    same, new = stage.put(stage.pieces(F.col("t"))), stage.put(stage.pieces(F.concat(F.col("t"), F.lit("!"))))
+    got = [(r[0] and [tuple(x) for x in r[0]], r[1] and [tuple(x) for x in r[1]]) for r in stage.df.select(same, new).collect()]
+    assert got[0] == ([("known", False)], [("a ", False), ("'b'", True), (" c!", False)])
+
+
+def test_structure_of_any_white_space(spark):
+    """Patterns are tried only where a plain search finds a cause; the outcome is theirs."""
+    import random
+
+    rng = random.Random(4)
+    inner = "".join(c for c in text.WHITE if c not in "\r\n")
+
+    def plain(t):
+        for pattern, to in ((rf"[{inner}]+(?=[\r\n]|\Z)", ""), (r"\r\n?", "\n"), (r"\n\Z", ""), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")):
+            t = re.sub(pattern, to, t)
+        return t.strip(text.WHITE)
+
+    texts = ["".join(rng.choice("ab  \t\n\n\r\u2003\x0b") for _ in range(rng.randrange(14))) for _ in range(400)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = {r["k"]: r["final_prompt"] for r in optimize(df, {"structureMinimizer": True}, order=("structureMinimizer",), record=False).collect()}
+    assert [got[k] for k in range(len(texts))] == [plain(t) for t in texts]
